@@ -1,33 +1,54 @@
-"""Token ids of whole texts by a library of merges that never cross a space, kept as little-endian 32-bit bytes."""
+"""Token ids of whole texts, kept as little-endian 32-bit bytes: a library's merges, done once for each pre-token."""
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 
 from .words import Cache
 
+# The file's pattern for pre-tokens, for letters of ASCII and Latin-1 only; such texts are normal already
+# but for case.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
+_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
 _encoders: dict[str, SpacedEncoder] = {}
 
 
 class SpacedEncoder:
-    """For tokenizers that drop white space and split at it, a text's ids are those of its parts between spaces."""
+    """For a tokenizer that drops white space, a text's ids are those of its pre-tokens.
 
-    def __init__(self, path: str):
-        import os
+    Texts of plain letters are cut into pre-tokens by the pattern; of other texts, each part between spaces that is not
+    plain goes to the library as it is, which normalises it and sees special tokens in it.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids = Cache(lambda w: self._many([w])[0])
+        self.ids = Cache(lambda w: self._many([w])[0], most=1_000_000)
 
     def _many(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        if _PLAIN(text) and "<|" not in text:
+            return _PRETOKENS(text.lower())
+        out: list[str] = []
+        for part in text.split(" "):
+            if _PLAIN(part) and "<|" not in part:
+                out += _PRETOKENS(part.lower())
+            elif part:
+                out.append(part)
+        return out
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``; parts unseen so far go to the library in one call."""
         tail = np.array([end], "<u4").tobytes()
-        parts = [(t or "").split(" ") for t in texts]
+        parts = [self._parts(t or "") for t in texts]
         new: set[str] = set()
         for p in parts:
             new.update(p)
@@ -41,4 +62,3 @@ def encoder(path: str) -> SpacedEncoder:
     if path not in _encoders:
         _encoders[path] = SpacedEncoder(path)
     return _encoders[path]
-

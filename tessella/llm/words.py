@@ -7,23 +7,23 @@ from hashlib import blake2b
 
 import numpy as np
 
-#: A cache is emptied between batches when it holds more words than this.
+#: A cache is emptied between batches when it holds more words than this, unless it is made with another bound.
 CACHE_WORDS = 400_000
 
 
 class Cache(dict):
     """``cache[word]`` computes a missing value and keeps it."""
 
-    def __init__(self, make: Callable, base: dict | None = None):
+    def __init__(self, make: Callable, base: dict | None = None, most: int = CACHE_WORDS):
         super().__init__(base or {})
-        self.make, self.base = make, base or {}
+        self.make, self.base, self.most = make, base or {}, most
 
     def __missing__(self, word):
         value = self[word] = self.make(word)
         return value
 
     def trim(self) -> None:
-        if len(self) > len(self.base) + CACHE_WORDS:
+        if len(self) > len(self.base) + self.most:
             self.clear()
             self.update(self.base)
 
