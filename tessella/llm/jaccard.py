@@ -1,8 +1,10 @@
 """Groups of documents whose word shingles are alike: a size-aware join of sets, heavy and light.
 
-Sets are ordered by how rare a shingle is (an estimate that is the same for all), ties by hash. Light sets, below a size
-that a cost estimate chooses, enumerate the two-element subsets of a prefix so long that linked sets share one. Heavy sets
-scan inverted lists over shorter prefixes; light sets large enough to be linked with a heavy one are in those lists too.
+First documents go that can have no partner: of the shingles in a fixed share of the hash space, those that only one set
+has are counted, and a set with more of them than a partner may lack is out. The others' shingles are then ordered by the
+number of sets that have them, ties by hash. Light sets, below a size chosen by cost, enumerate the two-element subsets of
+a prefix so long that linked sets share one. Heavy sets scan inverted lists over shorter prefixes; light sets large enough
+to be linked with a heavy one are in those lists too.
 
 What is wanted is the groups, so the lists are not turned into pairs. First every member of a list is held against the
 list's first member; then only lists that still span several groups are looked at: their members are dealt to blocks
@@ -26,11 +28,10 @@ from .scratch import stored
 from .words import HASHES, hashes, mixed, run_hashes
 
 SHINGLE, NEEDED, OF = 5, 75, 100
-#: Counters of the estimate of how rare a shingle is; bits of the filter for rows whose sets are looked at.
-COUNTERS, FILTER_BITS = 1 << 20, 1 << 24
-#: Lists over this level (log2 of the estimate) are split; members of a block.
-SPLIT_LEVEL, BLOCK = 10, 96
-_PAIR = np.uint64(0xD6E8FEB86659FD93)
+#: The share of the hash space in which shingles of all sets are counted, in 1024ths; bits of a counted shingle.
+COUNTED, COUNTED_BITS = 360, 40
+#: Bits of the filter for rows whose sets are looked at; members of a block.
+FILTER_BITS, BLOCK = 1 << 24, 96
 
 
 def shingles(text: str) -> np.ndarray:
@@ -44,9 +45,6 @@ def node_of(sets: np.ndarray) -> int:
     return int.from_bytes(blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def least_overlap(size):
-    return -(-NEEDED * size // OF)
-
 
 def linked(common, a, b):
     return OF * common >= NEEDED * (a + b - common)
@@ -64,112 +62,102 @@ def _sets(batch, seen: set[int]):
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node of every row, and each task's counters as rows of their own."""
-    schema = StructType(docs.select("doc_id").schema.fields + StructType.fromDDL(f"n_shingles long, node long, {gather.SCHEMA}").fields)
+    """doc_id, n_shingles, node of every row."""
+    schema = StructType(docs.select("doc_id").schema.fields + StructType.fromDDL("n_shingles long, node long").fields)
     types = fields(schema)
 
     def run(batches):
-        seen: set[int] = set()
-        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                new, sizes, nodes = [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingles(text or "")
-                    sizes.append(len(s))
-                    nodes.append(node_of(s) if len(s) else None)
-                    if len(s) and nodes[-1] not in seen:
-                        seen.add(nodes[-1])
-                        new.append(s)
+                sets = [shingles(text or "") for text in part.column("text").to_pylist()]
                 HASHES.trim()
-                if new:
-                    counts += np.bincount((np.concatenate(new) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                none = [None] * len(sizes)
-                yield record_batch({"doc_id": part.column("doc_id"), "n_shingles": sizes, "node": nodes, "part": none, "data": none}, types)
-        if told := gather.parts(counts):
-            none = [None] * len(told)
-            yield record_batch({"doc_id": none, "n_shingles": none, "node": none, "part": [k for k, _ in told], "data": [x for _, x in told]}, types)
+                yield record_batch({"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}, types)
 
     return docs.mapInArrow(run, schema)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """For each counter the log2 of what it has over its share of rare shingles."""
-    mean = counts.mean()
-    return np.log2(1 + np.maximum(0, counts - mean - 4 * np.sqrt(mean) - 1)).astype(np.uint8)
+def _rows(pairs, column: str, types, size: int = 200_000):
+    """Record batches of (array, node) pairs, each value of the array in a row with its node and the array's full size."""
+    import pyarrow as pa
+
+    held, n = [], 0
+
+    def out():
+        values = np.concatenate([x for x, _, _ in held]).view(np.int64)
+        nodes = np.repeat(np.array([k for _, k, _ in held], np.int64), [len(x) for x, _, _ in held])
+        full = np.repeat(np.array([m for _, _, m in held], np.int64), [len(x) for x, _, _ in held])
+        return record_batch({column: pa.array(values), "node": pa.array(nodes), "n": pa.array(full)}, types)
+
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n > size:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
+def _lonely(docs: DataFrame) -> DataFrame:
+    """node and alone: how many of its shingles in the counted share no other set has (at least)."""
+    types = fields(StructType.fromDDL("token long, node long"))
+    most = np.uint64(COUNTED << 54)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            yield from _rows(((s[: np.searchsorted(s, most)] >> np.uint64(64 - COUNTED_BITS), node, 0) for node, s in _sets(batch, seen)), "token", types)
+
+    owned = docs.mapInArrow(run, "token long, node long").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return owned.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
 
 
-def boundary(sizes: np.ndarray, sets: np.ndarray, counts: np.ndarray) -> int:
-    """The size from which sets are heavy: the least rows written for subsets and lists, and rows met in scans.
+def boundary(by_size: pd.DataFrame) -> int:
+    """The size from which sets are heavy, by the least cost in rows: those of subsets, those of postings, and as many again
+    for the scans of heavy sets, which meet the first member of a list for each posting.
 
-    A light set of size s writes C(p + 1, 2) subsets, a heavy one p postings and meets as many others for each as a rare
-    shingle has on average; light sets of three quarters of the boundary write postings too.
+    ``by_size``: n (a size), and over its sets the sums of subsets and postings. Light sets of three quarters of the
+    boundary write postings too.
     """
-    if not len(sizes):
+    if not len(by_size):
         return 0
-    order = np.argsort(sizes)
-    s, n = sizes[order].astype(float), sets[order].astype(float)
-    p = s - np.ceil(NEEDED * s / OF) + 1
-    c = counts[levels(counts) == 0].astype(float)
-    met = max(0.0, (c * (c - 1)).sum() / max(1.0, c.sum()) - c.mean())
-    light = np.concatenate([[0], np.cumsum(n * p * (p + 1) / 2)])
-    posted = np.concatenate([np.cumsum((n * p)[::-1])[::-1], [0]])
-    heavy = posted * met
+    by_size = by_size.sort_values("n").astype(float)
+    s = by_size["n"].to_numpy()
+    light = np.concatenate([[0], np.cumsum(by_size["subsets"])])
+    posted = np.concatenate([np.cumsum(by_size["postings"].to_numpy()[::-1])[::-1], [0]])
     at = np.concatenate([s, [s[-1] + 1]])
-    cost = light + posted[np.searchsorted(s, NEEDED * at / OF)] + heavy
-    return int(at[cost.argmin()])
-
-
-def tokens(s: np.ndarray, level: np.ndarray, heavy_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """The list keys of a set, and the level of each."""
-    n, own = len(s), level[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((s, own))
-    keys, tops = [], []
-    if n < heavy_from and n > 2:
-        first = order[: n - least_overlap(n) + 2]
-        a, b = np.triu_indices(len(first), 1)
-        low, high = np.minimum(s[first[a]], s[first[b]]), np.maximum(s[first[a]], s[first[b]])
-        keys.append(mixed(low * _PAIR + high))
-        tops.append(np.minimum(own[first[a]], own[first[b]]))
-    if n > 2 and OF * n >= NEEDED * heavy_from:
-        first = order[: n - least_overlap(n) + 1]
-        keys.append(s[first])
-        tops.append(own[first])
-    return (np.concatenate(keys), np.concatenate(tops)) if keys else (np.empty(0, np.uint64), np.empty(0, np.uint8))
-
-
-def _postings(docs: DataFrame, level, heavy_from: int) -> DataFrame:
-    """key, node, and for a list that is split the whole list's key."""
-    schema = StructType.fromDDL("key long, node long, whole long")
-    types = fields(schema)
+    return int(at[(light + posted[np.searchsorted(s, NEEDED * at / OF)] + posted).argmin()])
 
-    def run(batches):
-        import pyarrow as pa
 
-        seen: set[int] = set()
-        for batch in batches:
-            keys, tops, nodes, size = [], [], [], 0
-
-            def out():
-                k, t, n = np.concatenate(keys), np.concatenate(tops), np.concatenate(nodes)
-                hot = t >= SPLIT_LEVEL
-                salt = np.where(hot, n.view(np.uint64) % (np.uint64(1) << np.maximum(t, SPLIT_LEVEL).astype(np.uint64) - np.uint64(SPLIT_LEVEL - 1)), 0)
-                split = np.where(hot, mixed(k + (salt.astype(np.uint64) + np.uint64(1)) * _PAIR), k)
-                return record_batch({"key": pa.array(split.view(np.int64)), "node": pa.array(n), "whole": pa.array(k.view(np.int64), mask=~hot)}, types)
-
-            for node, s in _sets(batch, seen):
-                k, t = tokens(s, level.value, heavy_from)
-                keys.append(k)
-                tops.append(t)
-                nodes.append(np.full(len(k), node))
-                size += len(k)
-                if size > 100_000:
-                    yield out()
-                    keys, tops, nodes, size = [], [], [], 0
-            if size:
-                yield out()
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """token, node, n, df, nth, need: of each set, in order of df, its shingles that others have as well, as far as the
+    ``need`` that linked sets must share one of, and one more."""
+    types = fields(StructType.fromDDL("token long, node long, n long"))
 
-    return docs.mapInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            data = (np.frombuffer(x, np.uint64) for x in batch.column("data").to_pylist())
+            yield from _rows(((s, node, len(s)) for node, s in zip(batch.column("node").to_pylist(), data, strict=True)), "token", types)
+
+    owned = sets.mapInArrow(run, "token long, node long, n long")
+    shared = owned.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    rows = owned.join(shared, "token").select("*", F.row_number().over(own.orderBy("df", "token")).alias("nth"), F.count("*").over(own).alias("others"))
+    return rows.withColumn("need", F.expr(f"others - ceil({NEEDED} * n / {OF}) + 1")).where("nth <= need + 1 and need > 0").drop("others")
+
+
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """key, node, n, first, first_n of the lists that have several members."""
+    each = prefixes.groupBy("node", "n").agg(F.max("nth").alias("k"), F.max("need").alias("need"))
+    by_size = each.groupBy("n").agg(F.sum(F.expr("k * (k - 1) / 2")).alias("subsets"), F.sum("need").alias("postings"))
+    heavy_from = boundary(by_size.toPandas())
+    single = prefixes.where(f"nth <= need and {OF} * n >= {NEEDED} * {heavy_from}").select(F.col("token").alias("key"), "node", "n")
+    light = prefixes.where(f"n < {heavy_from}").groupBy("node", "n").agg(F.collect_list("token").alias("ts"))
+    pair = "xxhash64(least(a, b), greatest(a, b))"
+    subsets = light.select(F.explode(F.expr(f"flatten(transform(ts, (a, i) -> transform(slice(ts, i + 2, size(ts)), b -> {pair})))")).alias("key"), "node", "n")
+    rows = single.union(subsets)
+    heads = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node <> last")
+    return rows.join(heads, "key").select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"))
 
 
 def _bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,25 +298,18 @@ def join_groups(docs: DataFrame) -> DataFrame:
     Repeated rows are in one component; rows of one doc_id and different texts are nodes of their own; other columns are not
     looked at; an empty table gives an empty table.
 
-    Rows shuffled: a key and a node for about a quarter of the shingles, and sets only of documents that share a list.
+    Rows shuffled: a shingle and a node for about a third of the shingles, and whole sets only of documents that may have a
+    partner.
     """
     docs = docs.select("doc_id", "text")
-    surveyed = stored(_survey(docs), "shingles")
-    rows = surveyed.where("part is null").select("doc_id", "n_shingles", "node")
-    counts = gather.merged(surveyed.where("part is not null"), COUNTERS, "u4")
-    by_size = rows.where("node is not null").groupBy("n_shingles").agg(F.count("*").alias("n")).toPandas()
-    heavy_from = boundary(by_size["n_shingles"].to_numpy(), by_size["n"].to_numpy(), counts)
-    level = docs.sparkSession.sparkContext.broadcast(levels(counts))
-    one = Window.partitionBy("key")
-    lists = _postings(docs, level, heavy_from).select("*", F.min("node").over(one).alias("first"), F.max("node").over(one).alias("last"))
-    lists = stored(lists.where("first <> last").select("key", "node", "whole", "first"), "lists")
-    split = lists.where("whole is not null").select("whole", "first").distinct()
-    heads = split.join(split.groupBy("whole").agg(F.min("first").alias("head")), "whole")
-    pairs = lists.select(F.col("node").alias("u"), F.col("first").alias("v")).union(heads.select("first", "head")).where("u <> v").distinct()
-    wanted = lists.select("node").distinct().join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    rows = stored(_survey(docs), "shingles")
+    nodes = rows.where("n_shingles > 2").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    wanted = nodes.join(_lonely(docs), "node", "left").where(f"coalesce(alone, 0) <= n - ceil({NEEDED} * n / {OF})").select("node", "doc_id")
     sets = stored(_sets_of(docs, stored(wanted, "wanted")), "sets")
+    lists = stored(_lists(stored(_prefixes(sets), "prefixes")), "lists")
+    pairs = lists.where(f"node <> first and {OF} * least(n, first_n) >= {NEEDED} * greatest(n, first_n)").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     roots = components(_verified(pairs, sets))
-    placed = lists.join(roots, "node", "left").select(F.coalesce("whole", "key").alias("key"), "node", F.coalesce("root", "node").alias("comp"))
+    placed = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     placed = stored(placed, "placed")
     several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     merged = components(_across(stored(placed.join(several, "key"), "across"), sets))

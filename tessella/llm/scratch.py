@@ -30,6 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of what is garbage; they would stay long otherwise
     return spark.read.schema(df.schema).parquet(path)
 
 
