@@ -45,7 +45,6 @@ def node_of(sets: np.ndarray) -> int:
     return int.from_bytes(blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-
 def linked(common, a, b):
     return OF * common >= NEEDED * (a + b - common)
 
@@ -117,7 +116,7 @@ def boundary(by_size: pd.DataFrame) -> int:
     for the scans of heavy sets, which meet the first member of a list for each posting.
 
     ``by_size``: n (a size), and over its sets the sums of subsets and postings. Light sets of three quarters of the
-    boundary write postings too.
+    boundary write postings too (they are what heavy sets of at most 4/3 their size must find).
     """
     if not len(by_size):
         return 0
