@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_column
+from .arrow import map_column, slices
 from .words import HASHES, hashes, run_hashes
 
 #: Words of a window, of a k-gram, and k-grams of which the least hash is kept: WINDOW = GRAM + SPAN - 1.
@@ -108,6 +108,21 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(items)
 
 
+def hits(text: str, held: list[Block]) -> tuple[int, int, set[str]]:
+    """The number of a text's words, of those that are hit, and the items found."""
+    h = hashes(words(text))
+    hit, found = None, set()
+    for block in held:
+        own, names = block.find(h)
+        found |= names
+        hit = own if hit is None else hit if own is None else hit | own
+    return len(h), 0 if hit is None else int(hit.sum()), found
+
+
+def contaminates(n_words: int, n_hit: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs`` (doc_id, text).
 
@@ -124,14 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def work(texts):
         out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
         for t in texts:
-            h = hashes(words(t))
-            hit, found = None, set()
-            for b in shared:
-                own, names = b.value.find(h)
-                found |= names
-                hit = own if hit is None else hit if own is None else hit | own
-            n = 0 if hit is None else int(hit.sum())
-            values = (len(h), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and 20 * n >= len(h))
+            n_words, n_hit, found = hits(t, [b.value for b in shared])
+            values = (n_words, n_hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), contaminates(n_words, n_hit))
             for column, value in zip(out.values(), values, strict=True):
                 column.append(value)
         HASHES.trim()
@@ -139,3 +148,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return map_column(rows, "text", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", lambda: work)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, by the same rule; all columns stay."""
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch):
+                found = (hits(t or "", [b.value for b in shared]) for t in part.column("text").to_pylist())
+                yield part.filter(pa.array([not contaminates(n_words, n_hit) for n_words, n_hit, _ in found], pa.bool_()))
+                HASHES.trim()
+
+    return docs.mapInArrow(run, docs.schema)
