@@ -23,13 +23,13 @@ def record_batch(columns: dict[str, list | pa.Array], types: list[tuple[str, pa.
     return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in types])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = MOST_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose ``column`` (string or binary) has a bounded size, or a single row."""
     start, size = 0, 0
     lengths = pc.binary_length(batch.column(column)).to_pylist()
     for i, n in enumerate(lengths):
         size += n or 0
-        if size >= MOST_BYTES or i + 1 - start >= MOST_ROWS:
+        if size >= most_bytes or i + 1 - start >= MOST_ROWS:
             yield batch.slice(start, i + 1 - start)
             start, size = i + 1, 0
     if start < len(lengths):
