@@ -23,7 +23,7 @@ BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: CALIBRATE-th of them fits the temperature instead. Document frequencies cover all training rows.
 SAMPLE, CALIBRATE, EPOCHS = 600, 5, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
-NO_LETTER, LOWEST, DOUBT = "und", 0.5, 0.01
+NO_LETTER, LOWEST, DOUBT = "und", 0.3, 0.01
 _LETTER = regex.compile(r"\p{L}").search
 _letters: list[np.ndarray] = []
 
