@@ -58,7 +58,9 @@ def _codec(data: bytes):
     import zstandard
 
     shared = zstandard.ZstdCompressionDict(data) if data else None
-    return zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True, write_checksum=True), zstandard.ZstdDecompressor(dict_data=shared)
+    if shared:
+        shared.precompute_compress(level=3)  # else each document would digest the dictionary anew
+    return zstandard.ZstdCompressor(level=3, dict_data=shared, write_checksum=True), zstandard.ZstdDecompressor(dict_data=shared)
 
 
 class Writer:
