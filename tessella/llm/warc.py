@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .arrow import map_column
 from .scratch import stored
 
+#: Of gzip.
+LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 Headers = list[tuple[str, str]]
 
@@ -41,7 +43,7 @@ def clean(value: str) -> str:
 def record(headers: Headers, block: bytes) -> bytes:
     """A record as a gzip member of its own."""
     lines = ["WARC/1.1", *(f"{k}: {clean(v)}" for k, v in headers), f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def _split(head: bytes) -> tuple[str, Headers]:
@@ -163,12 +165,12 @@ def derive(data: bytes) -> bytes:
 
 def responses(pages: DataFrame) -> DataFrame:
     """page_id and ``warc``: a response record of each row of ``pages`` (page_id, url, html). Null is the empty string."""
-    pair = F.to_json(F.array(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
+    url = F.coalesce("url", F.lit(""))
+    pair = F.concat(F.char_length(url).cast("string"), F.lit(":"), url, F.coalesce("html", F.lit("")))
 
     def work(rows):
-        import json
-
-        return {"warc": [response(*json.loads(r)) for r in rows]}
+        pairs = ((int(n), rest) for n, _, rest in (r.partition(":") for r in rows))
+        return {"warc": [response(rest[:n], rest[n:]) for n, rest in pairs]}
 
     return map_column(pages.select("page_id", pair.alias("page")), "page", "warc binary", lambda: work)
 
