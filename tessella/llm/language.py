@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from . import gather
 from .arrow import fields, map_column, record_batch, slices
+from .words import release
 
 #: N-grams of 1 to 3 characters go to this many buckets.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
@@ -168,6 +169,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(texts):
+        release()
         found = [shared.value.predict(t) for t in texts]
         return {"lang_pred": [x for x, _ in found], "score": [p for _, p in found]}
 
@@ -195,6 +197,7 @@ def with_known_language(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array([shared.value.predict(t)[1] >= LOWEST for t in part.column("text").to_pylist()], pa.bool_()))

@@ -28,10 +28,26 @@ class SpacedEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids = Cache(lambda w: self._many([w])[0], most=1_000_000)
+        special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.mark = min((x for x in special if "<|" in x[0]), default=None)
+        self.ids = Cache(lambda w: self._many([w])[0], most=800_000)
 
     def _many(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        """The ids of each word. Words go to the library joined by a special token, which no merge crosses; its id parts
+        what comes back. Words that may hold a special token go alone."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if "<|" not in w] if self.mark else []
+        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        for group, found in zip(groups, self._ids([self.mark[0].join(g) for g in groups]), strict=True):
+            cuts = [-1, *np.flatnonzero(found == self.mark[1]).tolist(), len(found)]
+            data = found.tobytes()
+            out.update((w, data[4 * (a + 1) : 4 * b]) for w, a, b in zip(group, cuts[:-1], cuts[1:], strict=True))
+        alone = [w for w in words if w not in out]
+        out.update(zip(alone, (x.tobytes() for x in self._ids(alone)), strict=True))
+        return [out[w] for w in words]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -47,12 +63,11 @@ class SpacedEncoder:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``; parts unseen so far go to the library in one call."""
+        if not self.ids:
+            self.ids.use()
         tail = np.array([end], "<u4").tobytes()
         parts = [self._parts(t or "") for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        self.ids.learn(new, self._many)
+        self.ids.learn(set().union(*parts), self._many)
         out = [b"".join(map(self.ids.__getitem__, p)) + tail for p in parts]
         self.ids.trim()
         return out

@@ -177,8 +177,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
     return dict_uri, spark.createDataFrame(manifest, "file string, docs long, ids long, first long")
 
 
-def read(manifest: DataFrame, dict_uri: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary) of every document, a task for each file."""
+def read(manifest: DataFrame, dict_uri: str, digests: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (binary), or with ``digests`` ids_crc32, of every
+    document, a task for each file."""
+    value = zlib.crc32 if digests else bytes
 
     def run(batches):
         fs, path = file_system(dict_uri)
@@ -189,23 +191,18 @@ def read(manifest: DataFrame, dict_uri: str) -> DataFrame:
                 file, out, size = Reader(uri, data), [], 0
                 for k in range(len(file)):
                     ids, doc_id = file.ids(k), int(file.index[k, 0])
-                    out.append((None if doc_id == NO_ID else doc_id, first, len(ids) // 4, ids))
+                    out.append((None if doc_id == NO_ID else doc_id, first, len(ids) // 4, value(ids)))
                     first, size = first + len(ids) // 4, size + len(ids)
                     if size >= MOST_BYTES or k + 1 == len(file):
-                        yield record_batch(dict(zip(("doc_id", "start", "n_tokens", "ids"), map(list, zip(*out)), strict=True)), types)
+                        yield record_batch(dict(zip((name for name, _ in types), map(list, zip(*out)), strict=True)), types)
                         out, size = [], 0
 
-    schema = StructType.fromDDL("doc_id long, start long, n_tokens long, ids binary")
+    schema = StructType.fromDDL("doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary"))
     types = fields(schema)
     files = max(1, manifest.count())
     return manifest.repartitionByRange(files, "first").mapInArrow(run, schema)
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids."""
-    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write every row of ``docs`` as files in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32.
 
@@ -213,4 +210,4 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id
     other columns are not looked at; an empty table gives no file and no row.
     """
     dict_uri, manifest = write(docs, fresh_path(spark, "token-ids"), tokenizer_path, end_id)
-    return digests(read(manifest, dict_uri))
+    return read(manifest, dict_uri, digests=True)

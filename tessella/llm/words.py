@@ -11,17 +11,32 @@ import numpy as np
 CACHE_WORDS = 400_000
 
 
+_caches: list[Cache] = []
+
+
+def release(keep: Cache | None = None) -> None:
+    for cache in _caches:
+        if cache is not keep and len(cache) > len(cache.base):
+            cache.clear()
+            cache.update(cache.base)
+
+
 class Cache(dict):
     """``cache[word]`` computes a missing value and keeps it."""
 
     def __init__(self, make: Callable, base: dict | None = None, most: int = CACHE_WORDS):
         super().__init__(base or {})
         self.make, self.base, self.most = make, base or {}, most
+        _caches.append(self)
 
     def __missing__(self, word):
         value = self[word] = self.make(word)
         return value
 
+    def use(self) -> None:
+        """Empty the other caches of this worker, which another step's tasks have left."""
+        release(self)
+
     def trim(self) -> None:
         if len(self) > len(self.base) + self.most:
             self.clear()
@@ -29,7 +44,7 @@ class Cache(dict):
 
     def learn(self, words: Iterable, make_many: Callable) -> None:
         """Fill in the words that are missing, in one call of the library."""
-        if missing := list({w for w in words if w not in self}):
+        if missing := list(set(words).difference(self)):
             self.update(zip(missing, make_many(missing), strict=True))
 
 
@@ -49,6 +64,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
+    if not HASHES:
+        HASHES.use()
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
