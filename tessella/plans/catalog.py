@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import catalogue, evaluation, library
+
 
 def queries():
-    return {}
+    return library.QUERIES | catalogue.QUERIES | evaluation.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return library.ORACLES | catalogue.ORACLES | evaluation.ORACLES
