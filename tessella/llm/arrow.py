@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Texts of so many bytes, or so many rows, are in Python at once.
-MOST_BYTES, MOST_ROWS = 8 << 20, 4096
+MOST_BYTES, MOST_ROWS = 3 << 20, 4096
 
 
 def fields(schema: StructType) -> list[tuple[str, pa.DataType]]:

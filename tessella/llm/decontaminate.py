@@ -157,6 +157,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        HASHES.use()
         for batch in batches:
             for part in slices(batch):
                 found = (hits(t or "", [b.value for b in shared]) for t in part.column("text").to_pylist())

@@ -66,6 +66,7 @@ def _survey(docs: DataFrame) -> DataFrame:
     types = fields(schema)
 
     def run(batches):
+        HASHES.use()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(text or "") for text in part.column("text").to_pylist()]
@@ -103,6 +104,7 @@ def _lonely(docs: DataFrame) -> DataFrame:
     most = np.uint64(COUNTED << 54)
 
     def run(batches):
+        HASHES.use()
         seen: set[int] = set()
         for batch in batches:
             yield from _rows(((s[: np.searchsorted(s, most)] >> np.uint64(64 - COUNTED_BITS), node, 0) for node, s in _sets(batch, seen)), "token", types)
@@ -191,6 +193,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        HASHES.use()
         seen: set[int] = set()
         for batch in batches:
             a, b = _bits(batch.column("doc_id").to_numpy(zero_copy_only=False))

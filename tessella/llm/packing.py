@@ -97,6 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int
     def run(batches):
         task = TaskContext.get().partitionId() << 36
         enc, ids, rows, made = encoder(tokenizer_path), {}, [], {}
+        enc.ids.use()
         count = 0
 
         def put(window, size):

@@ -63,8 +63,6 @@ class SpacedEncoder:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and then ``end``; parts unseen so far go to the library in one call."""
-        if not self.ids:
-            self.ids.use()
         tail = np.array([end], "<u4").tobytes()
         parts = [self._parts(t or "") for t in texts]
         self.ids.learn(set().union(*parts), self._many)

@@ -145,6 +145,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
 
     def run(batches):
         task, made, now = TaskContext.get(), [], None
+        encoder(tokenizer_path).ids.use()
 
         def end():
             now[1].close()

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
+
+try:  # glibc keeps freed memory for itself until it is asked
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
 
 #: A cache is emptied between batches when it holds more words than this, unless it is made with another bound.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 _caches: list[Cache] = []
@@ -19,6 +26,9 @@ def release(keep: Cache | None = None) -> None:
         if cache is not keep and len(cache) > len(cache.base):
             cache.clear()
             cache.update(cache.base)
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Cache(dict):
@@ -64,8 +74,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    if not HASHES:
-        HASHES.use()
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
