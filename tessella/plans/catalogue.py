@@ -10,7 +10,10 @@ from ..operators import search as S
 from ..sources import sitemap, spool
 from .library import table
 
-NOW = F.lit("2024-06-01").cast("date")
+def now():
+    return F.lit("2024-06-01").cast("date")
+
+
 CUSTOMERS = "c AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer)"
 
 
@@ -108,12 +111,12 @@ TAGS = """SELECT * FROM (VALUES (1, '[" a ", "b", "", null, {"name": "c"}, {"sea
 QUERIES = {
     "catalog_gap_id": lambda s, d: M.gap(customers(s, d), buyers(s, d), "id").select("id", "name"),
     "catalog_gap_lastmod": lambda s, d: M.gap(customers(s, d), buyers(s, d), "id").orderBy(F.desc_nulls_last("balance"), F.desc("id")).limit(20).select("id", "balance"),
-    "mark_missing": lambda s, d: M.mark_missing(customers(s, d).withColumn("missing_since", F.when(F.col("id") % 7 == 0, F.lit("2024-02-02").cast("date"))), M.gap(customers(s, d), buyers(s, d), "id"), "id", NOW).select("id", F.col("missing_since").cast("string").alias("missing_since")),
+    "mark_missing": lambda s, d: M.mark_missing(customers(s, d).withColumn("missing_since", F.when(F.col("id") % 7 == 0, F.lit("2024-02-02").cast("date"))), M.gap(customers(s, d), buyers(s, d), "id"), "id", now()).select("id", F.col("missing_since").cast("string").alias("missing_since")),
     "coverage_pct": lambda s, d: customers(s, d).join(buyers(s, d).withColumn("has", F.lit(1)), "id", "left").agg(F.round(100.0 * F.count("has") / F.count("*"), 2).alias("pct")),
     "coverage_counts": lambda s, d: customers(s, d).join(buyers(s, d).withColumn("has", F.lit(1)), "id", "left").agg(F.count("*").alias("n"), F.count("has").alias("n_has")),
     "library_stats": lambda s, d: table(s, d, "events").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNotNull()).alias("n_value"), F.coalesce(F.sum((F.get_json_object("props", "$.k").cast("long") > 50).cast("long")), F.lit(0)).alias("n_large")),
-    "upsert_changed": lambda s, d: M.upsert(old_orders(s, d), new_orders(s, d), "id", ["status", "price"], "status", NOW).select("id", "status", "price", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("updated_at").cast("string").alias("updated_at")),
-    "upsert_catalog": lambda s, d: M.refresh(old_orders(s, d).withColumnRenamed("updated_at", "last_seen_at"), new_orders(s, d), "id", ["status"], NOW).select("id", "status", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("last_seen_at").cast("string").alias("last_seen_at")),
+    "upsert_changed": lambda s, d: M.upsert(old_orders(s, d), new_orders(s, d), "id", ["status", "price"], "status", now()).select("id", "status", "price", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("updated_at").cast("string").alias("updated_at")),
+    "upsert_catalog": lambda s, d: M.refresh(old_orders(s, d).withColumnRenamed("updated_at", "last_seen_at"), new_orders(s, d), "id", ["status"], now()).select("id", "status", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("last_seen_at").cast("string").alias("last_seen_at")),
     "coalesce_update": lambda s, d: M.fill(old_orders(s, d).select("id", "status", "price"), new_orders(s, d).select("id", F.nullif("status", F.lit("X")).alias("status")), "id", ["status"]),
     "append_first_wins": first_seen,
     "ingest_since_watermark": watermark,

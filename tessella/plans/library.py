@@ -146,7 +146,7 @@ ORACLES = {
     "bm25_topk_both": f"WITH {bm25_sql(10, 'w * idf * idf')} {HITS} FROM bm",
     "bm25_topk_filtered": f"WITH {bm25_sql(10, where=chr(39).join(('doc_id IN (SELECT doc_id FROM documents WHERE lang = ', 'en', ')')))} {HITS} FROM bm",
     "dense_cosine_topk": f"WITH {dense_sql(10, COSINE)} {HITS} FROM de",
-    "dense_l2_topk": f"WITH {dense_sql(10, '-list_distance(x, y)')} {HITS} FROM de",
+    "dense_l2_topk": f"WITH {dense_sql(10, '0 - list_distance(x, y)')} {HITS} FROM de",
     "dense_ip_topk": f"WITH {dense_sql(10, 'list_inner_product(x, y)')} {HITS} FROM de",
     "dense_topk_filtered": f"WITH {dense_sql(10, COSINE, where='label < 5')} {HITS} FROM de",
     "dense_normalize": "SELECT vec_id AS doc_id, i - 1 AS at, round(x[i] / sqrt(list_inner_product(x, x)), 6) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
