@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, lm, ogg, packing, sharding, token_counts, token_store, warc
+from . import decontaminate, jaccard, language, lm, ogg, packing, sharding, sql, token_counts, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_jaccard_join": sql.JACCARD, "op10_decontaminate": sql.CONTAMINATION}

@@ -296,3 +296,10 @@ def test_pipeline(spark, docs, odd):
 
 def test_queries_are_there():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, name):
+    import oracle
+
+    oracle.compare(spark, oracle.connect(SF), Q.queries()[name], Q.oracle_sql()[name], SF)
