@@ -102,3 +102,74 @@ def grade(answer: Column) -> Column:
     """A grade 0 to 3 from an answer that is JSON or holds a JSON object; digits in quotes count, booleans don't."""
     found = F.regexp_extract(answer, r'"grade"\s*:\s*"?([0-9]+)"?\s*[,}]', 1)
     return F.when(found.rlike("^[0-3]$"), found.cast("int"))
+
+
+# How a caption's answer begins, and how an echo of the task does.
+ANSWER_MARKS = ("main subject:", "subject:", "setting:")
+ECHO_MARKS = ("task:", "constraints:", "requirements:", "required elements:", "format:")
+
+
+def caption(parts: Column) -> Column:
+    """A model's answer (its parts, as an array) as one line: bullets go, and an echo of the task before the answer.
+
+    With an echo, the text begins at the first answer mark; without such a mark, the lines of the echo go.
+    """
+    ends = r"^\s+|\s+$"
+    raw = F.regexp_replace(F.array_join(F.filter(parts, lambda p: p != ""), " "), ends, "")
+    plain = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, ends, ""), r"^[*\-# ]+", ""), ends, ""))
+    lines = F.filter(plain, lambda x: x != "")
+    echo = lambda x: F.lower(x).rlike("^(" + "|".join(ECHO_MARKS) + ")")
+    start = F.array_position(F.transform(lines, lambda x: F.lower(x).rlike("^(" + "|".join(ANSWER_MARKS) + ")")), True).cast("int")
+    kept = F.when(~F.exists(lines, echo), lines).when(start > 0, F.slice(lines, F.greatest(start, F.lit(1)), F.size(lines))).otherwise(F.filter(lines, lambda x: ~echo(x)))
+    return F.array_join(kept, " ")
+
+
+def url_quoted(text: Column) -> Column:
+    """Percent-encoding that writes a space as %20."""
+    return F.regexp_replace(F.url_encode(text), r"\+", "%20")
+
+
+def is_clean(term: Column) -> Column:
+    """Lower-case words of 3 to 41 characters in all, which may be searched for again."""
+    return term.rlike("^[a-z][a-z ]{2,40}$")
+
+
+def judge_version(model: Column, prompt: Column) -> Column:
+    return F.concat(model, F.lit("@"), prompt)
+
+
+def crossed(cursor: Column, marker: Column) -> Column:
+    """Whether a cursor has come down to the marker: as times if both are, else as text."""
+    a, b = F.try_to_timestamp(cursor), F.try_to_timestamp(marker)
+    return F.when(a.isNotNull() & b.isNotNull(), a <= b).otherwise(cursor <= marker)
+
+
+def thumbnail(video: Column) -> Column:
+    """The picture's URL of a video (JSON text): itself, or its large, medium, small or first size, else the preview."""
+    own = F.get_json_object(video, "$.thumbnail")
+    sized = F.map_values(F.from_json(F.when(own.startswith("{"), own), "map<string,string>"))
+    some = lambda c: F.nullif(c, F.lit(""))
+    named = [some(F.get_json_object(own, f"$.{k}")) for k in ("large", "medium", "small")]
+    return F.coalesce(F.when(own.startswith("{"), F.coalesce(*named, F.get(F.filter(sized, lambda x: x != ""), F.lit(0)))).otherwise(some(own)), some(F.get_json_object(video, "$.preview_src")))
+
+
+def media_row(record: Column, source: str) -> list[Column]:
+    """The columns of a media item from its attributes (JSON text), which tolerate missing and odd fields."""
+    at = lambda path: F.get_json_object(record, f"$.{path}")
+    number = lambda path, kind: at(path).try_cast(kind).alias(path)
+    files = at("video.video_files")
+    return [
+        at("id").try_cast("long").alias("item_id"), at("slug").alias("slug"), at("title").alias("title"), at("description").alias("description"),
+        F.coalesce(tag_texts(at("tags")), F.array().cast("array<string>")).alias("tags"),
+        number("duration", "int"), number("width", "int"), number("height", "int"), number("fps", "double"), number("aspect_ratio", "double"),
+        orientation(at("width"), at("height")).alias("orientation"), at("license").alias("license"),
+        person(at("user.first_name"), at("user.last_name"), F.nullif(at("user.username"), F.lit(""))).alias("user_name"), at("created_at").alias("created_at"),
+        F.when(files.startswith("["), files).otherwise("[]").alias("video_files"), thumbnail(at("video")).alias("thumbnail_url"), at("video.download_link").alias("download_link"),
+        F.lit(source).alias("source"), record.alias("raw"),
+    ]
+
+
+def has_uhd(files: Column) -> Column:
+    """Whether any rendition (JSON array of objects with width and height) is 3840 pixels or more on its longer side."""
+    sizes = F.from_json(files, "array<struct<width:int,height:int>>")
+    return F.coalesce(F.exists(sizes, lambda f: F.greatest(f["width"], f["height"]) >= 3840), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .ranks import numbered
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ def idf(n: Column, df: Column) -> Column:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """term, term_id (1 for the most frequent, ties by term), df, idf."""
     df = document_frequency(term_counts(docs))
-    ranked = df.withColumn("term_id", F.row_number().over(Window.orderBy(F.desc("df"), "term")))
+    ranked = numbered(df, "df", "term", "term_id")
     return ranked.crossJoin(F.broadcast(statistics(docs).select("n_docs"))).select("term", "term_id", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import kappa
+
 
 def pool(runs: list[DataFrame], depth: int) -> DataFrame:
     """qid, doc_id that any run has among its first ``depth``."""
@@ -43,4 +45,37 @@ def worksheet(labels: DataFrame, quota: dict[int, int], order: Column, key: str)
     """So many labels of each grade, in the order of a hash."""
     place = F.row_number().over(Window.partitionBy("grade").orderBy(order, key))
     wanted = F.coalesce(*[F.when(F.col("grade") == g, n) for g, n in quota.items()], F.lit(0))
-    return labels.withColumn("place", place).where(F.col("place") <= wanted)
+    return labels.withColumn("place", place).where(F.col("place") <= max(quota.values(), default=0)).where(F.col("place") <= wanted)
+
+
+def judge(pooled: DataFrame, labels: DataFrame, grade: Column, budget: int | None = None) -> DataFrame:
+    """qid, doc_id, grade, status of the pairs of the pool that ``labels`` lacks; with a ``budget``, the first so many by query
+    and document. A null grade is an answer that could not be read."""
+    owed = unjudged(pooled, labels)
+    if budget is not None:
+        owed = owed.orderBy("qid", "doc_id").limit(budget)
+    return owed.withColumn("grade", grade).withColumn("status", F.when(F.col("grade").isNull(), "unparsed").otherwise("ok"))
+
+
+def judge_counts(pooled: DataFrame, labels: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row: pool, cached, judged, unparsed."""
+    rows = pooled.join(labels.select("qid", "doc_id", F.lit(True).alias("old")).distinct(), ["qid", "doc_id"], "left").join(judged.select("qid", "doc_id", "status"), ["qid", "doc_id"], "left")
+    return rows.agg(F.count("*").alias("pool"), F.count("old").alias("cached"), F.count("status").alias("judged"), F.count_if(F.col("status") == "unparsed").alias("unparsed"))
+
+
+def one_version(runs: DataFrame, *columns: str) -> DataFrame:
+    """``runs``, if they are of one version of each of ``columns``; else a ValueError."""
+    n = runs.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    if mixed := [c for c in columns if n[c] > 1]:
+        raise ValueError(f"runs of several versions: {', '.join(mixed)}")
+    return runs
+
+
+def calibration(worksheet: DataFrame, labels: DataFrame, gate: float = 0.4) -> DataFrame:
+    """One row: n_graded, n_skipped, agreement, kappa, passed of a worksheet (pair_id, human_grade as text) that people filled
+    in, against ``labels`` (key, grade). Rows without a grade 0 to 3, or of unknown pairs, are skipped."""
+    rows = worksheet.select(F.trim("pair_id").alias("key"), F.trim("human_grade").alias("h")).join(labels.where("grade is not null").select("key", "grade"), "key", "left")
+    good = F.coalesce(F.col("h").rlike("^[0-3]$"), F.lit(False)) & F.col("grade").isNotNull()
+    skipped = rows.agg(F.count_if(~good).alias("n_skipped"))
+    found = kappa(rows.where(good).select(F.col("grade").cast("int").alias("a"), F.col("h").try_cast("int").alias("b")))
+    return found.crossJoin(skipped).select(F.col("n").alias("n_graded"), "n_skipped", "agreement", "kappa", (F.col("kappa") >= gate).alias("passed"))

@@ -55,3 +55,21 @@ def append_first(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFr
 def gap(catalogue: DataFrame, library: DataFrame, key: str) -> DataFrame:
     """What the catalogue has and the library lacks."""
     return catalogue.join(library, key, "left_anti")
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:
+    """``old`` with the vectors of ``new`` (keys such as item and model): only the vector is replaced."""
+    n = new.select(*key, F.col(vector).alias("__new"))
+    rest = [c for c in old.columns if c not in (*key, vector)]
+    return old.join(n, key, "full_outer").select(*key, *rest, F.coalesce("__new", vector).alias(vector))
+
+
+def cached_and_owed(request: DataFrame, cache: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a cache has of the requested keys, and the keys that it lacks, each once."""
+    wanted = request.select(*key).distinct()
+    return cache.join(wanted, key, "left_semi"), wanted.join(cache, key, "left_anti")
+
+
+def write_version(rows: DataFrame, path: str) -> None:
+    """A version is written once; writing it again fails."""
+    rows.write.mode("errorifexists").parquet(path)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import value_at
+
 K, RELEVANT = 10, 2
 
 
@@ -42,10 +44,10 @@ def per_query(run: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, fractions: dict[str, float]) -> DataFrame:
-    """One row of percentiles: the value at position round-half-even(fraction * n), 1 at least."""
-    ranked = values.where(F.col(column).isNotNull()).select(column, F.row_number().over(Window.orderBy(column)).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
-    picks = [F.max(F.when(F.col("at") == F.greatest(F.lit(1), F.least(F.col("n"), F.rint(F.lit(f) * F.col("n")).cast("long"))), F.col(column))).alias(name) for name, f in fractions.items()]
-    return ranked.agg(*picks)
+    """One row of percentiles: the value at position round-half-even(fraction * n), 1 at least; null without values."""
+    n = values.where(F.col(column).isNotNull()).count()
+    found = [value_at(values, column, max(1, min(n, round(f * n)))) if n else None for f in fractions.values()]
+    return values.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{name} double" for name in fractions))
 
 
 def kappa(pairs: DataFrame) -> DataFrame:
@@ -80,3 +82,10 @@ def paired_bootstrap(pairs: DataFrame, rounds: int = 1000, seed: str = "bootstra
         return pd.DataFrame([(rows["pair"].iloc[0], len(d), float(d.mean()), low, high, int(low > 0) - int(high < 0))], columns=["pair", "n", "mean_diff", "low", "high", "win"])
 
     return pairs.groupBy("pair").applyInPandas(resample, "pair string, n long, mean_diff double, low double, high double, win int")
+
+
+def pairwise_wins(scored: DataFrame, metric: str = "ndcg10") -> DataFrame:
+    """a, b, n, wins, losses, ties of each pair of runs (a < b), over the queries that both have."""
+    one, two = (scored.select(F.col("run_id").alias(name), "qid", F.col(metric).alias(f"{name}_value")) for name in ("a", "b"))
+    diff = F.col("a_value") - F.col("b_value")
+    return one.join(two, "qid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(diff > 0).alias("wins"), F.count_if(diff < 0).alias("losses"), F.count_if(diff == 0).alias("ties"))

@@ -49,7 +49,8 @@ def quotas(rows: dict[tuple, int], total: int, floor: int = 100) -> dict[tuple,
 def first_of_each(rows: DataFrame, cell: list[str], order: Column, quota: DataFrame, key: str) -> DataFrame:
     """The first ``quota`` rows of each cell in the order of a hash, ties by key; ``place`` from 1."""
     place = F.row_number().over(Window.partitionBy(*cell).orderBy(order, key))
-    return rows.withColumn("place", place).join(F.broadcast(quota), cell).where(F.col("place") <= F.col("quota")).drop("quota")
+    most = quota.agg(F.max("quota")).first()[0] or 0  # a limit that tasks apply before the shuffle
+    return rows.withColumn("place", place).where(F.col("place") <= most).join(F.broadcast(quota), cell).where(F.col("place") <= F.col("quota")).drop("quota")
 
 
 def split(rows: DataFrame, within: list[str], order: Column, key: str, share: float = 0.7) -> DataFrame:

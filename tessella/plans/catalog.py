@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import catalogue, evaluation, library
+from . import catalogue, evaluation, library, more
 
 
 def queries():
-    return library.QUERIES | catalogue.QUERIES | evaluation.QUERIES
+    return library.QUERIES | catalogue.QUERIES | evaluation.QUERIES | more.QUERIES
 
 
 def oracle_sql():
-    return library.ORACLES | catalogue.ORACLES | evaluation.ORACLES
+    return library.ORACLES | catalogue.ORACLES | evaluation.ORACLES | more.ORACLES

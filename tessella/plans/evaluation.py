@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -110,12 +111,22 @@ def label_records(s, d):
     return table(s, d, "events").select((F.col("user_id") % 20).alias("qid"), "user_id", F.col("event_id").alias("at"), F.col("event_type").alias("version"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 4).alias("grade")).withColumnRenamed("user_id", "doc_id")
 
 
+def tag_sizes(s, d):
+    """Mean, upper median, nearest-rank p90 and share of none of the numbers of tags: rows meet as counts of sizes."""
+    sizes = parts(s, d).select(F.size("tags").cast("long").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+    order = Window.orderBy("n")  # over the distinct sizes
+    w = sizes.select("n", "c", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("all"))
+    reaches = lambda at: F.min(F.when(F.col("upto") >= at, F.col("n")))
+    p90 = F.greatest(F.lit(1), F.least(F.col("all"), F.rint(0.9 * F.col("all")).cast("long")))
+    return w.agg(F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 6).alias("mean"), reaches(F.floor(F.col("all") / 2) + 1).alias("median"), reaches(p90).alias("p90"), F.round(F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("c"))), F.lit(0)) / F.sum("c"), 6).alias("empty"))
+
+
 QUERIES = {
     "stratum_counts": lambda s, d: strata(s, d).groupBy(*CELL).agg(F.count("*").alias("n")),
     "stratum_quota": quota_rows,
     "stratified_sample": lambda s, d: sample(s, d).select("id", *CELL, F.col("place").cast("long").alias("place")),
     "sample_cutoffs": lambda s, d: sample(s, d).withColumn("h", hashed("id")).groupBy(*CELL).agg(F.max(F.struct("h", "id")).alias("m")).select(*CELL, "m.h", "m.id"),
-    "tags_stats": lambda s, d: parts(s, d).select(F.size("tags").alias("n")).agg(F.round(F.avg("n"), 6).alias("mean"), F.element_at(F.array_sort(F.collect_list("n")), (F.floor(F.count("*") / 2) + 1).cast("int")).cast("long").alias("median")),
+    "tags_stats": tag_sizes,
     "junk_terms": lambda s, d: terms(s, d).select("doc_id", T.is_junk(F.col("term")).alias("junk")),
     "query_bands": banded,
     "split_70_30": lambda s, d: with_split(s, d).select("qid", "split"),
@@ -165,7 +176,7 @@ ORACLES = {
   OR len(list_filter(t, lambda x: regexp_full_match(x, '[a-z]{{2,}}'))) = 0 OR len(list_filter(t, lambda x: x NOT IN {T.STOPWORDS})) = 0 AS junk
   FROM (SELECT doc_id, term, regexp_extract_all(lower(term), '[a-z0-9]+') AS t FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS term FROM documents))""",
     "query_bands": f"WITH {L.COUNTS}, m AS (SELECT doc_id, coalesce(max(df), 0) AS match FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [''] ELSE x END) AS term FROM (SELECT doc_id, regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[a-z0-9]+') AS x FROM documents)) LEFT JOIN df USING (term) GROUP BY ALL) SELECT doc_id, match, CASE WHEN match >= 1000 THEN 'head' WHEN match >= 100 THEN 'torso' WHEN match >= 2 THEN 'tail' END AS band FROM m",
-    "tags_stats": f"WITH {PARTS} SELECT round(avg(len(tags)), 6) AS mean, list_sort(list(len(tags)))[count(*) // 2 + 1] AS median FROM p",
+    "tags_stats": f"WITH {PARTS}, z AS (SELECT list_sort(list(len(tags))) AS z, avg(len(tags)) AS mean, count(*) AS n, count(*) FILTER (len(tags) = 0) AS none FROM p) SELECT round(mean, 6) AS mean, z[n // 2 + 1] AS median, z[greatest(1, least(n, round_even(0.9e0 * n, 0)::BIGINT))] AS p90, round(none / n, 6) AS empty FROM z",
     "split_70_30": f"WITH {SPLIT} SELECT qid, split FROM sp",
     "queryset_counts": f"WITH {SPLIT} SELECT lang, split, count(*) AS n FROM sp GROUP BY ALL",
     "pool_union": f"WITH {RUNS} SELECT qid, doc_id FROM pl",
