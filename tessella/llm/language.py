@@ -127,6 +127,13 @@ def remainder(divisor: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor, F.lit(0))
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """lang, doc_id, text of SAMPLE rows of each language at most: one text of a doc_id, the least; rows without doc_id are none."""
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    names = docs.select("lang", "doc_id").where("doc_id is not null").withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("lang", "doc_id").distinct()
+    return docs.join(F.broadcast(names), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) whose text and lang are not null."""
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
@@ -143,9 +150,7 @@ def fit(docs: DataFrame) -> Model:
 
     df = gather.merged(docs.select("text").mapInArrow(count, gather.SCHEMA), BUCKETS, "u4")
     n = docs.count()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    names = docs.select("lang", "doc_id").withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("lang", "doc_id").distinct()
-    sample = docs.join(F.broadcast(names), ["lang", "doc_id"], "left_semi")
+    sample = sampled(docs)
 
     def features(texts):
         found = [counts(t) for t in texts]

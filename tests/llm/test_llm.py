@@ -65,6 +65,11 @@ def test_languages(spark, docs):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_language_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(1, f"text {k}", "en") for k in range(50)] + [(None, "no id", "en"), (2, "zwei", "de")], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, language.sampled(rows).collect())) == [("de", 2, "zwei"), ("en", 1, "text 0")]
+
+
 def test_shards(docs, odd):
     for table in (docs, odd):
         rows, texts = sharding.assign(table).collect(), {r.doc_id: r.text or "" for r in table.collect()}
