@@ -27,8 +27,8 @@ WORDS, SIZE = 512, 16
 OTHER, BEGIN = WORDS - 1, WORDS
 #: Words whose counts go to all tasks; counts of other words are joined.
 FREQUENT = 1 << 17
-#: Noise words and positions of a step; one in so many positions of the training texts is learnt from.
-NOISE, STEP, EVERY, RATE = 64, 512, 4, 0.15
+#: Noise words and positions of a step.
+NOISE, STEP, RATE = 64, 512, 0.15
 #: Bytes of text that are numbers at once.
 SLICE = 2 << 20
 END = b"\n"
@@ -188,6 +188,18 @@ class Trainer:
         self._move(2, slice(None), place)
         self.steps += 1
 
+    def learn(self, texts: list[str | None], table: Table) -> None:
+        """Steps over every position of the texts, in a random order."""
+        befores, afters = [], []
+        for _, ids in _numbered(texts, table):
+            befores.append(np.stack([ids[:-2], ids[1:-1]], axis=1))
+            afters.append(ids[2:])
+        codes(table).trim()
+        before, after = np.concatenate(befores), np.concatenate(afters)
+        order = self.rng.permutation(len(after))
+        for k in range(0, len(order), STEP):
+            self.step(before[order[k : k + STEP]], after[order[k : k + STEP]])
+
 
 def _numbered(texts, table: Table):
     """Of each text its codes, and for the model its numbers with two beginnings before them."""
@@ -208,7 +220,7 @@ def shares_of(table: Table) -> np.ndarray:
 
 
 def train(docs: DataFrame, table: Table) -> Net:
-    """A net from all rows of ``docs``: each task learns from its own, from one start; the nets are averaged by their steps."""
+    """A net from every position of all rows of ``docs``: each task learns from its own, from one start; the nets are averaged by their steps."""
     shares = shares_of(table)
     start = Net.start(shares)
     size = -(-(len(start.flat()) + 1) // gather.PARTS) * gather.PARTS
@@ -219,16 +231,7 @@ def train(docs: DataFrame, table: Table) -> Net:
         trainer = Trainer(start.like(start.flat()), shares, TaskContext.get().partitionId())
         for batch in batches:
             for part in slices(batch, most_bytes=SLICE):
-                befores, afters = [], []
-                for _, ids in _numbered(part.column("text").to_pylist(), shared.value):
-                    at = np.arange(2 + int(trainer.rng.integers(EVERY)), len(ids), EVERY)
-                    befores.append(np.stack([ids[at - 2], ids[at - 1]], axis=1))
-                    afters.append(ids[at])
-                codes(shared.value).trim()
-                before, after = np.concatenate(befores), np.concatenate(afters)
-                order = trainer.rng.permutation(len(after))
-                for k in range(0, len(order), STEP):
-                    trainer.step(before[order[k : k + STEP]], after[order[k : k + STEP]])
+                trainer.learn(part.column("text").to_pylist(), shared.value)
         if trainer.steps:
             out = np.zeros(size, np.float64)
             out[: len(start.flat())] = trainer.net.flat() * trainer.steps

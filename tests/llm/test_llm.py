@@ -154,6 +154,16 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_position_is_learnt_from(spark, monkeypatch):
+    texts = [None, "a", "b c", *(f"w{k} x y z" for k in range(400))]
+    table = lm.table_of(lm.count(spark.createDataFrame([(t,) for t in texts], "text string")))
+    seen, shares = [], lm.shares_of(table)
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, before, after: seen.extend(zip(before.tolist(), after.tolist(), strict=True)))
+    lm.Trainer(lm.Net.start(shares), shares, 0).learn(texts, table)
+    assert len(seen) == table.total
+    assert sum(before == [lm.BEGIN] * 2 for before, _ in seen) == len(texts)
+
+
 def test_model_is_normalised():
     shares = np.full(lm.WORDS, 1 / lm.WORDS)
     net = lm.Net.start(shares)
