@@ -1,7 +1,8 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, with normalised scores.
 
-The model predicts the most frequent words, the end, and one class for all other words; a word of that class then has its
-share of the class by smoothed counts. A context is the two words before.
+The model predicts all frequent words, the end, and one class for all other words; a word of that class then has its share
+of the class by smoothed counts. A context is the two words before. A probability is that of the word's group, times that
+of the word among its group: the HEAD most frequent words are groups of their own, the next ones form groups of WIDTH.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from .language import remainder
 from .scratch import stored
 from .words import Cache, word_hash
 
-#: Words that the model predicts (the last stands for all others), and one more that only contexts have: the beginning.
-WORDS, SIZE = 512, 16
-OTHER, BEGIN = WORDS - 1, WORDS
-#: Words whose counts go to all tasks; counts of other words are joined.
+#: At most so many words are frequent: the model tells them apart, and their counts go to all tasks; counts of other words
+#: are joined.
 FREQUENT = 1 << 17
+#: Words that a model predicts at most (the last of a model's words stands for all others); the number of the beginning, which
+#: only contexts have.
+WORDS, SIZE, BEGIN = FREQUENT + 1, 16, -1
+HEAD, WIDTH = 255, 512
 #: Noise words and positions of a step.
 NOISE, STEP, RATE = 64, 512, 0.15
 #: Bytes of text that are numbers at once.
@@ -47,7 +50,7 @@ class Table:
     @property
     def rest(self) -> float:
         """What the words of the class of others have in smoothed counts, with one for all words never seen."""
-        return self.total - float(self.counts[:OTHER].sum()) + 0.5 * (self.kinds - min(OTHER, len(self.counts))) + 0.5
+        return self.total - float(self.counts.sum()) + 0.5 * (self.kinds - len(self.counts)) + 0.5
 
 
 _codes: dict[str, Cache] = {}
@@ -101,55 +104,81 @@ def table_of(counted: DataFrame) -> Table:
     return Table(numbers, top["n"].to_numpy(np.int64), total, kinds, f"{total}-{kinds}-{hash(tuple(numbers))}")
 
 
+def group_of(ids: np.ndarray, words: int) -> np.ndarray:
+    """The group of each of a model's words: the head's are their own, then those of WIDTH words, then that of all others."""
+    head = min(HEAD, words - 1)
+    return np.where(ids < head, ids, np.where(ids == words - 1, groups_of(words) - 1, head + (ids - head) // WIDTH))
+
+
+def groups_of(words: int) -> int:
+    head = min(HEAD, words - 1)
+    return head - (head + 1 - words) // WIDTH + 1
+
+
 @dataclass
 class Net:
-    """Vectors of context words and of predicted words, a factor for each place in the context, and a bias."""
+    """Vectors of context words (the last is the beginning), of groups, and of the words after the head; a factor for each
+    place in the context; the biases of groups and words."""
 
     context: np.ndarray
+    group: np.ndarray
     word: np.ndarray
     place: np.ndarray
+    group_bias: np.ndarray
     bias: np.ndarray
 
     @staticmethod
     def start(shares: np.ndarray) -> Net:
         rng = np.random.default_rng(7)
         draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return Net(draw(WORDS + 1, SIZE), draw(WORDS, SIZE), np.ones((2, SIZE), np.float32) / 2, np.log(shares).astype(np.float32))
+        by_group = np.bincount(group_of(np.arange(len(shares)), len(shares)), shares)
+        tail = shares[HEAD:-1]
+        return Net(draw(len(shares) + 1, SIZE), draw(len(by_group), SIZE), draw(len(tail), SIZE), np.ones((2, SIZE), np.float32) / 2, np.log(by_group).astype(np.float32), np.log(tail / tail.sum()).astype(np.float32))
 
-    def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.word, self.place, self.bias]
+    @property
+    def words(self) -> int:
+        return len(self.context) - 1
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in self.arrays()])
+    def arrays(self) -> list[np.ndarray]:
+        return [self.context, self.group, self.word, self.place, self.group_bias, self.bias]
 
-    def like(self, flat: np.ndarray) -> Net:
-        out, at = [], 0
-        for a in self.arrays():
-            out.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
-            at += a.size
-        return Net(*out)
+    def copy(self) -> Net:
+        return Net(*(a.copy() for a in self.arrays()))
 
     def ahead(self, before: np.ndarray) -> np.ndarray:
         """The predicted vector of each context (two numbers)."""
         return self.context[before[:, 0]] * self.place[0] + self.context[before[:, 1]] * self.place[1]
 
     def log_probabilities(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(after | before), normalised over all words: a matrix product for each batch of contexts."""
-        own, at = np.unique(before[:, 0] * (WORDS + 1) + before[:, 1], return_inverse=True)
-        q = self.ahead(np.stack([own // (WORDS + 1), own % (WORDS + 1)], axis=1))
-        norm = np.empty(len(own), np.float32)
-        for k in range(0, len(own), 4096):
-            z = q[k : k + 4096] @ self.word.T + self.bias
-            top = z.max(axis=1)
-            z -= top[:, None]
-            norm[k : k + 4096] = np.log(np.exp(z, out=z).sum(axis=1)) + top
-        out = np.empty(len(after), np.float64)
+        """Natural logarithms of P(after | before), normalised over all words: a matrix product for each batch of contexts, and
+        one for the words of a group."""
+        n = self.words + 1
+        own, at = np.unique(before[:, 0] % n * n + before[:, 1] % n, return_inverse=True)
+        q = self.ahead(np.stack([own // n, own % n], axis=1))
+        norm = _norms(q, self.group, self.group_bias)
+        out, groups = np.empty(len(after), np.float64), group_of(after, self.words)
         for k in range(0, len(after), 65536):
-            i, w = at[k : k + 65536], after[k : k + 65536]
-            out[k : k + 65536] = np.einsum("ij,ij->i", q[i], self.word[w]) + self.bias[w] - norm[i]
+            i, g = at[k : k + 65536], groups[k : k + 65536]
+            out[k : k + 65536] = np.einsum("ij,ij->i", q[i], self.group[g]) + self.group_bias[g] - norm[i]
+        tail = np.flatnonzero((after >= HEAD) & (after < self.words - 1))
+        tail = tail[np.argsort(groups[tail], kind="stable")]
+        for rows in np.split(tail, np.flatnonzero(np.diff(groups[tail])) + 1) if len(tail) else []:
+            lo = (groups[rows[0]] - HEAD) * WIDTH
+            word, bias, w, x = self.word[lo : lo + WIDTH], self.bias[lo : lo + WIDTH], after[rows] - HEAD - lo, q[at[rows]]
+            out[rows] += np.einsum("ij,ij->i", x, word[w]) + bias[w] - _norms(x, word, bias)
         return out
 
 
+def _norms(q: np.ndarray, word: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    norm = np.empty(len(q), np.float32)
+    for k in range(0, len(q), 4096):
+        z = q[k : k + 4096] @ word.T + bias
+        top = z.max(axis=1)
+        z -= top[:, None]
+        norm[k : k + 4096] = np.log(np.exp(z, out=z).sum(axis=1)) + top
+    return norm
+
+
 def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows of ``g`` by ``ids``."""
     order = np.argsort(ids, kind="stable")
@@ -159,34 +188,48 @@ def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trainer:
-    """Noise-contrastive steps with AdaGrad; the noise of a step is shared by its positions."""
+    """Noise-contrastive steps with AdaGrad, for groups and for words after the head; the noise of a step is shared by its
+    positions. ``touched`` has how many steps have moved each row of the net's arrays."""
 
     def __init__(self, net: Net, shares: np.ndarray, seed: int):
         self.net, self.rng = net, np.random.default_rng(seed)
         self.seen = [np.full_like(a, 1e-3) for a in net.arrays()]
-        self.edges, self.offset = np.cumsum(shares), np.log(NOISE * shares).astype(np.float32)
-        self.steps = 0
+        self.touched = [np.zeros(len(a), np.float32) for a in net.arrays()]
+        levels = np.bincount(group_of(np.arange(len(shares)), len(shares)), shares), shares[HEAD:-1] / max(1e-300, shares[HEAD:-1].sum())
+        self.edges, self.offsets = [np.cumsum(x) for x in levels], [np.log(NOISE * x).astype(np.float32) for x in levels]
 
     def _move(self, k: int, rows, g: np.ndarray) -> None:
         self.seen[k][rows] += g * g
         self.net.arrays()[k][rows] += RATE * g / np.sqrt(self.seen[k][rows])
+        self.touched[k][rows] += 1
+
+    def _level(self, k: int, q: np.ndarray, to: np.ndarray, n: int) -> tuple[np.ndarray, tuple]:
+        """Of groups (0) or words (1): the gradient for ``q``, and what moves their vectors and biases."""
+        vectors, bias, offset, edges = self.net.arrays()[1 + k], self.net.arrays()[4 + k], self.offsets[k], self.edges[k]
+        noise = np.minimum(np.searchsorted(edges, self.rng.random(NOISE) * edges[-1]), len(edges) - 1)
+        own, other = vectors[to], vectors[noise]
+        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + bias[to] - offset[to]))
+        bad = -1 / (1 + np.exp(-(q @ other.T + bias[noise] - offset[noise])))
+        moves = _by_row(np.concatenate([to, noise]), np.concatenate([np.column_stack([good[:, None] * q, good]), np.column_stack([bad.T @ q, bad.sum(axis=0)])]) / n)
+        return (good[:, None] * own + bad @ other) / n, moves
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         net, n = self.net, len(after)
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1]), WORDS - 1)
         q = net.ahead(before)
-        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, net.word[after]) + net.bias[after] - self.offset[after]))
-        bad = -1 / (1 + np.exp(-(q @ net.word[noise].T + net.bias[noise] - self.offset[noise])))
-        dq = (good[:, None] * net.word[after] + bad @ net.word[noise]) / n
-        to = np.concatenate([after, noise])
-        rows, g = _by_row(to, np.concatenate([np.column_stack([good[:, None] * q, good]), np.column_stack([bad.T @ q, bad.sum(axis=0)])]) / n)
-        back, gc = _by_row(before.T.ravel(), np.concatenate([dq * net.place[0], dq * net.place[1]]))
+        dq, of_groups = self._level(0, q, group_of(after, net.words), n)
+        tail = np.flatnonzero((after >= HEAD) & (after < net.words - 1))
+        if len(tail):
+            more, (rows, g) = self._level(1, q[tail], after[tail] - HEAD, n)
+            dq[tail] += more
+            self._move(2, rows, g[:, :-1])
+            self._move(5, rows, g[:, -1])
+        rows, g = of_groups
+        back, gc = _by_row(before.T.ravel() % (net.words + 1), np.concatenate([dq * net.place[0], dq * net.place[1]]))
         place = np.stack([(dq * net.context[before[:, k]]).sum(axis=0) for k in (0, 1)])
         self._move(1, rows, g[:, :-1])
-        self._move(3, rows, g[:, -1])
+        self._move(4, rows, g[:, -1])
         self._move(0, back, gc)
-        self._move(2, slice(None), place)
-        self.steps += 1
+        self._move(3, slice(None), place)
 
     def learn(self, texts: list[str | None], table: Table) -> None:
         """Steps over every position of the texts, in a random order."""
@@ -208,39 +251,56 @@ def _numbered(texts, table: Table):
         own = words(t)
         c = np.fromiter(map(code.__getitem__, own), np.int64, len(own))
         ids = np.full(len(c) + 2, BEGIN)
-        ids[2:] = np.minimum(c, OTHER)
+        ids[2:] = np.minimum(c, len(table.counts))
         yield c, ids
 
 
 def shares_of(table: Table) -> np.ndarray:
-    shares = np.full(WORDS, 0.5)
-    shares[: min(OTHER, len(table.counts))] += table.counts[:OTHER]
-    shares[OTHER] = table.rest
+    """Of the frequent words and of all others."""
+    shares = np.append(table.counts + 0.5, table.rest)
     return shares / shares.sum()
 
 
+def _moved(trainer: Trainer, start: Net) -> np.ndarray:
+    """How far each row of the net's arrays has moved, times its steps; and the steps of each row. Zero where none has."""
+    pairs = zip(trainer.net.arrays(), start.arrays(), trainer.touched, strict=True)
+    moved = [((a - b).T * t).T.ravel() for a, b, t in pairs]
+    return np.concatenate([*moved, *trainer.touched])
+
+
 def train(docs: DataFrame, table: Table) -> Net:
-    """A net from every position of all rows of ``docs``: each task learns from its own, from one start; the nets are averaged by their steps."""
+    """A net from every position of all rows of ``docs``: each task learns from its own, from one start; each row of the nets'
+    arrays is averaged over the tasks that moved it, by their steps."""
     shares = shares_of(table)
     start = Net.start(shares)
-    size = -(-(len(start.flat()) + 1) // gather.PARTS) * gather.PARTS
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    arrays = start.arrays()
+    used = sum(a.size + len(a) for a in arrays)
+    size = -(-used // gather.PARTS) * gather.PARTS
+    shared = docs.sparkSession.sparkContext.broadcast((table, shares))
     types = fields(StructType.fromDDL(gather.SCHEMA))
 
     def run(batches):
-        trainer = Trainer(start.like(start.flat()), shares, TaskContext.get().partitionId())
+        table, shares = shared.value
+        start = trainer = None
         for batch in batches:
             for part in slices(batch, most_bytes=SLICE):
-                trainer.learn(part.column("text").to_pylist(), shared.value)
-        if trainer.steps:
-            out = np.zeros(size, np.float64)
-            out[: len(start.flat())] = trainer.net.flat() * trainer.steps
-            out[-1] = trainer.steps
-            told = gather.parts(out)
-            yield record_batch({"part": [k for k, _ in told], "data": [x for _, x in told]}, types)
-
-    flat = gather.merged(docs.select("text").mapInArrow(run, gather.SCHEMA), size, "f8")
-    return start.like(flat[: len(start.flat())] / flat[-1]) if flat[-1] else start
+                if trainer is None:
+                    start = Net.start(shares)
+                    trainer = Trainer(start.copy(), shares, TaskContext.get().partitionId())
+                trainer.learn(part.column("text").to_pylist(), table)
+        if trainer:
+            out = np.zeros(size, np.float32)
+            out[:used] = _moved(trainer, start)
+            for k, x in gather.parts(out):
+                yield record_batch({"part": [k], "data": [x]}, types)
+
+    flat = gather.merged(docs.select("text").mapInArrow(run, gather.SCHEMA), size, "f4")
+    at, steps = 0, np.split(flat[sum(a.size for a in arrays) : used], np.cumsum([len(a) for a in arrays])[:-1])
+    for a, n in zip(arrays, steps, strict=True):
+        moved = flat[at : at + a.size].reshape(len(a), a.size // max(1, len(a))) / np.maximum(n, 1)[:, None]
+        a += moved.reshape(a.shape)
+        at += a.size
+    return start
 
 
 def score(docs: DataFrame, table: Table, net: Net, counted: DataFrame) -> DataFrame:
@@ -270,8 +330,7 @@ def score(docs: DataFrame, table: Table, net: Net, counted: DataFrame) -> DataFr
                     common = c < FREQUENT
                     own = logs[c[common]]
                     rare, times = np.unique(c[~common], return_counts=True)
-                    others = int((c >= OTHER).sum())
-                    model = log_p[starts[k] : starts[k + 1]].sum() + own[c[common] >= OTHER].sum() - others * rest
+                    model = log_p[starts[k] : starts[k + 1]].sum() - int((~common).sum()) * rest
                     values = (len(c), int(common.sum()), float(own.sum()), float(model), rare - (1 << 62), times)
                     for column, value in zip(out.values(), values, strict=True):
                         column.append(value)
@@ -296,7 +355,7 @@ def held_out_scores(docs: DataFrame) -> DataFrame:
     formula with no counts, and the model is its start.
 
     Counts and training cover all training rows. Counts of the FREQUENT most frequent words go to all tasks; those of other
-    words are joined by a hash of the word. The net has a fixed size.
+    words are joined by a hash of the word. The net has vectors of those frequent words, FREQUENT at most.
     """
     docs = docs.select("doc_id", (remainder(5) == 1).alias("held_out"), "text")
     learn = docs.where("not held_out")

@@ -164,6 +164,21 @@ def test_every_position_is_learnt_from(spark, monkeypatch):
     assert sum(before == [lm.BEGIN] * 2 for before, _ in seen) == len(texts)
 
 
+def test_model_tells_rarer_words_apart(spark):
+    """ay follows ax and by follows bx; all four are beyond the 900 most frequent words."""
+    fill, pairs = " ".join(f"f{k} " * 100 for k in range(900)), [f"{w} {a}" for w in range(60) for a in ("ax ay", "bx by")]
+    table = lm.table_of(lm.count(spark.createDataFrame([(t,) for t in [fill, *pairs]], "text string")))
+    shares = lm.shares_of(table)
+    ax, ay, bx, by = ids = [lm.codes(table)[w] for w in (b"ax", b"ay", b"bx", b"by")]
+    assert min(ids) > 900 and max(ids) < len(shares) - 1
+    trainer = lm.Trainer(lm.Net.start(shares), shares, 0)
+    for _ in range(40):
+        trainer.learn(pairs * 8, table)
+    own, odd, own_b, odd_b = trainer.net.log_probabilities(np.array([[lm.BEGIN, ax], [lm.BEGIN, ax], [lm.BEGIN, bx], [lm.BEGIN, bx]]), np.array([ay, by, by, ay]))
+    assert own > odd + 1 and own_b > odd_b + 1
+    assert abs(np.exp(trainer.net.log_probabilities(np.array([[ax, ay]] * len(shares)), np.arange(len(shares)))).sum() - 1) < 1e-4
+
+
 def test_model_is_normalised():
     shares = np.full(lm.WORDS, 1 / lm.WORDS)
     net = lm.Net.start(shares)
