@@ -28,6 +28,8 @@ from .scratch import stored
 from .words import HASHES, hashes, mixed, run_hashes
 
 SHINGLE, NEEDED, OF = 5, 75, 100
+#: Tells rows of one doc_id, or without, apart.
+TEXT_HASH = "xxhash64(text)"
 #: The share of the hash space in which shingles of all sets are counted, in 1024ths; bits of a counted shingle.
 COUNTED, COUNTED_BITS = 360, 40
 #: Bits of the filter for rows whose sets are looked at; members of a block.
@@ -61,8 +63,9 @@ def _sets(batch, seen: set[int]):
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node of every row."""
-    schema = StructType(docs.select("doc_id").schema.fields + StructType.fromDDL("n_shingles long, node long").fields)
+    """doc_id, text_hash, n_shingles, node of every row."""
+    docs = docs.select("doc_id", "text", F.expr(TEXT_HASH).alias("text_hash"))
+    schema = StructType(docs.select("doc_id").schema.fields + StructType.fromDDL("text_hash long, n_shingles long, node long").fields)
     types = fields(schema)
 
     def run(batches):
@@ -71,7 +74,7 @@ def _survey(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = [shingles(text or "") for text in part.column("text").to_pylist()]
                 HASHES.trim()
-                yield record_batch({"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}, types)
+                yield record_batch({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}, types)
 
     return docs.mapInArrow(run, schema)
 
@@ -291,18 +294,9 @@ def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return members.groupBy("a", "b").applyInPandas(lambda m: decide(m), "u long, v long")
 
 
-def join_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
-
-    Two documents link when their sets of 5-word shingles have at least 75 of 100 of their union in common; component_id is
-    the least doc_id that links reach. Null texts and texts without words have an empty set and link with nothing (their
-    component is their own doc_id); texts of fewer than five words have one shingle of them all; equal sets are one set.
-    Repeated rows are in one component; rows of one doc_id and different texts are nodes of their own; other columns are not
-    looked at; an empty table gives an empty table.
-
-    Rows shuffled: a shingle and a node for about a third of the shingles, and whole sets only of documents that may have a
-    partner.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root for every row of ``docs`` (doc_id, text): rows of one component have one root. Rows
+    without words are in one component if they are repeated."""
     docs = docs.select("doc_id", "text")
     rows = stored(_survey(docs), "shingles")
     nodes = rows.where("n_shingles > 2").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
@@ -316,22 +310,42 @@ def join_groups(docs: DataFrame) -> DataFrame:
     several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     merged = components(_across(stored(placed.join(several, "key"), "across"), sets))
     merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", F.xxhash64("doc_id", F.lit("no words")))).join(merged, "root", "left")
-    named = stored(named.select("doc_id", "n_shingles", F.coalesce("top", "root").alias("root")), "components")
+    own = F.xxhash64("doc_id", "text_hash", F.lit("no words"))
+    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", own)).join(merged, "root", "left")
+    return stored(named.select("doc_id", "text_hash", "n_shingles", F.coalesce("top", "root").alias("root")), "components")
+
+
+def join_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+
+    Two documents link when their sets of 5-word shingles have at least 75 of 100 of their union in common; component_id is
+    the least doc_id that links reach. Null texts and texts without words have an empty set and link with nothing (their
+    component is their own doc_id); texts of fewer than five words have one shingle of them all; equal sets are one set.
+    Repeated rows are in one component; rows of one doc_id and different texts are nodes of their own; other columns are not
+    looked at; an empty table gives an empty table.
+
+    Rows shuffled: a shingle and a node for about a third of the shingles, and whole sets only of documents that may have a
+    partner.
+    """
+    named = _grouped(docs)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` without all but one of each component: that whose doc_id is component_id, in one row.
+    """The documents of ``docs`` without all but one of each component: that of the least doc_id, and of its texts that of the
+    least hash, in one row.
 
-    Rows without doc_id are kept if their component has no other.
+    Rows without doc_id are kept if their component has no other: one row of each such component.
     """
-    groups = join_groups(docs).where("component_id <=> doc_id").select(F.col("component_id").alias("__kept")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__kept"))
-    again = stored(again, "repeated-ids")
+    named = _grouped(docs)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    first = stored(first.select(F.col("x.doc_id").alias("__kept"), F.col("x.text_hash").alias("__hash")).distinct(), "kept")
+    row = F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__hash"))
+    kept = docs.withColumn("__text", F.expr(TEXT_HASH)).join(first, row, "left_semi")
+    again = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__hash"))
+    again = stored(again, "repeated-rows")
     if not again.limit(1).count():
-        return kept
-    single = kept.join(again, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_anti")
-    return single.unionByName(kept.join(again, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"]))
+        return kept.drop("__text")
+    single = kept.join(again, row, "left_anti")
+    return single.unionByName(kept.join(again, row, "left_semi").dropDuplicates(["doc_id", "__text"])).drop("__text")

@@ -324,6 +324,22 @@ def test_pipeline(spark, docs, odd):
     assert jaccard.one_of_each(odd.where("doc_id = 4")).count() == 1
 
 
+def test_one_row_of_each_component(spark):
+    def text(word):
+        return " ".join(f"{word}{k}" for k in range(30))
+
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (1, text("c")), (None, text("d") + " more"), (None, text("d")),
+        (2, text("e")), (2, text("f")), (2, text("f")), (3, text("f") + " more"), (None, None), (None, ""), (None, ""),
+    ]
+    kept = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    for own in ([(None, text("d"))], [(None, text("d") + " more")]):
+        if own[0] in kept:
+            kept.remove(own[0])
+            break
+    assert Counter(kept) == Counter([(None, text("a")), (None, text("b")), (1, text("c")), (2, text("e")), (2, text("f")), (None, None), (None, "")])
+
+
 def test_queries_are_there():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
 
