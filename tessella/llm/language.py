@@ -20,7 +20,7 @@ from .words import release
 
 #: N-grams of 1 to 3 characters go to this many buckets.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
-#: The regression is fitted on this many labelled rows of a language at most, those of the smallest hashes of doc_id; every
+#: The regression is fitted on this many labelled documents of a language at most, those of the smallest hashes of doc_id; every
 #: CALIBRATE-th of them fits the temperature instead. Document frequencies cover all training rows.
 SAMPLE, CALIBRATE, EPOCHS = 600, 5, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -128,10 +128,16 @@ def remainder(divisor: int) -> Column:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """lang, doc_id, text of SAMPLE rows of each language at most: one text of a doc_id, the least; rows without doc_id are none."""
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    names = docs.select("lang", "doc_id").where("doc_id is not null").withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("lang", "doc_id").distinct()
-    return docs.join(F.broadcast(names), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    """lang, doc_id, text of SAMPLE documents of each language at most: one text of a doc_id, the least. Rows without doc_id are
+    documents by their text, and only of languages that have no other."""
+    docs = docs.withColumn("own", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    names = docs.select("lang", "doc_id", "own").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("doc_id").isNull(), F.xxhash64("doc_id"), "doc_id", "own"))
+    some = F.count("doc_id").over(Window.partitionBy("lang"))
+    names = names.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).withColumn("some", some).where("doc_id is not null or some = 0")
+    names = F.broadcast(names.select(*[F.col(c).alias(f"__{c}") for c in ("lang", "doc_id", "own")]))
+    same = (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("own").eqNullSafe(F.col("__own"))
+    return docs.join(names, same, "left_semi").groupBy("lang", "doc_id", "own").agg(F.min("text").alias("text")).drop("own")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -156,7 +162,7 @@ def fit(docs: DataFrame) -> Model:
         found = [counts(t) for t in texts]
         return {"at": [a.astype("<u2").tobytes() for a, _ in found], "n": [c.astype("<u4").tobytes() for _, c in found]}
 
-    rows = map_column(sample, "text", "at binary, n binary", lambda: features).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = map_column(sample, "text", "at binary, n binary", lambda: features).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at", "n").collect()
     idf = np.log((1 + n) / (1.0 + df)) + 1
     languages = sorted({r.lang for r in rows})
     data = []

@@ -70,6 +70,14 @@ def test_language_sample_is_bounded(spark):
     assert sorted(map(tuple, language.sampled(rows).collect())) == [("de", 2, "zwei"), ("en", 1, "text 0")]
 
 
+def test_language_sample_counts_documents(spark):
+    first = spark.range(1, 41).selectExpr("min_by(id, xxhash64(id))").first()[0]
+    rows = [(i, f"text {i}", "en") for i in range(1, 41)] + [(first, f"again {k}", "en") for k in range(700)] + [(None, f"ohne {k % 30}", "de") for k in range(60)]
+    found = language.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.doc_id for r in found if r.lang == "en") == list(range(1, 41))
+    assert sorted(r.text for r in found if r.lang == "de") == sorted(f"ohne {k}" for k in range(30))
+
+
 def test_shards(docs, odd):
     for table in (docs, odd):
         rows, texts = sharding.assign(table).collect(), {r.doc_id: r.text or "" for r in table.collect()}
