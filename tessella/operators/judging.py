@@ -16,10 +16,10 @@ def pool(runs: list[DataFrame], depth: int) -> DataFrame:
 
 
 def negatives(pooled: DataFrame, docs: DataFrame, order: Column, k: int) -> DataFrame:
-    """For each query ``k`` documents outside its pool, the first by a hash of query and document (``order`` over qid, doc_id).
+    """For each query ``k`` documents outside its pool, the first by a hash of the document (``order`` over doc_id).
 
-    A document's hash for a query lies in its first places by doc hash alone: candidates are the k + pool size least of
-    those, so no query meets all documents.
+    The order is the same for all queries, so they share their negatives but for their pools: candidates are the first k +
+    largest pool size documents, and no query meets all documents.
     """
     most = pooled.groupBy("qid").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
     few = docs.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(most + k)
