@@ -1,8 +1,9 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, with normalised scores.
 
 The model predicts all frequent words, the end, and one class for all other words; a word of that class then has its share
-of the class by smoothed counts. A context is the two words before. A probability is that of the word's group, times that
-of the word among its group: the HEAD most frequent words are groups of their own, the next ones form groups of WIDTH.
+of the class by smoothed counts. A context is the two words before. The HEAD most frequent words are predicted at once; the
+next ones in three steps, a class of groups, a group of the class and a word of the group, each normalised among its WIDTH
+choices, so that a word costs a few hundred products instead of one for each word of the vocabulary.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,11 @@ FREQUENT = 1 << 17
 #: Words that a model predicts at most (the last of a model's words stands for all others); the number of the beginning, which
 #: only contexts have.
 WORDS, SIZE, BEGIN = FREQUENT + 1, 16, -1
-HEAD, WIDTH = 255, 512
-#: Noise words and positions of a step.
-NOISE, STEP, RATE = 64, 512, 0.15
+HEAD, WIDTH = 63, 48
+#: Noise choices of each of the three levels, and positions, of a step.
+NOISE, STEP, RATE = 32, 1024, 0.4
+#: Tasks that train at most: each sends a net, and a net does not shrink with its share of the texts.
+TRAINERS = 4096
 #: Bytes of text that are numbers at once.
 SLICE = 2 << 20
 END = b"\n"
@@ -104,155 +108,182 @@ def table_of(counted: DataFrame) -> Table:
     return Table(numbers, top["n"].to_numpy(np.int64), total, kinds, f"{total}-{kinds}-{hash(tuple(numbers))}")
 
 
-def group_of(ids: np.ndarray, words: int) -> np.ndarray:
-    """The group of each of a model's words: the head's are their own, then those of WIDTH words, then that of all others."""
+def levels(ids: np.ndarray, words: int) -> list[np.ndarray]:
+    """Of a model's words: the choice of the first level (a word of the head, a class, or all others: the last), and for words
+    after the head the group and the word. Groups and words are numbered through, the words of a group in a row."""
     head = min(HEAD, words - 1)
-    return np.where(ids < head, ids, np.where(ids == words - 1, groups_of(words) - 1, head + (ids - head) // WIDTH))
+    tail = np.maximum(ids - head, 0)
+    first = np.where(ids < head, ids, np.where(ids == words - 1, head + -(-(words - 1 - head) // WIDTH**2), head + tail // WIDTH**2))
+    return [first, tail // WIDTH, tail]
 
 
-def groups_of(words: int) -> int:
-    head = min(HEAD, words - 1)
-    return head - (head + 1 - words) // WIDTH + 1
+def in_tail(ids: np.ndarray, words: int) -> np.ndarray:
+    return np.flatnonzero((ids >= min(HEAD, words - 1)) & (ids < words - 1))
+
+
+def level_shares(shares: np.ndarray) -> list[np.ndarray]:
+    """The share of each choice of each level."""
+    words = len(shares)
+    first, group, word = levels(np.arange(words), words)
+    tail = in_tail(np.arange(words), words)
+    return [np.bincount(first, shares), np.bincount(group[tail], shares[tail]), np.bincount(word[tail], shares[tail])]
 
 
 @dataclass
 class Net:
-    """Vectors of context words (the last is the beginning), of groups, and of the words after the head; a factor for each
-    place in the context; the biases of groups and words."""
+    """Vectors of context words (the last is the beginning), a factor for each place in the context, and for each level the
+    vectors of its choices, whose last component is a bias."""
 
     context: np.ndarray
-    group: np.ndarray
-    word: np.ndarray
     place: np.ndarray
-    group_bias: np.ndarray
-    bias: np.ndarray
+    choices: list[np.ndarray]
 
     @staticmethod
     def start(shares: np.ndarray) -> Net:
         rng = np.random.default_rng(7)
         draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        by_group = np.bincount(group_of(np.arange(len(shares)), len(shares)), shares)
-        tail = shares[HEAD:-1]
-        return Net(draw(len(shares) + 1, SIZE), draw(len(by_group), SIZE), draw(len(tail), SIZE), np.ones((2, SIZE), np.float32) / 2, np.log(by_group).astype(np.float32), np.log(tail / tail.sum()).astype(np.float32))
+        context, choices = draw(len(shares) + 1, SIZE), []
+        for own in level_shares(shares):
+            bias = np.log(own / max(1e-300, own.sum())).astype(np.float32)
+            choices.append(np.column_stack([draw(len(own), SIZE), bias]))
+        return Net(context, np.ones((2, SIZE), np.float32) / 2, choices)
 
     @property
     def words(self) -> int:
         return len(self.context) - 1
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.group, self.word, self.place, self.group_bias, self.bias]
+        return [self.context, self.place, *self.choices]
 
     def copy(self) -> Net:
-        return Net(*(a.copy() for a in self.arrays()))
+        return Net(self.context.copy(), self.place.copy(), [c.copy() for c in self.choices])
 
     def ahead(self, before: np.ndarray) -> np.ndarray:
-        """The predicted vector of each context (two numbers)."""
-        return self.context[before[:, 0]] * self.place[0] + self.context[before[:, 1]] * self.place[1]
+        """The predicted vector of each context (two numbers), and a 1 for the bias."""
+        q = np.ones((len(before), SIZE + 1), np.float32)
+        np.multiply(self.context[before[:, 0]], self.place[0], out=q[:, :SIZE])
+        q[:, :SIZE] += self.context[before[:, 1]] * self.place[1]
+        return q
 
     def log_probabilities(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(after | before), normalised over all words: a matrix product for each batch of contexts, and
-        one for the words of a group."""
+        for the contexts that meet each class and each group."""
         n = self.words + 1
         own, at = np.unique(before[:, 0] % n * n + before[:, 1] % n, return_inverse=True)
         q = self.ahead(np.stack([own // n, own % n], axis=1))
-        norm = _norms(q, self.group, self.group_bias)
-        out, groups = np.empty(len(after), np.float64), group_of(after, self.words)
+        first, group, word = levels(after, self.words)
+        out = np.empty(len(after), np.float64)
+        norm = _norms(q, self.choices[0])
         for k in range(0, len(after), 65536):
-            i, g = at[k : k + 65536], groups[k : k + 65536]
-            out[k : k + 65536] = np.einsum("ij,ij->i", q[i], self.group[g]) + self.group_bias[g] - norm[i]
-        tail = np.flatnonzero((after >= HEAD) & (after < self.words - 1))
-        tail = tail[np.argsort(groups[tail], kind="stable")]
-        for rows in np.split(tail, np.flatnonzero(np.diff(groups[tail])) + 1) if len(tail) else []:
-            lo = (groups[rows[0]] - HEAD) * WIDTH
-            word, bias, w, x = self.word[lo : lo + WIDTH], self.bias[lo : lo + WIDTH], after[rows] - HEAD - lo, q[at[rows]]
-            out[rows] += np.einsum("ij,ij->i", x, word[w]) + bias[w] - _norms(x, word, bias)
+            i, g = at[k : k + 65536], first[k : k + 65536]
+            out[k : k + 65536] = np.einsum("ij,ij->i", q[i], self.choices[0][g]) - norm[i]
+        tail = in_tail(after, self.words)
+        tail = tail[np.argsort(word[tail], kind="stable")]
+        for to, vectors in ((group[tail], self.choices[1]), (word[tail], self.choices[2])):
+            starts = np.flatnonzero(np.diff(to // WIDTH, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(to)], strict=True):
+                lo = to[a] // WIDTH * WIDTH
+                for k in range(a, b, 8192):
+                    rows = tail[k : min(b, k + 8192)]
+                    z = q[at[rows]] @ vectors[lo : lo + WIDTH].T
+                    out[rows] += z[np.arange(len(rows)), to[k : k + len(rows)] - lo]
+                    out[rows] -= np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
         return out
 
 
-def _norms(q: np.ndarray, word: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _norms(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     norm = np.empty(len(q), np.float32)
-    for k in range(0, len(q), 4096):
-        z = q[k : k + 4096] @ word.T + bias
-        top = z.max(axis=1)
-        z -= top[:, None]
-        norm[k : k + 4096] = np.log(np.exp(z, out=z).sum(axis=1)) + top
+    for k in range(0, len(q), 8192):
+        z = q[k : k + 8192] @ vectors.T
+        norm[k : k + 8192] = np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
     return norm
 
 
 def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the rows of ``g`` by ``ids``."""
-    order = np.argsort(ids, kind="stable")
+    """Sums of the rows of ``g`` by ``ids``, numbers of less than 2 ** 31."""
+    order = np.argsort(ids.astype(np.uint16 if ids.max() < 1 << 16 else np.int32), kind="stable")  # 16 bits have a faster sort
     ids = ids[order]
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     return ids[starts], np.add.reduceat(g[order], starts, axis=0)
 
 
 class Trainer:
-    """Noise-contrastive steps with AdaGrad, for groups and for words after the head; the noise of a step is shared by its
-    positions. ``touched`` has how many steps have moved each row of the net's arrays."""
+    """Noise-contrastive steps with AdaGrad by rows, for each level; the noise of a step is shared by its positions. ``touched``
+    has how many steps have moved each row of the net's arrays."""
 
     def __init__(self, net: Net, shares: np.ndarray, seed: int):
         self.net, self.rng = net, np.random.default_rng(seed)
-        self.seen = [np.full_like(a, 1e-3) for a in net.arrays()]
+        self.seen = [np.full(len(a), 1e-3, np.float32) for a in net.arrays()]
         self.touched = [np.zeros(len(a), np.float32) for a in net.arrays()]
-        levels = np.bincount(group_of(np.arange(len(shares)), len(shares)), shares), shares[HEAD:-1] / max(1e-300, shares[HEAD:-1].sum())
-        self.edges, self.offsets = [np.cumsum(x) for x in levels], [np.log(NOISE * x).astype(np.float32) for x in levels]
+        own = [x / max(1e-300, x.sum()) for x in level_shares(shares)]
+        self.edges, self.offsets = [np.cumsum(x) for x in own], [np.log(NOISE * x).astype(np.float32) for x in own]
 
     def _move(self, k: int, rows, g: np.ndarray) -> None:
-        self.seen[k][rows] += g * g
-        self.net.arrays()[k][rows] += RATE * g / np.sqrt(self.seen[k][rows])
+        size = self.seen[k][rows] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.seen[k][rows] = size
+        self.net.arrays()[k][rows] += g * (RATE / np.sqrt(size))[:, None]
         self.touched[k][rows] += 1
 
-    def _level(self, k: int, q: np.ndarray, to: np.ndarray, n: int) -> tuple[np.ndarray, tuple]:
-        """Of groups (0) or words (1): the gradient for ``q``, and what moves their vectors and biases."""
-        vectors, bias, offset, edges = self.net.arrays()[1 + k], self.net.arrays()[4 + k], self.offsets[k], self.edges[k]
-        noise = np.minimum(np.searchsorted(edges, self.rng.random(NOISE) * edges[-1]), len(edges) - 1)
+    def gradient(self, k: int, q: np.ndarray, to: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the noise-contrastive log likelihood of a level's choices ``to`` against ``noise``, both as numbers: by the
+        predicted vectors, by the vectors of ``to``, and by those of ``noise``."""
+        vectors, offset = self.net.choices[k], self.offsets[k]
         own, other = vectors[to], vectors[noise]
-        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + bias[to] - offset[to]))
-        bad = -1 / (1 + np.exp(-(q @ other.T + bias[noise] - offset[noise])))
-        moves = _by_row(np.concatenate([to, noise]), np.concatenate([np.column_stack([good[:, None] * q, good]), np.column_stack([bad.T @ q, bad.sum(axis=0)])]) / n)
-        return (good[:, None] * own + bad @ other) / n, moves
+        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - offset[to]))
+        bad = q @ other.T
+        bad -= offset[noise]
+        bad = -1 / (1 + np.exp(np.negative(bad, out=bad), out=bad))
+        return good[:, None] * own + bad @ other, good[:, None] * q, bad.T @ q
+
+    def _level(self, k: int, q: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        edges = self.edges[k]
+        noise = np.minimum(np.searchsorted(edges, self.rng.random(NOISE) * edges[-1]), len(edges) - 1)
+        dq, d_to, d_noise = self.gradient(k, q, to, noise)
+        rows, g = _by_row(np.concatenate([to, noise]), np.concatenate([d_to, d_noise]))
+        self._move(2 + k, rows, g / n)
+        return dq / n
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         net, n = self.net, len(after)
         q = net.ahead(before)
-        dq, of_groups = self._level(0, q, group_of(after, net.words), n)
-        tail = np.flatnonzero((after >= HEAD) & (after < net.words - 1))
+        first, group, word = levels(after, net.words)
+        dq = self._level(0, q, first, n)
+        tail = in_tail(after, net.words)
         if len(tail):
-            more, (rows, g) = self._level(1, q[tail], after[tail] - HEAD, n)
-            dq[tail] += more
-            self._move(2, rows, g[:, :-1])
-            self._move(5, rows, g[:, -1])
-        rows, g = of_groups
-        back, gc = _by_row(before.T.ravel() % (net.words + 1), np.concatenate([dq * net.place[0], dq * net.place[1]]))
+            own = q[tail]
+            dq[tail] += self._level(1, own, group[tail], n) + self._level(2, own, word[tail], n)
+        dq = dq[:, :SIZE]
         place = np.stack([(dq * net.context[before[:, k]]).sum(axis=0) for k in (0, 1)])
-        self._move(1, rows, g[:, :-1])
-        self._move(4, rows, g[:, -1])
-        self._move(0, back, gc)
-        self._move(3, slice(None), place)
+        rows, g = _by_row(before.T.ravel() % (net.words + 1), np.concatenate([dq * net.place[0], dq * net.place[1]]))
+        self._move(0, rows, g)
+        self._move(1, slice(None), place)
 
     def learn(self, texts: list[str | None], table: Table) -> None:
         """Steps over every position of the texts, in a random order."""
-        befores, afters = [], []
-        for _, ids in _numbered(texts, table):
-            befores.append(np.stack([ids[:-2], ids[1:-1]], axis=1))
-            afters.append(ids[2:])
-        codes(table).trim()
-        before, after = np.concatenate(befores), np.concatenate(afters)
+        _, before, after, _ = _numbered(texts, table)
         order = self.rng.permutation(len(after))
         for k in range(0, len(order), STEP):
             self.step(before[order[k : k + STEP]], after[order[k : k + STEP]])
 
 
-def _numbered(texts, table: Table):
-    """Of each text its codes, and for the model its numbers with two beginnings before them."""
-    code = codes(table)
+def _numbered(texts: list[str | None], table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all tokens of the texts, the model's two numbers before each and its number, and where each text starts."""
+    code, starts, own = codes(table), [], []
     for t in texts:
-        own = words(t)
-        c = np.fromiter(map(code.__getitem__, own), np.int64, len(own))
-        ids = np.full(len(c) + 2, BEGIN)
-        ids[2:] = np.minimum(c, len(table.counts))
-        yield c, ids
+        starts.append(len(own))
+        own += words(t)
+    code.learn(own, lambda missing: [table.numbers.get(h, h | 1 << 62) for h in [x >> 2 for x in map(word_hash, missing)]])
+    c = np.fromiter(map(code.__getitem__, own), np.int64, len(own))
+    code.trim()
+    starts = np.array(starts, np.int64)
+    after = np.minimum(c, len(table.counts))
+    before = np.full((len(c), 2), BEGIN)
+    before[1:, 1] = after[:-1]
+    before[2:, 0] = after[:-2]
+    before[starts] = BEGIN
+    second = starts + 1
+    before[second[second < np.append(starts[1:], len(c))], 0] = BEGIN
+    return c, before, after, starts
 
 
 def shares_of(table: Table) -> np.ndarray:
@@ -294,7 +325,8 @@ def train(docs: DataFrame, table: Table) -> Net:
             for k, x in gather.parts(out):
                 yield record_batch({"part": [k], "data": [x]}, types)
 
-    flat = gather.merged(docs.select("text").mapInArrow(run, gather.SCHEMA), size, "f4")
+    texts = docs.select("text").coalesce(TRAINERS)
+    flat = gather.merged(texts.mapInArrow(run, gather.SCHEMA), size, "f4")
     at, steps = 0, np.split(flat[sum(a.size for a in arrays) : used], np.cumsum([len(a) for a in arrays])[:-1])
     for a, n in zip(arrays, steps, strict=True):
         moved = flat[at : at + a.size].reshape(len(a), a.size // max(1, len(a))) / np.maximum(n, 1)[:, None]
@@ -303,6 +335,21 @@ def train(docs: DataFrame, table: Table) -> Net:
     return start
 
 
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(starts) else x
+
+
+def _counted(c: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the distinct codes among ``which`` and how often each occurs: where each text's begin and end, codes, times."""
+    at = np.flatnonzero(which)
+    text, own = np.searchsorted(starts, at, "right") - 1, c[at]
+    order = np.lexsort((own, text))
+    text, own = text[order], own[order]
+    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (text[1:] != text[:-1])]) if len(own) else np.empty(0, np.int64)
+    offsets = np.searchsorted(text[new], np.arange(len(starts) + 1)).astype(np.int32)
+    return offsets, own[new], np.diff(new, append=len(own)).astype(np.int32)
+
+
 def score(docs: DataFrame, table: Table, net: Net, counted: DataFrame) -> DataFrame:
     """All columns of ``docs`` but text, and n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -317,26 +364,16 @@ def score(docs: DataFrame, table: Table, net: Net, counted: DataFrame) -> DataFr
         logs = np.log10(table.counts + 0.5)
         for batch in batches:
             for part in slices(batch, most_bytes=SLICE):
-                all_codes, befores, afters, starts = [], [], [], [0]
-                for c, ids in _numbered(part.column("text").to_pylist(), table):
-                    all_codes.append(c)
-                    befores.append(np.stack([ids[:-2], ids[1:-1]], axis=1))
-                    afters.append(ids[2:])
-                    starts.append(starts[-1] + len(c))
-                codes(table).trim()
-                log_p = net.log_probabilities(np.concatenate(befores), np.concatenate(afters)) / math.log(10)
-                out = {k: [] for k in ("n_tokens", "n_known", "base", "model", "rare", "times")}
-                for k, c in enumerate(all_codes):
-                    common = c < FREQUENT
-                    own = logs[c[common]]
-                    rare, times = np.unique(c[~common], return_counts=True)
-                    model = log_p[starts[k] : starts[k + 1]].sum() - int((~common).sum()) * rest
-                    values = (len(c), int(common.sum()), float(own.sum()), float(model), rare - (1 << 62), times)
-                    for column, value in zip(out.values(), values, strict=True):
-                        column.append(value)
-                out["row"] = list(range(row, row + len(all_codes)))
-                row += len(all_codes)
-                yield record_batch({f.name: part.column(f.name) for f in kept} | out, types)
+                c, before, after, starts = _numbered(part.column("text").to_pylist(), table)
+                log_p = net.log_probabilities(before, after) / math.log(10)
+                common = c < FREQUENT
+                own = np.where(common, logs[np.where(common, c, 0)], 0)
+                values = {"n_tokens": np.diff(starts, append=len(c)), "n_known": _sums(common.astype(np.int64), starts), "base": _sums(own, starts), "model": _sums(np.where(common, log_p, log_p - rest), starts)}
+                offsets, found, times = _counted(c, starts, ~common)
+                values |= {"rare": pa.ListArray.from_arrays(offsets, found - (1 << 62)), "times": pa.ListArray.from_arrays(offsets, times)}
+                values["row"] = np.arange(row, row + len(starts))
+                row += len(starts)
+                yield record_batch({f.name: part.column(f.name) for f in kept} | values, types)
 
     rows = stored(docs.mapInArrow(run, schema), "lm-rows")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 try:  # glibc keeps freed memory for itself until it is asked
     _trim = ctypes.CDLL("libc.so.6").malloc_trim
@@ -58,8 +58,7 @@ class Cache(dict):
             self.update(zip(missing, make_many(missing), strict=True))
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+word_hash = xxhash.xxh3_64_intdigest
 
 
 HASHES = Cache(word_hash)

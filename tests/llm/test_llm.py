@@ -187,6 +187,68 @@ def test_model_tells_rarer_words_apart(spark):
     assert abs(np.exp(trainer.net.log_probabilities(np.array([[ax, ay]] * len(shares)), np.arange(len(shares)))).sum() - 1) < 1e-4
 
 
+def plain_log_probability(net, before, after):
+    """One word at a time, over all choices of each level."""
+    q = np.append(net.context[before[0]] * net.place[0] + net.context[before[1]] * net.place[1], 1)
+    head = min(lm.HEAD, net.words - 1)
+    if after < head or after == net.words - 1:
+        path = [(0, len(net.choices[0]), 0, after if after < head else len(net.choices[0]) - 1)]
+    else:
+        t, w = after - head, lm.WIDTH
+        path = [(0, len(net.choices[0]), 0, head + t // w**2), (t // w**2 * w, w, 1, t // w), (t // w * w, w, 2, t)]
+    total = 0.0
+    for low, n, level, own in path:
+        z = net.choices[level].astype(float) @ q
+        total += z[own] - np.log(np.exp(z[low : low + n]).sum())
+    return total
+
+
+def test_score_is_a_plain_normalised_sum(spark, docs):
+    some = docs.limit(40)
+    table = lm.table_of(lm.count(docs))
+    net = lm.train(some, table)
+    counted = lm.count(docs)
+    numbers = lambda w: table.numbers.get(lm.word_hash(w) >> 2)
+    n_of = {r.word: r.n for r in counted.collect()}
+    for r in lm.score(some.select("doc_id", "text"), table, net, counted).join(some.select("doc_id", "text"), "doc_id").limit(6).collect():
+        before, total = [lm.BEGIN, lm.BEGIN], 0.0
+        for w in lm.words(r.text):
+            k = numbers(w)
+            total += plain_log_probability(net, before, len(table.counts) if k is None else k) / math.log(10)
+            if k is None:
+                total += math.log10((n_of[lm.word_hash(w) >> 2] + 0.5) / table.rest)
+            before = [before[1], len(table.counts) if k is None else k]
+        assert abs(total - r.score) < 1e-3 * r.n_tokens
+
+
+def test_gradient_of_noise_contrast():
+    shares = np.random.default_rng(1).random(5000)
+    shares /= shares.sum()
+    trainer = lm.Trainer(lm.Net.start(shares), shares, 0)
+    rng = np.random.default_rng(2)
+    for level, sizes in enumerate(lm.level_shares(shares)):
+        vectors = trainer.net.choices[level] = trainer.net.choices[level].astype(float)
+        q, to, noise = np.column_stack([rng.normal(size=(6, lm.SIZE)), np.ones(6)]), rng.integers(0, len(sizes), 6), rng.integers(0, len(sizes), 4)
+        offset = trainer.offsets[level].astype(float)
+
+        def likelihood(q, vectors):
+            good = (q * vectors[to]).sum(axis=1) - offset[to]
+            bad = q @ vectors[noise].T - offset[noise]
+            return -np.log1p(np.exp(-good)).sum() - np.log1p(np.exp(bad)).sum()
+
+        dq, d_to, d_noise = trainer.gradient(level, q, to, noise)
+        full = np.zeros_like(vectors)
+        np.add.at(full, to, d_to)
+        np.add.at(full, noise, d_noise)
+        for i, j in ((0, 0), (3, 5), (5, lm.SIZE)):
+            step = np.zeros_like(q)
+            step[i, j] = 1e-5
+            assert abs((likelihood(q + step, vectors) - likelihood(q - step, vectors)) / 2e-5 - dq[i, j]) < 1e-4
+            step = np.zeros_like(vectors)
+            step[to[i], j] = 1e-5
+            assert abs((likelihood(q, vectors + step) - likelihood(q, vectors - step)) / 2e-5 - full[to[i], j]) < 1e-4
+
+
 def test_model_is_normalised():
     shares = np.full(lm.WORDS, 1 / lm.WORDS)
     net = lm.Net.start(shares)
@@ -291,25 +353,124 @@ def test_benchmark_in_several_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect())) == whole
 
 
+def plain_records(data):
+    """By the standard library: members, then header lines as of a mail."""
+    import gzip
+    from email.parser import HeaderParser
+
+    data, out = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, []
+    while data:
+        head, _, data = data.partition(b"\r\n\r\n")
+        headers = HeaderParser().parsestr(head.decode().partition("\r\n")[2])
+        n = int(headers["Content-Length"])
+        block, end, data = data[:n], data[n : n + 4], data[n + 4 :]
+        assert head.startswith(b"WARC/1.1\r\n") and len(block) == n and end == b"\r\n\r\n"
+        out.append((headers, block))
+    return out
+
+
+def sha1(data):
+    import base64
+
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def plain_page_text(html):
+    """By the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden, self.title, self.links = [], [], None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "body":
+                self.hidden.clear()
+            if tag in ("script", "style", "noscript", "template", "head", "svg"):
+                self.hidden.append(tag)
+            if tag == "title":
+                self.title = ""
+            self.links += [v for k, v in attrs if (tag, k) == ("a", "href") and v]
+            self.out.append("\n" if tag in warc._BLOCKS else "")
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                del self.hidden[self.hidden.index(tag) :]
+            self.out.append("\n" if tag in warc._BLOCKS else "")
+
+        def handle_data(self, data):
+            if self.lasttag == "title" and self.title == "":
+                self.title = " ".join(data.split())
+            elif not self.hidden:
+                self.out.append(data)
+
+    p = Text()
+    p.feed(html)
+    p.close()
+    return "\n".join(x for x in (" ".join(x.split()) for x in "".join(p.out).split("\n")) if x), p.title or "", p.links
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_records(packed):
+    html = "<head><title>T &amp; u</title></head><body><p>a<script>x</script>b <a href='l'>c</a>"
+    (headers, block), = plain_records(warc.response("http://x", html, packed))
+    assert block.endswith(b"\r\n\r\n" + html.encode()) and headers["WARC-Payload-Digest"] == sha1(html.encode()) and headers["WARC-Block-Digest"] == sha1(block)
+    data, whole = warc.derive(warc.response("http://x", html, packed), packed)
+    (meta, facts), (converted, text) = plain_records(data)
+    assert whole and text.decode() == "ab c" and converted["WARC-Block-Digest"] == sha1(text) and meta["WARC-Block-Digest"] == sha1(facts)
+    assert meta["WARC-Refers-To"] == converted["WARC-Refers-To"] == headers["WARC-Record-ID"] and converted["WARC-Concurrent-To"] == meta["WARC-Record-ID"]
+    assert meta["WARC-Refers-To-Target-URI"] == "http://x" and meta["WARC-Refers-To-Date"] == headers["WARC-Date"]
+    assert f"source-payload-digest: {sha1(html.encode())}" in facts.decode().split("\r\n") and "title: T & u" in facts.decode().split("\r\n")
+    assert len({meta["WARC-Record-ID"], converted["WARC-Record-ID"], headers["WARC-Record-ID"]}) == 3
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = warc.page_derivatives(pages).collect()
     html = {r.page_id: r for r in pages.collect()}
+    assert len(rows) == len(html)
     for r in rows:
-        source = next(iter(warc.records(warc.response(html[r.page_id].url, html[r.page_id].html))))
-        assert r.refers_to == warc.get(source[0], "WARC-Record-ID") and r.target_uri == html[r.page_id].url
-        assert r.source_payload_digest == warc.digest(html[r.page_id].html.encode())
-        assert r.text_sha256 == hashlib.sha256(warc.plain_text(html[r.page_id].html)[0].encode()).hexdigest()
-    odd = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>a<script>b</script>", 1)], "page_id long, url string, html string, warc int")
-    assert sorted(r.n_text_bytes for r in warc.page_derivatives(odd).collect()) == [0, 1]
+        page = html[r.page_id]
+        text, title, links = plain_page_text(page.html)
+        assert (r.target_uri, r.source_payload_digest, r.source_status) == (page.url, sha1(page.html.encode()), "HTTP/1.1 200 OK")
+        assert (r.title, r.n_links, r.n_text_bytes) == (title, len(links), len(text.encode()))
+        assert (r.text_sha256, r.text_digest, r.whole) == (hashlib.sha256(text.encode()).hexdigest(), sha1(text.encode()), True)
+
+
+def test_warc_odd_pages(spark):
+    rows = [(1, None, None), (2, "u", "<p>a<script>b</script>"), (2, "u", "<p>a<script>b</script>"), (None, "v", "x" * 3_000_000), (4, "w", ""), (5, "a\r\nb", "\r\n\r\n<p")]
+    odd = spark.createDataFrame([(*r, 1, "t", True, "n") for r in rows], "page_id long, url string, html string, warc int, title string, whole boolean, page string")
+    out = warc.page_derivatives(odd).collect()
+    assert Counter((r.page_id, r.n_text_bytes) for r in out) == Counter([(1, 0), (2, 1), (2, 1), (None, 3_000_000), (4, 0), (5, 0)])
+    assert len({r.metadata_id for r in out if r.page_id == 2}) == 1
     assert warc.page_derivatives(odd.limit(0)).count() == 0
 
 
+def test_files_that_are_not_whole(spark):
+    good = warc.response("http://x", "<p>hello")
+    other = warc.record([("WARC-Type", "warcinfo")], b"who")
+    files = {1: other, 2: b"", 3: good[:-20], 4: other + good + b"junk", 5: good.replace(b"Content-Length: ", b"Content-Length: z", 1), 6: None, 7: b"\x1f\x8bno gzip", 8: warc.response("u", "x", True)[:-9]}
+    table = spark.createDataFrame(list(files.items()), "page_id long, warc binary")
+    rows = {r.page_id: r for r in warc.summary(warc.derivatives(table)).collect()}
+    assert [k for k, r in rows.items() if r.whole] == [1, 2, 6] and [k for k, r in rows.items() if r.metadata_id] == [4]
+    assert rows[4].n_text_bytes == 5 and all(rows[k].text_digest is None for k in files if k != 4)
+
+
+def test_page_text():
+    cases = {
+        "<title>t<p>x": ("x", "t", []), "<p title='a>b'>q<a href=x>l</a><A HREF='u&amp;v'>m": ("qlm", "", ["x", "u&v"]), "a < b <3 &lt;": ("a < b <3 <", "", []),
+        "<!-- c": ("", "", []), '<p title="never ends>a': ("", "", []), "<svg/>t<svg>x</svg>u<head>h<body>b": ("tub", "", []), "x<script>a</scriptb>y": ("x", "", []), "<a data-href=no>z": ("z", "", []),
+    }
+    for html, found in cases.items():
+        assert warc.plain_text(html) == found
+
+
 def test_broken_response_has_no_conversion():
     import gzip
 
-    plain = gzip.decompress(warc.response("http://x", "<p>hello")).replace(b"hello", b"jello")
-    kinds = [warc.get(h, "WARC-Type") for h, _ in warc.records(warc.derive(plain))]
+    plain = gzip.decompress(warc.response("http://x", "<p>hello", True)).replace(b"hello", b"jello")
+    kinds = [warc.get(h, "WARC-Type") for h, _ in warc.records(warc.derive(plain)[0])]
     assert kinds == ["metadata"]
 
 
