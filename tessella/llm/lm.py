@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from . import gather
 from .arrow import fields, record_batch, slices
 from .language import remainder
 from .scratch import stored
-from .words import Cache, word_hash
+from .words import word_hash
 
 #: At most so many words are frequent: the model tells them apart, and their counts go to all tasks; counts of other words
 #: are joined.
@@ -36,20 +37,22 @@ HEAD, WIDTH = 63, 48
 NOISE, STEP, RATE = 32, 1024, 0.4
 #: Tasks that train at most: each sends a net, and a net does not shrink with its share of the texts.
 TRAINERS = 4096
-#: Bytes of text that are numbers at once.
-SLICE = 2 << 20
+#: Bytes of text that are numbers at once, and contexts whose matrix product is there at once.
+SLICE, BATCH = 2 << 20, 4096
 END = b"\n"
 
 
 @dataclass
 class Table:
-    """Counts of all training tokens: of the frequent ones by number, ``total`` and ``kinds`` of all."""
+    """Counts of all training tokens: ``hashes`` of the frequent words in order and ``numbers`` of each; by number the counts;
+    ``end``: the number of the end; ``total`` and ``kinds`` of all words."""
 
-    numbers: dict[int, int]
+    hashes: np.ndarray
+    numbers: np.ndarray
     counts: np.ndarray
+    end: int
     total: int
     kinds: int
-    key: str
 
     @property
     def rest(self) -> float:
@@ -57,24 +60,26 @@ class Table:
         return self.total - float(self.counts.sum()) + 0.5 * (self.kinds - len(self.counts)) + 0.5
 
 
-_codes: dict[str, Cache] = {}
+def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of the texts (A-Z lower-cased): for each word the number of its kind, the kinds, the words of each text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, lengths = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.equal(pc.binary_length(flat), 0)
+    if pc.any(blank).as_py():  # around white space at the ends of a text
+        text = np.repeat(np.arange(len(lengths)), lengths)[~blank.to_numpy(zero_copy_only=False)]
+        flat, lengths = flat.filter(pc.invert(blank)), np.bincount(text, minlength=len(lengths))
+    if isinstance(flat, pa.ChunkedArray):
+        flat = flat.combine_chunks()
+    kinds = flat.dictionary_encode()
+    return kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), kinds.dictionary.cast(pa.binary()).to_pylist(), lengths
 
 
-def codes(table: Table) -> Cache:
-    """A word's number if it is frequent; else its hash, with FREQUENT or more."""
+def code_of(word: bytes) -> int:
+    return word_hash(word) >> 2
 
-    def make(word: bytes) -> int:
-        h = word_hash(word) >> 2
-        return table.numbers.get(h, h | 1 << 62)
 
-    if table.key not in _codes:
-        _codes.clear()
-        _codes[table.key] = Cache(make, most=250_000)
-    return _codes[table.key]
-
-
-def words(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64) >> 2 & (1 << 62) - 1
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -82,30 +87,37 @@ def count(docs: DataFrame) -> DataFrame:
     types = fields(StructType.fromDDL("word long, n long"))
 
     def run(batches):
-        held: Counter = Counter()
+        held, ends = Counter(), 0
+
+        def out():
+            return record_batch({"word": np.fromiter(held, np.int64, len(held)), "n": np.fromiter(held.values(), np.int64, len(held))}, types)
+
         for batch in batches:
             for part in slices(batch, most_bytes=SLICE):
-                for text in part.column("text").to_pylist():
-                    held.update(words(text))
+                which, own, lengths = split(part.column("text"))
+                held.update(dict(zip(hashes_of(own).tolist(), np.bincount(which, minlength=len(own)).tolist(), strict=True)))
+                ends += len(lengths)
                 if len(held) > 200_000:
-                    yield record_batch({"word": [word_hash(w) >> 2 for w in held], "n": list(held.values())}, types)
-                    held = Counter()
-        if held:
-            yield record_batch({"word": [word_hash(w) >> 2 for w in held], "n": list(held.values())}, types)
+                    yield out()
+                    held.clear()
+        if ends:
+            held[code_of(END)] += ends
+            yield out()
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def table_of(counted: DataFrame) -> Table:
     """Of the words, those are frequent that occur more often than the least number that leaves FREQUENT of them at most."""
-    end = word_hash(END) >> 2
+    end = code_of(END)
     often = counted.groupBy("n").agg(F.count("*").alias("kinds")).toPandas().sort_values("n", ascending=False)
     most = often["n"][often["kinds"].cumsum() > FREQUENT - 1].max()
     top = counted.where((F.col("n") > (0 if most != most else int(most))) | (F.col("word") == end)).toPandas()
     top = top.assign(last=top["word"] != end).sort_values(["last", "n", "word"], ascending=[True, False, True])
-    numbers = {int(h): k for k, h in enumerate(top["word"])}
+    found = top["word"].to_numpy(np.int64)
+    numbers = np.argsort(found)
     total, kinds = int((often["n"] * often["kinds"]).sum()), int(often["kinds"].sum())
-    return Table(numbers, top["n"].to_numpy(np.int64), total, kinds, f"{total}-{kinds}-{hash(tuple(numbers))}")
+    return Table(found[numbers], numbers, top["n"].to_numpy(np.int64), 0 if len(found) else code_of(END) | 1 << 62, total, kinds)
 
 
 def levels(ids: np.ndarray, words: int) -> list[np.ndarray]:
@@ -158,53 +170,49 @@ class Net:
     def copy(self) -> Net:
         return Net(self.context.copy(), self.place.copy(), [c.copy() for c in self.choices])
 
-    def ahead(self, before: np.ndarray) -> np.ndarray:
-        """The predicted vector of each context (two numbers), and a 1 for the bias."""
+    def ahead(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The predicted vector of each context (two numbers) with a 1 for the bias, and the vectors of the two words."""
+        a, b = self.context[before[:, 0]], self.context[before[:, 1]]
         q = np.ones((len(before), SIZE + 1), np.float32)
-        np.multiply(self.context[before[:, 0]], self.place[0], out=q[:, :SIZE])
-        q[:, :SIZE] += self.context[before[:, 1]] * self.place[1]
-        return q
+        np.multiply(a, self.place[0], out=q[:, :SIZE])
+        q[:, :SIZE] += b * self.place[1]
+        return q, a, b
 
     def log_probabilities(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(after | before), normalised over all words: a matrix product for each batch of contexts, and
-        for the contexts that meet each class and each group."""
-        n = self.words + 1
-        own, at = np.unique(before[:, 0] % n * n + before[:, 1] % n, return_inverse=True)
-        q = self.ahead(np.stack([own // n, own % n], axis=1))
+        """Natural logarithms of P(after | before), normalised over all words: matrix products of batches of contexts with the
+        choices of the first level, of each class that they meet and of each group."""
         first, group, word = levels(after, self.words)
-        out = np.empty(len(after), np.float64)
-        norm = _norms(q, self.choices[0])
-        for k in range(0, len(after), 65536):
-            i, g = at[k : k + 65536], first[k : k + 65536]
-            out[k : k + 65536] = np.einsum("ij,ij->i", q[i], self.choices[0][g]) - norm[i]
+        q, out = self.ahead(before)[0], np.empty(len(after), np.float64)
+        for k in range(0, len(after), BATCH):
+            out[k : k + BATCH] = _log_share(q[k : k + BATCH], self.choices[0], first[k : k + BATCH])
         tail = in_tail(after, self.words)
         tail = tail[np.argsort(word[tail], kind="stable")]
         for to, vectors in ((group[tail], self.choices[1]), (word[tail], self.choices[2])):
             starts = np.flatnonzero(np.diff(to // WIDTH, prepend=-1))
             for a, b in zip(starts, [*starts[1:], len(to)], strict=True):
                 lo = to[a] // WIDTH * WIDTH
-                for k in range(a, b, 8192):
-                    rows = tail[k : min(b, k + 8192)]
-                    z = q[at[rows]] @ vectors[lo : lo + WIDTH].T
-                    out[rows] += z[np.arange(len(rows)), to[k : k + len(rows)] - lo]
-                    out[rows] -= np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
+                for k in range(a, b, BATCH):
+                    rows = tail[k : min(b, k + BATCH)]
+                    out[rows] += _log_share(q[rows], vectors[lo : lo + WIDTH], to[k : k + len(rows)] - lo)
         return out
 
 
-def _norms(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    norm = np.empty(len(q), np.float32)
-    for k in range(0, len(q), 8192):
-        z = q[k : k + 8192] @ vectors.T
-        norm[k : k + 8192] = np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
-    return norm
+def _log_share(q: np.ndarray, vectors: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Logarithms of the share of the choice ``to`` among all of ``vectors``."""
+    z = q @ vectors.T
+    own = z[np.arange(len(to)), to]
+    return own - np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
 
 
-def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the rows of ``g`` by ``ids``, numbers of less than 2 ** 31."""
-    order = np.argsort(ids.astype(np.uint16 if ids.max() < 1 << 16 else np.int32), kind="stable")  # 16 bits have a faster sort
-    ids = ids[order]
+def _sums_of_runs(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of ``g`` by ``ids``, which are in order."""
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    return ids[starts], np.add.reduceat(g[order], starts, axis=0)
+    return ids[starts], np.add.reduceat(g, starts, axis=0)
+
+
+def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    return _sums_of_runs(ids[order], g[order])
 
 
 class Trainer:
@@ -237,52 +245,56 @@ class Trainer:
 
     def _level(self, k: int, q: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
         edges = self.edges[k]
-        noise = np.minimum(np.searchsorted(edges, self.rng.random(NOISE) * edges[-1]), len(edges) - 1)
+        noise = np.sort(np.minimum(np.searchsorted(edges, self.rng.random(NOISE) * edges[-1]), len(edges) - 1))
         dq, d_to, d_noise = self.gradient(k, q, to, noise)
-        rows, g = _by_row(np.concatenate([to, noise]), np.concatenate([d_to, d_noise]))
-        self._move(2 + k, rows, g / n)
+        for ids, g in (_sums_of_runs(to, d_to), _sums_of_runs(noise, d_noise)):
+            self._move(2 + k, ids, g / n)
         return dq / n
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
+        """One step over positions in the order of ``after``, in which the choices of all levels are in order as well."""
         net, n = self.net, len(after)
-        q = net.ahead(before)
+        q, a, b = net.ahead(before)
         first, group, word = levels(after, net.words)
         dq = self._level(0, q, first, n)
         tail = in_tail(after, net.words)
         if len(tail):
-            own = q[tail]
-            dq[tail] += self._level(1, own, group[tail], n) + self._level(2, own, word[tail], n)
+            tail = slice(tail[0], tail[-1] + 1)
+            dq[tail] += self._level(1, q[tail], group[tail], n) + self._level(2, q[tail], word[tail], n)
         dq = dq[:, :SIZE]
-        place = np.stack([(dq * net.context[before[:, k]]).sum(axis=0) for k in (0, 1)])
+        place = np.stack([np.einsum("ij,ij->j", dq, a), np.einsum("ij,ij->j", dq, b)])
         rows, g = _by_row(before.T.ravel() % (net.words + 1), np.concatenate([dq * net.place[0], dq * net.place[1]]))
         self._move(0, rows, g)
         self._move(1, slice(None), place)
 
-    def learn(self, texts: list[str | None], table: Table) -> None:
-        """Steps over every position of the texts, in a random order."""
+    def learn(self, texts: pa.Array, table: Table) -> None:
+        """Steps over every position of the texts, dealt to steps at random."""
         _, before, after, _ = _numbered(texts, table)
         order = self.rng.permutation(len(after))
+        order = order[np.lexsort((after[order], np.arange(len(order)) // STEP))]
+        before, after = before[order].astype(np.int32), after[order].astype(np.int32)
         for k in range(0, len(order), STEP):
-            self.step(before[order[k : k + STEP]], after[order[k : k + STEP]])
-
-
-def _numbered(texts: list[str | None], table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The codes of all tokens of the texts, the model's two numbers before each and its number, and where each text starts."""
-    code, starts, own = codes(table), [], []
-    for t in texts:
-        starts.append(len(own))
-        own += words(t)
-    code.learn(own, lambda missing: [table.numbers.get(h, h | 1 << 62) for h in [x >> 2 for x in map(word_hash, missing)]])
-    c = np.fromiter(map(code.__getitem__, own), np.int64, len(own))
-    code.trim()
-    starts = np.array(starts, np.int64)
+            self.step(before[k : k + STEP], after[k : k + STEP])
+
+
+def _numbered(texts: pa.Array, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all tokens of the texts (the number of a frequent word, else its hash, with 2 ** 62 or more), the model's two
+    numbers before each and its number, and where each text starts."""
+    which, own, lengths = split(texts)
+    h = hashes_of(own)
+    at = np.minimum(np.searchsorted(table.hashes, h), len(table.hashes) - 1)
+    code = np.where(table.hashes[at] == h, table.numbers[at], h | 1 << 62) if len(table.hashes) else h | 1 << 62
+    starts = np.r_[0, np.cumsum(lengths + 1)][:-1]
+    c = np.empty(len(which) + len(lengths), np.int64)
+    last = np.zeros(len(c), bool)
+    last[starts + lengths] = True
+    c[last], c[~last] = table.end, code[which]
     after = np.minimum(c, len(table.counts))
     before = np.full((len(c), 2), BEGIN)
     before[1:, 1] = after[:-1]
     before[2:, 0] = after[:-2]
     before[starts] = BEGIN
-    second = starts + 1
-    before[second[second < np.append(starts[1:], len(c))], 0] = BEGIN
+    before[(starts + 1)[lengths > 0], 0] = BEGIN
     return c, before, after, starts
 
 
@@ -318,7 +330,7 @@ def train(docs: DataFrame, table: Table) -> Net:
                 if trainer is None:
                     start = Net.start(shares)
                     trainer = Trainer(start.copy(), shares, TaskContext.get().partitionId())
-                trainer.learn(part.column("text").to_pylist(), table)
+                trainer.learn(part.column("text"), table)
         if trainer:
             out = np.zeros(size, np.float32)
             out[:used] = _moved(trainer, start)
@@ -364,7 +376,7 @@ def score(docs: DataFrame, table: Table, net: Net, counted: DataFrame) -> DataFr
         logs = np.log10(table.counts + 0.5)
         for batch in batches:
             for part in slices(batch, most_bytes=SLICE):
-                c, before, after, starts = _numbered(part.column("text").to_pylist(), table)
+                c, before, after, starts = _numbered(part.column("text"), table)
                 log_p = net.log_probabilities(before, after) / math.log(10)
                 common = c < FREQUENT
                 own = np.where(common, logs[np.where(common, c, 0)], 0)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import SF
@@ -162,12 +163,24 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_of_odd_texts():
+    texts = [None, "", " a\tB\x0b\n", "É\u00a0x \u2003 y", "\r\n", "one", "  Two  two\x0c", "a\x1cb\x85c"]
+    which, kinds, lengths = lm.split(pa.array(texts))
+    found, at = [kinds[k] for k in which], 0
+    for t, n in zip(texts, lengths, strict=True):
+        assert found[at : at + n] == (t or "").encode().lower().split()
+        at += n
+    c, before, after, starts = lm._numbered(pa.array(texts), lm.Table(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), lm.code_of(lm.END) | 1 << 62, 0, 0))
+    assert len(c) == len(found) + len(texts) and (c >= 1 << 62).all() and starts.tolist() == [0, *np.cumsum(lengths + 1)[:-1].tolist()]
+    assert all(before[s].tolist() == [lm.BEGIN] * 2 for s in starts) and (before[starts[6] + 1].tolist()[0] == lm.BEGIN)
+
+
 def test_every_position_is_learnt_from(spark, monkeypatch):
     texts = [None, "a", "b c", *(f"w{k} x y z" for k in range(400))]
     table = lm.table_of(lm.count(spark.createDataFrame([(t,) for t in texts], "text string")))
     seen, shares = [], lm.shares_of(table)
     monkeypatch.setattr(lm.Trainer, "step", lambda self, before, after: seen.extend(zip(before.tolist(), after.tolist(), strict=True)))
-    lm.Trainer(lm.Net.start(shares), shares, 0).learn(texts, table)
+    lm.Trainer(lm.Net.start(shares), shares, 0).learn(pa.array(texts), table)
     assert len(seen) == table.total
     assert sum(before == [lm.BEGIN] * 2 for before, _ in seen) == len(texts)
 
@@ -177,11 +190,11 @@ def test_model_tells_rarer_words_apart(spark):
     fill, pairs = " ".join(f"f{k} " * 100 for k in range(900)), [f"{w} {a}" for w in range(60) for a in ("ax ay", "bx by")]
     table = lm.table_of(lm.count(spark.createDataFrame([(t,) for t in [fill, *pairs]], "text string")))
     shares = lm.shares_of(table)
-    ax, ay, bx, by = ids = [lm.codes(table)[w] for w in (b"ax", b"ay", b"bx", b"by")]
+    ax, ay, bx, by = ids = lm._numbered(pa.array(["ax ay bx by"]), table)[0][:4].tolist()
     assert min(ids) > 900 and max(ids) < len(shares) - 1
     trainer = lm.Trainer(lm.Net.start(shares), shares, 0)
     for _ in range(40):
-        trainer.learn(pairs * 8, table)
+        trainer.learn(pa.array(pairs * 8), table)
     own, odd, own_b, odd_b = trainer.net.log_probabilities(np.array([[lm.BEGIN, ax], [lm.BEGIN, ax], [lm.BEGIN, bx], [lm.BEGIN, bx]]), np.array([ay, by, by, ay]))
     assert own > odd + 1 and own_b > odd_b + 1
     assert abs(np.exp(trainer.net.log_probabilities(np.array([[ax, ay]] * len(shares)), np.arange(len(shares)))).sum() - 1) < 1e-4
@@ -205,18 +218,23 @@ def plain_log_probability(net, before, after):
 
 def test_score_is_a_plain_normalised_sum(spark, docs):
     some = docs.limit(40)
+
+    def plain_words(text):
+        return [*(text or "").encode().lower().split(), lm.END]
+
     table = lm.table_of(lm.count(docs))
     net = lm.train(some, table)
     counted = lm.count(docs)
-    numbers = lambda w: table.numbers.get(lm.word_hash(w) >> 2)
+    number_of = dict(zip(table.hashes.tolist(), table.numbers.tolist(), strict=True))
+    numbers = lambda w: number_of.get(lm.code_of(w))
     n_of = {r.word: r.n for r in counted.collect()}
     for r in lm.score(some.select("doc_id", "text"), table, net, counted).join(some.select("doc_id", "text"), "doc_id").limit(6).collect():
         before, total = [lm.BEGIN, lm.BEGIN], 0.0
-        for w in lm.words(r.text):
+        for w in plain_words(r.text):
             k = numbers(w)
             total += plain_log_probability(net, before, len(table.counts) if k is None else k) / math.log(10)
             if k is None:
-                total += math.log10((n_of[lm.word_hash(w) >> 2] + 0.5) / table.rest)
+                total += math.log10((n_of[lm.code_of(w)] + 0.5) / table.rest)
             before = [before[1], len(table.counts) if k is None else k]
         assert abs(total - r.score) < 1e-3 * r.n_tokens
 
