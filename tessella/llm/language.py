@@ -9,6 +9,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,10 @@ BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: CALIBRATE-th of them fits the temperature instead. Document frequencies cover all training rows.
 SAMPLE, CALIBRATE, EPOCHS = 600, 5, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
-NO_LETTER, LOWEST, DOUBT = "und", 0.3, 0.01
+NO_LETTER, DOUBT = "und", 0.01
+#: What a text must have to be of a known language: of the way from a blind guess to certainty, and n-grams that COMMON of the
+#: learnt texts of some language have: this share of its own, or SLACK times that of nearly all labelled texts if they have less.
+SURE, KNOWN, COMMON, SLACK = 0.1, 0.85, 0.01, 0.9
 _LETTER = regex.compile(r"\p{L}").search
 _letters: list[np.ndarray] = []
 
@@ -111,31 +115,68 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     heat: float
+    known: np.ndarray
+    least_known: float
+
+    def accepts(self, text: str | None) -> bool:
+        """Whether a text is of one of the languages: its best one is likelier than a blind guess would be by SURE of what is left,
+        and its n-grams are known ones. Without a letter, or without a model, it is not."""
+        if not text or not self.languages or not _LETTER(text):
+            return False
+        at, n = counts(text)
+        chance = 1 / len(self.languages)
+        return self.shares(at, n).max() >= chance + SURE * (1 - chance) and share_known(at, n, self.known) >= self.least_known
+
+    def shares(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return softmax(tf_idf(at, n, self.idf) @ self.weights[at] / self.heat)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its calibrated probability; 'und' and 0 for a text without letters, or without a model."""
         if not text or not self.languages or not _LETTER(text):
             return NO_LETTER, 0.0
-        at, n = counts(text)
-        p = softmax(tf_idf(at, n, self.idf) @ self.weights[at] / self.heat)
+        p = self.shares(*counts(text))
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
 
+def share_known(at: np.ndarray, n: np.ndarray, known: np.ndarray) -> float:
+    return float(n[known[at]].sum() / n.sum())
+
+
+def common_ngrams(rows: list[tuple[np.ndarray, int]], classes: int) -> np.ndarray:
+    """For each bucket, whether COMMON of the texts of some class have it, of rows of (buckets, class)."""
+    known = np.zeros(BUCKETS, bool)
+    for label in range(classes):
+        own = [at for at, y in rows if y == label]
+        if own:
+            known |= np.bincount(np.concatenate(own), minlength=BUCKETS) >= max(1, COMMON * len(own))
+    return known
+
+
 def remainder(divisor: int) -> Column:
     """crc32 of doc_id as text, modulo ``divisor``; 0 without doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor, F.lit(0))
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """lang, doc_id, text of SAMPLE documents of each language at most: one text of a doc_id, the least. Rows without doc_id are
-    documents by their text, and only of languages that have no other."""
+    """lang, doc_id, text of SAMPLE documents of each language at most, those of the least hashes: one text of a doc_id, the least.
+    Rows without doc_id are documents by their text, and only of languages that have no other.
+
+    How many leading zeros a hash must have is found from counts first, so what meets by language is some 2 * SAMPLE names.
+    """
+    named = docs.where("doc_id is not null").select("lang", "doc_id", F.lit(None).cast("long").alias("own"))
+    names = named.union(docs.where("doc_id is null").select("lang", "doc_id", F.xxhash64("text").alias("own"))).distinct()
+    names = names.withColumn("none", F.col("doc_id").isNull()).withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "own"), 1))
+    names = names.withColumn("zeros", F.floor(63 - F.log2(F.col("hash") + 1.0)))
+    counts = names.groupBy("lang", "none", "zeros").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang", "none").orderBy(F.desc("zeros")))
+    cuts = counts.withColumn("enough", F.when(upto >= SAMPLE, F.col("zeros"))).groupBy("lang", "none").agg(F.coalesce(F.max("enough"), F.lit(0)).alias("least"))
+    cuts = cuts.withColumn("first", F.min("none").over(Window.partitionBy("lang"))).where("none = first").drop("first")
+    names = names.join(cuts, ["lang", "none"]).where("zeros >= least")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id", "own"))
+    names = names.withColumn("nth", nth).where(F.col("nth") <= SAMPLE)
+    names = F.broadcast(names.select(*[F.col(c).alias(f"__{c}") for c in ("lang", "doc_id", "own")]))  # no more than the rows that the driver gets
     docs = docs.withColumn("own", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    names = docs.select("lang", "doc_id", "own").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("doc_id").isNull(), F.xxhash64("doc_id"), "doc_id", "own"))
-    some = F.count("doc_id").over(Window.partitionBy("lang"))
-    names = names.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).withColumn("some", some).where("doc_id is not null or some = 0")
-    names = F.broadcast(names.select(*[F.col(c).alias(f"__{c}") for c in ("lang", "doc_id", "own")]))
     same = (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("own").eqNullSafe(F.col("__own"))
     return docs.join(names, same, "left_semi").groupBy("lang", "doc_id", "own").agg(F.min("text").alias("text")).drop("own")
 
@@ -165,14 +206,18 @@ def fit(docs: DataFrame) -> Model:
     rows = map_column(sample, "text", "at binary, n binary", lambda: features).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at", "n").collect()
     idf = np.log((1 + n) / (1.0 + df)) + 1
     languages = sorted({r.lang for r in rows})
-    data = []
+    data, occurrences = [], []
     for r in rows:
-        at = np.frombuffer(r["at"], "<u2").astype(np.int64)
-        data.append((at, tf_idf(at, np.frombuffer(r["n"], "<u4"), idf), languages.index(r.lang)))
-    held = data[::CALIBRATE] if len(data) >= 10 * CALIBRATE else []
-    w = train([x for k, x in enumerate(data) if k % CALIBRATE or not held], len(languages)) if languages else np.zeros((BUCKETS, 0))
-    heat = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([y for *_, y in held], int)) if held else 1.0
-    return Model(languages, idf, w.astype(np.float32), heat)
+        at, times = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")
+        data.append((at, tf_idf(at, times, idf), languages.index(r.lang)))
+        occurrences.append(times)
+    held = list(range(0, len(data), CALIBRATE)) if len(data) >= 10 * CALIBRATE else []
+    learnt = [x for k, x in enumerate(data) if k % CALIBRATE or not held]
+    w = train(learnt, len(languages)) if languages else np.zeros((BUCKETS, 0))
+    heat = temperature(np.array([data[k][1] @ w[data[k][0]] for k in held]), np.array([data[k][2] for k in held], int)) if held else 1.0
+    known = common_ngrams([(at, y) for at, _, y in learnt], len(languages))
+    usual = [share_known(data[k][0], occurrences[k], known) for k in held]
+    return Model(languages, idf, w.astype(np.float32), heat, known, min(KNOWN, SLACK * float(np.quantile(usual, 0.01))) if usual else 0.0)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -200,17 +245,20 @@ def held_out_languages(docs: DataFrame) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text a model of the labelled rows gives a language with a score of LOWEST or more."""
+    """The rows of ``docs`` whose text is of a language that a model of the labelled rows knows (:meth:`Model.accepts`).
+
+    Texts that are null, empty or without a letter go, as do all if no row is labelled; labels of the rows themselves are
+    learnt from but not looked at to decide; texts are read whole; repeated rows stay or go together; all columns stay as
+    they are; an empty table gives an empty table.
+    """
     model = fit(docs.where(remainder(4) != 2))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
     def run(batches):
-        import pyarrow as pa
-
         release()
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array([shared.value.predict(t)[1] >= LOWEST for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([shared.value.accepts(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

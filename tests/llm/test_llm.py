@@ -79,6 +79,79 @@ def test_language_sample_counts_documents(spark):
     assert sorted(r.text for r in found if r.lang == "de") == sorted(f"ohne {k}" for k in range(30))
 
 
+def foreign():
+    """Texts of languages that no row is labelled with, letter salad, and codes."""
+    import random
+
+    r = random.Random(3)
+    return [
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60)), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600)),
+        "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в тёмный лес.", "Szybki brązowy lis przeskakuje nad leniwym psem i ucieka do ciemnego lasu, gdzie mieszkają wilki i niedźwiedzie.",
+        "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee pimeään metsään, jossa asuvat sudet ja karhut.", "これは日本語の文章です。", "a" * 500, None, "", "12 34 !?",
+    ]
+
+
+def test_unknown_languages_go(spark, docs):
+    rows = docs.unionByName(spark.createDataFrame([(10**9 + k, t, None, "s", 1) for k, t in enumerate(foreign())], docs.schema)).withColumn("score", docs["doc_id"] * 0.5)
+    left = language.with_known_language(rows)
+    assert left.columns == rows.columns and left.schema == rows.schema
+    left = {r.doc_id for r in left.collect()}
+    assert left == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_known_language_of_odd_tables(spark, odd):
+    left = language.with_known_language(odd)
+    assert left.schema == odd.schema
+    rows = Counter(r.doc_id for r in left.collect())
+    assert rows[4] == 2 and rows[3] == 1 and rows[8] == 1 and not {1, 2, 7, 9} & set(rows)
+    assert language.with_known_language(odd.withColumn("lang", odd["lang"].substr(9, 1)).where("false")).count() == 0
+    unlabelled = odd.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert language.with_known_language(unlabelled).count() == 0
+
+
+def plain_ftrl(rows, classes):
+    """Follow the regularised leader, one weight at a time, from its sums."""
+    z, n = {}, {}
+
+    def weight(i, k):
+        a, b = z.get((i, k), 0.0), n.get((i, k), 0.0)
+        return 0.0 if abs(a) <= language.L1 else -(a - math.copysign(language.L1, a)) / ((language.BETA + math.sqrt(b)) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for at, x, label in rows:
+            w = {(i, k): weight(i, k) for i in at for k in range(classes)}
+            s = [sum(w[i, k] * v for i, v in zip(at, x, strict=True)) for k in range(classes)]
+            e = [math.exp(v - max(s)) for v in s]
+            for i, v in zip(at, x, strict=True):
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == label))
+                    was = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / language.ALPHA * w[i, k]
+                    n[i, k] = was + g * g
+    return {key: weight(*key) for key in z}
+
+
+def test_regression_is_the_plain_one():
+    texts = ["the cat sat", "der hund lief", "le chat dort", "a dog ran the", "die katze und", "le chien et la"]
+    idf = np.linspace(1, 2, language.BUCKETS)
+    rows = []
+    for k, t in enumerate(texts):
+        at, n = language.counts(t)
+        x = np.array([(1 + math.log(c)) * idf[i] for i, c in zip(at.tolist(), n.tolist(), strict=True)])
+        assert np.allclose(language.tf_idf(at, n, idf), x / math.sqrt((x**2).sum()))
+        rows.append((at.tolist(), (x / math.sqrt((x**2).sum())).tolist(), k % 3))
+    w = language.train([(np.array(a), np.array(x), y) for a, x, y in rows], 3)
+    plain = plain_ftrl(rows, 3)
+    assert all(abs(w[i, k] - v) < 1e-9 for (i, k), v in plain.items()) and abs(w).sum() > 0 and (w == 0).any()
+    logits, labels = np.random.default_rng(1).normal(size=(200, 3)) * 4, np.random.default_rng(2).integers(0, 3, 200)
+
+    def loss(t):
+        p = np.log(np.exp(logits / t) / np.exp(logits / t).sum(axis=1, keepdims=True))
+        return -((1 - language.DOUBT) * p[np.arange(200), labels] + language.DOUBT * p.mean(axis=1)).mean()
+
+    assert loss(language.temperature(logits, labels)) <= min(loss(t) for t in np.geomspace(0.03, 40, 400)) + 1e-6
+
+
 def test_shards(docs, odd):
     for table in (docs, odd):
         rows, texts = sharding.assign(table).collect(), {r.doc_id: r.text or "" for r in table.collect()}
@@ -496,12 +569,13 @@ def test_pipeline(spark, docs, odd):
     import corpus_pipeline
 
     kept = docs
+    kept = kept.unionByName(spark.createDataFrame([(10**9 + k, t, None, "s", 1) for k, t in enumerate(foreign())], docs.schema))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, kept = kept.collect(), stage(spark, kept, SF)
         assert kept.columns == docs.columns
         left = {r.doc_id for r in kept.collect()}
         if name == "language":
-            assert {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")} - left == set()
+            assert left == {r.doc_id for r in before if r.doc_id < 10**9 and any(c.isalpha() for c in r.text or "")}
         if name == "near_copies":
             assert left == {c for _, _, c in plain_groups(before)}
     pieces = corpus_pipeline.run(spark, SF).collect()
