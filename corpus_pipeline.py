@@ -10,7 +10,7 @@ from tessella.llm.scratch import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best language has a calibrated probability under 0.3, go."""
+    """Documents without a letter, hardly likelier in one known language than in any, or of unknown n-grams go."""
     return language.with_known_language(docs)
 
 
