@@ -16,7 +16,7 @@ from __future__ import annotations
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from . import gather
 from .arrow import fields, record_batch, slices
 from .components import components
-from .scratch import stored
+from .scratch import forget, stored
 from .words import HASHES, hashes, mixed, run_hashes
 
 SHINGLE, NEEDED, OF = 5, 75, 100
@@ -42,30 +42,34 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(run_hashes(hashes(words), min(SHINGLE, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def node_of(sets: np.ndarray) -> int:
-    """64 bits that stand for a set. Two of n sets collide with a chance of about n * n / 2 ** 65."""
-    return int.from_bytes(blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names_of(sets: np.ndarray) -> tuple[int, int]:
+    """Twice 64 bits that stand for a set. It goes by the first, or if several sets have that, by the second."""
+    data = blake2b(sets.tobytes(), digest_size=16).digest()
+    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
 
 
 def linked(common, a, b):
     return OF * common >= NEEDED * (a + b - common)
 
 
-def _sets(batch, seen: set[int]):
-    """Of each row that has a set and whose set the task hasn't seen: its node and set."""
+def _sets(batch, seen: set[int], shared: frozenset[int]):
+    """Of each row that has a set and whose set the task hasn't seen: its node and set. ``shared``: first names of several sets."""
     for part in slices(batch):
         for text in part.column("text").to_pylist():
             s = shingles(text or "")
-            if len(s) and (node := node_of(s)) not in seen:
-                seen.add(node)
-                yield node, s
+            if len(s):
+                node, other = names_of(s)
+                node = other if node in shared else node
+                if node not in seen:
+                    seen.add(node)
+                    yield node, s
         HASHES.trim()
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node of every row."""
+    """doc_id, text_hash, n_shingles, node, other (the set's two names) of every row."""
     docs = docs.select("doc_id", "text", F.expr(TEXT_HASH).alias("text_hash"))
-    schema = StructType(docs.select("doc_id").schema.fields + StructType.fromDDL("text_hash long, n_shingles long, node long").fields)
+    schema = StructType(docs.select("doc_id").schema.fields + StructType.fromDDL("text_hash long, n_shingles long, node long, other long").fields)
     types = fields(schema)
 
     def run(batches):
@@ -74,15 +78,14 @@ def _survey(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = [shingles(text or "") for text in part.column("text").to_pylist()]
                 HASHES.trim()
-                yield record_batch({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets]}, types)
+                names = [names_of(s) if len(s) else (None, None) for s in sets]
+                yield record_batch({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": [len(s) for s in sets], "node": [a for a, _ in names], "other": [b for _, b in names]}, types)
 
     return docs.mapInArrow(run, schema)
 
 
 def _rows(pairs, column: str, types, size: int = 200_000):
     """Record batches of (array, node) pairs, each value of the array in a row with its node and the array's full size."""
-    import pyarrow as pa
-
     held, n = [], 0
 
     def out():
@@ -101,7 +104,7 @@ def _rows(pairs, column: str, types, size: int = 200_000):
         yield out()
 
 
-def _lonely(docs: DataFrame) -> DataFrame:
+def _lonely(docs: DataFrame, shared: frozenset[int]) -> DataFrame:
     """node and alone: how many of its shingles in the counted share no other set has (at least)."""
     types = fields(StructType.fromDDL("token long, node long"))
     most = np.uint64(COUNTED << 54)
@@ -110,25 +113,24 @@ def _lonely(docs: DataFrame) -> DataFrame:
         HASHES.use()
         seen: set[int] = set()
         for batch in batches:
-            yield from _rows(((s[: np.searchsorted(s, most)] >> np.uint64(64 - COUNTED_BITS), node, 0) for node, s in _sets(batch, seen)), "token", types)
+            yield from _rows(((s[: np.searchsorted(s, most)] >> np.uint64(64 - COUNTED_BITS), node, 0) for node, s in _sets(batch, seen, shared)), "token", types)
 
     owned = docs.mapInArrow(run, "token long, node long").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     return owned.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
 
 
-def boundary(by_size: pd.DataFrame) -> int:
+def boundary(by_size: list[tuple[int, float, float]]) -> int:
     """The size from which sets are heavy, by the least cost in rows: those of subsets, those of postings, and as many again
     for the scans of heavy sets, which meet the first member of a list for each posting.
 
-    ``by_size``: n (a size), and over its sets the sums of subsets and postings. Light sets of three quarters of the
-    boundary write postings too (they are what heavy sets of at most 4/3 their size must find).
+    ``by_size``: a size, and over its sets the sums of subsets and postings. Light sets of three quarters of the boundary
+    write postings too (they are what heavy sets of at most 4/3 their size must find).
     """
-    if not len(by_size):
+    if not by_size:
         return 0
-    by_size = by_size.sort_values("n").astype(float)
-    s = by_size["n"].to_numpy()
-    light = np.concatenate([[0], np.cumsum(by_size["subsets"])])
-    posted = np.concatenate([np.cumsum(by_size["postings"].to_numpy()[::-1])[::-1], [0]])
+    s, subsets, postings = np.array(sorted(by_size), float).T
+    light = np.concatenate([[0], np.cumsum(subsets)])
+    posted = np.concatenate([np.cumsum(postings[::-1])[::-1], [0]])
     at = np.concatenate([s, [s[-1] + 1]])
     return int(at[(light + posted[np.searchsorted(s, NEEDED * at / OF)] + posted).argmin()])
 
@@ -154,7 +156,7 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     """key, node, n, first, first_n of the lists that have several members."""
     each = prefixes.groupBy("node", "n").agg(F.max("nth").alias("k"), F.max("need").alias("need"))
     by_size = each.groupBy("n").agg(F.sum(F.expr("k * (k - 1) / 2")).alias("subsets"), F.sum("need").alias("postings"))
-    heavy_from = boundary(by_size.toPandas())
+    heavy_from = boundary([(r.n, float(r.subsets), float(r.postings)) for r in by_size.collect()])
     single = prefixes.where(f"nth <= need and {OF} * n >= {NEEDED} * {heavy_from}").select(F.col("token").alias("key"), "node", "n")
     light = prefixes.where(f"n < {heavy_from}").groupBy("node", "n").agg(F.collect_list("token").alias("ts"))
     pair = "xxhash64(least(a, b), greatest(a, b))"
@@ -169,7 +171,7 @@ def _bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> DataFrame:
     """node and data (its set) for the nodes in ``wanted`` (node, doc_id: one document that has it).
 
     A filter of fixed size keeps other rows from being worked on; rows that pass it by chance go by the join.
@@ -194,8 +196,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     types = fields(schema)
 
     def run(batches):
-        import pyarrow as pa
-
         HASHES.use()
         seen: set[int] = set()
         for batch in batches:
@@ -203,7 +203,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             bits = shared.value
             here = (bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1
             rows, size = [], 0
-            for row in _sets(batch.filter(pa.array(here.astype(bool))), seen):
+            for row in _sets(batch.filter(pa.array(here.astype(bool))), seen, collided):
                 rows.append(row)
                 size += len(row[1])
                 if size > 500_000:
@@ -235,14 +235,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def decide(members: pd.DataFrame) -> pd.DataFrame:
-    """Links between the groups of some sets (node, comp, data), as many as connect what is linked.
+def decide(nodes: np.ndarray, comps: np.ndarray, data: list[bytes]) -> list[tuple[int, int]]:
+    """Links between the groups of some sets, as many as connect what is linked.
 
     The overlap of all of them comes from products of incidence matrices over shingles that at least two have.
     """
-    members = members.drop_duplicates("node")
-    sets = [np.frombuffer(x, np.uint64) for x in members["data"]]
-    comp, n = members["comp"].to_numpy(), len(members)
+    _, first = np.unique(nodes, return_index=True)
+    comp, n = comps[first], len(first)
+    sets = [np.frombuffer(data[k], np.uint64) for k in first]
     size = np.array([len(s) for s in sets])
     which, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row, keep = np.repeat(np.arange(n), size), counts[at] > 1
@@ -269,50 +269,82 @@ def decide(members: pd.DataFrame) -> pd.DataFrame:
         a, b = top(comp[i]), top(comp[j])
         if a != b:
             parent[a] = b
-            out.append((comp[i], comp[j]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+            out.append((int(comp[i]), int(comp[j])))
+    return out
+
+
+def _decided(members: pa.Table) -> pa.Table:
+    found = decide(members.column("node").to_numpy(), members.column("comp").to_numpy(), members.column("data").to_pylist())
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
 def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between groups that share a list; ``lists``: key, node, comp, only lists over several groups."""
-    low = lists.groupBy("key").agg(F.min("comp").alias("low"))
-    place = lists.join(low, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("place"))
+    """Links (u, v) between groups that share a list; ``lists``: key, node, n, comp, low (the least comp of the list), only lists
+    over several groups.
+
+    Members of lists with one least group are dealt to blocks: where they are many, members of one large group, and else
+    sets of one class of sizes (linked sets are of one class or of neighbours). Two blocks that share a list meet unless
+    both are of one group or no sizes in them could be linked.
+    """
+    size_class = F.floor(F.log("n") / float(np.log(OF / NEEDED)))
+    place = lists.groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("place"), F.first(size_class).alias("size"))
     own = place.groupBy("place", "comp").agg(F.count("*").alias("n"))
-    pure = F.when(F.col("n") >= BLOCK // 2, F.col("comp"))
-    own = own.withColumn("pure", pure)
-    many = own.groupBy("place", "pure").agg(F.sum("n").alias("all"))
-    dealt = place.join(own, ["place", "comp"]).alias("x").join(many.alias("y"), (F.col("x.place") == F.col("y.place")) & F.col("x.pure").eqNullSafe(F.col("y.pure")))
-    nth = F.pmod(F.xxhash64("x.node"), F.ceil(F.col("all") / BLOCK))
-    dealt = dealt.select("node", "comp", F.col("x.pure").alias("pure"), F.xxhash64("x.place", F.coalesce("x.pure", F.lit(0)), F.col("x.pure").isNull(), nth).alias("block"))
-    dealt = stored(dealt, "blocks")
-    of_list = lists.select("key", "node").join(dealt, "node").select("key", F.struct("block", "pure").alias("b")).distinct().groupBy("key").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    of_list = of_list.select("bs").distinct().withColumn("a", F.explode("bs")).withColumn("b", F.explode(F.filter("bs", lambda y: y["block"] >= F.col("a")["block"])))
-    same = F.coalesce(F.col("a")["pure"] == F.col("b")["pure"], F.lit(False))
-    pairs = stored(of_list.where(~same).select(F.col("a")["block"].alias("a"), F.col("b")["block"].alias("b")).distinct(), "block-pairs")
+    own = own.withColumn("pure", F.when(F.col("n") >= BLOCK // 2, F.col("comp")))
+    sized = place.join(own, ["place", "comp"])
+    full = sized.groupBy("place", "pure").agg(F.count("*").alias("all"))
+    same = lambda a, b: (F.col(f"{a}.place") == F.col(f"{b}.place")) & F.col(f"{a}.pure").eqNullSafe(F.col(f"{b}.pure"))
+    sized = sized.alias("x").join(full.alias("y"), same("x", "y")).select("node", "comp", "size", "x.place", "x.pure", F.when(F.col("all") > BLOCK, F.col("size")).otherwise(-1).alias("only"))
+    sized = stored(sized, "sized")
+    many = sized.groupBy("place", "pure", "only").agg(F.count("*").alias("all"))
+    dealt = sized.alias("x").join(many.alias("y"), same("x", "y") & (F.col("x.only") == F.col("y.only")))
+    nth = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK))
+    dealt = stored(dealt.select("node", "comp", "size", F.col("x.pure").alias("pure"), F.xxhash64("x.place", F.coalesce("x.pure", F.lit(0)), F.col("x.pure").isNull(), "x.only", nth).alias("block")), "blocks")
+    ranges = dealt.groupBy("block").agg(F.first("pure").alias("pure"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    of_list = lists.select("key", "node").join(dealt.select("node", "block"), "node").select("key", "block").distinct().join(ranges, "block")
+    of_list = of_list.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("block", "pure", "lo", "hi"))).alias("bs")).select("bs").distinct()
+    of_list = of_list.withColumn("a", F.explode("bs")).withColumn("b", F.explode(F.filter("bs", lambda y: (y["block"] >= F.col("a")["block"]) & (y["lo"] <= F.col("a")["hi"] + 1) & (F.col("a")["lo"] <= y["hi"] + 1))))
+    one = F.coalesce(F.col("a")["pure"] == F.col("b")["pure"], F.lit(False))
+    pairs = stored(of_list.where(~one).select(F.col("a")["block"].alias("a"), F.col("b")["block"].alias("b")).distinct(), "block-pairs")
+    forget(sized)
     sides = pairs.select("a", "b", F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
-    members = sides.join(dealt, "block").select("a", "b", "node", "comp").join(sets, "node")
-    return members.groupBy("a", "b").applyInPandas(lambda m: decide(m), "u long, v long")
+    members = sides.join(dealt.select("node", "comp", "block"), "block").select("a", "b", "node", "comp").join(sets, "node")
+    links = stored(members.groupBy("a", "b").applyInArrow(lambda m: _decided(m), "u long, v long"), "links-across")
+    forget(dealt, pairs)
+    return links
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, root for every row of ``docs`` (doc_id, text): rows of one component have one root. Rows
     without words are in one component if they are repeated."""
     docs = docs.select("doc_id", "text")
-    rows = stored(_survey(docs), "shingles")
+    rows = surveyed = stored(_survey(docs), "shingles")
+    two = rows.where("node is not null").groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi")
+    shared = frozenset(r.node for r in two.select("node").collect())  # n sets have about n * n / 2 ** 65 such
+    if shared:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*shared), F.col("other")).otherwise(F.col("node")))
     nodes = rows.where("n_shingles > 2").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    wanted = nodes.join(_lonely(docs), "node", "left").where(f"coalesce(alone, 0) <= n - ceil({NEEDED} * n / {OF})").select("node", "doc_id")
-    sets = stored(_sets_of(docs, stored(wanted, "wanted")), "sets")
-    lists = stored(_lists(stored(_prefixes(sets), "prefixes")), "lists")
+    wanted = nodes.join(_lonely(docs, shared), "node", "left").where(f"coalesce(alone, 0) <= n - ceil({NEEDED} * n / {OF})").select("node", "doc_id")
+    wanted = stored(wanted, "wanted")
+    sets = stored(_sets_of(docs, wanted, shared), "sets")
+    prefixes = stored(_prefixes(sets), "prefixes")
+    lists = stored(_lists(prefixes), "lists")
+    forget(wanted, prefixes)
     pairs = lists.where(f"node <> first and {OF} * least(n, first_n) >= {NEEDED} * greatest(n, first_n)").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     roots = components(_verified(pairs, sets))
-    placed = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    placed = lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
     placed = stored(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    merged = components(_across(stored(placed.join(several, "key"), "across"), sets))
-    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "low")
+    across = stored(placed.join(several, "key"), "across")
+    forget(lists, placed)
+    links = _across(across, sets)
+    merged = components(links)
+    forget(across, links, sets)
+    to_top = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
     own = F.xxhash64("doc_id", "text_hash", F.lit("no words"))
-    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", own)).join(merged, "root", "left")
-    return stored(named.select("doc_id", "text_hash", "n_shingles", F.coalesce("top", "root").alias("root")), "components")
+    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", own)).join(to_top, "root", "left")
+    named = stored(named.select("doc_id", "text_hash", "n_shingles", F.coalesce("top", "root").alias("root")), "components")
+    forget(surveyed, roots, merged)
+    return named
 
 
 def join_groups(docs: DataFrame) -> DataFrame:
