@@ -186,6 +186,8 @@ class Net:
         for k in range(0, len(after), BATCH):
             out[k : k + BATCH] = _log_share(q[k : k + BATCH], self.choices[0], first[k : k + BATCH])
         tail = in_tail(after, self.words)
+        if not len(tail):
+            return out
         tail = tail[np.argsort(word[tail], kind="stable")]
         for to, vectors in ((group[tail], self.choices[1]), (word[tail], self.choices[2])):
             starts = np.flatnonzero(np.diff(to // WIDTH, prepend=-1))
