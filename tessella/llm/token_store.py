@@ -1,8 +1,9 @@
 """Token ids in files of separately compressed documents with one shared zstandard dictionary.
 
 A file: ``TIDS`` and a version byte, the dictionary's sha256 (32 bytes), the frames one after another, the index, then the
-index's offset and the number of documents (two little-endian 64-bit integers). The index has for each document its id,
-its frame's offset and size, and its number of ids: four little-endian 64-bit integers. The dictionary is a file beside
+index's offset and the number of documents (two little-endian 64-bit integers). The index has for each document its id
+(the least integer if it has none), its frame's offset and size, and its number of ids, with bit 62 set if it has no id of
+its own: four little-endian 64-bit integers. The dictionary is a file beside
 them, named by its hash.
 """
 
@@ -14,20 +15,27 @@ import zlib
 from bisect import bisect_left
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .arrow import MOST_BYTES, fields, map_column, record_batch, slices
-from .scratch import fresh_path
+from .arrow import MOST_BYTES, fields, record_batch, slices
+from .scratch import fresh_path, stored
 from .token_ids import encoder
+from .words import word_hash
 
-MAGIC = b"TIDS\x01"
-#: The dictionary learns from this many documents at most, those of the smallest hashes, and this many bytes of each.
+MAGIC = b"TIDS\x02"
+#: The dictionary learns from this many documents at most, those of the smallest hashes, and of each from one run of this many
+#: bytes, wherever a hash of the document puts it. Only the ratio of compression depends on them.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1500, 32_768, 112_640
-FILE_BYTES = 32 << 20
-NO_ID = -(1 << 63)
+#: Bytes of a file, and of texts in a range of doc_id that a task writes.
+FILE_BYTES, RANGE_BYTES = 32 << 20, 256 << 20
+#: Tasks whose files are added up together.
+GROUP = 1024
+#: In the index, added to the number of ids of a document without an id of its own.
+NO_ID = 1 << 62
 
 
 def file_system(uri: str):
@@ -37,17 +45,32 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def chunk(ids: bytes, name: int) -> bytes:
+    """SAMPLE_BYTES of a document's ids, or all; where they start depends on ``name``."""
+    spare = len(ids) // 4 - SAMPLE_BYTES // 4
+    start = 4 * (word_hash(str(name).encode()) % (spare + 1)) if spare > 0 else 0
+    return ids[start : start + SAMPLE_BYTES]
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
     """A dictionary from serialized id arrays of a bounded sample; empty if there is too little to learn from."""
     import zstandard
 
-    names = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(names), "doc_id", "left_semi").select("doc_id", "text")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    few = min((1 << 63) - 1, 4 * SAMPLE_DOCS * (1 << 63) // max(1, docs.count()))  # hashes of some four times as many documents
+    names = docs.where(place <= few).select("doc_id").distinct().orderBy(place, "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.join(F.broadcast(names), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    types = [("doc_id", pa.int64()), ("ids", pa.binary())]
 
-    def make():
-        return lambda texts: {"ids": [x[:SAMPLE_BYTES] for x in encoder(tokenizer_path).encode(texts, end_id)]}
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch):
+                names = part.column("doc_id").to_pylist()
+                ids = encoder(tokenizer_path).encode(part.column("text").to_pylist(), end_id)
+                yield record_batch({"doc_id": names, "ids": [chunk(x, n) for x, n in zip(ids, names, strict=True)]}, types)
 
-    rows = map_column(sample, "text", "ids binary", make).orderBy("doc_id", "ids").limit(SAMPLE_DOCS).collect()
+    rows = sample.select("doc_id", "text").mapInArrow(cut, "doc_id long, ids binary").orderBy("doc_id").collect()
     try:
         return zstandard.train_dictionary(DICT_BYTES, [bytes(r.ids) for r in rows], level=3).as_bytes()
     except zstandard.ZstdError:
@@ -77,9 +100,10 @@ class Writer:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self.pack.compress(ids)
-        self.index.append((doc_id, self.at, len(frame), len(ids) // 4))
+        name, extra = (-(1 << 63), NO_ID) if doc_id is None else (doc_id, 0)
+        self.index.append((name, self.at, len(frame), len(ids) // 4 + extra))
         self.ids += len(ids) // 4
         self._put(frame)
 
@@ -112,16 +136,19 @@ class Reader:
     def ids(self, k: int) -> bytes:
         _, at, size, n = self.index[k].tolist()
         data = self.unpack.decompress(self.file.read_at(size, at))
-        if len(data) != 4 * n:
+        if len(data) != 4 * (n & NO_ID - 1):
             raise ValueError("a document has another length than its index says")
         return data
 
+    def doc_id(self, k: int) -> int | None:
+        return None if self.index[k, 3] & NO_ID else int(self.index[k, 0])
+
     def find(self, doc_id: int) -> list[int]:
         """Positions of a document; files are in ascending order of ids."""
         names = self.index[:, 0]
         k, out = bisect_left(names, doc_id), []
         while k < len(names) and names[k] == doc_id:
-            out.append(k)
+            out += [k] * (self.doc_id(k) is not None)
             k += 1
         return out
 
@@ -130,9 +157,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
     """Write ``docs`` (doc_id integer, text) in ascending order of doc_id as files in ``folder``; the dictionary's path and
     the manifest (file, docs, ids, first: ids in files before it).
 
-    Texts are shuffled once, by ranges of doc_id; the driver gets a row per file. A task that runs again writes the same
-    files again under names of its own attempt, and only the attempt that ended is in the manifest.
+    Texts are shuffled once, by ranges of doc_id (and of text, where one id has many rows) as many as the table's size
+    asks for. A task that runs again writes the same files again under names of its own attempt, and only the attempt that
+    ended is in the manifest, which is a stored table: its sums are built up over groups of tasks, then within each.
     """
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("doc_id must be an integer")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     data = train_dictionary(rows, tokenizer_path, end_id)
@@ -158,7 +188,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
                     if now is None:
                         uri = f"{folder}/{task.partitionId():06d}-{len(made):04d}-{task.taskAttemptId()}.tids"
                         now = (uri, Writer(uri, shared.value))
-                    now[1].add(NO_ID if doc_id is None else doc_id, ids)
+                    now[1].add(doc_id, ids)
                     if now[1].at >= FILE_BYTES:
                         end()
                         now = None
@@ -169,13 +199,16 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
 
     schema = StructType.fromDDL("task int, nth int, file string, docs long, ids long")
     types = fields(schema)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.crc32("text"), F.octet_length("text")).mapInArrow(run, schema).collect()
-    first, manifest = 0, []
-    for r in sorted(made):
-        manifest.append((r.file, r.docs, r.ids, first))
-        first += r.ids
-    return dict_uri, spark.createDataFrame(manifest, "file string, docs long, ids long, first long")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, 1 << 20))
+    order = ["doc_id", F.crc32("text"), F.octet_length("text")]
+    dealt = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(n, *order, "nth")  # equal rows may part
+    made = dealt.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, schema)
+    made = stored(made, "token-manifest").withColumn("group", F.floor(F.col("task") / GROUP))
+    before = lambda column, *within: F.coalesce(F.sum("ids").over(Window.partitionBy(*within).orderBy(*column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = made.groupBy("group").agg(F.sum("ids").alias("ids")).select("group", before(["group"]).alias("outer"))
+    manifest = made.withColumn("inner", before(["task", "nth"], "group")).join(groups, "group")
+    return dict_uri, manifest.select("file", "docs", "ids", (F.col("outer") + F.col("inner")).cast("long").alias("first"))
 
 
 def read(manifest: DataFrame, dict_uri: str, digests: bool = False) -> DataFrame:
@@ -191,8 +224,8 @@ def read(manifest: DataFrame, dict_uri: str, digests: bool = False) -> DataFrame
             for uri, first in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 file, out, size = Reader(uri, data), [], 0
                 for k in range(len(file)):
-                    ids, doc_id = file.ids(k), int(file.index[k, 0])
-                    out.append((None if doc_id == NO_ID else doc_id, first, len(ids) // 4, value(ids)))
+                    ids = file.ids(k)
+                    out.append((file.doc_id(k), first, len(ids) // 4, value(ids)))
                     first, size = first + len(ids) // 4, size + len(ids)
                     if size >= MOST_BYTES or k + 1 == len(file):
                         yield record_batch(dict(zip((name for name, _ in types), map(list, zip(*out)), strict=True)), types)
@@ -200,15 +233,16 @@ def read(manifest: DataFrame, dict_uri: str, digests: bool = False) -> DataFrame
 
     schema = StructType.fromDDL("doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary"))
     types = fields(schema)
-    files = max(1, manifest.count())
+    files = min(max(1, manifest.count()), 1 << 16)
     return manifest.repartitionByRange(files, "first").mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write every row of ``docs`` as files in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts are the end id alone; rows without doc_id come first; repeated rows are documents of their own;
-    other columns are not looked at; an empty table gives no file and no row.
+    Null and empty texts are the end id alone; rows without doc_id come first; equal ids are in the order of their texts'
+    hashes; repeated rows are documents of their own; long texts are one frame each; other columns are not looked at; an
+    empty table gives no file and no row; ids that are no integers are an error.
     """
     dict_uri, manifest = write(docs, fresh_path(spark, "token-ids"), tokenizer_path, end_id)
     return read(manifest, dict_uri, digests=True)
