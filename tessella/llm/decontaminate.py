@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_column, slices
+from .scratch import stored
 from .words import HASHES, hashes, run_hashes
 
 #: Words of a window, of a k-gram, and k-grams of which the least hash is kept: WINDOW = GRAM + SPAN - 1.
 WINDOW, GRAM, SPAN = 13, 5, 9
-#: Benchmark text in one block. Documents are held against one block after another.
+#: Benchmark text in one block. A larger benchmark is held against the documents block after block.
 BLOCK_BYTES = 16 << 20
 
 # Bytes that are no word (below 0x80, but for digits and letters) become spaces; A-Z become a-z.
@@ -108,60 +112,116 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(items)
 
 
-def hits(text: str, held: list[Block]) -> tuple[int, int, set[str]]:
-    """The number of a text's words, of those that are hit, and the items found."""
+def hits(text: str, block: Block | None) -> tuple[int, np.ndarray, set[str]]:
+    """The number of a text's words, those that are hit, and the items found."""
     h = hashes(words(text))
-    hit, found = None, set()
-    for block in held:
-        own, names = block.find(h)
-        found |= names
-        hit = own if hit is None else hit if own is None else hit | own
-    return len(h), 0 if hit is None else int(hit.sum()), found
+    hit, found = (None, set()) if block is None else block.find(h)
+    return len(h), np.empty(0, np.int64) if hit is None else np.flatnonzero(hit), found
 
 
 def contaminates(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
+def _told(n_words: int, n_hit: int, found) -> tuple:
+    return n_words, n_hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), contaminates(n_words, n_hit)
+
+
+_TOLD = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_()}
+
+
+def _columns(rows: list[tuple]) -> dict[str, pa.Array]:
+    return {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(_TOLD.items())}
+
+
+def _by_blocks(docs: DataFrame, made: Iterator[Block]) -> DataFrame:
+    """doc_id, text_hash and the result columns of the distinct rows of ``docs`` (doc_id, text_hash, text) that any block hits.
+
+    Each block goes to the tasks in a pass of its own, whose finds are stored before the next block is made, so driver and
+    executors hold one block at a time; finds of a document then meet, hit words once however many blocks hit them.
+    """
+    spark, found = docs.sparkSession, []
+    for block in made:
+        shared = spark.sparkContext.broadcast(block)
+
+        def work(texts, shared=shared):
+            rows = [hits(t, shared.value) for t in texts]
+            HASHES.trim()
+            return {"n_words": [n for n, *_ in rows], "hit": [at.tolist() for _, at, _ in rows], "items": [sorted(x) for *_, x in rows]}
+
+        own = map_column(docs, "text", "n_words long, hit array<long>, items array<string>", lambda work=work: work)
+        found.append(stored(own.where("size(hit) > 0").distinct(), "block-hits"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = every.withColumn("n_hit", F.size(F.array_distinct("hit")).cast("long"))
+    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return every.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), bad.alias("contaminated"))
+
+
+def _first_blocks(benchmark: DataFrame) -> tuple[list[Block], Iterator[Block]]:
+    """Up to two blocks, and all of them."""
+    made = blocks(benchmark)
+    first = list(islice(made, 2))
+    return first, chain(first, made)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs`` (doc_id, text).
 
     A word is hit if it lies in an occurrence of a window: 13 consecutive words of an item of ``benchmark`` (item_id, text),
-    or all words of a shorter one. Null and empty texts have no words and are clean; items without words are nowhere;
-    repeated items count once by item_id, and an item without id as one named by the empty string; repeated rows give
-    repeated results; other columns are not looked at; an empty table gives an empty table.
-
-    A block of the benchmark (16 MB of text at most) goes to every executor; more blocks are applied one after another in
-    the same pass over the documents, which are never shuffled.
+    or all words of a shorter one. Null and empty texts have no words and are clean; long texts are looked at whole; items
+    without words are nowhere; repeated items count once by item_id, and an item without id as one named by the empty
+    string; repeated rows give repeated results; other columns are not looked at; an empty table gives an empty table, and
+    an empty benchmark clean documents.
+
+    A benchmark of up to BLOCK_BYTES goes to the tasks whole, and nothing is shuffled. A larger one goes block after block,
+    each in a pass over the documents (see ``_by_blocks``). Equal windows are told by 64 bits of a hash: among d windows of
+    documents and b of items about d * b / 2 ** 64 are wrongly equal.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    few, every = _first_blocks(benchmark)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if len(few) > 1:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
+        found = _by_blocks(rows, every)
+
+        def empty(texts):
+            return _columns([_told(hits(t, None)[0], 0, ()) for t in texts])
+
+        plain = map_column(rows, "text", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", lambda: empty)
+        both = plain.alias("p").join(found.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.text_hash") == F.col("f.text_hash")), "left")
+        return both.select(F.col("p.doc_id").alias("doc_id"), *[F.coalesce(f"f.{c}", f"p.{c}").alias(c) for c in _TOLD])
+    shared = docs.sparkSession.sparkContext.broadcast(few[0] if few else None)
 
     def work(texts):
-        out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
+        out = []
         for t in texts:
-            n_words, n_hit, found = hits(t, [b.value for b in shared])
-            values = (n_words, n_hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), contaminates(n_words, n_hit))
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
+            n_words, at, found = hits(t, shared.value)
+            out.append(_told(n_words, len(at), found))
         HASHES.trim()
-        return out
+        return _columns(out)
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return map_column(rows, "text", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", lambda: work)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, by the same rule; all columns stay."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    """The rows of ``docs`` that are not contaminated, by the rule of :func:`contamination`; all columns stay as they are.
 
-    def run(batches):
-        import pyarrow as pa
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty table.
+    """
+    few, every = _first_blocks(benchmark)
+    if len(few) > 1:
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+        bad = _by_blocks(rows, every).where("contaminated").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"))
+        same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text_hash"))
+        return docs.join(bad, same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(few[0] if few else None)
 
+    def run(batches):
         HASHES.use()
         for batch in batches:
             for part in slices(batch):
-                found = (hits(t or "", [b.value for b in shared]) for t in part.column("text").to_pylist())
-                yield part.filter(pa.array([not contaminates(n_words, n_hit) for n_words, n_hit, _ in found], pa.bool_()))
+                found = (hits(t or "", shared.value) for t in part.column("text").to_pylist())
+                yield part.filter(pa.array([not contaminates(n_words, len(at)) for n_words, at, _ in found], pa.bool_()))
                 HASHES.trim()
 
     return docs.mapInArrow(run, docs.schema)
