@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from heapq import heapify, heapreplace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import forget, stored
 
-#: Groups of one size are told apart by this many salts, and rows of one shard are numbered in as many parts.
-SALTS = 64
+#: Groups of one size are told apart by this many salts; rows of one shard are numbered in parts of about so many rows.
+SALTS, PART_ROWS = 64, 1 << 18
+#: Weights are told apart by this many leading bits.
+BITS = 16
 
 
 def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
@@ -43,23 +45,31 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int,
     return out
 
 
+def size_class(weight: str) -> Column:
+    """The weight (a column's name) with all bits after its first BITS cleared: itself if it is below 2 ** BITS, else less than
+    0.01 % smaller."""
+    spare = f"greatest(length(bin({weight})) - {BITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({weight}, {spare}), {spare})")
+
+
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with a shard, under the law of near equal bytes.
 
     Gives doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ('bytes'), shard, slot (gapless from 0 in each
     shard), grown_shard (null). Rows of equal texts stay together, null and empty ones as one group; a group's weight is the
-    sum of its sizes. Repeated rows each have a slot; other columns are not looked at; an empty table gives none.
+    sum of its sizes. Repeated rows each have a slot; long texts are taken whole; other columns are not looked at; an empty
+    table gives none.
 
     Rows are reduced to id, size and a 128-bit key of the text, and written once. Groups are counted before they are
-    shuffled. The driver schedules over distinct weights only, of which there are at most the square root of twice the
-    bytes of the table; groups and rows get their shard by joins whose hot keys Spark splits, and rows are numbered within
-    64 salts of a shard, never in one task for a shard.
+    shuffled. The driver schedules over classes of weights (:func:`size_class`), of which there are at most some 1.3 million
+    whatever the table; groups and rows get their shard by joins whose hot keys Spark splits; equal rows are counted and
+    then numbered within salts of a shard, as many as the rows ask for, never in one task for a shard.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"), F.unhex(F.md5("text")).alias("key"))
     rows = stored(rows, "sharding-rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("weight")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("weight")).select("key", size_class("weight").alias("weight"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     groups = stored(groups, "sharding-groups")
     counts = groups.groupBy("weight", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("weight").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,9 +80,13 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     by_weight = runs.groupBy("weight").agg(F.array_sort(F.collect_list(F.struct("run_to", "shard"))).alias("runs"))
     numbered = groups.withColumn("nth", nth).join(counts.select("weight", "salt", "first"), ["weight", "salt"]).withColumn("nth", F.col("nth") + F.col("first"))
     placed = numbered.join(by_weight, "weight").select("key", F.filter("runs", lambda r: r["run_to"] > F.col("nth"))[0]["shard"].alias("shard"))
-    placed = stored(rows.join(placed, "key").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int").alias("salt")), "sharding-placed")
-    parts = placed.groupBy("shard", "salt").agg(F.count("*").alias("n"))
+    salts = 1 + rows.count() // (shards * PART_ROWS)
+    placed = rows.join(placed, "key").groupBy("shard", "doc_id", "size", "text_crc32").agg(F.count("*").alias("times"))
+    placed = stored(placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts))), "sharding-placed")
+    forget(groups, counts)
+    parts = placed.groupBy("shard", "salt").agg(F.sum("times").alias("n"))
     parts = parts.select("shard", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    slot = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = placed.withColumn("nth", slot).join(F.broadcast(parts), ["shard", "salt"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    upto = Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("nth", F.sum("times").over(upto) - F.col("times")).join(parts, ["shard", "salt"])
+    out = out.withColumn("again", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("first") + F.col("again")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
