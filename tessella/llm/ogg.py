@@ -69,7 +69,7 @@ def stream_pages(serial: int, packets: list[tuple[bytes, int]]) -> list[bytes]:
 
 @dataclass
 class Stream:
-    """What one logical stream holds: packets, and for each the time at its end (seconds, None if its page has none)."""
+    """What one logical stream holds: packets, and for each the granule position at its end (-1 if no page tells it)."""
 
     serial: int
     packets: list[bytes] = field(default_factory=list)
@@ -94,18 +94,24 @@ def pages_of(data: bytes) -> Iterator[tuple[bool, int, int, int, int, bytes, byt
         at += size if good else 4
 
 
-def demultiplex(data: bytes) -> tuple[dict[int, Stream], int]:
-    """The logical streams by serial number, and the number of pages that fail their checksum.
+def demultiplex(data: bytes) -> tuple[dict[int | tuple[int, int], Stream], int]:
+    """The logical streams by serial number, and the number of pages that fail their checksum. A stream that begins after
+    another of its serial number has ended (a chained file) goes by that number and 1, 2 and so on.
 
     A packet is kept only if all its parts came; a page that is missing or broken loses those that it would have had.
     """
-    streams: dict[int, Stream] = {}
+    streams: dict[int | tuple[int, int], Stream] = {}
+    now: dict[int, Stream] = {}
+    links: dict[int, int] = {}
     broken = 0
     for good, flags, granule, serial, sequence, lacing, body in pages_of(data):
         if not good:
             broken += 1
             continue
-        s = streams.setdefault(serial, Stream(serial))
+        s = now.get(serial)
+        if s is None or (s.ended and flags & FIRST):
+            nth = links[serial] = links.get(serial, -1) + 1
+            s = now[serial] = streams[(serial, nth) if nth else serial] = Stream(serial)
         s.pages += 1
         if sequence != s._next or not flags & CONTINUED:
             s.lost += s._open is not None
@@ -131,8 +137,20 @@ def demultiplex(data: bytes) -> tuple[dict[int, Stream], int]:
 
 
 def times(stream: Stream, rate: int = RATE) -> list[float | None]:
-    """The time at the end of each packet; a page tells it for the last packet that ends on it."""
-    return [g / rate if g >= 0 else None for g in stream.granules]
+    """The time at the end of each packet. A page tells the granule position of the last packet that ends on it; packets before
+    it have their share by bytes of what lies between two such positions. None after the last position that is told."""
+    out: list[float | None] = []
+    was, waiting = 0, []
+    for data, granule in zip(stream.packets, stream.granules, strict=True):
+        waiting.append(len(data))
+        if granule >= 0:
+            whole, done = sum(waiting) or 1, 0
+            for n in waiting:
+                done += n
+                out.append((was + (granule - was) * done / whole) / rate)
+            out[-1] = granule / rate
+            was, waiting = granule, []
+    return out + [None] * len(waiting)
 
 
 def padded(text: str) -> tuple[bytes, int]:
@@ -195,7 +213,7 @@ def text_round_trip(docs: DataFrame) -> DataFrame:
     """Store every text of ``docs`` (doc_id, text) as an Ogg file in a table of the shared folder, read it back and tell
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    Null and empty texts are 64 zero bytes; repeated rows and equal texts have equal values; other columns are not looked
-    at; an empty table gives an empty table. No shuffle; a task holds a batch of rows.
+    Null and empty texts are 64 zero bytes; repeated rows and equal texts have equal values; long texts are one file each;
+    other columns are not looked at; an empty table gives an empty table. No shuffle; a task holds a batch of rows.
     """
     return features(stored(encode_column(docs), "ogg"))
