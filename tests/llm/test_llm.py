@@ -33,6 +33,18 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def test_languages_of_odd_rows(odd):
+    for r in language.held_out_languages(odd).collect():
+        text = next(t for i, t, _ in ODD if i == r.doc_id)
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text or "")) and 0 <= r.score <= 1
+
+
+def test_groups_of_odd_rows(odd):
+    rows = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_groups(odd).collect())
+    long = len(jaccard.shingles(LONG))
+    assert rows == Counter({(1, 0, 1): 1, (2, 0, 2): 1, (3, 4, 3): 1, (4, 4, 3): 2, (5, long, 5): 1, (6, len(jaccard.shingles(LONG + " extra")), 5): 1, (7, 1, 7): 1, (8, 2, 8): 1, (None, 1, None): 1, (9, 1, 9): 1, (9007199254740993, 1, 9007199254740993): 1})
+
+
 OPERATORS = {
     "language": language.held_out_languages,
     "sharding": sharding.assign,
@@ -152,20 +164,53 @@ def test_regression_is_the_plain_one():
     assert loss(language.temperature(logits, labels)) <= min(loss(t) for t in np.geomspace(0.03, 40, 400)) + 1e-6
 
 
+def plain_loads(sizes, shards):
+    """Longest processing time, one group at a time."""
+    import heapq
+
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted((w for w, n in sizes for _ in range(n)), reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return sorted(heap)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_schedule_is_the_plain_heap(seed):
+    import random
+
+    r = random.Random(seed)
+    sizes = [(w, r.choice((1, 1, 2, 5, 40, 300))) for w in r.sample(range(1, r.choice((20, 400, 9000))), r.randint(1, 15))]
+    shards, loads, covered = r.randint(1, 9), Counter(), Counter()
+    for size, a, b, s in sharding.schedule(sizes, shards):
+        loads[s] += size * (b - a)
+        covered.update({(size, k): 1 for k in range(a, b)})
+    assert covered == Counter({(w, k): 1 for w, n in sizes for k in range(n)})
+    assert sorted(loads[s] for s in range(shards)) == [load for load, _ in plain_loads(sizes, shards)]
+
+
+def test_size_classes(spark):
+    weights = [1, 2, 65535, 65536, 65537, 70001, 131071, 131073, 10**9 + 7, 2**40 + 12345, 2**62 + 1]
+    found = [r.c for r in spark.createDataFrame([(w,) for w in weights], "w long").select(sharding.size_class("w").alias("c")).collect()]
+    assert found == [w >> max(0, w.bit_length() - 16) << max(0, w.bit_length() - 16) for w in weights]
+
+
 def test_shards(docs, odd):
     for table in (docs, odd):
         rows, texts = sharding.assign(table).collect(), {r.doc_id: r.text or "" for r in table.collect()}
         for s in {r.shard for r in rows}:
             assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-        by_text = {}
+        by_text, weights = {}, Counter()
         for r in rows:
             assert (r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode()))
             by_text.setdefault(texts[r.doc_id], set()).add(r.shard)
-        assert all(len(s) == 1 for s in by_text.values())
-    load = Counter()
-    for r in sharding.assign(docs).collect():
-        load[r.shard] += r.size
-    assert max(load.values()) - min(load.values()) <= 0.05 * max(load.values())
+            weights[texts[r.doc_id]] += r.size
+        assert all(len(s) == 1 for s in by_text.values()) and Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in table.collect())
+        load = Counter({s: 0 for s in range(16)})
+        for r in rows:
+            load[r.shard] += r.size
+        plain = plain_loads([(w, 1) for w in weights.values()], 16)
+        assert all(abs(a - b) <= 0.001 * b + 1 for a, (b, _) in zip(sorted(load.values()), plain, strict=True))
 
 
 def test_token_counts(docs, odd):
@@ -381,50 +426,83 @@ def test_packing(docs, odd):
         ids = {}
         for r in texts:
             ids.setdefault(r.doc_id, library_ids(r.text, 2))
-        sequences = {}
+        sequences, covered = {}, {i: np.zeros(len(x) + 1, int) for i, x in ids.items()}
         for p in pieces:
             own = ids[p.doc_id]
-            assert p.doc_tokens == len(own) and p.ids_crc32 == zlib.crc32(own[p.start : p.start + p.length].tobytes())
-            sequences.setdefault(p.sequence_id, []).append((p.offset, p.length, p.tier))
+            assert p.doc_tokens == len(own) and p.length > 0 and p.ids_crc32 == zlib.crc32(own[p.start : p.start + p.length].tobytes())
+            sequences.setdefault(p.sequence_id, []).append((p.offset, p.length, p.tier, p.step_group))
+            covered[p.doc_id][p.start] += 1
+            covered[p.doc_id][p.start + p.length] -= 1
         times = Counter(r.doc_id for r in texts)
-        assert sum(p.length for p in pieces) == sum(len(ids[i]) * n for i, n in times.items())
+        assert all((np.cumsum(c)[:-1] == times[i]).all() for i, c in covered.items())
+        small, tasks = 0, 1
         for parts in sequences.values():
             at = 0
-            for offset, length, tier in sorted(parts):
-                assert offset == at
+            for offset, length, tier, step in sorted(parts):
+                assert offset == at and step == parts[0][3]
                 at += length
-            assert at == tier and at & (at - 1) == 0
-
-
-def test_token_files(spark, docs, tmp_path):
-    table = docs.limit(80)
-    rows = token_store.round_trip(spark, table, WORDS).collect()
-    at = 0
-    texts = {r.doc_id: r.text for r in table.collect()}
-    for r in sorted(rows, key=lambda r: r.start):
-        own = library_ids(texts[r.doc_id], 1)
-        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
-        at += len(own)
-    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == sorted(texts)
+            assert at == tier and at & (at - 1) == 0 and at <= 4096
+            small += at < 512
+        assert small <= 9
+
+
+def test_steps_are_balanced():
+    sizes = [4096] * 37 + [2048] * 11 + [1024] * 25 + [512] * 60
+    steps = packing.balanced(sizes, 32768)
+    tokens, mixed = Counter(), {}
+    for size, step in zip(sizes, steps, strict=True):
+        tokens[step] += size
+        mixed.setdefault(step, Counter())[size] += 1
+    assert len(tokens) == round(sum(sizes) / 32768) and max(tokens.values()) - min(tokens.values()) <= 512
+    assert all(mixed[step][4096] in (5, 6, 7) and len(mixed[step]) >= 3 for step in mixed)
+
+
+def test_token_files(spark, docs, odd, tmp_path):
+    for table in (docs.limit(80), odd):
+        rows = token_store.round_trip(spark, table, WORDS).collect()
+        at, texts = 0, {r.doc_id: r.text for r in table.collect()}
+        rows = sorted(rows, key=lambda r: r.start)
+        for r in rows:
+            own = library_ids(texts[r.doc_id], 1)
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
+            at += len(own)
+        assert [r.doc_id for r in rows] == sorted((r.doc_id for r in table.collect()), key=lambda i: (i is not None, i or 0))
     uri = f"file://{tmp_path}/a.tids"
     w = token_store.Writer(uri, b"")
-    w.add(5, b"\1\0\0\0" * 9)
+    for name in (None, -(1 << 63), 5):
+        w.add(name, b"\1\0\0\0" * 9)
     w.close()
     r = token_store.Reader(uri, b"")
-    assert r.find(5) == [0] and r.find(4) == [] and r.ids(0) == b"\1\0\0\0" * 9
+    assert r.find(5) == [2] and r.find(4) == [] and r.find(-(1 << 63)) == [1] and r.ids(0) == r.ids(2) == b"\1\0\0\0" * 9 and [r.doc_id(k) for k in range(3)] == [None, -(1 << 63), 5]
     with pytest.raises(ValueError):
         token_store.Reader(uri, b"other")
+    with pytest.raises(ValueError):
+        token_store.round_trip(spark, docs.selectExpr("cast(doc_id as string) as doc_id", "text"), WORDS)
+
+
+def test_chunks_come_from_anywhere():
+    ids = np.arange(100_000, dtype="<u4").tobytes()
+    starts = [np.frombuffer(token_store.chunk(ids, k), "<u4")[0] for k in range(200)]
+    assert all(len(token_store.chunk(ids, k)) == token_store.SAMPLE_BYTES for k in range(5)) and max(starts) > 80_000 and min(starts) < 15_000
+    assert token_store.chunk(ids[:40], 3) == ids[:40]
 
 
 def test_ogg(docs, odd):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     for r in ogg.text_round_trip(odd).collect():
-        payload = ogg.padded(texts[r.doc_id])[0]
+        payload = texts[r.doc_id].encode()
+        payload += b"\0" * (64 * max(1, -(-len(payload) // 64)) - len(payload))
+        assert r.n_bytes == len(texts[r.doc_id].encode())
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.payload_bytes % 64 == 0 and r.payload_bytes > 0 and r.media_sha256 == hashlib.sha256(ogg.encode(texts[r.doc_id])).hexdigest()
     pages = ogg.stream_pages(7, [(b"h", 0), (b"z" * 200000, 5), (b"", 6), (b"y" * 255, 9)])
     streams, broken = ogg.demultiplex(b"junk".join(pages))
     assert [len(p) for p in streams[7].packets] == [1, 200000, 0, 255] and broken == 0 and ogg.times(streams[7], 9)[-1] == 1
+    other = ogg.stream_pages(7, [(b"h", 0), (b"second", 3)])
+    chained, broken = ogg.demultiplex(b"".join(pages + other))
+    assert [len(p) for p in chained[7].packets] == [1, 200000, 0, 255] and chained[(7, 1)].packets == [b"h", b"second"] and chained[7].lost == chained[(7, 1)].lost == broken == 0
+    between = ogg.Stream(1, [b"head", b"a" * 10, b"b" * 30, b"c" * 5, b"d"], [0, -1, 80, 90, -1])
+    assert ogg.times(between, 10) == [0.0, 2.0, 8.0, 9.0, None]
     streams, broken = ogg.demultiplex(b"".join(pages[:2] + pages[3:]))
     assert [len(p) for p in streams[7].packets] == [1, 0, 255]
     bad = bytearray(b"".join(pages))
@@ -461,8 +539,24 @@ def test_contamination(spark, docs):
 def test_benchmark_in_several_blocks(spark, docs, monkeypatch):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    bad = {r[0] for r in whole if r[5]}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 5000)
     assert sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect())) == whole
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in whole} - bad
+    assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
+    twice = docs.where("doc_id < 3").union(docs.where("doc_id < 3")).withColumn("text_hash", docs["n_chars"])
+    assert Counter(map(tuple, decontaminate.contamination(twice, benchmark).collect())) == Counter({r: 2 for r in whole if r[0] < 3})
+
+
+def test_contamination_of_odd_rows(spark, odd):
+    items = [("a", decontaminate.words("one two three four five six seven eight"))]
+    benchmark = spark.createDataFrame([("a", "one two three four five six seven eight"), (None, "!!"), ("b", None)], "item_id string, text string")
+    for r in decontaminate.contamination(odd, benchmark).collect():
+        text = next(t for i, t, _ in ODD if i == r.doc_id)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == plain_contamination(text, items) and r.contaminated == (r.doc_id in (3, 4))
+    assert Counter(r.doc_id for r in decontaminate.clean(odd, benchmark).collect()) == Counter(i for i, *_ in ODD if i not in (3, 4))
+    assert not any(r.contaminated for r in decontaminate.contamination(odd, benchmark.limit(0)).collect())
 
 
 def plain_records(data):
