@@ -199,7 +199,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
 
     schema = StructType.fromDDL("task int, nth int, file string, docs long, ids long")
     types = fields(schema)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, 1 << 20))
     order = ["doc_id", F.crc32("text"), F.octet_length("text")]
     dealt = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(n, *order, "nth")  # equal rows may part
