@@ -31,8 +31,9 @@ def slug(term: Column, most: int = 60) -> Column:
 
 
 def url_decoded(text: Column) -> Column:
-    """Percent-decoding that leaves a plus as it is."""
-    return F.try_url_decode(F.regexp_replace(text, r"\+", "%2B"))
+    """Percent-decoding that leaves a plus, and a percent sign without two hex digits after it, as they are; bytes that are no UTF-8
+    become replacement characters."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
 
 
 def orientation(width: Column, height: Column) -> Column:
@@ -88,8 +89,20 @@ def repaired_tags(tags: Column) -> Column:
     return F.when(F.exists(tags, lambda t: t.startswith("{")), F.filter(named, lambda t: t.isNotNull() & (t != ""))).otherwise(tags)
 
 
+def short_number(x: Column) -> Column:
+    """Six significant digits without zeros at the end."""
+    digits = F.format_string("%.6g", x.cast("double"))
+    return F.when(x == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+
+
 def vector_literal(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6g", x.cast("double"))), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(v, short_number), ","), F.lit("]"))
+
+
+def sparse_literal(weights: Column, size: int) -> Column:
+    """``{number:weight,...}/size`` of an array of structs (number, weight), in the order of the numbers."""
+    items = F.transform(F.array_sort(weights), lambda x: F.concat(x["number"].cast("string"), F.lit(":"), short_number(x["weight"])))
+    return F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}/" + str(size)))
 
 
 def parsed_vector(text: Column) -> Column:
@@ -98,10 +111,35 @@ def parsed_vector(text: Column) -> Column:
     return F.when(F.size(v) > 0, v)
 
 
+def graded(answer: Column) -> Column:
+    """grade and reason of an answer that is a JSON object or holds some: those of the first object with a grade of 0 to 3, a number
+    or digits in quotes; without one, null and the beginning of the answer."""
+    objects = F.concat(F.array(answer), F.regexp_extract_all(answer, F.lit(r"\{[^}]*\}"), F.lit(0)))
+    digits = lambda c: F.trim(F.get_json_object(c, "$.grade"))
+    good = F.filter(objects, lambda c: F.try_parse_json(c).isNotNull() & F.coalesce(digits(c).rlike("^0*[0-3]$"), F.lit(False)))
+    first = F.get(good, F.lit(0))
+    told = F.struct(digits(first).cast("int").alias("grade"), F.substring(F.coalesce(F.get_json_object(first, "$.reason"), F.lit("")), 1, 500).alias("reason"))
+    return F.when(F.size(good) > 0, told).otherwise(F.struct(F.lit(None).cast("int").alias("grade"), F.substring(F.coalesce(answer, F.lit("")), 1, 200).alias("reason")))
+
+
 def grade(answer: Column) -> Column:
-    """A grade 0 to 3 from an answer that is JSON or holds a JSON object; digits in quotes count, booleans don't."""
-    found = F.regexp_extract(answer, r'"grade"\s*:\s*"?([0-9]+)"?\s*[,}]', 1)
-    return F.when(found.rlike("^[0-3]$"), found.cast("int"))
+    return graded(answer)["grade"]
+
+
+def page_attributes(payload: Column) -> Column:
+    """The attribute object (JSON text) of a page's data, if it is a medium's and has an id; else null."""
+    found = F.get_json_object(payload, "$.pageProps.medium.attributes")
+    return F.when(found.startswith("{") & F.get_json_object(found, "$.id").isNotNull(), found)
+
+
+def json_text(value: Column) -> Column:
+    """A map, array or struct as JSON text, null as null."""
+    return F.to_json(value)
+
+
+def file_safe(name: str) -> str:
+    """A version's name as part of a file's."""
+    return name.replace("@", "_at_").replace("/", "_")
 
 
 # How a caption's answer begins, and how an echo of the task does.

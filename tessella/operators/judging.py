@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import blake2b_hex, hash_hex
+from ..functions.text import graded
 from .metrics import kappa
+from .ranks import placed
+
+
+#: The revision of the judge's instructions.
+PROMPT = "v1"
 
 
 def pool(runs: list[DataFrame], depth: int) -> DataFrame:
@@ -15,16 +24,19 @@ def pool(runs: list[DataFrame], depth: int) -> DataFrame:
     return reduce(DataFrame.union, [r.where(F.col("rank") <= depth).select("qid", "doc_id") for r in runs]).distinct()
 
 
-def negatives(pooled: DataFrame, docs: DataFrame, order: Column, k: int) -> DataFrame:
-    """For each query ``k`` documents outside its pool, the first by a hash of the document (``order`` over doc_id).
+def negatives(pooled: DataFrame, docs: DataFrame, version: str, k: int) -> DataFrame:
+    """For each query ``k`` documents outside its pool, or all if there are fewer: the next ones in the order of the documents' MD5,
+    round and round, from a place that the MD5 of qid and ``version`` gives. So each query draws its own, and always the same.
 
-    The order is the same for all queries, so they share their negatives but for their pools: candidates are the first k +
-    largest pool size documents, and no query meets all documents.
+    Documents are numbered in that order without a task that sorts them all; a query meets as many as its pool has, and ``k``.
     """
-    most = pooled.groupBy("qid").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    few = docs.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(most + k)
-    left = few.crossJoin(F.broadcast(pooled.select("qid").distinct())).join(pooled, ["qid", "doc_id"], "left_anti")
-    return left.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("h", "doc_id"))).where(F.col("at") <= k).select("qid", "doc_id")
+    ordered = placed(docs.select("doc_id").distinct().withColumn("hash", F.md5(F.col("doc_id").cast("string"))), "hash", "doc_id")
+    n = ordered.count()
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("qid").cast("string"), F.lit(version))), 1, 15), 16, 10).cast("long") % max(n, 1)
+    own = pooled.groupBy("qid").agg(F.count("*").alias("n")).withColumn("start", start)
+    steps = own.select("qid", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") + k, F.lit(n)) - 1)).alias("step")) if n else own.select("qid", "start", F.lit(0).alias("step")).limit(0)
+    met = steps.withColumn("place", (F.col("start") + F.col("step")) % max(n, 1)).join(ordered, "place").join(pooled, ["qid", "doc_id"], "left_anti")
+    return met.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("step"))).where(F.col("at") <= k).select("qid", "doc_id")
 
 
 def unjudged(pooled: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,6 +69,49 @@ def judge(pooled: DataFrame, labels: DataFrame, grade: Column, budget: int | Non
     return owed.withColumn("grade", grade).withColumn("status", F.when(F.col("grade").isNull(), "unparsed").otherwise("ok"))
 
 
+def ask(owed: DataFrame, answer: Callable[[str, str], str], model: str, retries: int = 2) -> DataFrame:
+    """Records of the pairs ``owed`` (qid, query_text, doc_id, doc_text, doc_hash), graded by a judge: ``answer`` of query and document
+    is asked again, ``retries`` times at most, while it fails or cannot be read. Columns of ``owed`` and key, grade, reason, status
+    ('ok', 'unparsed' or 'error'), judge_model, version."""
+    schema = f"{', '.join(f'{c} {t}' for c, t in owed.dtypes)}, key string, answer string, failed boolean"
+    version = f"{model}@prompt-{PROMPT}"
+
+    def one(query: str, doc: str) -> tuple[str, bool]:
+        text, failed = "", True
+        for _ in range(retries + 1):
+            try:
+                text, failed = answer(query, doc), False
+            except Exception as e:  # a judge that is out of reach must not end the pass
+                text, failed = str(e), True
+            if not failed and readable(text):
+                break
+        return text, failed
+
+    def run(batches):
+        for batch in batches:
+            found = [one(q, d) for q, d in zip(batch["query_text"], batch["doc_text"], strict=True)]
+            keys = [hash_hex(q, i, h, model, PROMPT) for q, i, h in zip(batch["query_text"], batch["doc_id"], batch["doc_hash"], strict=True)]
+            yield batch.assign(key=keys, answer=[t for t, _ in found], failed=[f for _, f in found])
+
+    rows = owed.mapInPandas(run, schema).withColumn("told", graded(F.col("answer")))
+    grade = F.when(~F.col("failed"), F.col("told.grade"))
+    status = F.when(F.col("failed"), "error").when(grade.isNull(), "unparsed").otherwise("ok")
+    return rows.select(*owed.columns, "key", grade.alias("grade"), F.col("told.reason").alias("reason"), status.alias("status"), F.lit(model).alias("judge_model"), F.lit(version).alias("version"))
+
+
+def readable(answer: str) -> bool:
+    """Whether an answer has a grade, roughly; :func:`tessella.functions.text.graded` decides."""
+    return bool(re.search(r'"grade"\s*:\s*"?\s*0*[0-3]\s*"?\s*[,}]', answer))
+
+
+def worksheet_rows(records: DataFrame, quota: dict[int, int], blind: bool = False) -> DataFrame:
+    """A worksheet for people from judged records (key, query_text, doc_id, doc_text, grade, reason, status): by grade the first of the
+    quota in the order of the key's BLAKE2b; ``blind`` leaves the judge's grade and reason out."""
+    picked = worksheet(records.where("status = 'ok'").withColumn("__order", blake2b_hex(F.col("key"))), quota, F.col("__order"), "key")
+    told = [] if blind else [F.col("grade").alias("judge_grade"), F.col("reason").alias("judge_reason")]
+    return picked.orderBy("key").select(F.col("key").alias("pair_id"), "query_text", "doc_id", "doc_text", *told, F.lit("").alias("human_grade"), F.lit("").alias("notes"))
+
+
 def judge_counts(pooled: DataFrame, labels: DataFrame, judged: DataFrame) -> DataFrame:
     """One row: pool, cached, judged, unparsed."""
     rows = pooled.join(labels.select("qid", "doc_id", F.lit(True).alias("old")).distinct(), ["qid", "doc_id"], "left").join(judged.select("qid", "doc_id", "status"), ["qid", "doc_id"], "left")

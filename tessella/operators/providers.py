@@ -9,27 +9,42 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.vectors import unit
 from . import bm25, search
 
-DISTANCES = {"cosine", "l2", "inner"}
+DISTANCES, KINDS = {"cosine", "l2", "inner"}, {"dense_text", "dense_image", "sparse_text"}
 
 
 @dataclass(frozen=True)
 class Provider:
-    """A model that gives texts vectors: its name, size, distance, and how many texts it takes at once."""
+    """A model that gives texts or pictures vectors: its name, size, distance, how many it takes at once, and what it supports.
+
+    ``dense`` takes texts; ``image`` pictures (bytes); ``sparse`` a DataFrame (doc_id, text) and gives doc_id, term_id, weight.
+    """
 
     model_id: str
-    size: int
-    dense: Callable[[list[str]], list[list[float]]]
+    size: int = 0
+    dense: Callable[[list[str]], list[list[float]]] | None = None
     distance: str = "cosine"
     max_batch: int = 64
+    image: Callable[[list[bytes]], list[list[float]]] | None = None
+    sparse: Callable[[DataFrame], DataFrame] | None = None
+    supports: frozenset[str] = frozenset({"dense_text"})
 
     def __post_init__(self):
-        if self.distance not in DISTANCES or self.size <= 0 or self.max_batch <= 0:
+        given = {"dense_text": self.dense, "dense_image": self.image, "sparse_text": self.sparse}
+        if not self.supports or self.supports - KINDS or any(given[k] is None for k in self.supports):
+            raise ValueError(f"{self.model_id} does not support {sorted(self.supports)}")
+        if self.distance not in DISTANCES or self.max_batch <= 0 or self.size < 0 or (self.size == 0 and self.supports != {"sparse_text"}):
             raise ValueError(f"not a provider: {self.distance}, {self.size}, {self.max_batch}")
 
+    def needs(self, kind: str) -> None:
+        if kind not in self.supports:
+            raise ValueError(f"{self.model_id} has no {kind}")
+
 
 def hash_vectors(texts: list[str], size: int = 1024) -> list[list[float]]:
     """Counts of tokens by a hash, of length 1: an offline stand-in for a model. A text without tokens is zero."""
@@ -46,20 +61,54 @@ def hash_provider(size: int = 1024) -> Provider:
     return Provider(f"local-hash-{size}", size, lambda texts: hash_vectors(texts, size))
 
 
-def embed(rows: DataFrame, provider: Provider, key: str = "doc_id") -> DataFrame:
-    """key, embedding, model of ``rows`` (key, text); null texts are empty. Vectors of another size are an error."""
+def bm25_provider(fitted: bm25.Fitted) -> Provider:
+    """A fitted model as a provider of sparse vectors; another fit needs another version in its name."""
+    return Provider(fitted.model_id, sparse=fitted.sparse_text, supports=frozenset({"sparse_text"}))
+
+
+def provider(name: str, spark: SparkSession | None = None, model_path: str | None = None) -> Provider:
+    """By name: hash, or bm25 with the folder of a fitted model."""
+    if name == "hash":
+        return hash_provider()
+    if name == "bm25":
+        if spark is None or model_path is None:
+            raise ValueError("bm25 needs a fitted model")
+        return bm25_provider(bm25.load(spark, model_path))
+    raise ValueError(f"no provider {name!r}")
+
+
+def embed_images(rows: DataFrame, provider: Provider, key: str = "doc_id") -> DataFrame:
+    """key, embedding, model of ``rows`` (key, picture: binary); rows without picture drop out."""
+    provider.needs("dense_image")
+    return _embedded(rows.where("picture is not null").select(key, "picture"), "picture", provider, provider.image, key)
+
+
+def embed(rows: DataFrame, provider: Provider, key: str = "doc_id", prefix: str = "") -> DataFrame:
+    """key, embedding, model of ``rows`` (key, text); null texts are empty. ``prefix``: what a model wants before queries. Vectors of
+    another size are an error."""
+    provider.needs("dense_text")
+    text = F.concat(F.lit(prefix), F.coalesce("text", F.lit(""))).alias("text")
+    return _embedded(rows.select(key, text), "text", provider, provider.dense, key)
+
+
+def embed_queries(queries: DataFrame, provider: Provider, prefix: str = "") -> DataFrame:
+    """qid and embedding, of length 1, of ``queries`` (qid, text)."""
+    return embed(queries, provider, "qid", prefix).select("qid", unit(F.col("embedding")).cast("array<float>").alias("embedding"))
+
+
+def _embedded(rows: DataFrame, column: str, provider: Provider, make: Callable, key: str) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), provider.max_batch):
                 part = batch.iloc[k : k + provider.max_batch]
-                vectors = provider.dense(part["text"].fillna("").tolist())
+                vectors = make(part[column].tolist())
                 if any(len(v) != provider.size for v in vectors):
                     raise ValueError(f"{provider.model_id}: vectors are not of {provider.size}")
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors, "model": provider.model_id})
 
-    return rows.select(key, "text").mapInPandas(run, f"{key} {kind}, embedding array<float>, model string")
+    return rows.mapInPandas(run, f"{key} {kind}, embedding array<float>, model string")
 
 
 @dataclass(frozen=True)
@@ -71,27 +120,30 @@ class Strategy:
 
 
 def _sparse(side: str):
-    return lambda queries, docs, k: bm25.top(bm25.scores(queries, docs, bm25.Bm25(idf_side=side)), k)
+    return lambda queries, docs, k: bm25.top_hits(queries, docs, k, bm25.Bm25(idf_side=side))
 
 
-def _dense(provider: Provider):
+def _dense(provider: Provider, prefix: str = ""):
     def hits(queries, docs, k):
-        q, d = embed(queries, provider, "qid"), embed(docs, provider)
+        q, d = embed(queries, provider, "qid", prefix), embed(docs, provider)
         return search.dense_top(q, d, k, provider.distance)
 
     return hits
 
 
-def _fused(provider: Provider):
+def _fused(provider: Provider, prefix: str = ""):
     def hits(queries, docs, k):
         depth = max(search.DEPTH, k)
-        return search.fuse({"sparse": bm25.scores(queries, docs), "dense": _dense(provider)(queries, docs, depth)}, k)
+        return search.fuse({"sparse": bm25.top_hits(queries, docs, depth), "dense": _dense(provider, prefix)(queries, docs, depth)}, k)
 
     return hits
 
 
-def strategy(name: str, provider: Provider | None = None) -> Strategy:
-    """By name: bm25-query, bm25-both, hash-dense, dense, rrf; the last two with a provider."""
+def strategy(name: str, provider: Provider | None = None, prefix: str = "") -> Strategy:
+    """By name: bm25-query, bm25-both, hash-dense, dense, rrf; the last two with a provider, and a prefix for queries if it wants one.
+
+    Documents are what :func:`tessella.operators.materials.texts` makes of a text source.
+    """
     if name in ("bm25-query", "bm25-both"):
         return Strategy(name, _sparse(name[5:]))
     if name == "hash-dense":
@@ -99,5 +151,5 @@ def strategy(name: str, provider: Provider | None = None) -> Strategy:
     if name in ("dense", "rrf"):
         if provider is None:
             raise ValueError(f"{name} needs a provider")
-        return Strategy(name, _dense(provider) if name == "dense" else _fused(provider))
+        return Strategy(name, _dense(provider, prefix) if name == "dense" else _fused(provider, prefix))
     raise ValueError(f"no strategy {name!r}")

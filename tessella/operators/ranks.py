@@ -47,3 +47,24 @@ def numbered(rows: DataFrame, count: str, term: str, name: str, prefix: int = 3)
     before = counts.select(count, (F.sum("__all").over(Window.orderBy(F.desc(count))) - F.col("__all")).alias("__outer"))
     place = F.row_number().over(Window.partitionBy(count, "__at").orderBy(term))
     return rows.withColumn("__place", place).join(within, [count, "__at"]).join(before, count).withColumn(name, F.col("__outer") + F.col("__inner") + F.col("__place")).drop("__at", "__n", "__inner", "__outer", "__place")
+
+
+def placed(rows: DataFrame, hash: str, key: str, digits: int = 4) -> DataFrame:
+    """``rows`` with their ``place`` from 0 in the order of a column of hex digits, ties by ``key``: numbered within the rows that share
+    the first ``digits``, after how many rows have lesser ones."""
+    rows = rows.withColumn("__at", F.substring(hash, 1, digits))
+    groups = rows.groupBy("__at").agg(F.count("*").alias("__n"))
+    before = groups.select("__at", (F.sum("__n").over(Window.orderBy("__at")) - F.col("__n")).alias("__before"))  # 16 ** digits rows at most
+    nth = F.row_number().over(Window.partitionBy("__at").orderBy(hash, key)) - 1
+    return rows.withColumn("__nth", nth).join(before, "__at").withColumn("place", F.col("__before") + F.col("__nth")).drop("__at", "__nth", "__before")
+
+
+def ordered_hash(rows: DataFrame, key: str, width: int = 1000, levels: int = 2) -> DataFrame:
+    """One row: n and ``hash``, an MD5 that depends on all columns of all rows and on their order by an integer key. Rows are hashed as
+    canonical JSON, their hashes in order within ranges of ``width`` keys, those of ranges within ranges of ranges, and so on."""
+    plain = [F.col(c) for c in sorted(rows.columns)]
+    at = rows.select(F.col(key).alias("at"), F.md5(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})).alias("h"), F.lit(1).cast("long").alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+    for _ in range(levels - 1):
+        at = at.groupBy(F.floor(F.col("at") / width).alias("at")).agg(F.md5(joined).alias("h"), F.sum("n").alias("n"))
+    return at.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.md5(joined).alias("hash"))

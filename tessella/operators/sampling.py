@@ -13,10 +13,13 @@ def stratum(orientation: Column, width: Column, duration: Column) -> list[Column
 
 
 def largest_remainder(weights: dict[tuple, float], total: int) -> dict[tuple, int]:
-    """Whole shares of ``total`` in proportion; what is left goes to the largest fractions, ties by the key's text."""
-    whole = sum(weights.values())
-    if whole <= 0:
+    """Whole shares of ``total`` in proportion; what is left goes to the largest fractions, ties by the key's text. Without any
+    weight the shares are even."""
+    if total <= 0:
         return {k: 0 for k in weights}
+    if sum(weights.values()) <= 0:
+        weights = {k: 1 for k in weights}
+    whole = sum(weights.values())
     exact = {k: total * w / whole for k, w in weights.items()}
     out = {k: int(x) for k, x in exact.items()}
     for k in sorted(weights, key=lambda k: (out[k] - exact[k], str(k)))[: total - sum(out.values())]:
@@ -25,32 +28,31 @@ def largest_remainder(weights: dict[tuple, float], total: int) -> dict[tuple, in
 
 
 def quotas(rows: dict[tuple, int], total: int, floor: int = 100) -> dict[tuple, int]:
-    """How many to take of each cell: ``floor`` or all of it, the rest in proportion, never more than it has.
+    """How many to take of each cell: ``floor`` or all of it, and a share of the rest by rows; what is more than a cell has goes to
+    the others by the room that they have left. Floors of more than ``total`` are scaled down.
 
-    If the floors are more than ``total``, they are scaled down. Cells are few (orientations by sizes by lengths).
+    Cells are few (orientations by sizes by lengths).
     """
-    if total <= 0:
-        return {k: 0 for k in rows}
-    rows = {k: n for k, n in rows.items() if n > 0}
-    total = min(total, sum(rows.values()))
-    low = {k: min(floor, n) for k, n in rows.items()}
-    if sum(low.values()) >= total:
+    have = {k: n for k, n in rows.items() if n > 0}
+    low = {k: min(floor, n) for k, n in have.items()}
+    if total <= 0 or sum(low.values()) >= total:
         return largest_remainder(low, total)
-    out = dict(low)
-    while (left := total - sum(out.values())) > 0:
-        room = {k: rows[k] - out[k] for k in rows if rows[k] > out[k]}
-        for k, n in largest_remainder({k: rows[k] for k in room}, left).items():
-            out[k] += min(n, room[k])
-        if left == total - sum(out.values()):
-            out[max(room, key=room.get)] += 1
-    return out
+    out = {k: low[k] + n for k, n in largest_remainder(have, total - sum(low.values())).items()}
+    while True:
+        over = sum(max(0, out[k] - have[k]) for k in out)
+        out = {k: min(n, have[k]) for k, n in out.items()}
+        room = {k: have[k] - n for k, n in out.items() if n < have[k]}
+        if not over or not room:
+            return out
+        for k, n in largest_remainder(room, min(over, sum(room.values()))).items():
+            out[k] += n
 
 
 def first_of_each(rows: DataFrame, cell: list[str], order: Column, quota: DataFrame, key: str) -> DataFrame:
     """The first ``quota`` rows of each cell in the order of a hash, ties by key; ``place`` from 1."""
     place = F.row_number().over(Window.partitionBy(*cell).orderBy(order, key))
     most = quota.agg(F.max("quota")).first()[0] or 0  # a limit that tasks apply before the shuffle
-    return rows.withColumn("place", place).where(F.col("place") <= most).join(F.broadcast(quota), cell).where(F.col("place") <= F.col("quota")).drop("quota")
+    return rows.withColumn("place", place).where(F.col("place") <= most).join(quota, cell).where(F.col("place") <= F.col("quota")).drop("quota")
 
 
 def split(rows: DataFrame, within: list[str], order: Column, key: str, share: float = 0.7) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .best import Best
 from .bm25 import top
 
 DEPTH, RRF_K = 100, 60
@@ -22,7 +23,7 @@ def dense_top(queries: DataFrame, docs: DataFrame, k: int, metric: str = "cosine
     """qid, doc_id, score, rank of the ``k`` nearest documents (doc_id, embedding) of every query (qid, embedding).
 
     Queries are read in blocks of bounded size; for each, tasks multiply their batches of documents by the block and keep
-    ``k`` a query, so pairs never become rows. Rows without vector are left out; larger scores are nearer.
+    ``k`` a query and task, so pairs never become rows. Rows without vector are left out; larger scores are nearer.
     """
     docs = docs.where("embedding is not null").select("doc_id", "embedding")
     found, block = [], []
@@ -47,6 +48,7 @@ def _block_top(block: list, docs: DataFrame, k: int, metric: str) -> DataFrame:
 
     def run(batches):
         qids, q = shared.value
+        best = Best(len(qids), k)
         for rows in batches:
             if not len(rows) or not len(qids):
                 continue
@@ -57,10 +59,8 @@ def _block_top(block: list, docs: DataFrame, k: int, metric: str) -> DataFrame:
                 score = q @ x.T
             else:
                 score = -np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)[None, :]))
-            score = np.round(score, 9)
-            for i in range(len(qids)):
-                best = np.lexsort((ids, -score[i]))[:k]
-                yield pd.DataFrame({"qid": qids[i], "doc_id": ids[best], "score": score[i][best]})
+            best.add(ids, np.round(score, 9))
+        yield pd.DataFrame({"qid": qids[best.at], "doc_id": best.ids, "score": best.scores})
 
     return docs.mapInPandas(run, "qid long, doc_id long, score double")
 
@@ -76,7 +76,7 @@ def hard_filter(docs: DataFrame, orientation: str | None = None, min_duration: i
 
 
 def fuse(arms: dict[str, DataFrame], k: int, depth: int = DEPTH) -> DataFrame:
-    """qid, doc_id, score, rank by the sum of 1 / (60 + rank) over the arms' ``depth`` best."""
+    """qid, doc_id, score, rank by the sum of 1 / (60 + rank) over the arms' ``depth`` best (qid, doc_id, score)."""
     ranked = [top(scored, max(depth, k)).select("qid", "doc_id", F.lit(name).alias("arm"), "rank") for name, scored in arms.items()]
     fused = reduce(DataFrame.unionByName, ranked).groupBy("qid", "doc_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score"))
     return top(fused, k)

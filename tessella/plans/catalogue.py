@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import loops as P
+from ..operators import materials as X
 from ..operators import merge as M
 from ..operators import search as S
 from ..sources import sitemap, spool
@@ -22,7 +24,8 @@ def customers(s, d):
 
 
 def buyers(s, d):
-    return table(s, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    """Customers with orders, but for every fifth."""
+    return table(s, d, "orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("id")).distinct()
 
 
 def old_orders(s, d):
@@ -39,27 +42,21 @@ def new_orders(s, d):
 
 def parts(s, d):
     p = table(s, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("description"), F.split(F.concat_ws(" ", "p_type", "p_brand"), " ").alias("tags"), F.col("p_size").alias("duration"), F.floor(F.col("p_retailprice") * 3).cast("int").alias("width"), F.when(F.col("p_size") % 4 != 0, F.element_at(F.array(F.lit("landscape"), F.lit("portrait"), F.lit("square")), (F.col("p_size") % 4).cast("int"))).alias("orientation"))
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("description"), F.split(F.concat_ws(" ", "p_type", "p_brand"), " ").alias("tags"), F.col("p_size").alias("duration"), F.floor(F.col("p_retailprice") * 4).cast("int").alias("width"), F.when(F.col("p_size") % 4 != 0, F.element_at(F.array(F.lit("landscape"), F.lit("portrait"), F.lit("square")), (F.col("p_size") % 4).cast("int"))).alias("orientation"))
 
 
-PARTS = "p AS (SELECT p_partkey AS id, p_name AS title, string_split(p_type || ' ' || p_brand, ' ') AS tags, p_size AS duration, floor(p_retailprice * 3)::INT AS width, CASE p_size % 4 WHEN 1 THEN 'landscape' WHEN 2 THEN 'portrait' WHEN 3 THEN 'square' END AS orientation FROM part)"
+PARTS = "p AS (SELECT p_partkey AS id, p_name AS title, string_split(p_type || ' ' || p_brand, ' ') AS tags, p_size AS duration, floor(p_retailprice * 4)::INT AS width, CASE p_size % 4 WHEN 1 THEN 'landscape' WHEN 2 THEN 'portrait' WHEN 3 THEN 'square' END AS orientation FROM part)"
 
 
-def tag_frequency(s, d):
-    tags = parts(s, d).select("id", F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("df"))
+def captions(s, d):
+    """Captions of four of five parts."""
+    return parts(s, d).where("id % 5 <> 0").select("id", F.concat(F.lit("a picture of "), "title").alias("text"))
 
 
-def generic_tags(s, d, share):
-    n = parts(s, d).agg(F.count("*").alias("n"))
-    return tag_frequency(s, d).crossJoin(F.broadcast(n)).where(F.col("df") >= F.col("n") * share).select("tag", "df")
-
-
-def without_generic(s, d):
-    """Tags as text, but for those that a tenth of all rows have."""
-    tags = parts(s, d).select("id", F.posexplode("tags").alias("at", "tag")).join(generic_tags(s, d, 0.10).select(F.col("tag").alias("generic")), F.lower("tag") == F.col("generic"), "left_anti")
-    kept = tags.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]), ", ").alias("text"))
-    return parts(s, d).select("id").join(kept, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+def odd_parts(s, d):
+    """Parts of which some lack title or tags."""
+    p = parts(s, d)
+    return p.withColumn("title", F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).when(F.col("id") % 3 == 1, F.lit("  ")).otherwise(F.col("title"))).withColumn("tags", F.when(F.col("id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.col("tags")))
 
 
 def first_seen(s, d):
@@ -106,11 +103,39 @@ def stream(s, d, shape):
     return s.read.parquet(f"{out}/rows")
 
 
-TAGS = """SELECT * FROM (VALUES (1, '[" a ", "b", "", null, {"name": "c"}, {"search_term": " d "}]'), (2, '[]'), (3, '[{"name": "", "search_term": "e"}]')) AS t(id, tags)"""
+def daily_stream(s, d):
+    """Counts by day as the stream has them at its end, days that no later event has closed included."""
+    from tessella.streaming import events as E
+
+    from .scratch import folder
+
+    out = folder(s)
+    counts = E.daily(E.read(s, f"{d}/events.parquet*", table(s, d, "events").schema)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return E.latest_of_windows(counts, ["day", "event_type"], f"{out}/rows", f"{out}/checkpoint")
+
+
+def odd_tags(s, d):
+    """Tags of parts as JSON: texts with blanks, empty ones, nulls, objects of both kinds."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
+    many = F.concat(F.lit('[" '), "p_brand", F.lit(' ", "", null, {"name": "n'), "p_size", F.lit('"}, {"search_term": " s'), "p_size", F.lit(' "}]'))
+    one = F.concat(F.lit('[{"name": "", "search_term": "t'), "p_size", F.lit('"}]'))
+    return p.select("id", F.when(F.col("id") % 3 == 0, many).when(F.col("id") % 3 == 1, F.lit("[]")).otherwise(one).alias("tags"))
+
+
+def stored_objects(s, d):
+    """Tag lists of which every other has objects stored as text."""
+    p = table(s, d, "part")
+    named = F.array(F.col("p_brand"), F.concat(F.lit('{"name": "n'), "p_size", F.lit('"}')), F.lit('{"search_term": "c"}'), F.lit('{"name": ""}'))
+    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, named).otherwise(F.array("p_brand", F.lit(""))).alias("tags"))
+
+
+SOURCES = {"raw": "raw", "caption": "caption", "title": "raw-title", "title_desc": "raw-title-desc", "df5": "raw-tags-df5", "df10": "raw-tags-df10"}
 
 QUERIES = {
     "catalog_gap_id": lambda s, d: M.gap(customers(s, d), buyers(s, d), "id").select("id", "name"),
-    "catalog_gap_lastmod": lambda s, d: M.gap(customers(s, d), buyers(s, d), "id").orderBy(F.desc_nulls_last("balance"), F.desc("id")).limit(20).select("id", "balance"),
+    "catalog_gap_lastmod": lambda s, d: P.worklist(M.gap(customers(s, d), buyers(s, d), "id").withColumn("lastmod", F.when(F.col("id") % 2 == 0, F.col("balance"))), "id", "lastmod", 200).select("id", "lastmod"),
+    "catalog_gap_newest": lambda s, d: P.worklist(M.gap(customers(s, d), buyers(s, d), "id"), "id", "id", 20).select("id"),
+    "catalog_gap_random": lambda s, d: P.worklist(M.gap(customers(s, d), buyers(s, d), "id"), "id", "random", 20, "7").select("id"),
     "mark_missing": lambda s, d: M.mark_missing(customers(s, d).withColumn("missing_since", F.when(F.col("id") % 7 == 0, F.lit("2024-02-02").cast("date"))), M.gap(customers(s, d), buyers(s, d), "id"), "id", now()).select("id", F.col("missing_since").cast("string").alias("missing_since")),
     "coverage_pct": lambda s, d: customers(s, d).join(buyers(s, d).withColumn("has", F.lit(1)), "id", "left").agg(F.round(100.0 * F.count("has") / F.count("*"), 2).alias("pct")),
     "coverage_counts": lambda s, d: customers(s, d).join(buyers(s, d).withColumn("has", F.lit(1)), "id", "left").agg(F.count("*").alias("n"), F.count("has").alias("n_has")),
@@ -129,29 +154,31 @@ QUERIES = {
     "term_slug": lambda s, d: table(s, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug")),
     "normalize_orientation": lambda s, d: table(s, d, "part").select("p_partkey", T.orientation(F.nullif("p_size", F.lit(7)), F.lit(25)).alias("orientation")),
     "user_name_fallback": lambda s, d: table(s, d, "customer").select("c_custkey", T.person(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(" "), F.when(F.col("c_custkey") % 3 == 0, " x "), F.col("c_name")).alias("name")),
-    "tag_normalize": lambda s, d: s.sql(TAGS).select("id", F.array_join(T.tag_texts(F.col("tags")), "|").alias("tags")),
-    "tag_repair": lambda s, d: s.sql("""SELECT 1 AS id, array('a', '{"name": "b"}', '{"search_term": "c"}') AS tags UNION ALL SELECT 2, array('x', '')""").select("id", F.array_join(T.repaired_tags(F.col("tags")), "|").alias("tags")),
+    "tag_normalize": lambda s, d: odd_tags(s, d).select("id", F.array_join(T.tag_texts(F.col("tags")), "|").alias("tags")),
+    "tag_repair": lambda s, d: stored_objects(s, d).select("id", F.array_join(T.repaired_tags(F.col("tags")), "|").alias("tags")),
     "embed_text": lambda s, d: parts(s, d).select("id", T.canonical(F.col("title"), F.col("description"), F.col("tags")).alias("text")),
-    "generic_tags": lambda s, d: generic_tags(s, d, 0.05),
-    "text_source_df10": without_generic,
-    "hard_filter": lambda s, d: S.hard_filter(parts(s, d), "portrait", 10, 40, 3000).select("id"),
+    "generic_tags": lambda s, d: X.generic_tags(parts(s, d), 0.05),
+    **{f"text_source_{name}": lambda s, d, name=name: X.texts(parts(s, d).withColumn("description", F.col("orientation")), SOURCES[name], captions(s, d)) for name in SOURCES},
+    "hard_filter": lambda s, d: S.hard_filter(parts(s, d), "portrait", 10, 40, 3610).select("id"),
     "hard_filter_unknown": lambda s, d: S.hard_filter(parts(s, d), "unknown", 10, unknown=True).select("id"),
-    "embeddable_rows": lambda s, d: parts(s, d).where((F.trim(F.coalesce("title", F.lit(""))) != "") | (F.size("tags") > 0)).agg(F.count("*").alias("n")),
-    "backfill_owed_shard": lambda s, d: table(s, d, "orders").where("o_orderpriority IS DISTINCT FROM '1-URGENT' AND pmod(o_orderkey, 3) = 1").orderBy("o_orderkey").limit(1000).select("o_orderkey"),
+    "embeddable_rows": lambda s, d: odd_parts(s, d).where((F.trim(F.coalesce("title", F.lit(""))) != "") | (F.size("tags") > 0)).agg(F.count("*").alias("n")),
+    "backfill_owed_shard": lambda s, d: P.owed(table(s, d, "orders"), F.col("o_orderpriority"), "1-URGENT", "o_orderkey", 1, 3).orderBy("o_orderkey").limit(1000).select("o_orderkey"),
     "fetch_targets": lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("term"), F.explode(F.array(*[F.lit(k).cast('long') for k in (1, 2, 3)])).alias("page")),
     "stream_dedup": lambda s, d: stream(s, d, lambda E, e: E.distinct(e.unionByName(e)).select("event_id", "event_type")),
-    "stream_daily_counts": lambda s, d: stream(s, d, lambda E, e: E.daily(e).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")),
+    "stream_daily_counts": daily_stream,
 }
 
-GAP = "SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id)"
+GAP = "SELECT * FROM c WHERE id % 5 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id)"
 OLD = "o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0)"
 GENERIC = PARTS + ", tg AS (SELECT DISTINCT id, unnest(list_transform(tags, lambda x: lower(x))) AS tag FROM p), gt AS (SELECT tag, count(*) AS df FROM tg GROUP BY ALL)"
 ORACLES = {
     "catalog_gap_id": f"WITH {CUSTOMERS} SELECT id, name FROM ({GAP})",
-    "catalog_gap_lastmod": f"WITH {CUSTOMERS} SELECT id, balance FROM ({GAP}) ORDER BY balance DESC NULLS LAST, id DESC LIMIT 20",
-    "mark_missing": f"WITH {CUSTOMERS} SELECT id, CASE WHEN id % 7 = 0 THEN '2024-02-02' WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id) THEN '2024-06-01' END AS missing_since FROM c",
-    "coverage_pct": "SELECT round(100.0e0 * (SELECT count(DISTINCT o_custkey) FROM orders) / (SELECT count(*) FROM customer), 2) AS pct",
-    "coverage_counts": "SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_has",
+    "catalog_gap_lastmod": f"WITH {CUSTOMERS} SELECT id, CASE WHEN id % 2 = 0 THEN balance END AS lastmod FROM ({GAP}) ORDER BY lastmod DESC NULLS LAST, id DESC LIMIT 200",
+    "catalog_gap_newest": f"WITH {CUSTOMERS} SELECT id FROM ({GAP}) ORDER BY id DESC LIMIT 20",
+    "catalog_gap_random": f"WITH {CUSTOMERS} SELECT id FROM ({GAP}) ORDER BY md5('7|' || id), id LIMIT 20",
+    "mark_missing": f"WITH {CUSTOMERS} SELECT id, CASE WHEN id % 7 = 0 THEN '2024-02-02' WHEN id % 5 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id) THEN '2024-06-01' END AS missing_since FROM c",
+    "coverage_pct": "SELECT round(100.0e0 * (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 5 <> 0) / (SELECT count(*) FROM customer), 2) AS pct",
+    "coverage_counts": "SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 5 <> 0) AS n_has",
     "library_stats": "SELECT count(*) AS n, count(value) AS n_value, coalesce(sum(CASE WHEN (props->>'$.k')::BIGINT > 50 THEN 1 ELSE 0 END), 0)::BIGINT AS n_large FROM events",
     "upsert_changed": f"WITH {OLD} SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND o.status IS DISTINCT FROM n.status THEN n.status ELSE o.status END AS status, CASE WHEN n.id IS NOT NULL AND o.status IS DISTINCT FROM n.status THEN n.price ELSE o.price END AS price, CASE WHEN o.id IS NULL THEN '2024-06-01' ELSE '2024-01-01' END AS first_seen_at, CASE WHEN n.id IS NOT NULL AND o.status IS DISTINCT FROM n.status THEN '2024-06-01' ELSE '2024-01-01' END AS updated_at FROM o FULL JOIN n ON o.id = n.id",
     "upsert_catalog": f"WITH {OLD} SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.status ELSE n.status END AS status, CASE WHEN o.id IS NULL THEN '2024-06-01' ELSE '2024-01-01' END AS first_seen_at, CASE WHEN n.id IS NULL THEN '2024-01-01' ELSE '2024-06-01' END AS last_seen_at FROM o FULL JOIN n ON o.id = n.id",
@@ -167,16 +194,35 @@ ORACLES = {
     "term_slug": "SELECT p_partkey, coalesce(nullif(left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 60), ''), 'term') AS slug FROM part",
     "normalize_orientation": "SELECT p_partkey, CASE WHEN p_size = 7 THEN NULL WHEN p_size = 25 THEN 'square' WHEN p_size < 25 THEN 'portrait' ELSE 'landscape' END AS orientation FROM part",
     "user_name_fallback": "SELECT c_custkey, coalesce(nullif(concat_ws(' ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 3 = 0 THEN 'x' END), ''), c_name) AS name FROM customer",
-    "tag_normalize": "SELECT * FROM (VALUES (1, 'a|b|c|d'), (2, ''), (3, 'e')) AS t(id, tags)",
-    "tag_repair": "SELECT * FROM (VALUES (1, 'a|b'), (2, 'x|')) AS t(id, tags)",
+    "tag_normalize": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_brand || '|n' || p_size || '|s' || p_size WHEN 1 THEN '' ELSE 't' || p_size END AS tags FROM part",
+    "tag_repair": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|n' || p_size ELSE p_brand || '|' END AS tags FROM part",
     "embed_text": f"WITH {PARTS} SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) || ' — ' || array_to_string(tags, ', ') AS text FROM p",
     "generic_tags": f"WITH {GENERIC} SELECT tag, df FROM gt WHERE df >= 0.05 * (SELECT count(*) FROM p)",
-    "hard_filter": f"WITH {PARTS} SELECT id FROM p WHERE orientation = 'portrait' AND duration BETWEEN 10 AND 40 AND width >= 3000",
+    "hard_filter": f"WITH {PARTS} SELECT id FROM p WHERE orientation = 'portrait' AND duration BETWEEN 10 AND 40 AND width >= 3610",
     "hard_filter_unknown": f"WITH {PARTS} SELECT id FROM p WHERE orientation IS NULL AND duration >= 10",
-    "embeddable_rows": "SELECT count(*) AS n FROM part",
+    "embeddable_rows": "SELECT count(*) AS n FROM part WHERE p_partkey % 3 = 2 OR p_partkey % 2 <> 0",
     "backfill_owed_shard": "SELECT o_orderkey FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT' AND o_orderkey % 3 = 1 ORDER BY o_orderkey LIMIT 1000",
     "fetch_targets": "SELECT n_name AS term, unnest(range(1, 4)) AS page FROM nation",
     "stream_dedup": "SELECT event_id, event_type FROM events",
+    "stream_daily_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+}
+
+
+def text_sql(*parts: str) -> str:
+    """Parts that are not blank, joined."""
+    listed = ", ".join(f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')" for x in parts)
+    return f"concat_ws(' — ', {listed})"
+
+
+def without_generic(share: str) -> str:
+    return f"WITH {GENERIC}, g AS (SELECT coalesce(list(tag), []) AS all_tags FROM gt WHERE df >= {share} * (SELECT count(*) FROM p)) SELECT id, " + text_sql("title", "orientation", "array_to_string(list_filter(tags, lambda x: NOT list_contains(all_tags, lower(x))), ', ')") + " AS text FROM p, g"
+
+
+ORACLES |= {
+    "text_source_raw": f"WITH {PARTS} SELECT id, {text_sql('title', 'orientation', chr(39).join(('array_to_string(tags, ', ', ', ')')))} AS text FROM p",
+    "text_source_caption": f"WITH {PARTS} SELECT id, CASE WHEN id % 5 <> 0 THEN 'a picture of ' || title ELSE '' END AS text FROM p",
+    "text_source_title": f"WITH {PARTS} SELECT id, {text_sql('title')} AS text FROM p",
+    "text_source_title_desc": f"WITH {PARTS} SELECT id, {text_sql('title', 'orientation')} AS text FROM p",
+    "text_source_df5": without_generic("0.05"),
+    "text_source_df10": without_generic("0.10"),
 }
-# A list of the generic tags, for a filter of lists.
-ORACLES["text_source_df10"] = f"WITH {GENERIC}, g AS (SELECT coalesce(list(tag), []) AS all_tags FROM gt WHERE df >= 0.10 * (SELECT count(*) FROM p)) SELECT id, array_to_string(list_filter(tags, lambda x: NOT list_contains(all_tags, lower(x))), ', ') AS text FROM p, g"

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.hashing import blake2b_hex
 from ..operators import bm25 as B
+from ..operators import report as R
 from ..operators import search as S
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -73,7 +74,7 @@ def item_vectors(spark, d):
 
 
 def bm25_hits(spark, d, k=10, **model):
-    return B.top(B.scores(items(spark, d), docs(spark, d), B.Bm25(**model)), k)
+    return B.top_hits(items(spark, d), docs(spark, d), k, B.Bm25(**model))
 
 
 def english(spark, d):
@@ -81,7 +82,7 @@ def english(spark, d):
 
 
 def fused(spark, d, k, allowed=None):
-    scored = B.scores(items(spark, d), docs(spark, d), allowed=allowed)
+    scored = B.top_hits(items(spark, d), docs(spark, d), S.DEPTH, allowed=allowed)
     v = vecs(spark, d) if allowed is None else vecs(spark, d).join(allowed, "doc_id", "left_semi")
     return S.fuse({"sparse": scored, "dense": S.dense_top(item_vectors(spark, d), v, S.DEPTH)}, k)
 
@@ -94,10 +95,10 @@ def hash_weights(spark, d):
 
 
 def exclude_backfill(spark, d):
-    """Hits without those whose source is shut out, refilled from the next ones."""
+    """The first ten hits whose source is not shut out: all scores are there, so no number of excluded hits leaves a gap."""
     shut = spark.createDataFrame([("src0",), ("src1",)], "url string")
     urls = table(spark, d, "documents").select("doc_id", F.col("source").alias("url"))
-    return hits(S.exclude(bm25_hits(spark, d, 30), urls, shut, 10))
+    return hits(S.exclude(B.scores(items(spark, d), docs(spark, d)), urls, shut, 10))
 
 
 DOC_WEIGHT = {"query": "w", "doc": "w * idf", "both": "w * idf"}
@@ -109,7 +110,8 @@ QUERIES = {
     **{f"bm25_doc_weights_{side}": lambda s, d, side=side: B.postings(docs(s, d), B.Bm25(idf_side=side)).select("doc_id", "term", F.round("weight", 6).alias("weight")) for side in DOC_WEIGHT},
     "bm25_topk": lambda s, d: hits(bm25_hits(s, d)),
     "bm25_topk_both": lambda s, d: hits(bm25_hits(s, d, idf_side="both")),
-    "bm25_topk_filtered": lambda s, d: hits(B.top(B.scores(items(s, d), docs(s, d), allowed=english(s, d)), 10)),
+    "bm25_topk_filtered": lambda s, d: hits(B.top_hits(items(s, d), docs(s, d), 10, allowed=english(s, d))),
+    "bm25_topk_postings": lambda s, d: hits(B.top(B.scores(items(s, d), docs(s, d)), 10)),
     "dense_cosine_topk": lambda s, d: hits(S.dense_top(every_20th(vecs(s, d)), vecs(s, d), 10)),
     "dense_l2_topk": lambda s, d: hits(S.dense_top(every_20th(vecs(s, d)), vecs(s, d), 10, "l2")),
     "dense_ip_topk": lambda s, d: hits(S.dense_top(every_20th(vecs(s, d)), vecs(s, d), 10, "inner")),
@@ -121,9 +123,10 @@ QUERIES = {
     "hydrate_ranked": lambda s, d: S.hydrate(hits(bm25_hits(s, d)), table(s, d, "documents").select("doc_id", "source", "n_chars")),
     "hash_sparse_weights": hash_weights,
     "hash_dense_topk": lambda s, d: hits(S.dense_top(hash_dense(items(s, d).withColumnRenamed("qid", "doc_id")).withColumnRenamed("doc_id", "qid"), hash_dense(docs(s, d)), 10)),
-    "export_hits": lambda s, d: __import__("tessella.operators.report", fromlist=["hit_rows"]).hit_rows(hits(bm25_hits(s, d))),
-    "detect_lang": lambda s, d: docs(s, d).select("doc_id", T.language(F.col("text")).alias("lang")),
-    "vector_literal": lambda s, d: vecs(s, d).select("doc_id", F.size(T.parsed_vector(T.vector_literal(F.col("embedding")))).cast("long").alias("n")),
+    "export_hits": lambda s, d: R.hit_rows(hits(bm25_hits(s, d))),
+    "detect_lang": lambda s, d: docs(s, d).select("doc_id", T.language(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" \u7530\u91ce"))).otherwise(F.col("text"))).alias("lang")),
+    "vector_literal": lambda s, d: vecs(s, d).select("doc_id", T.vector_literal(F.col("embedding")).alias("literal"), F.size(T.parsed_vector(T.vector_literal(F.col("embedding")))).cast("long").alias("n")),
+    "sparse_literal": lambda s, d: vecs(s, d).select("doc_id", T.sparse_literal(F.filter(F.transform("embedding", lambda x, i: F.struct((i * 7 % 67).alias("number"), x.alias("weight"))), lambda p: p["weight"] > 0), 67).alias("literal")),
 }
 
 
@@ -152,9 +155,11 @@ ORACLES = {
     "dense_normalize": "SELECT vec_id AS doc_id, i - 1 AS at, round(x[i] / sqrt(list_inner_product(x, x)), 6) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "rrf_fusion": f"WITH {bm25_sql(100)},\n{dense_sql(100, COSINE, BY_ITEM)},\n{FUSED},\n{ranked('r', 'f', 10)} {HITS} FROM r",
     "hybrid_search": f"WITH {bm25_sql(100, where=chr(39).join(('doc_id IN (SELECT doc_id FROM documents WHERE lang = ', 'en', ')')))},\n{dense_sql(100, COSINE, BY_ITEM, 'vec_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')},\n{FUSED},\n{ranked('r', 'f', 10)} {HITS}, lang, source, n_chars FROM r JOIN documents USING (doc_id)",
-    "hybrid_exclude_backfill": f"WITH {bm25_sql(30)},\nx AS (SELECT qid, doc_id, score FROM bm WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source IN ('src0', 'src1'))),\n{ranked('r', 'x', 10)} {HITS} FROM r",
+    "hybrid_exclude_backfill": f"WITH {bm25_sql(1000000000)},\nx AS (SELECT qid, doc_id, score FROM s WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source IN ('src0', 'src1'))),\n{ranked('r', 'x', 10)} {HITS} FROM r",
     "hydrate_ranked": f"WITH {bm25_sql(10)} {HITS}, source, n_chars FROM bm JOIN documents USING (doc_id)",
     "export_hits": f"WITH {bm25_sql(10)} SELECT qid, doc_id, rank, printf('%.6f', round(score, 6)) AS score FROM bm",
-    "detect_lang": "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END AS lang FROM documents",
-    "vector_literal": "SELECT vec_id AS doc_id, len(embedding) AS n FROM embeddings",
+    "bm25_topk_postings": f"WITH {bm25_sql(10)} {HITS} FROM bm",
+    "detect_lang": "SELECT doc_id, CASE WHEN text IS NOT NULL AND doc_id % 7 = 0 OR regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' ELSE 'en' END AS lang FROM documents",
+    "vector_literal": "SELECT vec_id AS doc_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6g', x::DOUBLE)), ',') || ']' AS literal, len(embedding) AS n FROM embeddings",
+    "sparse_literal": "SELECT vec_id AS doc_id, '{' || array_to_string(list_transform(list_sort(list_filter(list_transform(range(0, len(embedding)), lambda i: {'n': i * 7 % 67, 'w': embedding[i + 1]}), lambda p: p.w > 0)), lambda p: p.n || ':' || printf('%.6g', p.w::DOUBLE)), ',') || '}/67' AS literal FROM embeddings",
 }

@@ -12,11 +12,14 @@ from ..operators import metrics as X
 from ..operators import providers as P
 from ..operators import queryset as Q
 from ..operators import search as S
+from ..operators.library import urls_of
+from ..operators.ranks import ordered_hash
 from ..sources import files
 from . import evaluation as E
 from . import library as L
-from .catalogue import GENERIC, PARTS, generic_tags, parts
+from .catalogue import PARTS, parts
 from .library import table
+from .scratch import stored
 
 
 def media_records(s, d):
@@ -42,9 +45,20 @@ def answers(s, d):
 
 def queries_table(s, d):
     """The benchmark as a query set with all columns of an export."""
-    q = E.with_split(s, d)
-    hard = F.when(F.col("qid") % 3 == 0, F.create_map(F.lit("orientation"), F.lit("portrait"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    return q.select("qid", "text", F.lit("catalog").alias("source"), F.when(F.col("qid") % 2 == 0, "real").otherwise("concept").alias("category"), "lang", F.array(F.lit("a"), F.lit("b")).alias("facets"), hard.alias("hard"), F.lit("easy").alias("difficulty"), F.lit(0).cast("long").alias("match_docs"), "split")
+    return E.query_set(s, d)
+
+
+def judgment_records(s, d):
+    """All that is kept of each judgment of the pool."""
+    rows = E.labels(s, d).join(E.query_set(s, d).select("qid", F.col("text").alias("query_text")), "qid").join(L.docs(s, d).select("doc_id", F.md5("text").alias("doc_hash"), F.substring("text", 1, 20).alias("doc_text")), "doc_id")
+    return rows.withColumn("key", E.hashed("qid", "doc_id")).withColumn("reason", F.concat(F.lit("because "), F.col("doc_id").cast("string"))).withColumn("status", F.when(F.col("grade").isNull(), "unparsed").otherwise("ok")).withColumn("ts", F.lit("2024-06-01"))
+
+
+def blind_worksheet(s, d):
+    """Of every grade the quota, without what the judge said; the order is that of BLAKE2b, so the rows are compared by grade."""
+    records = stored(judgment_records(s, d))
+    sheet = J.worksheet_rows(records, {1: 15, 2: 10, 0: 10, 3: 5}, blind=True)
+    return sheet.join(records.select(F.col("key").alias("pair_id"), "grade"), "pair_id").groupBy("grade").agg(F.count("*").alias("n"), F.count_if(F.expr("human_grade = '' AND notes = ''")).alias("open"))
 
 
 def designed(s, d):
@@ -58,12 +72,16 @@ def terms_to_choose(s, d):
 
 
 def judged(s, d):
-    pooled = J.pool([E.run(s, d), E.other_run(s, d)], 10)
+    pooled = stored(E.pool_of(E.two(s, d)))
     old = E.with_mock(pooled).where("qid % 2 = 0")
     h = F.conv(F.substring(E.hashed("qid", "doc_id"), 1, 1), 16, 10).cast("int")
     return J.judge_counts(pooled, old, J.judge(pooled, old, F.when(h != 0, h % 4)))
 
 
+def budgeted(run):
+    return J.judge(J.pool([run], 10), run.where("qid % 2 = 0"), F.lit(1), 25)
+
+
 def filled_worksheet(s, d):
     """Labels as people graded them: the quality, left blank for some, with pairs that the judge never saw."""
     rows = table(s, d, "labels")
@@ -80,21 +98,21 @@ def run_versions(s, d):
 
 
 def vectors(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model"), F.element_at("embedding", 1).alias("embedding"))
+    return table(s, d, "embeddings").select("vec_id", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model"), "embedding")
 
 
 def vector_upsert(s, d):
     v = vectors(s, d)
     old = v.where("vec_id % 3 <> 0").withColumn("kept", F.lit(True))
-    new = v.where("vec_id % 2 = 0").withColumn("embedding", F.lit(0.5).cast("float"))
-    return M.upsert_vectors(old, new, ["vec_id", "model"]).select("vec_id", "model", "kept", F.round(F.col("embedding").cast("double"), 5).alias("embedding"))
+    new = v.where("vec_id % 2 = 0").withColumn("embedding", F.reverse("embedding"))
+    return M.upsert_vectors(old, new, ["vec_id", "model"]).select("vec_id", "model", "kept", T.vector_literal(F.col("embedding")).alias("embedding"))
 
 
 def cache_split(s, d):
     v = vectors(s, d)
     request = v.select("vec_id", "model").union(v.select("vec_id", "model"))
     hit, owed = M.cached_and_owed(request, v.where("vec_id % 3 = 0"), ["vec_id", "model"])
-    return hit.select("vec_id", F.lit("cached").alias("state")).unionByName(owed.select("vec_id", F.lit("owed").alias("state")))
+    return hit.select("vec_id", F.lit("cached").alias("state"), T.vector_literal(F.col("embedding")).alias("embedding")).unionByName(owed.select("vec_id", F.lit("owed").alias("state"), F.lit(None).cast("string").alias("embedding")))
 
 
 def freeze(s, d):
@@ -133,56 +151,60 @@ def streaming():
     return events
 
 
-def text_source(s, d, share=None, description=False):
-    """Title, title and description, or tags but for those that a share of all rows have."""
-    p = parts(s, d)
-    if share is None:
-        return p.select("id", T.canonical(F.col("title"), F.col("orientation") if description else F.lit(None).cast("string"), F.array().cast("array<string>")).alias("text"))
-    tags = p.select("id", F.posexplode("tags").alias("at", "tag")).join(generic_tags(s, d, share).select(F.col("tag").alias("generic")), F.lower("tag") == F.col("generic"), "left_anti")
-    kept = tags.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]), ", ").alias("text"))
-    return p.select("id").join(kept, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+def shapes(s, d):
+    """Texts as vectors that SQL can count: their length, blanks and letters e."""
+    provider = P.Provider("shape-3", 3, lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts], max_batch=7)
+    return P.embed(L.docs(s, d), provider).select("doc_id", *[F.element_at("embedding", k + 1).cast("long").alias(name) for k, name in enumerate(("length", "blanks", "es"))], "model")
+
+
+def excluded_pages(s, d):
+    """Pages of which no URL (the page, its picture, its renditions) is one that every seventh page has."""
+    p = table(s, d, "pages")
+    files = F.concat(F.lit('[{"link":"f'), F.col("page_id") % 50, F.lit('"},{"width":3},{"link":""}]'))
+    urls = p.select(F.col("page_id").alias("doc_id"), F.explode(urls_of(F.col("url"), F.concat("url", F.lit("/thumb")), files)).alias("url"))
+    shut = p.where("page_id % 7 = 0").select("url").union(p.where("page_id < 3").select(F.concat("url", F.lit("/thumb")))).union(s.createDataFrame([("f11",)], "url string"))
+    bad = urls.join(shut.distinct(), "url", "left_semi").select(F.col("doc_id").alias("page_id")).distinct()
+    return p.join(bad, "page_id", "left_anti").select("page_id")
 
 
 QUERIES = {
     "multi_get": lambda s, d: table(s, d, "customer").join(F.broadcast(s.createDataFrame([(3,), (1,), (999_999_999,)], "c_custkey long")), "c_custkey", "left_semi").select("c_custkey", "c_name").orderBy("c_custkey"),
     "composite_lookup": lambda s, d: vectors(s, d).where("vec_id = 7 AND model IN ('m0', 'm1')").select("vec_id", "model"),
-    "text_source_title": text_source,
-    "text_source_title_desc": lambda s, d: text_source(s, d, description=True),
-    "text_source_df5": lambda s, d: text_source(s, d, 0.05),
     "normalize_media": media,
     "caption_cleanup": lambda s, d: answers(s, d).select("conv_id", "turn", T.caption(F.col("parts")).alias("caption")),
-    "clean_terms": lambda s, d: E.terms(s, d).where(T.is_clean(F.col("term"))).select("doc_id", "term"),
+    "clean_terms": lambda s, d: E.terms(s, d).where(T.is_clean(F.col("term"))).select("doc_id", "nth", "term"),
     "url_quote": lambda s, d: table(s, d, "part").select("p_partkey", T.url_quoted(F.col("p_name")).alias("q")),
     "page_url": lambda s, d: table(s, d, "part").select("p_partkey", T.page_url("https://x.org/video/", F.when(F.col("p_partkey") % 2 == 0, T.slug(F.col("p_name"))), F.col("p_partkey")).alias("url")),
     "cursor_crossed": lambda s, d: table(s, d, "events").select("event_id", T.crossed(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("2024-01-15 12:00:00")).alias("crossed"), T.crossed(F.col("event_type"), F.lit("error")).alias("by_text")),
     "judge_versions": lambda s, d: table(s, d, "events").select(T.judge_version(F.col("event_type"), F.lit("prompt-v1")).alias("version")).distinct(),
     "saturation": lambda s, d: table(s, d, "part").select("p_partkey", F.round(480.0 * F.pow(1.0 - F.col("p_size") / 100.0, 2), 6).alias("new_a_term")),
-    "exclude_urls": lambda s, d: table(s, d, "pages").where(~F.arrays_overlap(F.array("url", F.concat("url", F.lit("/thumb"))), F.array(F.lit("nothing"), *[F.lit(r.url) for r in table(s, d, "pages").where("page_id IN (0, 1, 2)").select("url").collect()]))).select("page_id"),
+    "exclude_urls": excluded_pages,
     "pending_thumbnails": lambda s, d: table(s, d, "orders").where("o_orderstatus = 'O' AND o_orderpriority IS NOT NULL").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey"),
-    "match_proxy": lambda s, d: Q.match(E.terms(s, d).select(F.col("doc_id").alias("key"), "term"), B.document_frequency(B.term_counts(L.docs(s, d)))).select(F.col("key").alias("doc_id"), "match"),
+    "match_proxy": lambda s, d: Q.match(E.terms(s, d).select(F.struct("doc_id", "nth").alias("key"), "term"), B.document_frequency(B.term_counts(L.docs(s, d)))).select("key.doc_id", "key.nth", "match"),
     "choose_queries": terms_to_choose,
     "designed_faults": lambda s, d: Q.faults(designed(s, d), ["motion", "place"], ["orientation"], ["easy", "hard"], ["en", "zh"]),
     "designed_counts": lambda s, d: Q.counts_differ(designed(s, d), {"facet": 1, "concept": 0, "filter": 5}),
     "judge_pass": judged,
-    "judge_budget": lambda s, d: J.judge(J.pool([E.run(s, d)], 10), E.run(s, d).where("qid % 2 = 0"), F.lit(1), 25).select("qid", "doc_id", "status"),
+    "judge_budget": lambda s, d: budgeted(E.run(s, d)).select("qid", "doc_id", "status"),
     "calibration_score": filled_worksheet,
     "runs_of_version": run_versions,
-    "pairwise_wins": lambda s, d: X.pairwise_wins(E.two_runs(s, d)),
+    "pairwise_wins": lambda s, d: X.pairwise_wins(stored(E.scored_runs(s, d))),
     "export_queries": lambda s, d: files.query_rows(queries_table(s, d)),
-    "export_judgments": lambda s, d: E.labels(s, d).select("qid", "doc_id", F.coalesce(F.col("grade").cast("string"), F.lit("")).alias("grade"), F.when(F.col("grade").isNull(), "unparsed").otherwise("ok").alias("status")),
+    "export_judgments": lambda s, d: files.judgment_rows(judgment_records(s, d)),
+    "calibration_worksheet": blind_worksheet,
     "vector_upsert": vector_upsert,
     "vector_cache_split": cache_split,
     "caption_freeze": freeze,
     "facet_fusion": facet_arms,
-    "content_hash": lambda s, d: table(s, d, "documents").select(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")), 1, 15), 16, 10).cast("long").alias("h")).agg(F.count("*").alias("n"), F.expr("bit_xor(h)").alias("hash")),
+    "content_hash": lambda s, d: ordered_hash(table(s, d, "documents").select("doc_id", "lang", F.md5("text").alias("text")), "doc_id", 100),
     "kind_counts": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("keys")),
-    "resume_keys": lambda s, d: table(s, d, "events").where("event_type = 'view'").select("user_id").distinct().join(table(s, d, "events").where("event_type = 'error'").select("user_id"), "user_id", "left_anti"),
+    "resume_keys": lambda s, d: table(s, d, "events").where("event_type = 'view'").select("user_id").distinct().join(table(s, d, "events").where("event_type = 'error' AND user_id % 3 = 0").select("user_id"), "user_id", "left_anti"),
     "head_marker": lambda s, d: streaming().after_marker(zoned(s, d), zoned(s, d).where("event_type = 'signup'").agg(F.max("ts").alias("marker"))).select("event_id"),
     "window_tumbling": lambda s, d: window_rows(streaming().tumbling(zoned(s, d), "1 day")),
     "window_sliding": lambda s, d: window_rows(streaming().tumbling(zoned(s, d), "2 days", "1 day")),
     "window_session": lambda s, d: streaming().sessions(zoned(s, d), "12 hours").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest")),
     "stream_incremental_counts": batches,
-    "provider_embed": lambda s, d: P.embed(L.docs(s, d), P.hash_provider(64)).select("doc_id", F.size("embedding").cast("long").alias("size"), "model"),
+    "provider_embed": shapes,
     "strategy_rrf": lambda s, d: L.hits(P.strategy("rrf", P.hash_provider(256)).hits(L.items(s, d), L.docs(s, d), 10)),
 }
 
@@ -194,50 +216,53 @@ def arm_sql(number: int, where: str) -> str:
     return sql.replace("d AS (SELECT a.", f"d{number} AS (SELECT a.").replace("de AS (", f"e{number} AS (").replace("FROM d)", f"FROM d{number})")
 
 
-TERM = "array_to_string(string_split(text, ' ')[1:3], ' ')"
-MATCH = "m AS (SELECT doc_id, coalesce(max(df), 0) AS match FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [''] ELSE x END) AS term FROM (SELECT doc_id, regexp_extract_all(lower(" + TERM + "), '[a-z0-9]+') AS x FROM documents)) LEFT JOIN df USING (term) GROUP BY ALL)"
 JUNK = f"""lower(term) LIKE '%http%' OR lower(term) LIKE '%www%' OR len(t) NOT BETWEEN 1 AND 6 OR len(list_filter(t, lambda x: NOT regexp_full_match(x, '[0-9]+'))) = 0
   OR len(list_filter(t, lambda x: regexp_full_match(x, '[a-z]{{2,}}'))) = 0 OR len(list_filter(t, lambda x: x NOT IN {T.STOPWORDS})) = 0"""
 DAY = "strftime(date_trunc('day', ts), '%Y-%m-%d')"
-V = "v AS (SELECT vec_id, 'm' || label % 2 AS model, embedding[1] AS embedding FROM embeddings)"
+V = "v AS (SELECT vec_id, 'm' || label % 2 AS model, embedding FROM embeddings)"
+
+
+def literal_sql(vector: str) -> str:
+    return f"'[' || array_to_string(list_transform({vector}, lambda x: printf('%.6g', x::DOUBLE)), ',') || ']'"
+
+
 ORACLES = {
     "multi_get": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 3)",
     "composite_lookup": f"WITH {V} SELECT vec_id, model FROM v WHERE vec_id = 7",
-    "text_source_title": "SELECT p_partkey AS id, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS text FROM part",
-    "text_source_title_desc": f"WITH {PARTS} SELECT id, concat_ws(' — ', trim(regexp_replace(title, '\\s+', ' ', 'g')), orientation) AS text FROM p",
-    "text_source_df5": f"WITH {GENERIC}, g AS (SELECT coalesce(list(tag), []) AS all_tags FROM gt WHERE df >= 0.05 * (SELECT count(*) FROM p)) SELECT id, array_to_string(list_filter(tags, lambda x: NOT list_contains(all_tags, lower(x))), ', ') AS text FROM p, g",
     "normalize_media": "SELECT p_partkey AS item_id, p_name AS title, p_brand || '|x' AS tags, p_size AS duration, CASE WHEN p_size % 3 <> 0 THEN p_size END AS width, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size = 20 THEN 'square' WHEN p_size < 20 THEN 'portrait' ELSE 'landscape' END AS orientation, 'u' AS user_name, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 't' || p_partkey WHEN 2 THEN 's' WHEN 3 THEN 'y' ELSE 'p' END AS thumbnail_url, CASE WHEN p_size % 5 = 1 THEN 'd' END AS download_link, p_size % 5 = 2 AS uhd FROM part",
     "caption_cleanup": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Subject: a cat' WHEN 1 THEN 'A dog runs' ELSE 'it rains' END || ' end' || turn AS caption FROM conversations",
-    "clean_terms": f"SELECT doc_id, term FROM (SELECT doc_id, {TERM} AS term FROM documents) WHERE regexp_full_match(term, '[a-z][a-z ]{{2,40}}')",
+    "clean_terms": f"WITH {E.TERMS} SELECT doc_id, nth, term FROM tm WHERE regexp_full_match(term, '[a-z][a-z ]{{2,40}}')",
     "url_quote": "SELECT p_partkey, url_encode(p_name) AS q FROM part",
     "page_url": "SELECT p_partkey, 'https://x.org/video/' || CASE WHEN p_partkey % 2 = 0 THEN coalesce(nullif(left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 60), ''), 'term') ELSE 'video' END || '-' || p_partkey || '/' AS url FROM part",
     "cursor_crossed": "SELECT event_id, date_trunc('second', ts) <= TIMESTAMP '2024-01-15 12:00:00' AS crossed, event_type <= 'error' AS by_text FROM events",
     "judge_versions": "SELECT DISTINCT event_type || '@prompt-v1' AS version FROM events",
     "saturation": "SELECT p_partkey, round(480e0 * (1e0 - p_size / 100e0) ** 2, 6) AS new_a_term FROM part",
-    "exclude_urls": "SELECT page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id IN (0, 1, 2)) AND url || '/thumb' NOT IN (SELECT url FROM pages WHERE page_id IN (0, 1, 2))",
+    "exclude_urls": "WITH x AS (SELECT url FROM pages WHERE page_id % 7 = 0 UNION SELECT url || '/thumb' FROM pages WHERE page_id < 3 UNION SELECT 'f11') SELECT page_id FROM pages WHERE url NOT IN (FROM x) AND url || '/thumb' NOT IN (FROM x) AND 'f' || page_id % 50 NOT IN (FROM x)",
     "pending_thumbnails": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IS NOT NULL ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
-    "match_proxy": f"WITH {L.COUNTS}, {MATCH} SELECT doc_id, match FROM m",
-    "choose_queries": f"WITH {L.COUNTS}, tm AS (SELECT term, regexp_extract_all(lower(term), '[a-z0-9]+') AS t FROM (SELECT DISTINCT {TERM} AS term FROM documents WHERE text IS NOT NULL)), ok AS (SELECT * FROM tm WHERE NOT ({JUNK})), mt AS (SELECT x.term, coalesce(max(df), 0) AS match FROM (SELECT term, unnest(t) AS token FROM ok) x LEFT JOIN df ON df.term = token GROUP BY ALL), bd AS (SELECT *, CASE WHEN match >= 1000 THEN 'head' WHEN match >= 100 THEN 'torso' WHEN match >= 2 THEN 'tail' END AS band FROM mt) SELECT term, match, band FROM bd WHERE band IS NOT NULL QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5(term), term) <= 30",
+    "match_proxy": f"WITH {L.COUNTS}, {E.TERMS}, {E.MATCH} SELECT doc_id, nth, match FROM m",
+    "choose_queries": f"WITH {L.COUNTS}, {E.TERMS}, tt AS (SELECT term, regexp_extract_all(lower(term), '[a-z0-9]+') AS t FROM (SELECT DISTINCT term FROM tm)), ok AS (SELECT * FROM tt WHERE NOT ({JUNK})), mt AS (SELECT x.term, coalesce(max(df), 0) AS match FROM (SELECT term, unnest(t) AS token FROM ok) x LEFT JOIN df ON df.term = token GROUP BY ALL), bd AS (SELECT *, CASE WHEN match >= 1000 THEN 'head' WHEN match >= 100 THEN 'torso' WHEN match >= 2 THEN 'tail' END AS band FROM mt) SELECT term, match, band FROM bd WHERE band IS NOT NULL QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5(term), term) <= 30",
     "designed_faults": "SELECT item_id::VARCHAR AS text, unnest(CASE item_id % 4 WHEN 0 THEN ['composition'] WHEN 1 THEN ['language'] WHEN 2 THEN ['difficulty'] ELSE ['facet'] END) AS fault FROM benchmark",
     "designed_counts": "SELECT category, n, wanted FROM (SELECT 'facet' AS category, count(*) FILTER (item_id % 4 <> 0) AS n, 1 AS wanted FROM benchmark UNION ALL SELECT 'composition', count(*) FILTER (item_id % 4 = 0), 0 FROM benchmark UNION ALL SELECT 'filter', 0, 5) WHERE n <> wanted",
     "judge_pass": f"WITH {E.RUNS},\n{E.MOCK} SELECT count(*) AS pool, count(*) FILTER (qid % 2 = 0) AS cached, count(*) FILTER (qid % 2 <> 0) AS judged, count(*) FILTER (qid % 2 <> 0 AND grade IS NULL) AS unparsed FROM lb",
     "judge_budget": f"WITH {L.bm25_sql(10)} SELECT qid, doc_id, 'ok' AS status FROM bm WHERE qid % 2 <> 0 ORDER BY qid, doc_id LIMIT 25",
     "calibration_score": "WITH x AS (SELECT quality AS b, 1 - toxic AS a, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS good FROM labels), c AS (SELECT count(*) FILTER (NOT good) AS n_skipped, count(*) FILTER (good)::DOUBLE AS n, avg(CASE WHEN a = b THEN 1e0 ELSE 0 END) FILTER (good) AS po, sum(a) FILTER (good) AS sa, sum(b) FILTER (good) AS sb FROM x), k AS (SELECT *, (sa * sb + (n - sa) * (n - sb)) / n ** 2 AS pe FROM c) SELECT n::BIGINT AS n_graded, n_skipped, round(po, 9) AS agreement, round((po - pe) / (1 - pe), 9) AS kappa, (po - pe) / (1 - pe) >= 0.4 AS passed FROM k",
     "runs_of_version": "SELECT p_partkey AS run_id FROM part WHERE (p_brand, p_size) = (SELECT (p_brand, p_size) FROM part ORDER BY p_partkey LIMIT 1)",
-    "export_queries": f"WITH {E.SPLIT} SELECT qid, text, 'catalog' AS source, CASE WHEN qid % 2 = 0 THEN 'real' ELSE 'concept' END AS category, lang, 'a;b' AS facets, CASE WHEN qid % 3 = 0 THEN '{{\"orientation\":\"portrait\"}}' ELSE '' END AS hard, 'easy' AS difficulty, 0 AS match_docs, split FROM sp JOIN benchmark ON item_id = qid",
-    "export_judgments": f"WITH {E.RUNS},\n{E.MOCK} SELECT qid, doc_id, coalesce(grade::VARCHAR, '') AS grade, CASE WHEN grade IS NULL THEN 'unparsed' ELSE 'ok' END AS status FROM lb",
-    "vector_upsert": f"WITH {V} SELECT vec_id, model, CASE WHEN vec_id % 3 <> 0 THEN true END AS kept, round(CASE WHEN vec_id % 2 = 0 THEN 0.5e0 ELSE embedding::DOUBLE END, 5) AS embedding FROM v WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",
-    "vector_cache_split": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'cached' ELSE 'owed' END AS state FROM embeddings",
+    "export_queries": f"WITH {E.SPLIT} SELECT qid, CASE WHEN qid % 6 = 0 THEN text || ' \u7530\u91ce' ELSE text END AS text, source, category, lang, array_to_string(facets, ';') AS facets, CASE WHEN hard THEN '{{\"orientation\":\"portrait\"}}' ELSE '' END AS hard, difficulty, match_docs, split FROM sp JOIN benchmark ON item_id = qid",
+    "export_judgments": f"WITH {E.RUNS},\n{E.MOCK} SELECT qid, CASE WHEN qid % 6 = 0 THEN b.text || ' \u7530\u91ce' ELSE b.text END AS query_text, doc_id, md5(d.text) AS doc_hash, left(d.text, 20) AS doc_text, coalesce(grade::VARCHAR, '') AS grade, 'because ' || doc_id AS reason, CASE WHEN grade IS NULL THEN 'unparsed' ELSE 'ok' END AS status, '2024-06-01' AS ts FROM lb JOIN benchmark b ON item_id = qid JOIN documents d USING (doc_id)",
+    "calibration_worksheet": f"WITH {E.RUNS},\n{E.MOCK}, g AS (SELECT grade, count(*) AS c FROM lb WHERE grade IS NOT NULL GROUP BY ALL) SELECT grade, least(c, CASE grade WHEN 1 THEN 15 WHEN 3 THEN 5 ELSE 10 END) AS n, least(c, CASE grade WHEN 1 THEN 15 WHEN 3 THEN 5 ELSE 10 END) AS open FROM g",
+    "vector_upsert": f"WITH {V} SELECT vec_id, model, CASE WHEN vec_id % 3 <> 0 THEN true END AS kept, {literal_sql('CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END')} AS embedding FROM v WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",
+    "vector_cache_split": f"SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'cached' ELSE 'owed' END AS state, CASE WHEN vec_id % 3 = 0 THEN {literal_sql('embedding')} END AS embedding FROM embeddings",
     "caption_freeze": "WITH n AS (SELECT count(*) AS pictures, count(*) FILTER (length(text) >= 200) AS captions, count(*) FILTER (doc_id % 40 = 0 AND NOT coalesce(length(text) >= 200, false)) AS failed FROM documents) SELECT *, captions + failed >= pictures AND failed <= 0.05 * pictures AS frozen FROM n",
     "facet_fusion": f"WITH {arm_sql(1, 'label < 5')},\n{arm_sql(2, 'label >= 5')},\nf AS (SELECT qid, doc_id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT qid, doc_id, rank FROM e1 UNION ALL SELECT qid, doc_id, rank FROM e2) GROUP BY ALL),\n{L.ranked('r', 'f', 10)} {L.HITS} FROM r",
-    "content_hash": "SELECT count(*) AS n, bit_xor(('0x' || left(md5(concat_ws('|', doc_id::VARCHAR, text)), 15))::BIGINT) AS hash FROM documents",
+    "content_hash": """WITH r AS (SELECT doc_id, md5('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"text":' || coalesce('"' || md5(text) || '"', 'null') || '}') AS h FROM documents),
+g AS (SELECT doc_id // 100 AS k, md5(string_agg(h, '' ORDER BY doc_id, h)) AS h, count(*) AS n FROM r GROUP BY ALL) SELECT sum(n)::BIGINT AS n, md5(string_agg(h, '' ORDER BY k)) AS hash FROM g""",
     "kind_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS keys FROM events GROUP BY ALL",
-    "resume_keys": "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+    "resume_keys": "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0)",
     "head_marker": "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_type = 'signup')",
     "window_tumbling": f"SELECT {DAY} AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "window_sliding": "SELECT strftime(start, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) - to_days(unnest([0, 1])::INT) AS start FROM events) GROUP BY ALL",
     "window_session": "WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOUR, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM k GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM n GROUP BY ALL",
     "stream_incremental_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY ALL",
-    "provider_embed": "SELECT doc_id, 64 AS size, 'local-hash-64' AS model FROM documents",
+    "provider_embed": "SELECT doc_id, length(coalesce(text, '')) AS length, len(coalesce(text, '')) - len(replace(coalesce(text, ''), ' ', '')) AS blanks, len(coalesce(text, '')) - len(replace(coalesce(text, ''), 'e', '')) AS es, 'shape-3' AS model FROM documents",
     "pairwise_wins": f"WITH {E.RUNS},\n{E.MOCK},\n{E.metric_sql(chr(32).join(('SELECT', chr(39) + 'query' + chr(39), 'AS run_id, * FROM bm UNION ALL SELECT', chr(39) + 'both' + chr(39) + ', * FROM bb')))}, d AS (SELECT round(x.ndcg10, 9) - round(y.ndcg10, 9) AS d FROM mq x JOIN mq y USING (qid) WHERE x.run_id = 'both' AND y.run_id = 'query') SELECT 'both' AS a, 'query' AS b, count(*) AS n, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM d",
 }

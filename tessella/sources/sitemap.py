@@ -17,11 +17,18 @@ def entries(xml: DataFrame) -> DataFrame:
 
 def video_items(rows: DataFrame, path: str = "video") -> DataFrame:
     """item_id, slug, lastmod of locations .../<path>/<slug>-<digits>/; others drop out."""
-    pattern = rf"/{path}/(.*?)-?(\d+)/?$"
+    pattern = rf"/{path}/([^/]+?)-(\d+)/?$"
     return rows.where(F.col("loc").rlike(pattern)).select(F.regexp_extract("loc", pattern, 2).cast("long").alias("item_id"), F.regexp_extract("loc", pattern, 1).alias("slug"), "lastmod")
 
 
 def search_terms(rows: DataFrame, path: str = "search/videos") -> DataFrame:
-    """term, lastmod of locations .../<path>/<term>/, decoded."""
+    """term, lastmod of locations .../<path>/<term>/, decoded and trimmed; blank ones drop out."""
     pattern = rf"/{path}/([^/]+)/?$"
-    return rows.where(F.col("loc").rlike(pattern)).select(url_decoded(F.regexp_extract("loc", pattern, 1)).alias("term"), "lastmod")
+    term = F.regexp_replace(url_decoded(F.regexp_extract("loc", pattern, 1)), r"(?U)^\s+|\s+$", "")
+    return rows.where(F.col("loc").rlike(pattern)).select(term.alias("term"), "lastmod").where("term <> ''")
+
+
+def shards(index: DataFrame, most: int | None = None) -> DataFrame:
+    """at, loc, lastmod of the shards that a sitemap index lists, in its order, the first ``most`` of them."""
+    found = entries(index)
+    return found if most is None else found.where(F.col("at") < most)

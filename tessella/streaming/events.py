@@ -40,6 +40,17 @@ def count_batches(events: DataFrame, out: str, checkpoint: str) -> None:
     events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def latest_of_windows(counts: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Counts of windows (``keys`` and n) as of the end of the stream, windows that are still open included: each micro-batch leaves the
+    windows that it changed in a folder of its own, and the last state of each counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.read.parquet(out).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def after_marker(rows: DataFrame, marker: DataFrame, time: str = "ts") -> DataFrame:
     """Rows later than the one row of ``marker`` (marker); all if it has none."""
     seen = marker.agg(F.max("marker").alias("__marker"))
