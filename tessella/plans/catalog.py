@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import catalogue, evaluation, library, more
+from . import catalogue, evaluation, library, more, system
 
 
 def queries():
-    return library.QUERIES | catalogue.QUERIES | evaluation.QUERIES | more.QUERIES
+    return library.QUERIES | catalogue.QUERIES | evaluation.QUERIES | more.QUERIES | system.QUERIES
 
 
 def oracle_sql():
-    return library.ORACLES | catalogue.ORACLES | evaluation.ORACLES | more.ORACLES
+    return library.ORACLES | catalogue.ORACLES | evaluation.ORACLES | more.ORACLES | system.ORACLES
