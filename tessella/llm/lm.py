@@ -38,7 +38,7 @@ NOISE, STEP, RATE = 32, 1024, 0.4
 #: Tasks that train at most: each sends a net, and a net does not shrink with its share of the texts.
 TRAINERS = 4096
 #: Bytes of text that are numbers at once, and contexts whose matrix product is there at once.
-SLICE, BATCH = 2 << 20, 4096
+SLICE, BATCH = 2 << 20, 2048
 END = b"\n"
 
 
@@ -182,13 +182,14 @@ class Net:
         """Natural logarithms of P(after | before), normalised over all words: matrix products of batches of contexts with the
         choices of the first level, of each class that they meet and of each group."""
         first, group, word = levels(after, self.words)
-        q, out = self.ahead(before)[0], np.empty(len(after), np.float64)
+        q, out = np.empty((len(after), SIZE + 1), np.float32), np.empty(len(after), np.float64)
         for k in range(0, len(after), BATCH):
+            q[k : k + BATCH] = self.ahead(before[k : k + BATCH])[0]
             out[k : k + BATCH] = _log_share(q[k : k + BATCH], self.choices[0], first[k : k + BATCH])
         tail = in_tail(after, self.words)
         if not len(tail):
             return out
-        tail = tail[np.argsort(word[tail], kind="stable")]
+        tail = tail[np.argsort(word[tail])]
         for to, vectors in ((group[tail], self.choices[1]), (word[tail], self.choices[2])):
             starts = np.flatnonzero(np.diff(to // WIDTH, prepend=-1))
             for a, b in zip(starts, [*starts[1:], len(to)], strict=True):
@@ -213,7 +214,7 @@ def _sums_of_runs(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     return _sums_of_runs(ids[order], g[order])
 
 
@@ -273,7 +274,7 @@ class Trainer:
         """Steps over every position of the texts, dealt to steps at random."""
         _, before, after, _ = _numbered(texts, table)
         order = self.rng.permutation(len(after))
-        order = order[np.lexsort((after[order], np.arange(len(order)) // STEP))]
+        order = order[np.argsort(np.arange(len(order)) // STEP << 32 | after[order])]
         before, after = before[order].astype(np.int32), after[order].astype(np.int32)
         for k in range(0, len(order), STEP):
             self.step(before[k : k + STEP], after[k : k + STEP])
