@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_column, slices
 from .scratch import stored
-from .words import HASHES, hashes, run_hashes
+from .words import hashes, release, run_hashes
 
 #: Words of a window, of a k-gram, and k-grams of which the least hash is kept: WINDOW = GRAM + SPAN - 1.
 WINDOW, GRAM, SPAN = 13, 5, 9
@@ -107,7 +107,6 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         if size >= BLOCK_BYTES:
             yield Block(items)
             items, size = [], 0
-            HASHES.trim()
     if items:
         yield Block(items)
 
@@ -146,7 +145,6 @@ def _by_blocks(docs: DataFrame, made: Iterator[Block]) -> DataFrame:
 
         def work(texts, shared=shared):
             rows = [hits(t, shared.value) for t in texts]
-            HASHES.trim()
             return {"n_words": [n for n, *_ in rows], "hit": [at.tolist() for _, at, _ in rows], "items": [sorted(x) for *_, x in rows]}
 
         own = map_column(docs, "text", "n_words long, hit array<long>, items array<string>", lambda work=work: work)
@@ -197,7 +195,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for t in texts:
             n_words, at, found = hits(t, shared.value)
             out.append(_told(n_words, len(at), found))
-        HASHES.trim()
         return _columns(out)
 
     return map_column(rows, "text", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", lambda: work)
@@ -217,11 +214,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(few[0] if few else None)
 
     def run(batches):
-        HASHES.use()
+        release()
         for batch in batches:
             for part in slices(batch):
                 found = (hits(t or "", shared.value) for t in part.column("text").to_pylist())
                 yield part.filter(pa.array([not contaminates(n_words, len(at)) for n_words, at, _ in found], pa.bool_()))
-                HASHES.trim()
 
     return docs.mapInArrow(run, docs.schema)

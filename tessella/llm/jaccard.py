@@ -25,7 +25,7 @@ from . import gather
 from .arrow import fields, record_batch, slices
 from .components import components
 from .scratch import forget, stored
-from .words import HASHES, hashes, mixed, run_hashes
+from .words import hashes, mixed, release, run_hashes
 
 SHINGLE, NEEDED, OF = 5, 75, 100
 #: Tells rows of one doc_id, or without, apart.
@@ -63,7 +63,6 @@ def _sets(batch, seen: set[int], shared: frozenset[int]):
                 if node not in seen:
                     seen.add(node)
                     yield node, s
-        HASHES.trim()
 
 
 def _survey(docs: DataFrame) -> DataFrame:
@@ -73,11 +72,10 @@ def _survey(docs: DataFrame) -> DataFrame:
     types = fields(schema)
 
     def run(batches):
-        HASHES.use()
+        release()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(text or "") for text in part.column("text").to_pylist()]
-                HASHES.trim()
                 names = [names_of(s) if len(s) else (None, None) for s in sets]
                 yield record_batch({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_shingles": [len(s) for s in sets], "node": [a for a, _ in names], "other": [b for _, b in names]}, types)
 
@@ -110,7 +108,7 @@ def _lonely(docs: DataFrame, shared: frozenset[int]) -> DataFrame:
     most = np.uint64(COUNTED << 54)
 
     def run(batches):
-        HASHES.use()
+        release()
         seen: set[int] = set()
         for batch in batches:
             yield from _rows(((s[: np.searchsorted(s, most)] >> np.uint64(64 - COUNTED_BITS), node, 0) for node, s in _sets(batch, seen, shared)), "token", types)
@@ -196,7 +194,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> Da
     types = fields(schema)
 
     def run(batches):
-        HASHES.use()
+        release()
         seen: set[int] = set()
         for batch in batches:
             a, b = _bits(batch.column("doc_id").to_numpy(zero_copy_only=False))

@@ -22,6 +22,8 @@ TIERS = (512, 1024, 2048, 4096)
 #: Pieces that are packed together; what fills no window goes on to the next. Rests of tasks that one task packs.
 ROUND, RESTS = 4096, 4096
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: Words whose ids a worker keeps, and bytes of text whose ids are there at once.
+CACHED, SLICE = 300_000, 1 << 20
 #: Added to the numbers of sequences and steps of the second pass; tasks have 36 bits for their own.
 SECOND, BITS = 1 << 62, 36
 
@@ -154,11 +156,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int
 
     def run(batches):
         enc = encoder(tokenizer_path)
-        enc.ids.use()
+        enc.ids.use(CACHED)
         out, n = _Sequences(TaskContext.get().partitionId() << BITS), 0
         packer = Packer(out.put, tiers)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes=SLICE):
                 for doc, data in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist(), end_id), strict=True):
                     out.ids[n] = (doc, data, len(data) // 4, 0, len(data) // 4)
                     packer.add(n, len(data) // 4)

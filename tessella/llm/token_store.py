@@ -32,6 +32,8 @@ MAGIC = b"TIDS\x02"
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1500, 32_768, 112_640
 #: Bytes of a file, and of texts in a range of doc_id that a task writes.
 FILE_BYTES, RANGE_BYTES = 32 << 20, 256 << 20
+#: Words whose ids a worker keeps.
+CACHED = 800_000
 #: Tasks whose files are added up together.
 GROUP = 1024
 #: In the index, added to the number of ids of a document without an id of its own.
@@ -175,7 +177,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) ->
 
     def run(batches):
         task, made, now = TaskContext.get(), [], None
-        encoder(tokenizer_path).ids.use()
+        encoder(tokenizer_path).ids.use(CACHED)
 
         def end():
             now[1].close()

@@ -1,4 +1,4 @@
-"""Caches from a word to a value that workers compute once, and hashes of word runs."""
+"""Caches from a word to a value that workers compute once, and hashes of words and of word runs."""
 
 from __future__ import annotations
 
@@ -43,8 +43,10 @@ class Cache(dict):
         value = self[word] = self.make(word)
         return value
 
-    def use(self) -> None:
-        """Empty the other caches of this worker, which another step's tasks have left."""
+    def use(self, most: int | None = None) -> None:
+        """Empty the other caches of this worker, which another step's tasks have left, and from now on hold ``most`` words."""
+        self.most = most or self.most
+        self.trim()
         release(self)
 
     def trim(self) -> None:
@@ -61,7 +63,6 @@ class Cache(dict):
 word_hash = xxhash.xxh3_64_intdigest
 
 
-HASHES = Cache(word_hash)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +74,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
