@@ -725,3 +725,15 @@ def test_against_sql(spark, name):
     import oracle
 
     oracle.compare(spark, oracle.connect(SF), Q.queries()[name], Q.oracle_sql()[name], SF)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    docs = odd.selectExpr("doc_id", "text", "lang", "source", "n_chars")
+    for name, table in (("odd", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "five six seven eight nine ten eleven twelve")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    left = {p.doc_id for p in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}
+    assert left <= {i for i, t, _ in ODD if any(c.isalpha() for c in t or "")} - {4, 6}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
