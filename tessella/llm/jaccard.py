@@ -32,8 +32,8 @@ SHINGLE, NEEDED, OF = 5, 75, 100
 TEXT_HASH = "xxhash64(text)"
 #: The share of the hash space in which shingles of all sets are counted, in 1024ths; bits of a counted shingle.
 COUNTED, COUNTED_BITS = 360, 40
-#: Bits of the filter for rows whose sets are looked at; members of a block.
-FILTER_BITS, BLOCK = 1 << 24, 96
+#: Bits of the filter for rows whose sets are looked at; members of a block; blocks of a list that are held in one row.
+FILTER_BITS, BLOCK, HELD = 1 << 24, 96, 128
 
 
 def shingles(text: str) -> np.ndarray:
@@ -134,8 +134,9 @@ def boundary(by_size: list[tuple[int, float, float]]) -> int:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """token, node, n, df, nth, need: of each set, in order of df, its shingles that others have as well, as far as the
-    ``need`` that linked sets must share one of, and one more."""
+    """token, node, n, most, df, nth, need: of each set, in order of df, its shingles that others have as well, as far as the
+    ``need`` that linked sets must share one of, and one more. ``most``: the largest size of a set that could be linked with
+    it, if that had all of its shingles that others have."""
     types = fields(StructType.fromDDL("token long, node long, n long"))
 
     def run(batches):
@@ -147,21 +148,22 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     shared = owned.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node")
     rows = owned.join(shared, "token").select("*", F.row_number().over(own.orderBy("df", "token")).alias("nth"), F.count("*").over(own).alias("others"))
-    return rows.withColumn("need", F.expr(f"others - ceil({NEEDED} * n / {OF}) + 1")).where("nth <= need + 1 and need > 0").drop("others")
+    rows = rows.withColumn("need", F.expr(f"others - ceil({NEEDED} * n / {OF}) + 1")).where("nth <= need + 1 and need > 0")
+    return rows.withColumn("most", F.expr(f"floor(others * {OF + NEEDED} / {NEEDED}) - n")).drop("others")
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """key, node, n, first, first_n of the lists that have several members."""
+    """key, node, n, most, first, first_n, first_most of the lists that have several members."""
     each = prefixes.groupBy("node", "n").agg(F.max("nth").alias("k"), F.max("need").alias("need"))
     by_size = each.groupBy("n").agg(F.sum(F.expr("k * (k - 1) / 2")).alias("subsets"), F.sum("need").alias("postings"))
     heavy_from = boundary([(r.n, float(r.subsets), float(r.postings)) for r in by_size.collect()])
-    single = prefixes.where(f"nth <= need and {OF} * n >= {NEEDED} * {heavy_from}").select(F.col("token").alias("key"), "node", "n")
-    light = prefixes.where(f"n < {heavy_from}").groupBy("node", "n").agg(F.collect_list("token").alias("ts"))
+    single = prefixes.where(f"nth <= need and {OF} * n >= {NEEDED} * {heavy_from}").select(F.col("token").alias("key"), "node", "n", "most")
+    light = prefixes.where(f"n < {heavy_from}").groupBy("node", "n", "most").agg(F.collect_list("token").alias("ts"))
     pair = "xxhash64(least(a, b), greatest(a, b))"
-    subsets = light.select(F.explode(F.expr(f"flatten(transform(ts, (a, i) -> transform(slice(ts, i + 2, size(ts)), b -> {pair})))")).alias("key"), "node", "n")
+    subsets = light.select(F.explode(F.expr(f"flatten(transform(ts, (a, i) -> transform(slice(ts, i + 2, size(ts)), b -> {pair})))")).alias("key"), "node", "n", "most")
     rows = single.union(subsets)
-    heads = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node <> last")
-    return rows.join(heads, "key").select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("node", "n", "most")).alias("first"), F.max("node").alias("last")).where("first.node <> last")
+    return rows.join(heads, "key").select("key", "node", "n", "most", *[F.col(f"first.{c}").alias(to) for c, to in (("node", "first"), ("n", "first_n"), ("most", "first_most"))])
 
 
 def _bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,34 +278,61 @@ def _decided(members: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
+def _could_link(a: str, b: str):
+    """Whether sets of two blocks could be linked, by the blocks' sizes and the largest partners of their sets, and aren't all of
+    one group."""
+    a, b = ({c: F.col(f"{x}.{c}") for c in ("pure", "lo", "hi", "most")} for x in (a, b))
+    near = (OF * b["hi"] >= NEEDED * a["lo"]) & (OF * a["hi"] >= NEEDED * b["lo"]) & (b["lo"] <= a["most"]) & (a["lo"] <= b["most"])
+    return near & ~F.coalesce(a["pure"] == b["pure"], F.lit(False))
+
+
+def _block_pairs(of_list: DataFrame) -> DataFrame:
+    """a, b: the blocks that share a list and could have linked sets, a <= b; ``of_list``: key, block, pure, lo, hi, most.
+
+    A list of up to HELD blocks is a row, and equal rows are one. Of longer lists, those of equal blocks (by their number, and
+    the xor and the sum of their hashes) are one; its blocks meet by a join, in parts of some HELD blocks with all the others.
+    """
+    h = [F.xxhash64("block", F.lit(k)) for k in (1, 2)]
+    sizes = of_list.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(h[0]).alias("x"), F.sum(F.shiftright(h[1], 20)).alias("y"))
+    one = sizes.where(f"m > {HELD}").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / HELD).alias("parts"))
+    few = of_list.join(sizes.where(f"m <= {HELD}").select("key"), "key", "left_semi")
+    rows = few.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("block", "pure", "lo", "hi", "most"))).alias("bs")).select("bs").distinct()
+    held = rows.withColumn("a", F.explode("bs")).select("a", F.explode("bs").alias("b"))
+    long = of_list.join(one, "key").select("key", "parts", F.struct("block", "pure", "lo", "hi", "most").alias("s"))
+    left = long.select("key", F.pmod(F.xxhash64("s.block"), "parts").alias("part"), F.col("s").alias("a"))
+    right = long.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("s").alias("b"))
+    met = left.join(right, ["key", "part"]).select("a", "b")
+    return held.union(met).where((F.col("a.block") <= F.col("b.block")) & _could_link("a", "b")).select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
+
+
 def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between groups that share a list; ``lists``: key, node, n, comp, low (the least comp of the list), only lists
-    over several groups.
+    """Links (u, v) between groups that share a list; ``lists``: key, node, n, most, comp, low (the least comp of the list), only
+    lists over several groups.
 
     Members of lists with one least group are dealt to blocks: where they are many, members of one large group, and else
-    sets of one class of sizes (linked sets are of one class or of neighbours). Two blocks that share a list meet unless
-    both are of one group or no sizes in them could be linked.
+    sets of one class of sizes (the more there are, the narrower). Two blocks that share a list meet unless both are of one
+    group or no sizes in them could be linked.
     """
-    size_class = F.floor(F.log("n") / float(np.log(OF / NEEDED)))
-    place = lists.groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("place"), F.first(size_class).alias("size"))
-    own = place.groupBy("place", "comp").agg(F.count("*").alias("n"))
-    own = own.withColumn("pure", F.when(F.col("n") >= BLOCK // 2, F.col("comp")))
+    wide, narrow = (F.floor(F.log("n") / float(np.log(step))) for step in (OF / NEEDED, 1.04))
+    place = lists.groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("place"), F.first("n").alias("n"), F.first("most").alias("most"))
+    own = place.groupBy("place", "comp").agg(F.count("*").alias("m"))
+    own = own.withColumn("pure", F.when(F.col("m") >= BLOCK // 2, F.col("comp"))).drop("m")
     sized = place.join(own, ["place", "comp"])
     full = sized.groupBy("place", "pure").agg(F.count("*").alias("all"))
     same = lambda a, b: (F.col(f"{a}.place") == F.col(f"{b}.place")) & F.col(f"{a}.pure").eqNullSafe(F.col(f"{b}.pure"))
-    sized = sized.alias("x").join(full.alias("y"), same("x", "y")).select("node", "comp", "size", "x.place", "x.pure", F.when(F.col("all") > BLOCK, F.col("size")).otherwise(-1).alias("only"))
+    only = F.when(F.col("all") <= BLOCK, -1).when(F.col("all") <= 16 * BLOCK, wide).otherwise(narrow).alias("only")
+    sized = sized.alias("x").join(full.alias("y"), same("x", "y")).select("node", "comp", "n", "most", "x.place", "x.pure", only)
     sized = stored(sized, "sized")
     many = sized.groupBy("place", "pure", "only").agg(F.count("*").alias("all"))
     dealt = sized.alias("x").join(many.alias("y"), same("x", "y") & (F.col("x.only") == F.col("y.only")))
     nth = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK))
-    dealt = stored(dealt.select("node", "comp", "size", F.col("x.pure").alias("pure"), F.xxhash64("x.place", F.coalesce("x.pure", F.lit(0)), F.col("x.pure").isNull(), "x.only", nth).alias("block")), "blocks")
-    ranges = dealt.groupBy("block").agg(F.first("pure").alias("pure"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    block = F.xxhash64("x.place", F.coalesce("x.pure", F.lit(0)), F.col("x.pure").isNull(), "x.only", nth).alias("block")
+    dealt = stored(dealt.select("node", "comp", "n", "most", F.col("x.pure").alias("pure"), block), "blocks")
+    ranges = dealt.groupBy("block").agg(F.first("pure").alias("pure"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"))
     of_list = lists.select("key", "node").join(dealt.select("node", "block"), "node").select("key", "block").distinct().join(ranges, "block")
-    of_list = of_list.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("block", "pure", "lo", "hi"))).alias("bs")).select("bs").distinct()
-    of_list = of_list.withColumn("a", F.explode("bs")).withColumn("b", F.explode(F.filter("bs", lambda y: (y["block"] >= F.col("a")["block"]) & (y["lo"] <= F.col("a")["hi"] + 1) & (F.col("a")["lo"] <= y["hi"] + 1))))
-    one = F.coalesce(F.col("a")["pure"] == F.col("b")["pure"], F.lit(False))
-    pairs = stored(of_list.where(~one).select(F.col("a")["block"].alias("a"), F.col("b")["block"].alias("b")).distinct(), "block-pairs")
-    forget(sized)
+    of_list = stored(of_list, "blocks-of-lists")
+    pairs = stored(_block_pairs(of_list), "block-pairs")
+    forget(sized, of_list)
     sides = pairs.select("a", "b", F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
     members = sides.join(dealt.select("node", "comp", "block"), "block").select("a", "b", "node", "comp").join(sets, "node")
     links = stored(members.groupBy("a", "b").applyInArrow(lambda m: _decided(m), "u long, v long"), "links-across")
@@ -327,9 +356,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     prefixes = stored(_prefixes(sets), "prefixes")
     lists = stored(_lists(prefixes), "lists")
     forget(wanted, prefixes)
-    pairs = lists.where(f"node <> first and {OF} * least(n, first_n) >= {NEEDED} * greatest(n, first_n)").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    sizes = f"{OF} * least(n, first_n) >= {NEEDED} * greatest(n, first_n) and n <= first_most and first_n <= most"
+    pairs = lists.where(f"node <> first and {sizes}").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     roots = components(_verified(pairs, sets))
-    placed = lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+    placed = lists.join(roots, "node", "left").select("key", "node", "n", "most", F.coalesce("root", "node").alias("comp"))
     placed = stored(placed, "placed")
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "low")
     across = stored(placed.join(several, "key"), "across")

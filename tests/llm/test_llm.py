@@ -271,15 +271,49 @@ def test_names_that_several_sets_share(spark, docs, monkeypatch):
     assert sorted(map(tuple, jaccard.join_groups(docs.limit(150)).collect())) == whole
 
 
-def test_many_groups_in_one_list(spark, monkeypatch):
+@pytest.mark.parametrize("held", [1, 3, 128])
+def test_many_groups_in_one_list(spark, monkeypatch, held):
     """Sets of many sizes share most of their shingles with each other, but only neighbours are linked."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "HELD", held)
     common = [f"c{k}" for k in range(40)]
     rows = [(100 * g + k, " ".join(common[: 6 + 3 * g] + [f"g{g}x{j}" for j in range(3 + g)] + [f"k{k}"])) for g in range(10) for k in range(9)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard.join_groups(table).collect())) == plain_groups(table.collect())
 
 
+@pytest.mark.parametrize("held", [1, 2, 128])
+def test_block_pairs(spark, monkeypatch, held):
+    """Blocks of a list meet, whichever way, if sizes and partners allow it; lists of the same blocks are looked at once."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    blocks = {1: (None, 10, 10, 11), 2: (None, 10, 13, 20), 3: (7, 12, 12, 12), 4: (7, 11, 12, 16), 5: (8, 40, 50, 60), 6: (None, 30, 30, 39), 7: (None, 20, 20, 18)}
+    lists = {1: [1, 2, 3], 2: [1, 2, 3], 3: [3, 4, 5, 6], 4: [7], 5: [2, 7], 6: [1, 2, 3]}
+    rows = [(k, b, *blocks[b]) for k, bs in lists.items() for b in bs]
+    out = jaccard._block_pairs(spark.createDataFrame(rows, "key long, block long, pure long, lo long, hi long, most long")).collect()
+
+    def could(a, b):
+        (p, lo, hi, most), (q, low, high, largest) = blocks[a], blocks[b]
+        return (p is None or p != q) and 100 * high >= 75 * lo and 100 * hi >= 75 * low and low <= most and lo <= largest
+
+    assert sorted(map(tuple, out)) == sorted({(a, b) for bs in lists.values() for a in bs for b in bs if a <= b and could(a, b)})
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_groups_of_random_texts(spark, monkeypatch, seed):
+    """Texts on either side of the threshold, of pieces that many share, with small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "HELD", 2)
+    rng = np.random.default_rng(seed)
+    pieces = [[f"p{p}x{k}" for k in range(int(rng.integers(10, 40)))] for p in range(5)]
+    rows = []
+    for k in range(150):
+        words = [w for p in rng.permutation(5)[: rng.integers(1, 3)] for w in pieces[p]]
+        words += [f"own{k}x{j}" for j in range(int(rng.integers(0, 14)))]
+        rows.append((k, " ".join(words[int(rng.integers(0, 6)) :])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join_groups(table).collect())) == plain_groups(table.collect())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101)]
     rows = components.components(spark.createDataFrame(chain, "u long, v long")).collect()
