@@ -29,3 +29,34 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)
 """
+
+#: Sales by pairs; the checksum bit by bit over the digits of the number.
+DOMINANCE = r"""
+WITH c AS (SELECT sale_id, list_transform(range(1, length(sale_id::VARCHAR) + 1), lambda i: ascii((sale_id::VARCHAR)[i])::UBIGINT) AS bytes FROM (SELECT DISTINCT sale_id FROM sales)),
+k AS (SELECT sale_id, 1 + xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 5 AS w FROM c),
+s AS (SELECT sale_id, floor(epoch_us(sold_at) / 1000000 / 60)::BIGINT AS slot, floor(floor(100 * total + 0.5) / 1)::BIGINT AS level FROM sales),
+p AS (SELECT slot, level, count(*) AS n, sum(w) AS m FROM s JOIN k USING (sale_id) WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+a AS (SELECT x.slot, x.level, coalesce(sum(y.n), 0) AS n, coalesce(sum(y.m), 0) AS m FROM p x LEFT JOIN p y ON y.slot < x.slot AND y.level > x.level GROUP BY ALL)
+SELECT sale_id, slot, level, n::BIGINT AS n_sales, m::BIGINT AS n_rows FROM s LEFT JOIN a USING (slot, level)
+"""
+
+#: Every kept term of every pair of groups, in numbers of 128 bits.
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (s.total + v.v) AS p, 1 + 1000000000 * (k.n + 1) // (v.total + v.v) AS q
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
