@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, dominance, jaccard, language, lm, ogg, packing, sharding, sql, token_counts, token_store, warc
+from . import decontaminate, divergence, dominance, jaccard, language, lm, ogg, packing, repeats, sharding, sql, token_counts, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,13 @@ def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.sales_above(table(spark, sf_dir, "sales"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_sharding, op3_token_counts, op4_jaccard_join, op5_lm, op6_packing, op7_warc, op8_token_store, op9_ogg, op10_decontaminate, op11_divergence, op12_dominance)}
+    return {f.__name__: f for f in (op1_language, op2_sharding, op3_token_counts, op4_jaccard_join, op5_lm, op6_packing, op7_warc, op8_token_store, op9_ogg, op10_decontaminate, op11_divergence, op12_dominance, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": sql.JACCARD, "op10_decontaminate": sql.CONTAMINATION, "op11_divergence": sql.DIVERGENCE, "op12_dominance": sql.DOMINANCE}
+    return {"op4_jaccard_join": sql.JACCARD, "op10_decontaminate": sql.CONTAMINATION, "op11_divergence": sql.DIVERGENCE, "op12_dominance": sql.DOMINANCE, "op13_substring_dedup": sql.REPEATS}

@@ -60,3 +60,14 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.valu
 o AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
 SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 200
 """
+
+#: Windows as text; words that repeated ones cover.
+REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT row, i, md5(array_to_string(ws[i:i+34], ' ')) AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+r AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+x AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS i FROM w SEMI JOIN r USING (g)),
+k AS (SELECT d.row, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT row, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) d ANTI JOIN x USING (row, i) GROUP BY ALL)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (row) LEFT JOIN (SELECT row, count(*) AS n FROM x GROUP BY ALL) USING (row)
+"""
