@@ -22,7 +22,7 @@ from .scratch import forget, stored
 #: Bits of a rank within a block or a node, which has so many cells at most; bits of a place that one window spans.
 RANK_BITS, DIGIT = 14, 8
 CELLS = 1 << RANK_BITS
-#: Levels and slots are compared as unsigned numbers with the sign turned.
+#: Levels become numbers without sign, of the same order, by turning the sign's bit.
 SIGN = -(1 << 63)
 
 
@@ -31,19 +31,14 @@ def _shifted(value: str, by: str) -> Column:
     return F.expr(f"shiftrightunsigned(shiftrightunsigned({value}, ({by}) div 2), ({by}) - ({by}) div 2)")
 
 
-def _signed(value: str) -> Column:
-    """A number with its sign turned back, so that Spark orders it; of numbers without sign the order stays."""
-    return F.col(value).bitwiseXOR(F.lit(SIGN))
-
-
 def _before(at: str, *keys: str | Column) -> Window:
-    return Window.partitionBy(*keys).orderBy(_signed(at)).rangeBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def _bits(cells: DataFrame, *columns: str) -> list[int]:
-    """How many of the low bits differ among the values of each column."""
-    ends = cells.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]).first()
-    return [0 if ends[f"min_{c}"] is None else ((ends[f"min_{c}"] ^ ends[f"max_{c}"]) & (1 << 64) - 1).bit_length() for c in columns]
+def _ends(cells: DataFrame) -> tuple[int, int, int]:
+    """The least slot, and how many low bits differ among slots counted from it, and among levels."""
+    r = cells.agg(F.min("slot"), F.max("slot"), F.min("level"), F.max("level")).first()
+    return (r[0], (r[1] - r[0]).bit_length(), ((r[2] ^ r[3]) & (1 << 64) - 1).bit_length()) if r[0] is not None else (0, 0, 0)
 
 
 def _cut(cells: DataFrame, at: str, bits: int) -> DataFrame:
@@ -64,7 +59,7 @@ def _start(at: str, k: str) -> Column:
 def _within(cells: DataFrame, part: str, at: str, of: str) -> DataFrame:
     """``cells`` (at, of, n, m and the interval ``part``, of CELLS rows at most) with up_n and up_m: the sums of n and m over the
     cells of the same part with smaller ``at`` and larger ``of``."""
-    own = cells.repartitionByRange(part).withColumn("rank", F.dense_rank().over(Window.partitionBy(part).orderBy(_signed(of))) - 1)
+    own = cells.repartitionByRange(part).withColumn("rank", F.dense_rank().over(Window.partitionBy(part).orderBy(F.col(of).bitwiseXOR(F.lit(SIGN)))) - 1)
     own = own.withColumns({"up_n": F.lit(0).cast("long"), "up_m": F.lit(0).cast("long")})
     for b in range(RANK_BITS):
         before, one = _before(at, F.shiftright("rank", b + 1), part), F.shiftright("rank", b).bitwiseAND(1) == 1
@@ -108,15 +103,16 @@ def _across_nodes(sums: DataFrame, block_bits: int, node_bits: int) -> DataFrame
 def above(points: DataFrame) -> DataFrame:
     """slot, level, n_above, m_above for each distinct pair (slot, level) of ``points`` (slot: long, level: long, m: long): the
     number of rows, and the sum of their m, with smaller slot and strictly larger level. Rows with a null slot or level are left
-    out; an empty table gives an empty table.
+    out; slots are less than 2 ** 63 apart, levels any; an empty table gives an empty table.
 
     What is shuffled is cells, a few times, and sums of them; every window has CELLS rows at most, or 2 ** DIGIT sums, however
     many rows share a slot, a level or a prefix.
     """
-    turned = [_signed(c).alias(c) for c in ("slot", "level")]
     cells = points.where("slot is not null and level is not null").groupBy("slot", "level").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
-    cells = stored(cells.select(*turned, "n", "m"), "cells")
-    slot_bits, level_bits = _bits(cells, "slot", "level")
+    turned = F.col("level").bitwiseXOR(F.lit(SIGN)).alias("level")
+    kept = stored(cells.select("slot", turned, "n", "m"), "cells")
+    least, slot_bits, level_bits = _ends(kept)
+    cells = kept.withColumn("slot", F.col("slot") - least)
     blocks = _cut(cells, "slot", slot_bits).select("slot", F.col("k").alias("block_k"), _start("slot", "k").alias("block"))
     in_blocks = stored(_credited(cells.join(blocks, "slot"), "block", "block_k", "slot", "level"), "in-blocks")
     by_block = stored(in_blocks.groupBy("block", "level").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "by-block")
@@ -127,8 +123,8 @@ def above(points: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     far = in_nodes.join(across, ["block", "node"], "left")
     far = stored(far.select("block", "level", *[(F.col(f"up_{c}") + F.coalesce(f"far_{c}", zero)).alias(f"far_{c}") for c in "nm"]), "across-blocks")
-    forget(cells, by_block, in_nodes, by_node)
-    return in_blocks.join(far, ["block", "level"]).select(*turned, *[(F.col(f"up_{c}") + F.col(f"far_{c}")).alias(f"{c}_above") for c in "nm"])
+    forget(kept, by_block, in_nodes, by_node)
+    return in_blocks.join(far, ["block", "level"]).select((F.col("slot") + least).alias("slot"), turned, *[(F.col(f"up_{c}") + F.col(f"far_{c}")).alias(f"{c}_above") for c in "nm"])
 
 
 def slot_of(sales: DataFrame) -> Column:

@@ -217,15 +217,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
     copies = texts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("copied"))
     ranges = repeated_windows(texts).groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
-    ranges = stored(ranges.join(copies, "key", "full").select(F.col("key").alias("__key"), F.struct("first", "n", "copied").alias("__ranges")), "ranges")
     kept = docs.columns
+    own, marked = "_" * (longest := 1 + max(map(len, kept))) + "k", "_" * longest + "r"  # names that no column has
+    ranges = stored(ranges.join(copies, "key", "full").select(F.col("key").alias(own), F.struct("first", "n", "copied").alias(marked)), "ranges")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept string").fields])
     types = fields(schema)
 
     def run(batches):
         for part in _each_slice(batches, None):
             out = {"n_words": [], "n_removed": [], "kept": []}
-            for text, found in zip(part.column("text").to_pylist(), part.column("__ranges").to_pylist(), strict=True):
+            for text, found in zip(part.column("text").to_pylist(), part.column(marked).to_pylist(), strict=True):
                 ws = (text or "").encode().split()
                 gone = np.zeros(len(ws), bool)
                 if found and len(ws) >= WINDOW:
@@ -235,7 +236,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out["kept"].append(b" ".join(w for w, x in zip(ws, gone.tolist(), strict=True) if not x).decode())
             yield record_batch({c: part.column(c) for c in kept} | out, types)
 
-    return docs.join(ranges, F.xxhash64(docs["text"]) == ranges["__key"], "left").drop("__key").mapInArrow(run, schema)
+    return docs.join(ranges, F.xxhash64(docs["text"]) == ranges[own], "left").drop(own).mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:

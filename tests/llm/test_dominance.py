@@ -17,7 +17,7 @@ CASES = {
     "signs": lambda r: (r.randrange(-2000, 70000), r.randrange(-50, 500)),
     "one slot": lambda r: (r.choice([5, r.randrange(70000)]), r.randrange(5000)),
     "one level": lambda r: (r.randrange(70000), r.choice([77, r.randrange(5000)])),
-    "far apart": lambda r: (r.choice([-(1 << 62), 0, 1 << 62]) + r.randrange(9), r.choice([-(1 << 63), 0, (1 << 63) - 9]) + r.randrange(9)),
+    "far apart": lambda r: (r.choice([-(1 << 61), 0, 1 << 61]) + r.randrange(9), r.choice([-(1 << 63), 0, (1 << 63) - 9]) + r.randrange(9)),
     "alone": lambda r: (3, 4),
 }
 
