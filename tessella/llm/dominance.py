@@ -41,15 +41,24 @@ def _ends(cells: DataFrame) -> tuple[int, int, int]:
     return (r[0], (r[1] - r[0]).bit_length(), ((r[2] ^ r[3]) & (1 << 64) - 1).bit_length()) if r[0] is not None else (0, 0, 0)
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """By sorted parts of both sides: neither is ever sent whole to all tasks."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def _cut(cells: DataFrame, at: str, bits: int) -> DataFrame:
     """``at`` and k for each value of ``at``: its interval is the largest one of 2 ** k values with CELLS cells at most, or the
-    value itself (k = 0)."""
+    value itself (k = 0): an interval that is no larger, in one that is."""
     own = cells.groupBy(at).agg(F.count("*").alias("c"))
-    each = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(bits)))) if bits else own.withColumn("k", F.lit(0)).limit(0)
-    each = each.withColumn("p", _shifted(at, "k"))
-    large = each.groupBy("k", "p").agg(F.sum("c").alias("c")).where(f"c > {CELLS}").select("k", "p")
-    inside = each.join(large, ["k", "p"]).groupBy(at).agg((F.min("k") - 1).alias("below"))
-    return own.join(inside, at, "left").select(at, F.coalesce("below", F.lit(bits)).alias("k"))
+    each = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("p", _shifted(at, "k"))
+    sums = stored(each.groupBy("k", "p").agg(F.sum("c").alias("c")), "intervals")
+    large = sums.where(f"c > {CELLS}").select("k", "p")
+    small = sums.where(f"c <= {CELLS} or k = 0").select("k", "p")
+    inside = small.where(f"k < {bits}").select((F.col("k") + 1).alias("k"), _shifted("p", "1").alias("p"), F.col("p").alias("own"))
+    inside = _joined(inside, large, ["k", "p"]).select((F.col("k") - 1).alias("k"), F.col("own").alias("p"))
+    found = stored(inside.union(small.where(f"k = {bits}")), "cuts")
+    forget(sums)
+    return _joined(each.select(at, "k", "p"), found, ["k", "p"]).select(at, "k")
 
 
 def _start(at: str, k: str) -> Column:
@@ -84,7 +93,7 @@ def _running(sums: DataFrame, keys: list[str], at: str, bits: int) -> DataFrame:
     up = f"{at}_up"
     above = sums.groupBy(*keys, _shifted(at, str(DIGIT)).alias(up)).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     above = _running(above, keys, up, bits - DIGIT).withColumnsRenamed({"n": "up_n", "m": "up_m"})
-    both = here.withColumn(up, _shifted(at, str(DIGIT))).join(above, [*keys, up])
+    both = _joined(here.withColumn(up, _shifted(at, str(DIGIT))), above, [*keys, up])
     return both.select(*keys, at, (F.col("n") + F.col("up_n")).alias("n"), (F.col("m") + F.col("up_m")).alias("m"))
 
 
@@ -97,7 +106,7 @@ def _across_nodes(sums: DataFrame, block_bits: int, node_bits: int) -> DataFrame
     ones = each.groupBy("b", "prefix", "block").agg(*[F.sum(F.when(F.col("one") == 1, F.col(c)).otherwise(0)).alias(c) for c in ("n", "m")])
     before = _running(ones, ["b", "prefix"], "block", block_bits).where("n > 0")
     zeros = each.where("one = 0").select("block", "node", "b", "prefix")
-    return zeros.join(before, ["b", "prefix", "block"]).groupBy("block", "node").agg(F.sum("n").alias("up_n"), F.sum("m").alias("up_m"))
+    return _joined(zeros, before, ["b", "prefix", "block"]).groupBy("block", "node").agg(F.sum("n").alias("up_n"), F.sum("m").alias("up_m"))
 
 
 def above(points: DataFrame) -> DataFrame:
@@ -114,17 +123,17 @@ def above(points: DataFrame) -> DataFrame:
     least, slot_bits, level_bits = _ends(kept)
     cells = kept.withColumn("slot", F.col("slot") - least)
     blocks = _cut(cells, "slot", slot_bits).select("slot", F.col("k").alias("block_k"), _start("slot", "k").alias("block"))
-    in_blocks = stored(_credited(cells.join(blocks, "slot"), "block", "block_k", "slot", "level"), "in-blocks")
+    in_blocks = stored(_credited(_joined(cells, blocks, ["slot"]), "block", "block_k", "slot", "level"), "in-blocks")
     by_block = stored(in_blocks.groupBy("block", "level").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "by-block")
     nodes = _cut(by_block, "level", level_bits).select("level", F.col("k").alias("node_k"), _start("level", "k").alias("node"))
-    in_nodes = stored(_credited(by_block.join(nodes, "level"), "node", "node_k", "block", "level"), "in-nodes")
+    in_nodes = stored(_credited(_joined(by_block, nodes, ["level"]), "node", "node_k", "block", "level"), "in-nodes")
     by_node = stored(in_nodes.groupBy("block", "node", "node_k").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "by-node")
     across = _across_nodes(by_node, slot_bits, level_bits).withColumnsRenamed({"up_n": "far_n", "up_m": "far_m"})
     zero = F.lit(0).cast("long")
-    far = in_nodes.join(across, ["block", "node"], "left")
+    far = _joined(in_nodes, across, ["block", "node"], "left")
     far = stored(far.select("block", "level", *[(F.col(f"up_{c}") + F.coalesce(f"far_{c}", zero)).alias(f"far_{c}") for c in "nm"]), "across-blocks")
     forget(kept, by_block, in_nodes, by_node)
-    return in_blocks.join(far, ["block", "level"]).select((F.col("slot") + least).alias("slot"), turned, *[(F.col(f"up_{c}") + F.col(f"far_{c}")).alias(f"{c}_above") for c in "nm"])
+    return _joined(in_blocks, far, ["block", "level"]).select((F.col("slot") + least).alias("slot"), turned, *[(F.col(f"up_{c}") + F.col(f"far_{c}")).alias(f"{c}_above") for c in "nm"])
 
 
 def slot_of(sales: DataFrame) -> Column:
@@ -147,4 +156,4 @@ def sales_above(sales: DataFrame) -> DataFrame:
     total = F.when(~F.isnan("total"), F.col("total"))
     rows = sales.select("sale_id", slot_of(sales).alias("slot"), F.floor(100 * total + 0.5).alias("level"), weight.alias("m"))
     found = above(rows).withColumnsRenamed({"n_above": "n_sales", "m_above": "n_rows"})
-    return rows.drop("m").join(found, ["slot", "level"], "left").select("sale_id", "slot", "level", "n_sales", "n_rows")
+    return _joined(rows.drop("m"), found, ["slot", "level"], "left").select("sale_id", "slot", "level", "n_sales", "n_rows")
