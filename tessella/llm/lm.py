@@ -35,8 +35,9 @@ WORDS, SIZE, BEGIN = FREQUENT + 1, 16, -1
 HEAD, WIDTH = 63, 48
 #: Noise choices of each of the three levels, and positions, of a step.
 NOISE, STEP, RATE = 32, 1024, 0.4
+#: Tokens that a task learns from at least, if there are as many: nets of fewer, averaged, are little better than their start.
 #: Tasks that train at most: each sends a net, and a net does not shrink with its share of the texts.
-TRAINERS = 4096
+TRAINER_TOKENS, TRAINERS = 6_000_000, 4096
 #: Bytes of text that are numbers at once, and contexts whose matrix product is there at once.
 SLICE, BATCH = 2 << 20, 2048
 END = b"\n"
@@ -316,7 +317,9 @@ def _moved(trainer: Trainer, start: Net) -> np.ndarray:
 
 def train(docs: DataFrame, table: Table) -> Net:
     """A net from every position of all rows of ``docs``: each task learns from its own, from one start; each row of the nets'
-    arrays is averaged over the tasks that moved it, by their steps."""
+    arrays is averaged over the tasks that moved it, by their steps.
+
+    How many tasks learn goes by the number of tokens, not by how the table is dealt."""
     shares = shares_of(table)
     start = Net.start(shares)
     arrays = start.arrays()
@@ -340,7 +343,7 @@ def train(docs: DataFrame, table: Table) -> Net:
             for k, x in gather.parts(out):
                 yield record_batch({"part": [k], "data": [x]}, types)
 
-    texts = docs.select("text").coalesce(TRAINERS)
+    texts = docs.select("text").coalesce(max(1, min(TRAINERS, table.total // TRAINER_TOKENS)))
     flat = gather.merged(texts.mapInArrow(run, gather.SCHEMA), size, "f4")
     at, steps = 0, np.split(flat[sum(a.size for a in arrays) : used], np.cumsum([len(a) for a in arrays])[:-1])
     for a, n in zip(arrays, steps, strict=True):
