@@ -129,7 +129,12 @@ def grade(answer: Column) -> Column:
 def page_attributes(payload: Column) -> Column:
     """The attribute object (JSON text) of a page's data, if it is a medium's and has an id; else null."""
     found = F.get_json_object(payload, "$.pageProps.medium.attributes")
-    return F.when(found.startswith("{") & F.get_json_object(found, "$.id").isNotNull(), found)
+    return F.when(found.startswith("{") & has_id(found), found)
+
+
+def has_id(attributes: Column) -> Column:
+    """Whether a JSON text is an object with the key id, whatever its value."""
+    return F.coalesce(attributes.startswith("{") & F.array_contains(F.json_object_keys(attributes), "id"), F.lit(False))
 
 
 def json_text(value: Column) -> Column:
@@ -163,8 +168,9 @@ def caption(parts: Column) -> Column:
 
 
 def url_quoted(text: Column) -> Column:
-    """Percent-encoding that writes a space as %20."""
-    return F.regexp_replace(F.url_encode(text), r"\+", "%20")
+    """Percent-encoding of all but letters, digits and ``_.-~``; a space is %20."""
+    form = F.url_encode(text)  # as forms have it
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def is_clean(term: Column) -> Column:

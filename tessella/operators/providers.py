@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from hashlib import blake2b
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
 from . import bm25, search
+from .materials import TextSource
 
 DISTANCES, KINDS = {"cosine", "l2", "inner"}, {"dense_text", "dense_image", "sparse_text"}
 
@@ -113,43 +114,66 @@ def _embedded(rows: DataFrame, column: str, provider: Provider, make: Callable,
 
 @dataclass(frozen=True)
 class Strategy:
-    """A named way to rank: ``scores`` of queries (qid, text) over documents (doc_id, text) to hits (qid, doc_id, score, rank)."""
+    """A named way to rank: ``hits`` of queries (qid, text) over documents (doc_id, text), to qid, doc_id, score, rank. ``spec`` says of
+    what it is made, read off its parts; ``arm`` is its name within another."""
 
     name: str
     hits: Callable[[DataFrame, DataFrame, int], DataFrame] = field(repr=False)
+    spec: dict = field(default_factory=dict)
 
+    def manifest(self, texts: TextSource) -> dict:
+        """What a run of it over these texts is, for its manifest and its hash."""
+        return {"strategy": self.name, **texts.spec, **self.spec}
 
-def _sparse(side: str):
-    return lambda queries, docs, k: bm25.top_hits(queries, docs, k, bm25.Bm25(idf_side=side))
 
+def sparse(model: bm25.Bm25) -> Strategy:
+    hits = lambda queries, docs, k: bm25.top_hits(queries, docs, k, model)
+    return Strategy(f"bm25-{model.idf_side}", hits, asdict(model))
+
+
+def dense(provider: Provider, prefix: str = "", name: str = "dense") -> Strategy:
+    """``name``: a stand-in goes by its own, and its spec names the provider only."""
 
-def _dense(provider: Provider, prefix: str = ""):
     def hits(queries, docs, k):
         q, d = embed(queries, provider, "qid", prefix), embed(docs, provider)
         return search.dense_top(q, d, k, provider.distance)
 
-    return hits
+    own = {"model": provider.model_id, "dim": provider.size, "query_prefix": bool(prefix)} if name == "dense" else {"provider": provider.model_id}
+    return Strategy(name, hits, own)
 
 
-def _fused(provider: Provider, prefix: str = ""):
+def fused(*arms: Strategy) -> Strategy:
+    """Reciprocal ranks of the arms; the spec has what the arms' models are, but for those that need none."""
+
     def hits(queries, docs, k):
         depth = max(search.DEPTH, k)
-        return search.fuse({"sparse": bm25.top_hits(queries, docs, depth), "dense": _dense(provider, prefix)(queries, docs, depth)}, k)
+        return search.fuse({arm.name: arm.hits(queries, docs, depth) for arm in arms}, k)
+
+    models = {key: value for arm in arms if "model" in arm.spec for key, value in arm.spec.items()}
+    return Strategy("rrf", hits, models | {"rrf_k": search.RRF_K, "arm_depth": search.DEPTH, "arms": [arm.name for arm in arms]})
+
+
+def _with(provider: Provider | None, name: str) -> Provider:
+    if provider is None:
+        raise ValueError(f"{name} needs a provider")
+    return provider
+
 
-    return hits
+#: How each is put together of a provider and what the provider wants before queries.
+REGISTRY: dict[str, Callable[[Provider | None, str], Strategy]] = {
+    "bm25-both": lambda p, prefix: sparse(bm25.Bm25(idf_side="both")),
+    "bm25-query": lambda p, prefix: sparse(bm25.Bm25()),
+    "hash-dense": lambda p, prefix: dense(hash_provider(), name="hash-dense"),
+    "dense": lambda p, prefix: dense(_with(p, "dense"), prefix),
+    "rrf": lambda p, prefix: fused(sparse(bm25.Bm25()), dense(_with(p, "rrf"), prefix)),
+}
 
 
 def strategy(name: str, provider: Provider | None = None, prefix: str = "") -> Strategy:
     """By name: bm25-query, bm25-both, hash-dense, dense, rrf; the last two with a provider, and a prefix for queries if it wants one.
 
-    Documents are what :func:`tessella.operators.materials.texts` makes of a text source.
+    Documents are what :class:`tessella.operators.materials.TextSource` makes.
     """
-    if name in ("bm25-query", "bm25-both"):
-        return Strategy(name, _sparse(name[5:]))
-    if name == "hash-dense":
-        return Strategy(name, _dense(hash_provider()))
-    if name in ("dense", "rrf"):
-        if provider is None:
-            raise ValueError(f"{name} needs a provider")
-        return Strategy(name, _dense(provider, prefix) if name == "dense" else _fused(provider, prefix))
-    raise ValueError(f"no strategy {name!r}")
+    if name not in REGISTRY:
+        raise ValueError(f"no strategy {name!r}; there are {', '.join(REGISTRY)}")
+    return REGISTRY[name](provider, prefix)

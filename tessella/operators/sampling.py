@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a cell has at least in a sample, if it has as many.
+FLOOR = 100
+
 
 def stratum(orientation: Column, width: Column, duration: Column) -> list[Column]:
     side = F.when(orientation.isin("landscape", "portrait", "square"), orientation).otherwise("unknown")
@@ -27,7 +30,7 @@ def largest_remainder(weights: dict[tuple, float], total: int) -> dict[tuple, in
     return out
 
 
-def quotas(rows: dict[tuple, int], total: int, floor: int = 100) -> dict[tuple, int]:
+def quotas(rows: dict[tuple, int], total: int, floor: int = FLOOR) -> dict[tuple, int]:
     """How many to take of each cell: ``floor`` or all of it, and a share of the rest by rows; what is more than a cell has goes to
     the others by the room that they have left. Floors of more than ``total`` are scaled down.
 

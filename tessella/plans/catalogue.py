@@ -73,8 +73,9 @@ def records(s, d):
     many = F.concat(F.lit('{"key":"p","body":{"data":[{"attributes":{"id":'), F.col("event_id"), F.lit('}},{"attributes":{}},{"attributes":{"id":-'), F.col("event_id") + 1, F.lit("}}]}}"))
     gone = F.concat(F.lit('{"key":"id-'), F.col("event_id"), F.lit('","error":"404 missing_medium"}'))
     other = F.concat(F.lit('{"key":"id-'), F.col("event_id"), F.lit('","error":"timeout"}'))
+    empty = F.concat(F.lit('{"key":"p","attributes":{"slug":"x"},"body":{"data":[{"attributes":{"id":'), F.col("event_id"), F.lit('}},7,{"attributes":{"id":null}}]}}'))
     kind = F.col("event_id") % 4
-    return e.select("event_id", F.when(kind == 0, single).when(kind == 1, many).when(kind == 2, gone).otherwise(other).alias("record"))
+    return e.select("event_id", F.when(F.col("event_id") % 12 == 3, empty).when(kind == 0, single).when(kind == 1, many).when(kind == 2, gone).otherwise(other).alias("record"))
 
 
 def watermark(s, d):
@@ -185,7 +186,7 @@ ORACLES = {
     "coalesce_update": f"WITH {OLD} SELECT o.id, coalesce(nullif(n.status, 'X'), o.status) AS status, o.price FROM o LEFT JOIN n ON o.id = n.id",
     "append_first_wins": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "ingest_since_watermark": "SELECT event_id, event_type AS kind FROM events WHERE (event_type <> 'click' OR ts > TIMESTAMP '2024-01-10') AND (event_type <> 'view' OR ts > TIMESTAMP '2024-01-20')",
-    "tagged_union_attributes": "SELECT event_id, event_id AS id FROM events WHERE event_id % 4 IN (0, 1) UNION ALL SELECT event_id, -(event_id + 1) FROM events WHERE event_id % 4 = 1",
+    "tagged_union_attributes": "SELECT event_id, event_id AS id FROM events WHERE event_id % 4 IN (0, 1) OR event_id % 12 = 3 UNION ALL SELECT event_id, -(event_id + 1) FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 12 = 3",
     "missing_ids": "SELECT event_id AS id FROM events WHERE event_id % 4 = 2",
     "events_props_extract": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "url_slug_id": "SELECT page_id AS item_id, '4k-drone-shot' AS slug, '2024-01-01' AS lastmod FROM pages WHERE page_id % 2 = 0",

@@ -50,7 +50,7 @@ def queries_table(s, d):
 
 def judgment_records(s, d):
     """All that is kept of each judgment of the pool."""
-    rows = E.labels(s, d).join(E.query_set(s, d).select("qid", F.col("text").alias("query_text")), "qid").join(L.docs(s, d).select("doc_id", F.md5("text").alias("doc_hash"), F.substring("text", 1, 20).alias("doc_text")), "doc_id")
+    rows = E.labels(s, d).join(E.query_set(s, d).select("qid", F.col("text").alias("query_text")), "qid").join(L.docs(s, d).select("doc_id", F.md5("text").alias("doc_hash"), F.col("text").alias("doc_text")), "doc_id")
     return rows.withColumn("key", E.hashed("qid", "doc_id")).withColumn("reason", F.concat(F.lit("because "), F.col("doc_id").cast("string"))).withColumn("status", F.when(F.col("grade").isNull(), "unparsed").otherwise("ok")).withColumn("ts", F.lit("2024-06-01"))
 
 
@@ -173,7 +173,7 @@ QUERIES = {
     "normalize_media": media,
     "caption_cleanup": lambda s, d: answers(s, d).select("conv_id", "turn", T.caption(F.col("parts")).alias("caption")),
     "clean_terms": lambda s, d: E.terms(s, d).where(T.is_clean(F.col("term"))).select("doc_id", "nth", "term"),
-    "url_quote": lambda s, d: table(s, d, "part").select("p_partkey", T.url_quoted(F.col("p_name")).alias("q")),
+    "url_quote": lambda s, d: table(s, d, "part").select("p_partkey", T.url_quoted(F.concat("p_name", F.lit(" a~b*c d/e+%\u00e9_."))).alias("q")),
     "page_url": lambda s, d: table(s, d, "part").select("p_partkey", T.page_url("https://x.org/video/", F.when(F.col("p_partkey") % 2 == 0, T.slug(F.col("p_name"))), F.col("p_partkey")).alias("url")),
     "cursor_crossed": lambda s, d: table(s, d, "events").select("event_id", T.crossed(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("2024-01-15 12:00:00")).alias("crossed"), T.crossed(F.col("event_type"), F.lit("error")).alias("by_text")),
     "judge_versions": lambda s, d: table(s, d, "events").select(T.judge_version(F.col("event_type"), F.lit("prompt-v1")).alias("version")).distinct(),
@@ -232,7 +232,7 @@ ORACLES = {
     "normalize_media": "SELECT p_partkey AS item_id, p_name AS title, p_brand || '|x' AS tags, p_size AS duration, CASE WHEN p_size % 3 <> 0 THEN p_size END AS width, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size = 20 THEN 'square' WHEN p_size < 20 THEN 'portrait' ELSE 'landscape' END AS orientation, 'u' AS user_name, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 't' || p_partkey WHEN 2 THEN 's' WHEN 3 THEN 'y' ELSE 'p' END AS thumbnail_url, CASE WHEN p_size % 5 = 1 THEN 'd' END AS download_link, p_size % 5 = 2 AS uhd FROM part",
     "caption_cleanup": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Subject: a cat' WHEN 1 THEN 'A dog runs' ELSE 'it rains' END || ' end' || turn AS caption FROM conversations",
     "clean_terms": f"WITH {E.TERMS} SELECT doc_id, nth, term FROM tm WHERE regexp_full_match(term, '[a-z][a-z ]{{2,40}}')",
-    "url_quote": "SELECT p_partkey, url_encode(p_name) AS q FROM part",
+    "url_quote": "SELECT p_partkey, replace(url_encode(p_name), '*', '%2A') || '%20a~b%2Ac%20d%2Fe%2B%25%C3%A9_.' AS q FROM part",
     "page_url": "SELECT p_partkey, 'https://x.org/video/' || CASE WHEN p_partkey % 2 = 0 THEN coalesce(nullif(left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 60), ''), 'term') ELSE 'video' END || '-' || p_partkey || '/' AS url FROM part",
     "cursor_crossed": "SELECT event_id, date_trunc('second', ts) <= TIMESTAMP '2024-01-15 12:00:00' AS crossed, event_type <= 'error' AS by_text FROM events",
     "judge_versions": "SELECT DISTINCT event_type || '@prompt-v1' AS version FROM events",
@@ -248,7 +248,7 @@ ORACLES = {
     "calibration_score": "WITH x AS (SELECT quality AS b, 1 - toxic AS a, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS good FROM labels), c AS (SELECT count(*) FILTER (NOT good) AS n_skipped, count(*) FILTER (good)::DOUBLE AS n, avg(CASE WHEN a = b THEN 1e0 ELSE 0 END) FILTER (good) AS po, sum(a) FILTER (good) AS sa, sum(b) FILTER (good) AS sb FROM x), k AS (SELECT *, (sa * sb + (n - sa) * (n - sb)) / n ** 2 AS pe FROM c) SELECT n::BIGINT AS n_graded, n_skipped, round(po, 9) AS agreement, round((po - pe) / (1 - pe), 9) AS kappa, (po - pe) / (1 - pe) >= 0.4 AS passed FROM k",
     "runs_of_version": "SELECT p_partkey AS run_id FROM part WHERE (p_brand, p_size) = (SELECT (p_brand, p_size) FROM part ORDER BY p_partkey LIMIT 1)",
     "export_queries": f"WITH {E.SPLIT} SELECT qid, CASE WHEN qid % 6 = 0 THEN text || ' \u7530\u91ce' ELSE text END AS text, source, category, lang, array_to_string(facets, ';') AS facets, CASE WHEN hard THEN '{{\"orientation\":\"portrait\"}}' ELSE '' END AS hard, difficulty, match_docs, split FROM sp JOIN benchmark ON item_id = qid",
-    "export_judgments": f"WITH {E.RUNS},\n{E.MOCK} SELECT qid, CASE WHEN qid % 6 = 0 THEN b.text || ' \u7530\u91ce' ELSE b.text END AS query_text, doc_id, md5(d.text) AS doc_hash, left(d.text, 20) AS doc_text, coalesce(grade::VARCHAR, '') AS grade, 'because ' || doc_id AS reason, CASE WHEN grade IS NULL THEN 'unparsed' ELSE 'ok' END AS status, '2024-06-01' AS ts FROM lb JOIN benchmark b ON item_id = qid JOIN documents d USING (doc_id)",
+    "export_judgments": f"WITH {E.RUNS},\n{E.MOCK} SELECT qid, CASE WHEN qid % 6 = 0 THEN b.text || ' \u7530\u91ce' ELSE b.text END AS query_text, doc_id, md5(d.text) AS doc_hash, d.text AS doc_text, coalesce(grade::VARCHAR, '') AS grade, 'because ' || doc_id AS reason, CASE WHEN grade IS NULL THEN 'unparsed' ELSE 'ok' END AS status, '2024-06-01' AS ts FROM lb JOIN benchmark b ON item_id = qid JOIN documents d USING (doc_id)",
     "calibration_worksheet": f"WITH {E.RUNS},\n{E.MOCK}, g AS (SELECT grade, count(*) AS c FROM lb WHERE grade IS NOT NULL GROUP BY ALL) SELECT grade, least(c, CASE grade WHEN 1 THEN 15 WHEN 3 THEN 5 ELSE 10 END) AS n, least(c, CASE grade WHEN 1 THEN 15 WHEN 3 THEN 5 ELSE 10 END) AS open FROM g",
     "vector_upsert": f"WITH {V} SELECT vec_id, model, CASE WHEN vec_id % 3 <> 0 THEN true END AS kept, {literal_sql('CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END')} AS embedding FROM v WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",
     "vector_cache_split": f"SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'cached' ELSE 'owed' END AS state, CASE WHEN vec_id % 3 = 0 THEN {literal_sql('embedding')} END AS embedding FROM embeddings",

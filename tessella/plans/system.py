@@ -115,8 +115,8 @@ def page_data(s, d):
     """Data of pages in usable and other shapes."""
     p = table(s, d, "pages").select("page_id", (F.col("page_id") % 5).alias("kind"))
     medium = lambda inner: F.concat(F.lit('{"pageProps":{"medium":{"attributes":'), inner, F.lit("}}}"))
-    payload = F.when(F.col("kind") == 0, medium(F.concat(F.lit('{"id":'), "page_id", F.lit("}")))).when(F.col("kind") == 1, medium(F.lit('{"name":1}'))).when(F.col("kind") == 2, medium(F.lit("[1]"))).when(F.col("kind") == 3, F.lit('{"pageProps":7}')).otherwise(F.lit("no json"))
-    return p.select("page_id", F.get_json_object(T.page_attributes(payload), "$.id").cast("long").alias("id")).where("id is not null")
+    payload = F.when(F.col("page_id") % 10 == 0, medium(F.lit('{"id":null}'))).when(F.col("kind") == 0, medium(F.concat(F.lit('{"id":'), "page_id", F.lit("}")))).when(F.col("kind") == 1, medium(F.lit('{"name":1}'))).when(F.col("kind") == 2, medium(F.lit("[1]"))).when(F.col("kind") == 3, F.lit('{"pageProps":7}')).otherwise(F.lit("no json"))
+    return p.select("page_id", T.page_attributes(payload).alias("found")).where("found is not null").select("page_id", F.get_json_object("found", "$.id").cast("long").alias("id"))
 
 
 QUERIES = {
@@ -153,5 +153,5 @@ t2 AS (SELECT text, unnest({L.TOKENS}) AS term FROM benchmark), e AS (SELECT tex
 SELECT *, CASE WHEN row_number() OVER (PARTITION BY category, lang ORDER BY md5(text), text) - 1 < round_even(0.7e0 * count(*) OVER (PARTITION BY category, lang), 0) THEN 'train' ELSE 'holdout' END AS split FROM u""",
     "fresh_terms": f"WITH {E.TERMS}, t1 AS (SELECT DISTINCT term, {SLUG} AS slug FROM tm), dn AS (SELECT slug FROM t1 WHERE md5(term) < '8'), c AS (SELECT slug, min_by(term, md5(term)) AS term FROM t1 WHERE regexp_full_match(term, '[a-z][a-z ]{{2,40}}') AND slug NOT IN (FROM dn) GROUP BY slug) SELECT term, slug FROM c ORDER BY md5(term), term LIMIT 40",
     "gunzip_magic": "SELECT page_id, md5(html) AS digest FROM pages",
-    "page_attributes": "SELECT page_id, page_id AS id FROM pages WHERE page_id % 5 = 0",
+    "page_attributes": "SELECT page_id, CASE WHEN page_id % 10 <> 0 THEN page_id END AS id FROM pages WHERE page_id % 5 = 0",
 }

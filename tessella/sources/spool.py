@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
+from ..functions.text import has_id
+
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """kind, path, modified, record (JSON text) of every file ``folder/kind/*.json``; files that are no JSON drop out."""
@@ -24,11 +26,12 @@ def since(rows: DataFrame, floors: DataFrame, time: str = "modified") -> DataFra
 
 
 def items(record: Column) -> Column:
-    """The attribute objects of a record (JSON texts): its own, or those in body.data; only those with an id."""
+    """The attribute objects of a record (JSON texts): its own if it has an id, else those in body.data that have one. An id that is
+    null is an id."""
     single = F.get_json_object(record, "$.attributes")
     many = F.transform(F.from_json(F.get_json_object(record, "$.body.data"), "array<string>"), lambda d: F.get_json_object(d, "$.attributes"))
-    found = F.when(single.isNotNull(), F.array(single)).otherwise(F.coalesce(many, F.array().cast("array<string>")))
-    return F.filter(found, lambda a: F.get_json_object(a, "$.id").isNotNull())
+    listed = F.filter(F.coalesce(many, F.array().cast("array<string>")), has_id)
+    return F.when(has_id(single), F.array(single)).otherwise(listed)
 
 
 def missing_id(record: Column) -> Column:
@@ -45,15 +48,17 @@ def _path(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Under another name first, so that a file is there whole or not at all."""
+    """Under another name first, which then takes the place of the old file: a reader sees one of the two, whole."""
     target, fs = _path(spark, path)
     part, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(text.encode())
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be put in place")
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, target, over)
 
 
 def write_record(spark: SparkSession, folder: str, kind: str, key: str, url: str, payload: dict) -> str:

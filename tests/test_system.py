@@ -53,34 +53,38 @@ def test_sitemaps(spark):
     assert [r.loc for r in sitemap.shards(index).orderBy("at").collect()] == ["a", "b"] and sitemap.shards(index, 1).count() == 1
 
 
-def plain_grade(answer):
-    candidates = []
-    try:
-        candidates.append(json.loads(answer))
-    except ValueError:
-        pass
-    at = answer.find("{")
-    while at != -1 and (end := answer.find("}", at)) != -1:
-        try:
-            candidates.append(json.loads(answer[at : end + 1]))
-        except ValueError:
-            pass
-        at = answer.find("{", end)
-    for c in candidates:
-        g = c.get("grade") if isinstance(c, dict) else None
-        g = int(g.strip()) if isinstance(g, str) and g.strip().isdigit() else g
-        if isinstance(g, int) and not isinstance(g, bool) and 0 <= g <= 3:
-            return g, str(c.get("reason", ""))[:500]
-    return None, answer[:200]
+#: Answers of a judge, and the grade and reason that they hold.
+GRADED = {
+    '{"grade": 2, "reason": "x"}': (2, "x"), '{"grade": 9} {"grade": 2}': (2, ""), 'so {"grade": " 3 "} it is': (3, ""), '{"grade": true}': (None, '{"grade": true}'), '{"grade": 1.0}': (None, '{"grade": 1.0}'), "no": (None, "no"),
+    '{"grade": -1}': (None, '{"grade": -1}'), '{"more": {"grade": 1}, "grade": 0, "reason": "' + "r" * 600 + '"}': (0, "r" * 500), "[1]": (None, "[1]"), "x" * 300: (None, "x" * 200),
+    '{"reason": "a"} {"grade": "02"}': (2, ""), '{"grade": 2': (None, '{"grade": 2'), "": (None, ""), '{"grade": null} {"grade": 1, "reason": "é"}': (1, "é"),
+}
 
 
 def test_grades(spark):
-    answers = [
-        '{"grade": 2, "reason": "x"}', '{"grade": 9} {"grade": 2}', 'so {"grade": " 3 "} it is', '{"grade": true}', '{"grade": 1.0}', "no", '{"grade": -1}', '{"more": {"grade": 1}, "grade": 0, "reason": "' + "r" * 600 + '"}', "[1]", "x" * 300,
-        '{"reason": "a"} {"grade": "02"}', '{"grade": 2', "", '{"grade": null} {"grade": 1, "reason": "é"}',
-    ]
-    rows = spark.createDataFrame(list(enumerate(answers)), "id long, answer string").select("id", text.graded(F.col("answer")).alias("g")).collect()
-    assert {r.id: (r.g.grade, r.g.reason) for r in rows} == {k: plain_grade(a) for k, a in enumerate(answers)}
+    rows = spark.createDataFrame([(a,) for a in GRADED], "answer string").select("answer", text.graded(F.col("answer")).alias("g")).collect()
+    assert {r.answer: (r.g.grade, r.g.reason) for r in rows} == GRADED
+
+
+def test_items_of_odd_records(spark):
+    records = ['{"attributes": {"slug": "x"}, "body": {"data": [{"attributes": {"id": 3}}, 7, {"attributes": {"id": null}}, {"attributes": [1]}]}}', '{"attributes": {"id": null}}', '{"attributes": 5}', '{"body": {"data": {"id": 1}}}', "no", None]
+    rows = spark.createDataFrame(list(enumerate(records)), "k long, record string").select("k", spool.items(F.col("record")).alias("items")).collect()
+    assert {r.k: [json.loads(x)["id"] for x in r["items"]] for r in rows} == {0: [3, None], 1: [None], 2: [], 3: [], 4: [], 5: []}
+    pages = ['{"pageProps":{"medium":{"attributes":{"id":null}}}}', '{"pageProps":{"medium":{"attributes":{"ID":1}}}}', '{"pageProps":{"medium":{"attributes":"id"}}}']
+    assert [one(spark, text.page_attributes(F.lit(p))) is not None for p in pages] == [True, False, False]
+
+
+def test_quoting(spark):
+    texts = ["a~b*c d/e", "+%", "café 你", "", "_.-~", "()!'"]
+    assert [one(spark, text.url_quoted(F.lit(t))) for t in texts] == [urllib.parse.quote(t, safe="") for t in texts]
+
+
+def test_marks_are_never_away(spark, tmp_path):
+    path = f"{tmp_path}/marks.json"
+    for k in range(3):
+        spool.save_marks(spark, path, {"a": k})
+        assert spool.load_marks(spark, path) == {"a": k}
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["marks.json"]
 
 
 def test_negatives_differ_by_query(spark):
@@ -210,11 +214,11 @@ def test_runs(spark, tmp_path):
     hits = spark.createDataFrame([(1, 10, 1, 2.0), (1, 11, 2, 1.0), (2, 12, 1, 1.0)], "qid long, doc_id long, rank int, score double")
     times = spark.createDataFrame([(1, 5.0, 1.0), (2, 7.0, 2.0)], "qid long, search_ms double, embed_ms double")
     for name, version in (("a", "m1"), ("b", "m1"), ("c", "m2")):
-        runs.save(hits if name != "b" else hits.where("doc_id <> 10"), times, str(tmp_path), name, materials.config("bm25-query"), version, "q1")
+        runs.save(hits if name != "b" else hits.where("doc_id <> 10"), times, str(tmp_path), name, providers.strategy("bm25-query").manifest(materials.TextSource()), version, "q1")
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
-        runs.save(hits, times, str(tmp_path), "a", materials.config("bm25-query"), "m1", "q1")
+        runs.save(hits, times, str(tmp_path), "a", providers.strategy("bm25-query").manifest(materials.TextSource()), "m1", "q1")
     found = runs.find(spark, str(tmp_path), "m1", "q1")
-    assert sorted(r.run_id for r in found.collect()) == ["a", "b"] and found.first().config_hash == materials.version_hash(materials.config("bm25-query"))
+    assert sorted(r.run_id for r in found.collect()) == ["a", "b"] and found.first().config_hash == materials.version_hash(providers.strategy("bm25-query").manifest(materials.TextSource()))
     hits, times = runs.load(spark, str(tmp_path), found)
     labels = spark.createDataFrame([(1, 10, 3), (1, 11, 0), (2, 12, 2)], "qid long, doc_id long, grade int")
     queries = spark.createDataFrame([(1, "holdout"), (2, "train")], "qid long, split string")
@@ -247,13 +251,22 @@ def test_materials(spark):
     for bad in ("none", "caption"):
         with pytest.raises(ValueError):
             materials.texts(rows, bad)
-    with pytest.raises(ValueError):
-        materials.config("dense")
-    assert materials.corpus_label(materials.config("rrf", "caption", "m", 8, captions="v1")) == "caption:v1" and materials.corpus_label({"text_source": "raw-title"}) == "raw-title"
+    for bad in (lambda: providers.strategy("dense"), lambda: providers.strategy("none"), lambda: materials.TextSource("none")):
+        with pytest.raises(ValueError):
+            bad()
+    captions = materials.TextSource("caption", captions_version="v1")
+    assert captions.label == "caption:v1" and materials.TextSource("caption", captions_version="v1", captions_model="m").label == "caption:m" and materials.TextSource("raw-title").label == "raw-title"
+    assert providers.strategy("bm25-both").manifest(materials.TextSource()) == {"strategy": "bm25-both", "text_source": "raw", "idf_side": "both", "k1": 1.2, "b": 0.75}
+    assert providers.strategy("hash-dense").manifest(materials.TextSource()) == {"strategy": "hash-dense", "text_source": "raw", "provider": "local-hash-1024"}
+    assert providers.strategy("rrf", providers.hash_provider(8), "query: ").manifest(captions) == {"strategy": "rrf", "text_source": "caption", "captions_version": "v1", "model": "local-hash-8", "dim": 8, "query_prefix": True, "rrf_k": 60, "arm_depth": 100, "arms": ["bm25-query", "dense"]}
     assert materials.cache_key("a/b", 8, "raw", "0123456789abcdefXYZ") == "a_b-8-raw-0123456789abcdef"
     full = rows.select("*", F.lit("portrait").alias("orientation"), F.lit(100).alias("width"), F.lit(7).alias("duration"))
     sample, cells = materials.build(full, 2, F.md5(F.col("id").cast("string")), 1)
-    assert sample.count() == 2 and cells.first().population == 3 and materials.manifest(sample, "v1", 2)["n"] == 2
+    assert sample.count() == 2 and cells.first().population == 3
+    told = materials.manifest(sample, "v1", 2, cells, "c0", 1)
+    assert (told["n"], told["population_total"], told["stratum_floor"], told["code"], len(told)) == (2, 3, 1, "c0", 12)
+    assert [(c["population"], c["quota"], c["sampled"]) for c in told["cells"]] == [(3, 2, 2)] and told["tags_stats"] == materials.tag_statistics(sample)
+    assert materials.tag_statistics(rows) == {"n_docs": 3, "n_tags": 3, "distinct": 2, "mean": 1.0, "median": 1.0, "p90": 2.0}
     designed = spark.createDataFrame([("red cat", "facet", "en", "easy", ["x"], {"a": "b"})], "text string, category string, lang string, difficulty string, facets array<string>, hard map<string,string>")
     frequency = spark.createDataFrame([("red", 5), ("dog", 300)], "term string, df long")
     terms = spark.createDataFrame([("big dog",)], "term string")
