@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_column, slices
-from .scratch import stored
+from .scratch import free_names, stored
 from .words import hashes, release, run_hashes
 
 #: Words of a window, of a k-gram, and k-grams of which the least hash is kept: WINDOW = GRAM + SPAN - 1.
@@ -203,13 +203,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, by the rule of :func:`contamination`; all columns stay as they are.
 
-    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty table.
+    Null and empty texts stay; texts of any length are looked at whole; repeated rows stay or go together; all columns stay,
+    whatever their names; an empty table gives an empty table.
     """
+    own_id, own_hash = free_names(docs, 2)
     few, every = _first_blocks(benchmark)
     if len(few) > 1:
         rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-        bad = _by_blocks(rows, every).where("contaminated").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"))
-        same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text_hash"))
+        bad = _by_blocks(rows, every).where("contaminated").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+        same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own_hash))
         return docs.join(bad, same, "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(few[0] if few else None)
 

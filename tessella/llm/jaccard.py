@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from . import gather
 from .arrow import fields, record_batch, slices
 from .components import components
-from .scratch import forget, stored
+from .scratch import forget, free_names, stored
 from .words import hashes, mixed, release, run_hashes
 
 SHINGLE, NEEDED, OF = 5, 75, 100
@@ -396,16 +396,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents of ``docs`` without all but one of each component: that of the least doc_id, and of its texts that of the
     least hash, in one row.
 
-    Rows without doc_id are kept if their component has no other: one row of each such component.
+    Rows without doc_id are kept if their component has no other: one row of each such component. Of repeated rows that differ in
+    other columns, the one whose other columns come first as JSON text stays. Null and empty texts are alone in their
+    component, but repeated rows of them are one; texts of any length are compared whole; all columns stay, whatever their
+    names; an empty table gives an empty table.
     """
     named = _grouped(docs)
+    own_id, own_hash, of_text = free_names(docs, 3)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    first = stored(first.select(F.col("x.doc_id").alias("__kept"), F.col("x.text_hash").alias("__hash")).distinct(), "kept")
-    row = F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__text") == F.col("__hash"))
-    kept = docs.withColumn("__text", F.expr(TEXT_HASH)).join(first, row, "left_semi")
-    again = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__hash"))
+    first = stored(first.select(F.col("x.doc_id").alias(own_id), F.col("x.text_hash").alias(own_hash)).distinct(), "kept")
+    row = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(of_text) == F.col(own_hash))
+    kept = docs.withColumn(of_text, F.expr(TEXT_HASH)).join(first, row, "left_semi")
+    again = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
     again = stored(again, "repeated-rows")
     if not again.limit(1).count():
-        return kept.drop("__text")
-    single = kept.join(again, row, "left_anti")
-    return single.unionByName(kept.join(again, row, "left_semi").dropDuplicates(["doc_id", "__text"])).drop("__text")
+        return kept.drop(of_text)
+    single = kept.join(again, row, "left_anti").drop(of_text)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias(own_id)))
+    one = kept.join(again, row, "left_semi").groupBy("doc_id", of_text).agg(F.min_by(F.struct(*docs.columns), others).alias(own_id))
+    return single.unionByName(one.select(f"{own_id}.*"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrow import fields, record_batch, slices
-from .scratch import forget, stored
+from .scratch import forget, free_names, stored
 from .words import hashes, mixed, release
 
 WINDOW = 35
@@ -218,7 +218,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copies = texts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("copied"))
     ranges = repeated_windows(texts).groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
     kept = docs.columns
-    own, marked = "_" * (longest := 1 + max(map(len, kept))) + "k", "_" * longest + "r"  # names that no column has
+    own, marked = free_names(docs, 2)
     ranges = stored(ranges.join(copies, "key", "full").select(F.col("key").alias(own), F.struct("first", "n", "copied").alias(marked)), "ranges")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept string").fields])
     types = fields(schema)

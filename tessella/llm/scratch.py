@@ -52,6 +52,12 @@ def forget(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._stored_at)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``df`` has, whatever their case."""
+    longest = max(map(len, df.columns), default=0)
+    return [f"{'_' * (longest + 1)}{k}" for k in range(n)]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`fresh_path` named, through the file system that holds it."""
     jvm = spark.sparkContext._jvm
