@@ -34,7 +34,7 @@ FREQUENT = 1 << 17
 WORDS, SIZE, BEGIN = FREQUENT + 1, 16, -1
 HEAD, WIDTH = 63, 48
 #: Noise choices of each of the three levels, and positions, of a step.
-NOISE, STEP, RATE = 32, 1024, 0.4
+NOISE, STEP, RATE = 24, 1024, 0.4
 #: Tokens that a task learns from at least, if there are as many: nets of fewer, averaged, are little better than their start.
 #: Tasks that train at most: each sends a net, and a net does not shrink with its share of the texts.
 TRAINER_TOKENS, TRAINERS = 6_000_000, 4096
