@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Common words that alone make no query.
@@ -188,29 +188,33 @@ def crossed(cursor: Column, marker: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a <= b).otherwise(cursor <= marker)
 
 
-def thumbnail(video: Column) -> Column:
-    """The picture's URL of a video (JSON text): itself, or its large, medium, small or first size, else the preview."""
-    own = F.get_json_object(video, "$.thumbnail")
-    sized = F.map_values(F.from_json(F.when(own.startswith("{"), own), "map<string,string>"))
-    some = lambda c: F.nullif(c, F.lit(""))
-    named = [some(F.get_json_object(own, f"$.{k}")) for k in ("large", "medium", "small")]
-    return F.coalesce(F.when(own.startswith("{"), F.coalesce(*named, F.get(F.filter(sized, lambda x: x != ""), F.lit(0)))).otherwise(some(own)), some(F.get_json_object(video, "$.preview_src")))
+def _some(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
 
 
-def media_row(record: Column, source: str) -> list[Column]:
-    """The columns of a media item from its attributes (JSON text), which tolerate missing and odd fields."""
-    at = lambda path: F.get_json_object(record, f"$.{path}")
+def media_rows(rows: DataFrame, source: str, record: str = "record") -> DataFrame:
+    """The 19 columns of media items from their attributes (``record``: JSON text), each parsed once into a VARIANT that missing
+    and odd fields do not break. A text that is no JSON, or has a key twice, gives an item of nulls; fields of another kind are
+    null, and numbers in quotes count as numbers."""
+    at = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
     number = lambda path, kind: at(path).try_cast(kind).alias(path)
-    files = at("video.video_files")
-    return [
+    listed = lambda path: F.schema_of_variant(F.try_variant_get("v", f"$.{path}", "variant")).startswith("ARRAY")
+    tag = lambda t: F.trim(F.when(t.startswith("{"), F.coalesce(_some(F.get_json_object(t, "$.name")), F.get_json_object(t, "$.search_term"))).otherwise(t))
+    tags = F.filter(F.transform(F.when(listed("tags"), at("tags", "array<string>")), tag), lambda t: t.isNotNull() & (t != ""))
+    sizes = F.map_values(at("video.thumbnail", "map<string,string>"))
+    single = F.when(F.schema_of_variant(F.try_variant_get("v", "$.video.thumbnail", "variant")) == "STRING", _some(at("video.thumbnail")))
+    named = [_some(at(f"video.thumbnail.{size}")) for size in ("large", "medium", "small")]
+    picture = F.coalesce(single, *named, F.get(F.filter(sizes, lambda x: x != ""), F.lit(0)), _some(at("video.preview_src")))
+    parsed = rows.select(F.col(record).alias("raw"), F.try_parse_json(record).alias("v"))
+    return parsed.select(
         at("id").try_cast("long").alias("item_id"), at("slug").alias("slug"), at("title").alias("title"), at("description").alias("description"),
-        F.coalesce(tag_texts(at("tags")), F.array().cast("array<string>")).alias("tags"),
+        F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
         number("duration", "int"), number("width", "int"), number("height", "int"), number("fps", "double"), number("aspect_ratio", "double"),
         orientation(at("width"), at("height")).alias("orientation"), at("license").alias("license"),
-        person(at("user.first_name"), at("user.last_name"), F.nullif(at("user.username"), F.lit(""))).alias("user_name"), at("created_at").alias("created_at"),
-        F.when(files.startswith("["), files).otherwise("[]").alias("video_files"), thumbnail(at("video")).alias("thumbnail_url"), at("video.download_link").alias("download_link"),
-        F.lit(source).alias("source"), record.alias("raw"),
-    ]
+        person(at("user.first_name"), at("user.last_name"), _some(at("user.username"))).alias("user_name"), at("created_at").alias("created_at"),
+        F.when(listed("video.video_files"), at("video.video_files")).otherwise("[]").alias("video_files"), picture.alias("thumbnail_url"), at("video.download_link").alias("download_link"),
+        F.lit(source).alias("source"), "raw",
+    )
 
 
 def has_uhd(files: Column) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
+
 #: Parts into which a range of values is divided in one pass.
 PARTS = 4096
 
@@ -34,6 +37,44 @@ def value_at(rows: DataFrame, column: str, position: int) -> float | None:
     return lo
 
 
+def ranked_values(rows: DataFrame, column: str, fractions: dict[str, float], *within: str) -> DataFrame:
+    """The nearest-rank percentiles of all groups (``within``, null being a group of its own) at once: n, the number of values, and
+    for each name the value at position round-half-even(fraction * n), 1 at least. Nulls and NaN don't count; a group of nothing
+    else has no row.
+
+    All groups narrow together: a pass counts each group's open ranges in PARTS parts and goes on in those that have the
+    positions, until each range is one value. Counts are made in tasks before they are shuffled, a window has PARTS rows at
+    most, and a hot group is as many rows as any other; no group is sorted.
+    """
+    keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(within)]
+    names = [f"__k{i}" for i in range(len(within))]
+    values = rows.select(*keys, F.col(column).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    ends = values.groupBy(*names).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(f)).alias("f")) for name, f in fractions.items()]))
+    place = F.greatest(F.lit(1), F.least(F.col("n"), F.rint(F.col("w.f") * F.col("n")).cast("long")))
+    state = stored(ends.select(*names, "n", "lo", "hi", wanted.alias("w")).select(*names, "n", F.col("w.name").alias("name"), place.alias("at"), "lo", "hi"))
+    done = []
+    while True:
+        done.append(state.where("lo = hi").select(*names, "n", "name", F.col("lo").alias("value")))
+        left = state.where("lo < hi")
+        if left.isEmpty():
+            break
+        ranges = left.select(*[F.col(k).alias(f"o{k}") for k in names], "lo", "hi").distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"o{k}")) for k in names]
+        inside = values.join(ranges, [*same, F.col("__v").between(F.col("lo"), F.col("hi"))]).select(*names, "lo", "hi", "__v")
+        width, middle = (F.col("hi") - F.col("lo")) / PARTS, F.col("lo") / 2 + F.col("hi") / 2
+        halves = (F.col("__v") > F.when((F.col("lo") <= middle) & (middle < F.col("hi")), middle).otherwise(F.col("lo"))).cast("long")
+        equal = F.least(F.try_divide(F.col("__v") - F.col("lo"), width).try_cast("long"), F.lit(PARTS - 1))
+        part = F.when((width > 0) & (width < float("inf")), equal).otherwise(halves)
+        parts = inside.groupBy(*names, "lo", "hi", part.alias("part")).agg(F.count("*").alias("c"), F.min("__v").alias("a"), F.max("__v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy(*names, "lo", "hi").orderBy("part"))
+        parts = parts.withColumn("upto", upto).select(*[F.col(k).alias(f"o{k}") for k in names], F.col("lo").alias("olo"), F.col("hi").alias("ohi"), "c", "upto", "a", "b")
+        met = left.join(parts, [*same, F.col("lo") == F.col("olo"), F.col("hi") == F.col("ohi"), F.col("at") <= F.col("upto"), F.col("at") > F.col("upto") - F.col("c")])
+        state = stored(met.select(*names, "n", "name", (F.col("at") - F.col("upto") + F.col("c")).alias("at"), F.col("a").alias("lo"), F.col("b").alias("hi")))
+    found = reduce(DataFrame.unionByName, done).groupBy(*names, "n").pivot("name", list(fractions)).agg(F.max("value"))
+    return found.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(within)], "n", *fractions)
+
+
 def numbered(rows: DataFrame, count: str, term: str, name: str, prefix: int = 3) -> DataFrame:
     """``rows`` with their place from 1 in the order of ``count`` descending, then ``term``.
 

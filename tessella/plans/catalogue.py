@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import coverage as V
 from ..operators import loops as P
 from ..operators import materials as X
 from ..operators import merge as M
@@ -138,9 +139,9 @@ QUERIES = {
     "catalog_gap_newest": lambda s, d: P.worklist(M.gap(customers(s, d), buyers(s, d), "id"), "id", "id", 20).select("id"),
     "catalog_gap_random": lambda s, d: P.worklist(M.gap(customers(s, d), buyers(s, d), "id"), "id", "random", 20, "7").select("id"),
     "mark_missing": lambda s, d: M.mark_missing(customers(s, d).withColumn("missing_since", F.when(F.col("id") % 7 == 0, F.lit("2024-02-02").cast("date"))), M.gap(customers(s, d), buyers(s, d), "id"), "id", now()).select("id", F.col("missing_since").cast("string").alias("missing_since")),
-    "coverage_pct": lambda s, d: customers(s, d).join(buyers(s, d).withColumn("has", F.lit(1)), "id", "left").agg(F.round(100.0 * F.count("has") / F.count("*"), 2).alias("pct")),
-    "coverage_counts": lambda s, d: customers(s, d).join(buyers(s, d).withColumn("has", F.lit(1)), "id", "left").agg(F.count("*").alias("n"), F.count("has").alias("n_has")),
-    "library_stats": lambda s, d: table(s, d, "events").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNotNull()).alias("n_value"), F.coalesce(F.sum((F.get_json_object("props", "$.k").cast("long") > 50).cast("long")), F.lit(0)).alias("n_large")),
+    "coverage_pct": lambda s, d: V.coverage(customers(s, d), buyers(s, d), "id").select("pct"),
+    "coverage_counts": lambda s, d: V.coverage(customers(s, d), buyers(s, d), "id").select("n", "n_has"),
+    "library_stats": lambda s, d: V.counters(table(s, d, "events"), n_value=F.col("value").isNotNull(), n_large=F.get_json_object("props", "$.k").cast("long") > 50),
     "upsert_changed": lambda s, d: M.upsert(old_orders(s, d), new_orders(s, d), "id", ["status", "price"], "status", now()).select("id", "status", "price", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("updated_at").cast("string").alias("updated_at")),
     "upsert_catalog": lambda s, d: M.refresh(old_orders(s, d).withColumnRenamed("updated_at", "last_seen_at"), new_orders(s, d), "id", ["status"], now()).select("id", "status", F.col("first_seen_at").cast("string").alias("first_seen_at"), F.col("last_seen_at").cast("string").alias("last_seen_at")),
     "coalesce_update": lambda s, d: M.fill(old_orders(s, d).select("id", "status", "price"), new_orders(s, d).select("id", F.nullif("status", F.lit("X")).alias("status")), "id", ["status"]),
@@ -164,7 +165,7 @@ QUERIES = {
     "hard_filter_unknown": lambda s, d: S.hard_filter(parts(s, d), "unknown", 10, unknown=True).select("id"),
     "embeddable_rows": lambda s, d: odd_parts(s, d).where((F.trim(F.coalesce("title", F.lit(""))) != "") | (F.size("tags") > 0)).agg(F.count("*").alias("n")),
     "backfill_owed_shard": lambda s, d: P.owed(table(s, d, "orders"), F.col("o_orderpriority"), "1-URGENT", "o_orderkey", 1, 3).orderBy("o_orderkey").limit(1000).select("o_orderkey"),
-    "fetch_targets": lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("term"), F.explode(F.array(*[F.lit(k).cast('long') for k in (1, 2, 3)])).alias("page")),
+    "fetch_targets": lambda s, d: V.targets(table(s, d, "nation").select(F.col("n_name").alias("term")), 3),
     "stream_dedup": lambda s, d: stream(s, d, lambda E, e: E.distinct(e.unionByName(e)).select("event_id", "event_type")),
     "stream_daily_counts": daily_stream,
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25 as B
+from ..operators import coverage as V
 from ..operators import judging as J
 from ..operators import materials as X
 from ..operators import metrics as M
@@ -174,23 +174,13 @@ def label_records(s, d):
     return table(s, d, "events").select((F.col("user_id") % 20).alias("qid"), "user_id", F.col("event_id").alias("at"), F.col("event_type").alias("version"), "ts", F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 4).alias("grade")).withColumnRenamed("user_id", "doc_id")
 
 
-def tag_sizes(s, d):
-    """Mean, upper median, nearest-rank p90 and share of none of the numbers of tags: rows meet as counts of sizes."""
-    sizes = parts(s, d).select(F.size("tags").cast("long").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
-    order = Window.orderBy("n")  # over the distinct sizes
-    w = sizes.select("n", "c", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("all"))
-    reaches = lambda at: F.min(F.when(F.col("upto") >= at, F.col("n")))
-    p90 = F.greatest(F.lit(1), F.least(F.col("all"), F.rint(0.9 * F.col("all")).cast("long")))
-    return w.agg(F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 6).alias("mean"), reaches(F.floor(F.col("all") / 2) + 1).alias("median"), reaches(p90).alias("p90"), F.round(F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("c"))), F.lit(0)) / F.sum("c"), 6).alias("empty"))
-
-
 QUERIES = {
     "stratum_counts": lambda s, d: strata(s, d).groupBy(*CELL).agg(F.count("*").alias("n")),
     "stratum_quota": quota_rows,
     "stratum_quota_scaled": lambda s, d: quota_rows(s, d, 150),
     "stratified_sample": lambda s, d: sample(s, d).select("id", *CELL, F.col("place").cast("long").alias("place")),
     "sample_cutoffs": lambda s, d: sample(s, d).withColumn("h", hashed("id")).groupBy(*CELL).agg(F.max(F.struct("h", "id")).alias("m")).select(*CELL, "m.h", "m.id"),
-    "tags_stats": tag_sizes,
+    "tags_stats": lambda s, d: V.list_sizes(parts(s, d), "tags"),
     "junk_terms": lambda s, d: terms(s, d).select("doc_id", "nth", T.is_junk(F.col("term")).alias("junk")),
     "query_bands": banded,
     "split_70_30": lambda s, d: query_set(s, d).select("qid", "split"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25 as B
+from ..operators import coverage as K
 from ..operators import judging as J
 from ..operators import merge as M
 from ..operators import metrics as X
@@ -31,7 +32,7 @@ def media_records(s, d):
 
 
 def media(s, d):
-    rows = media_records(s, d).select(*T.media_row(F.col("record"), "feed"))
+    rows = T.media_rows(media_records(s, d), "feed")
     return rows.select("item_id", "title", F.array_join("tags", "|").alias("tags"), "duration", "width", "orientation", "user_name", "thumbnail_url", "download_link", T.has_uhd(F.col("video_files")).alias("uhd"))
 
 
@@ -197,8 +198,8 @@ QUERIES = {
     "caption_freeze": freeze,
     "facet_fusion": facet_arms,
     "content_hash": lambda s, d: ordered_hash(table(s, d, "documents").select("doc_id", "lang", F.md5("text").alias("text")), "doc_id", 100),
-    "kind_counts": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("keys")),
-    "resume_keys": lambda s, d: table(s, d, "events").where("event_type = 'view'").select("user_id").distinct().join(table(s, d, "events").where("event_type = 'error' AND user_id % 3 = 0").select("user_id"), "user_id", "left_anti"),
+    "kind_counts": lambda s, d: K.kinds(table(s, d, "events"), "event_type", "user_id"),
+    "resume_keys": lambda s, d: K.resume(table(s, d, "events").where("event_type = 'view'"), table(s, d, "events").where("event_type = 'error' AND user_id % 3 = 0"), "user_id"),
     "head_marker": lambda s, d: streaming().after_marker(zoned(s, d), zoned(s, d).where("event_type = 'signup'").agg(F.max("ts").alias("marker"))).select("event_id"),
     "window_tumbling": lambda s, d: window_rows(streaming().tumbling(zoned(s, d), "1 day")),
     "window_sliding": lambda s, d: window_rows(streaming().tumbling(zoned(s, d), "2 days", "1 day")),

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import url_decoded
 
 
-def entries(xml: DataFrame) -> DataFrame:
-    """at (from 0), loc, lastmod of every <url> or <sitemap> element of ``xml`` (xml)."""
-    blocks = xml.select(F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))).alias("at", "block"))
+def entries(xml: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, at (from 0), loc, lastmod of every <url> or <sitemap> element of ``xml`` (xml)."""
+    blocks = xml.select(*keep, F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))).alias("at", "block"))
     value = lambda tag: F.nullif(F.trim(F.regexp_extract("block", rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
-    return blocks.select("at", value("loc").alias("loc"), value("lastmod").alias("lastmod")).where("loc is not null")
+    return blocks.select(*keep, "at", value("loc").alias("loc"), value("lastmod").alias("lastmod")).where("loc is not null")
 
 
 def video_items(rows: DataFrame, path: str = "video") -> DataFrame:

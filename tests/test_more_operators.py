@@ -76,7 +76,7 @@ def test_caption_and_media(spark):
     assert one(text.caption(parts("TASK: a\r\nSetting: b", "c"))) == "Setting: b c"
     assert one(text.caption(parts("Format: a\n b "))) == "b"
     assert one(text.caption(F.array().cast("array<string>"))) == ""
-    row = spark.range(1).select(*text.media_row(F.lit('{"id":"5","tags":null,"width":"a","video":7}'), "feed")).first()
+    row = text.media_rows(spark.range(1).select(F.lit('{"id":"5","tags":null,"width":"a","video":7}').alias("record")), "feed").first()
     assert (row.item_id, row.tags, row.orientation, row.video_files, row.thumbnail_url, len(row)) == (5, [], None, "[]", None, 19)
 
 
