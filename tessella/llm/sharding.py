@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from heapq import heapify, heapreplace
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import forget, stored
@@ -13,36 +16,44 @@ from .scratch import forget, stored
 SALTS, PART_ROWS = 64, 1 << 18
 #: Weights are told apart by this many leading bits.
 BITS = 16
+#: The driver hands over its schedule in parts of so many runs.
+RUNS = 50_000
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """Longest processing time over (size, number of groups) in any order: runs (size, from, to, shard) over the groups of
-    each size, numbered from 0.
+def schedule(sizes: list[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Longest processing time over (size, number of groups) in any order: runs (size, from, to, order) over the groups of
+    each size, numbered from 0. The shards of ``order`` take equal parts of a run, one after another.
 
     Every group goes to the least-loaded shard, the largest first, ties by shard number. A long run of equal groups is
-    dealt in whole rounds once the loads are closer than one size, which is what the heap would do one by one.
+    dealt in whole rounds once the loads are closer than one size, which is what the heap would do one by one; steps of one
+    width that follow each other are one run.
     """
     heap = [(0, s) for s in range(shards)]
-    out = []
     for size, count in sorted(sizes, reverse=True):
-        at = 0
+        at, start, width, order = 0, 0, 0, []
         while at < count:
             low, high = heap[0][0], max(load for load, _ in heap)
             rounds = (count - at) // shards
             if high - low < size and rounds > 1:
-                for k, (_, s) in enumerate(sorted(heap)):
-                    out.append((size, at + k * rounds, at + (k + 1) * rounds, s))
+                takers, take = [s for _, s in sorted(heap)], rounds
                 heap = [(load + rounds * size, s) for load, s in heap]
                 heapify(heap)
-                at += rounds * shards
-                continue
-            load, s = heap[0]
-            behind = min((x for x in heap[1:]), default=(1 << 62, 0))
-            take = min(count - at, max(1, -(-(behind[0] - load) // size))) if behind[0] > load else 1
-            out.append((size, at, at + take, s))
-            heapreplace(heap, (load + take * size, s))
-            at += take
-    return out
+            else:
+                load, s = heap[0]
+                behind = min((x for x in heap[1:]), default=(1 << 62, 0))
+                take = min(count - at, max(1, -(-(behind[0] - load) // size))) if behind[0] > load else 1
+                takers = [s]
+                heapreplace(heap, (load + take * size, s))
+            if order and take != width:
+                yield size, start, at, order
+                start, order = at, []
+            width, order = take, order + takers
+            at += take * len(takers)
+            if len(order) >= 2 * shards:
+                yield size, start, at, order
+                start, order = at, []
+        if order:
+            yield size, start, at, order
 
 
 def size_class(weight: str) -> Column:
@@ -52,6 +63,15 @@ def size_class(weight: str) -> Column:
     return F.expr(f"shiftleft(shiftright({weight}, {spare}), {spare})")
 
 
+def _tables(spark: SparkSession, runs: Iterator[tuple]) -> DataFrame:
+    """The runs of a schedule as a table; the driver holds RUNS of them at a time."""
+    schema, parts = "weight long, run_from long, run_to long, order array<int>", []
+    while (part := list(islice(runs, RUNS))) or not parts:
+        table = spark.createDataFrame(part, schema)
+        parts.append(table if len(part) < RUNS and not parts else stored(table, "sharding-runs"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with a shard, under the law of near equal bytes.
 
@@ -62,7 +82,7 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Rows are reduced to id, size and a 128-bit key of the text, and written once. Groups are counted before they are
     shuffled. The driver schedules over classes of weights (:func:`size_class`), of which there are at most some 1.3 million
-    whatever the table; groups and rows get their shard by joins whose hot keys Spark splits; equal rows are counted and
+    whatever the table, and its runs, two or three a class, leave it in parts of RUNS; groups and rows get their shard by joins whose hot keys Spark splits; equal rows are counted and
     then numbered within salts of a shard, as many as the rows ask for, never in one task for a shard.
     """
     spark = docs.sparkSession
@@ -75,11 +95,12 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     before = Window.partitionBy("weight").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = stored(counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "sharding-counts")
     sizes = [(r.weight, r.n) for r in counts.groupBy("weight").agg(F.sum("n").alias("n")).toLocalIterator()]
-    runs = spark.createDataFrame(schedule(sizes, shards), "weight long, run_from long, run_to long, shard int")
+    runs = _tables(spark, schedule(sizes, shards))
     nth = F.row_number().over(Window.partitionBy("weight", "salt").orderBy("key")) - 1
-    by_weight = runs.groupBy("weight").agg(F.array_sort(F.collect_list(F.struct("run_to", "shard"))).alias("runs"))
+    by_weight = runs.groupBy("weight").agg(F.array_sort(F.collect_list(F.struct("run_to", "run_from", "order"))).alias("runs"))
     numbered = groups.withColumn("nth", nth).join(counts.select("weight", "salt", "first"), ["weight", "salt"]).withColumn("nth", F.col("nth") + F.col("first"))
-    placed = numbered.join(by_weight, "weight").select("key", F.filter("runs", lambda r: r["run_to"] > F.col("nth"))[0]["shard"].alias("shard"))
+    numbered = numbered.join(by_weight, "weight").select("key", "nth", F.filter("runs", lambda r: r["run_to"] > F.col("nth"))[0].alias("run"))
+    placed = numbered.select("key", F.expr("run.order[CAST((nth - run.run_from) * size(run.order) DIV (run.run_to - run.run_from) AS INT)]").alias("shard"))
     salts = 1 + rows.count() // (shards * PART_ROWS)
     placed = rows.join(placed, "key").groupBy("shard", "doc_id", "size", "text_crc32").agg(F.count("*").alias("times"))
     placed = stored(placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts))), "sharding-placed")

@@ -182,13 +182,31 @@ def test_schedule_is_the_plain_heap(seed):
     r = random.Random(seed)
     sizes = [(w, r.choice((1, 1, 2, 5, 40, 300))) for w in r.sample(range(1, r.choice((20, 400, 9000))), r.randint(1, 15))]
     shards, loads, covered = r.randint(1, 9), Counter(), Counter()
-    for size, a, b, s in sharding.schedule(sizes, shards):
-        loads[s] += size * (b - a)
+    for size, a, b, order in sharding.schedule(sizes, shards):
+        part, rest = divmod(b - a, len(order))
+        assert rest == 0 and len(order) < 3 * shards
+        for s in order:
+            loads[s] += size * part
         covered.update({(size, k): 1 for k in range(a, b)})
     assert covered == Counter({(w, k): 1 for w, n in sizes for k in range(n)})
     assert sorted(loads[s] for s in range(shards)) == [load for load, _ in plain_loads(sizes, shards)]
 
 
+def test_whole_rounds_are_one_run():
+    import random
+
+    r = random.Random(5)
+    sizes = [(w, r.randint(1, 200)) for w in r.sample(range(1, 65536), 3000)]
+    runs = sum(1 for _ in sharding.schedule(sizes, 16))
+    assert runs < 4 * len(sizes), runs / len(sizes)
+
+
+def test_runs_in_parts(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, sharding.assign(docs).collect()))
+    monkeypatch.setattr(sharding, "RUNS", 7)
+    assert sorted(map(tuple, sharding.assign(docs).collect())) == whole
+
+
 def test_size_classes(spark):
     weights = [1, 2, 65535, 65536, 65537, 70001, 131071, 131073, 10**9 + 7, 2**40 + 12345, 2**62 + 1]
     found = [r.c for r in spark.createDataFrame([(w,) for w in weights], "w long").select(sharding.size_class("w").alias("c")).collect()]
