@@ -33,7 +33,7 @@ TEXT_HASH = "xxhash64(text)"
 #: The share of the hash space in which shingles of all sets are counted, in 1024ths; bits of a counted shingle.
 COUNTED, COUNTED_BITS = 360, 40
 #: Bits of the filter for rows whose sets are looked at; members of a block; blocks of a list that are held in one row.
-FILTER_BITS, BLOCK, HELD = 1 << 24, 96, 128
+FILTER_BITS, MOST_BITS, MARKED, BLOCK, HELD = 1 << 24, 1 << 26, 16, 96, 128
 
 
 def shingles(text: str) -> np.ndarray:
@@ -166,32 +166,38 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     return rows.join(heads, "key").select("key", "node", "n", "most", *[F.col(f"first.{c}").alias(to) for c, to in (("node", "first"), ("n", "first_n"), ("most", "first_most"))])
 
 
-def _bits(doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(doc_ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mixed(doc_ids.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> DataFrame:
     """node and data (its set) for the nodes in ``wanted`` (node, doc_id: one document that has it).
 
-    A filter of fixed size keeps other rows from being worked on; rows that pass it by chance go by the join.
+    A filter of MARKED bits a document and at least FILTER_BITS keeps other rows from being worked on; rows that pass it by chance go
+    by the join. Where it would have more than MOST_BITS, documents meet ``wanted`` by doc_id in a join before they are worked on.
     """
+    size = max(FILTER_BITS, 1 << (MARKED * wanted.count() - 1).bit_length())
     numbers = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     key = F.col("doc_id").cast("long") if numbers else F.xxhash64("doc_id")
 
     marked = fields(StructType.fromDDL(gather.SCHEMA))
 
     def mark(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for at in _bits(ids):
+            for at in _bits(ids, size):
                 bits[at] = True
         if told := gather.parts(np.packbits(bits, bitorder="little")):
             yield record_batch({"part": [k for k, _ in told], "data": [x for _, x in told]}, marked)
 
-    marks = gather.merged(wanted.select(F.coalesce(key, F.lit(0)).alias("doc_id")).mapInArrow(mark, gather.SCHEMA), FILTER_BITS // 8, "u1", np.bitwise_or)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    rows, shared = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), "text"), None
+    ids = wanted.select(F.coalesce(key, F.lit(0)).alias("doc_id"))
+    if size > MOST_BITS:
+        rows = rows.join(ids.distinct(), "doc_id", "left_semi")
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(gather.merged(ids.mapInArrow(mark, gather.SCHEMA), size // 8, "u1", np.bitwise_or))
     schema = StructType.fromDDL("node long, data binary")
     types = fields(schema)
 
@@ -199,20 +205,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> Da
         release()
         seen: set[int] = set()
         for batch in batches:
-            a, b = _bits(batch.column("doc_id").to_numpy(zero_copy_only=False))
-            bits = shared.value
-            here = (bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1
-            rows, size = [], 0
-            for row in _sets(batch.filter(pa.array(here.astype(bool))), seen, collided):
-                rows.append(row)
-                size += len(row[1])
-                if size > 500_000:
-                    yield record_batch({"node": [n for n, _ in rows], "data": [s.tobytes() for _, s in rows]}, types)
-                    rows, size = [], 0
-            if rows:
-                yield record_batch({"node": [n for n, _ in rows], "data": [s.tobytes() for _, s in rows]}, types)
-
-    found = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), "text").mapInArrow(run, schema)
+            if shared:
+                a, b = _bits(batch.column("doc_id").to_numpy(zero_copy_only=False), size)
+                bits = shared.value
+                here = (bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1
+                batch = batch.filter(pa.array(here.astype(bool)))
+            held, most = [], 0
+            for row in _sets(batch, seen, collided):
+                held.append(row)
+                most += len(row[1])
+                if most > 500_000:
+                    yield record_batch({"node": [n for n, _ in held], "data": [s.tobytes() for _, s in held]}, types)
+                    held, most = [], 0
+            if held:
+                yield record_batch({"node": [n for n, _ in held], "data": [s.tobytes() for _, s in held]}, types)
+
+    found = rows.mapInArrow(run, schema)
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("data").alias("data"))
 
 

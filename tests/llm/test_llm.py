@@ -316,6 +316,17 @@ def test_block_pairs(spark, monkeypatch, held):
     assert sorted(map(tuple, out)) == sorted({(a, b) for bs in lists.values() for a in bs for b in bs if a <= b and could(a, b)})
 
 
+def test_sets_by_a_join_or_a_small_filter(spark, docs, odd, monkeypatch):
+    """Above a size documents meet what is wanted by doc_id; a filter that is nearly full lets too much through, which changes nothing."""
+    whole = [sorted(map(str, jaccard.join_groups(t).collect())) for t in (docs, odd)]
+    monkeypatch.setattr(jaccard, "MOST_BITS", 0)
+    assert [sorted(map(str, jaccard.join_groups(t).collect())) for t in (docs, odd)] == whole
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 64)
+    monkeypatch.setattr(jaccard, "MOST_BITS", 1 << 26)
+    monkeypatch.setattr(jaccard, "MARKED", 1)
+    assert [sorted(map(str, jaccard.join_groups(t).collect())) for t in (docs, odd)] == whole
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_groups_of_random_texts(spark, monkeypatch, seed):
     """Texts on either side of the threshold, of pieces that many share, with small blocks."""
