@@ -321,7 +321,7 @@ def test_sets_by_a_join_or_a_small_filter(spark, docs, odd, monkeypatch):
     whole = [sorted(map(str, jaccard.join_groups(t).collect())) for t in (docs, odd)]
     monkeypatch.setattr(jaccard, "MOST_BITS", 0)
     assert [sorted(map(str, jaccard.join_groups(t).collect())) for t in (docs, odd)] == whole
-    monkeypatch.setattr(jaccard, "FILTER_BITS", 64)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 1024)
     monkeypatch.setattr(jaccard, "MOST_BITS", 1 << 26)
     monkeypatch.setattr(jaccard, "MARKED", 1)
     assert [sorted(map(str, jaccard.join_groups(t).collect())) for t in (docs, odd)] == whole
