@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import gather
 from .arrow import fields, record_batch, slices
 from .components import components
+from .marks import holds, marked
 from .scratch import forget, free_names, stored
 from .words import hashes, mixed, release, run_hashes
 
@@ -166,11 +166,6 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     return rows.join(heads, "key").select("key", "node", "n", "most", *[F.col(f"first.{c}").alias(to) for c, to in (("node", "first"), ("n", "first_n"), ("most", "first_most"))])
 
 
-def _bits(doc_ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mixed(doc_ids.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> DataFrame:
     """node and data (its set) for the nodes in ``wanted`` (node, doc_id: one document that has it).
 
@@ -180,24 +175,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> Da
     size = max(FILTER_BITS, 1 << (MARKED * wanted.count() - 1).bit_length())
     numbers = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     key = F.col("doc_id").cast("long") if numbers else F.xxhash64("doc_id")
-
-    marked = fields(StructType.fromDDL(gather.SCHEMA))
-
-    def mark(batches):
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for at in _bits(ids, size):
-                bits[at] = True
-        if told := gather.parts(np.packbits(bits, bitorder="little")):
-            yield record_batch({"part": [k for k, _ in told], "data": [x for _, x in told]}, marked)
-
     rows, shared = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), "text"), None
     ids = wanted.select(F.coalesce(key, F.lit(0)).alias("doc_id"))
     if size > MOST_BITS:
         rows = rows.join(ids.distinct(), "doc_id", "left_semi")
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(gather.merged(ids.mapInArrow(mark, gather.SCHEMA), size // 8, "u1", np.bitwise_or))
+        shared = docs.sparkSession.sparkContext.broadcast(marked(ids, size))
     schema = StructType.fromDDL("node long, data binary")
     types = fields(schema)
 
@@ -206,10 +189,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, collided: frozenset[int]) -> Da
         seen: set[int] = set()
         for batch in batches:
             if shared:
-                a, b = _bits(batch.column("doc_id").to_numpy(zero_copy_only=False), size)
-                bits = shared.value
-                here = (bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1
-                batch = batch.filter(pa.array(here.astype(bool)))
+                batch = batch.filter(pa.array(holds(shared.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
             held, most = [], 0
             for row in _sets(batch, seen, collided):
                 held.append(row)

@@ -599,20 +599,30 @@ def test_contamination(spark, docs):
     assert clean == {r.doc_id for r in rows if not r.contaminated}
 
 
-def test_benchmark_in_several_blocks(spark, docs, monkeypatch):
-    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+@pytest.mark.parametrize("hot", [1000, 50])
+def test_large_benchmark_is_joined(spark, docs, monkeypatch, hot):
+    """The way of a benchmark too large for tasks: the same rows, also with short, repeated and shared items, no ids and hot windows."""
+    odd = [("s1", "the and"), ("s2", "the"), (None, "of the"), ("n", None), ("w", "!! ?"), ("t1", "The AND"), ("t1", "the and")]
+    real = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("cast(item_id AS string) item_id", "text")
+    benchmark = real.union(spark.createDataFrame(odd, "item_id string, text string")).union(real.selectExpr("concat(item_id, 'copy')", "text"))
     whole = sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect()))
     bad = {r[0] for r in whole if r[5]}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 5000)
+    for name, value in (("WHOLE_BYTES", 10), ("HOT", hot), ("SALTS", 5), ("LEAST_BITS", 1024), ("MARKED", 1)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert decontaminate.whole(benchmark) is None
     assert sorted(map(tuple, decontaminate.contamination(docs, benchmark).collect())) == whole
     kept = decontaminate.clean(docs, benchmark)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in whole} - bad
+    if hot == 50:
+        return
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
     twice = docs.where("doc_id < 3").union(docs.where("doc_id < 3")).withColumn("text_hash", docs["n_chars"])
     assert Counter(map(tuple, decontaminate.contamination(twice, benchmark).collect())) == Counter({r: 2 for r in whole if r[0] < 3})
 
 
-def test_contamination_of_odd_rows(spark, odd):
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_contamination_of_odd_rows(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "WHOLE_BYTES", most)
     items = [("a", decontaminate.words("one two three four five six seven eight"))]
     benchmark = spark.createDataFrame([("a", "one two three four five six seven eight"), (None, "!!"), ("b", None)], "item_id string, text string")
     for r in decontaminate.contamination(odd, benchmark).collect():

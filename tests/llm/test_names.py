@@ -13,7 +13,7 @@ def test_one_of_each_keeps_all_columns(spark):
 
 
 def test_clean_keeps_all_columns(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "WHOLE_BYTES", 10)
     docs = spark.createDataFrame([(1, TEXT, 5, 6), (2, "clean", 5, 6), (None, None, 5, 6)], "doc_id long, text string, __doc_id long, __text_hash long")
     benchmark = spark.createDataFrame([("a", TEXT), ("b", "another item of the benchmark that is nowhere in any of the documents here")], "item_id string, text string")
     kept = decontaminate.clean(docs, benchmark)
