@@ -8,8 +8,9 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bm25 import Bm25, top_hits
-from .search import DEPTH, dense_top, fuse, hard_filter
+from ..plans.scratch import stored
+from .bm25 import Bm25, top, top_hits
+from .search import DEPTH, dense_top, fused, hard_filter
 
 
 @dataclass(frozen=True)
@@ -44,28 +45,24 @@ def search_library(queries: DataFrame, library: DataFrame, k: int = 30, depth: i
     Documents that meet the filter are ranked by their vectors and by BM25 (whose statistics are those of the whole
     library), ``depth`` each; reciprocal ranks are added up, ties by doc_id. With ``excluded`` (url), as many more hits are
     looked at as there are excluded URLs, ``k`` at most; hits of which any URL is excluded go, and the first ``k`` of what is
-    left stay, ranks closed up. Rows without vector are in the text arm only.
+    left stay, ranks closed up. Rows without vector are in the text arm only. Both arms are ranked here, once, and stored:
+    ``depth`` rows of each for a query, on which fusion, exclusion, counts and whatever reads the result rest.
     """
     kept = hard_filter(library, **asdict(where))
     dense = dense_top(queries.select("qid", "embedding"), kept.select("doc_id", "embedding"), depth, metric)
     sparse = top_hits(queries.select("qid", "text"), library.select("doc_id", "text"), depth, model, allowed=kept.select("doc_id"))
     margin = min(excluded.distinct().count(), k) if excluded is not None else 0
-    hits = fuse({"dense": dense, "sparse": sparse}, k + margin, depth)
+    ranked = stored(dense.select("qid", "doc_id", "rank", F.lit("dense").alias("arm")).unionByName(sparse.select("qid", "doc_id", "rank", F.lit("sparse").alias("arm"))))
+    hits = fused(ranked, k + margin)
     if excluded is not None:
         named = hits.select("doc_id").distinct().join(library.select("doc_id", F.explode("urls").alias("url")), "doc_id")
         bad = named.join(excluded.select("url").distinct(), "url", "left_semi").select("doc_id").distinct()
-        hits = _first(hits.join(bad, "doc_id", "left_anti"), k)
-    count = lambda arm, name: arm.groupBy("qid").agg(F.count("*").alias(name))
-    arms = queries.select("qid").join(count(dense, "dense"), "qid", "left").join(count(sparse, "sparse"), "qid", "left").fillna(0)
+        hits = top(hits.join(bad, "doc_id", "left_anti").drop("rank"), k)
+    counts = ranked.groupBy("qid").agg(*[F.count_if(F.col("arm") == name).alias(name) for name in ("dense", "sparse")])
+    arms = queries.select("qid").join(counts, "qid", "left").fillna(0, ["dense", "sparse"])
     return Found(hits.join(library.drop("text", "embedding"), "doc_id"), arms)
 
 
-def _first(hits: DataFrame, k: int) -> DataFrame:
-    from .bm25 import top
-
-    return top(hits.drop("rank"), k)
-
-
 def rerank(hits: DataFrame, scores: DataFrame, first: int = 50) -> DataFrame:
     """The seam for a second stage: the ``first`` hits of each query in the order of ``scores`` (qid, doc_id, score), which may come
     from any model; hits without a new score, and those after the first, keep their order behind them."""

@@ -78,8 +78,12 @@ def hard_filter(docs: DataFrame, orientation: str | None = None, min_duration: i
 def fuse(arms: dict[str, DataFrame], k: int, depth: int = DEPTH) -> DataFrame:
     """qid, doc_id, score, rank by the sum of 1 / (60 + rank) over the arms' ``depth`` best (qid, doc_id, score)."""
     ranked = [top(scored, max(depth, k)).select("qid", "doc_id", F.lit(name).alias("arm"), "rank") for name, scored in arms.items()]
-    fused = reduce(DataFrame.unionByName, ranked).groupBy("qid", "doc_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score"))
-    return top(fused, k)
+    return fused(reduce(DataFrame.unionByName, ranked), k)
+
+
+def fused(ranked: DataFrame, k: int) -> DataFrame:
+    """:func:`fuse` of arms that are ranked: rows (qid, doc_id, rank) of all of them."""
+    return top(ranked.groupBy("qid", "doc_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score")), k)
 
 
 def hydrate(hits: DataFrame, docs: DataFrame) -> DataFrame:

@@ -193,6 +193,8 @@ def test_search_leaves_excluded_out_and_fills_up(spark):
     assert [r.doc_id for r in plain.hits.where("qid = 1").orderBy("rank").collect()] == [0, 1, 2]
     shut = spark.createDataFrame([("u0",), ("u2",)], "url string")
     found = library.search_library(queries, media, 3, excluded=shut)
+    for rows in (found.hits, found.arms):  # the arms are ranked once, not again for all that reads them
+        assert "MapIn" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [r.doc_id for r in found.hits.where("qid = 1").orderBy("rank").collect()] == [1, 3, 4]
     assert {r.qid: (r.dense, r.sparse) for r in found.arms.collect()} == {1: (12, 8), 2: (12, 0)}
     assert library.search_library(queries, media, 3, where=library.Filter(min_width=5000)).hits.count() == 0
