@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Common words that alone make no query.
 STOPWORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
@@ -89,19 +91,29 @@ def repaired_tags(tags: Column) -> Column:
     return F.when(F.exists(tags, lambda t: t.startswith("{")), F.filter(named, lambda t: t.isNotNull() & (t != ""))).otherwise(tags)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _short_numbers(lists: pa.Array) -> pa.Array:
+    return pa.array([None if xs is None else [None if x is None else f"{x:.6g}" for x in xs] for xs in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def short_numbers(v: Column) -> Column:
+    """The numbers of an array with six significant digits, without zeros at the end. They are rounded as C's printf does, by the
+    whole binary value, ties to even; Java's Formatter rounds the shortest decimal form, and ties up."""
+    return _short_numbers(v.cast("array<double>"))
+
+
 def short_number(x: Column) -> Column:
-    """Six significant digits without zeros at the end."""
-    digits = F.format_string("%.6g", x.cast("double"))
-    return F.when(x == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+    return F.get(short_numbers(F.array(x)), F.lit(0))
 
 
 def vector_literal(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, short_number), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(short_numbers(v), ","), F.lit("]"))
 
 
 def sparse_literal(weights: Column, size: int) -> Column:
     """``{number:weight,...}/size`` of an array of structs (number, weight), in the order of the numbers."""
-    items = F.transform(F.array_sort(weights), lambda x: F.concat(x["number"].cast("string"), F.lit(":"), short_number(x["weight"])))
+    order = F.array_sort(weights)
+    items = F.zip_with(order, short_numbers(F.transform(order, lambda x: x["weight"])), lambda x, digits: F.concat(x["number"].cast("string"), F.lit(":"), digits))
     return F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}/" + str(size)))
 
 
