@@ -15,15 +15,25 @@ from .bm25 import top
 DEPTH, RRF_K = 100, 60
 
 
-#: Query vectors that are held against the documents in one pass.
-QUERY_BLOCK = 4096
+#: Query vectors that are held against the documents in one pass; documents whose scores are there at once.
+QUERY_BLOCK, AT_ONCE = 4096, 512
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A row for each query. By lengths and products, and where these nearly cancel, by the differences themselves."""
+    whole = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :]
+    squares = whole - 2 * q @ x.T
+    close = squares < 1e-3 * whole
+    for j in np.flatnonzero(close.any(axis=0)):
+        squares[close[:, j], j] = ((q[close[:, j]] - x[j]) ** 2).sum(axis=1)
+    return np.sqrt(squares)
 
 
 def dense_top(queries: DataFrame, docs: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """qid, doc_id, score, rank of the ``k`` nearest documents (doc_id, embedding) of every query (qid, embedding).
 
-    Queries are read in blocks of bounded size; for each, tasks multiply their batches of documents by the block and keep
-    ``k`` a query and task, so pairs never become rows. Rows without vector are left out; larger scores are nearer.
+    Queries are read in blocks of bounded size; for each, tasks multiply AT_ONCE documents after another by the block and keep
+    ``k`` a query and task, so pairs never become rows, and what a task holds depends on no table's size. Rows without vector are left out; larger scores are nearer.
     """
     docs = docs.where("embedding is not null").select("doc_id", "embedding")
     found, block = [], []
@@ -50,16 +60,16 @@ def _block_top(block: list, docs: DataFrame, k: int, metric: str) -> DataFrame:
         qids, q = shared.value
         best = Best(len(qids), k)
         for rows in batches:
-            if not len(rows) or not len(qids):
-                continue
-            ids, x = rows["doc_id"].to_numpy(), np.stack(rows["embedding"].to_list()).astype(np.float64)
-            if metric == "cosine":
-                score = (q / lengths(q)[:, None]) @ (x / lengths(x)[:, None]).T
-            elif metric == "inner":
-                score = q @ x.T
-            else:
-                score = -np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)[None, :]))
-            best.add(ids, np.round(score, 9))
+            for at in range(0, len(rows) if len(qids) else 0, AT_ONCE):
+                some = rows.iloc[at : at + AT_ONCE]
+                ids, x = some["doc_id"].to_numpy(), np.stack(some["embedding"].to_list()).astype(np.float64)
+                if metric == "cosine":
+                    score = (q / lengths(q)[:, None]) @ (x / lengths(x)[:, None]).T
+                elif metric == "inner":
+                    score = q @ x.T
+                else:
+                    score = -distances(q, x)
+                best.add(ids, np.round(score, 9))
         yield pd.DataFrame({"qid": qids[best.at], "doc_id": best.ids, "score": best.scores})
 
     return docs.mapInPandas(run, "qid long, doc_id long, score double")

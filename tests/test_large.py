@@ -1,9 +1,12 @@
 """What larger and odd tables brought to light."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import search as S
 
 TIES = [0.001953125, -0.005859375, 0.5000005, 1234567.5, 100000.5, 999999.5, 1e-5, 0.0001, 9.9999995e-05, 1e-40, 3.0, 0.0, -0.0, float("nan"), float("inf"), None]
 
@@ -17,3 +20,26 @@ def test_literals_round_as_printf(spark):
     assert found[1][0] == f"[{','.join(p for p in plain if p is not None)}]"
     assert found[1][1] == f"{{{','.join(f'{i}:{p}' for i, p in enumerate(plain) if p is not None)}}}/20"
     assert found[2] == ("[]", "{}/20") and found[3] == (None, None)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner"])
+def test_dense_search_holds_a_few_documents_at_once(spark, monkeypatch, metric):
+    class Seen(S.Best):
+        def add(self, ids, scores, *more, **named):
+            if len(ids) > 3:
+                raise ValueError(f"{len(ids)} documents at once")
+            super().add(ids, scores, *more, **named)
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(50, 4)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<float>").coalesce(1)
+    queries = docs.where("doc_id < 6").withColumnRenamed("doc_id", "qid")
+    whole = S.dense_top(queries, docs, 5, metric).select("qid", "rank", "doc_id", "score").collect()
+    monkeypatch.setattr(S, "AT_ONCE", 3, raising=False)
+    monkeypatch.setattr(S, "Best", Seen)
+    assert sorted(S.dense_top(queries, docs, 5, metric).select("qid", "rank", "doc_id", "score").collect()) == sorted(whole)
+
+
+def test_distances_of_near_copies_are_exact():
+    x = np.array([[0.1, 0.7, -0.3], [0.1, 0.7, -0.3], [0.1 + 3e-9, 0.7, -0.3], [0.2, -0.5, 0.9]])
+    assert np.allclose(S.distances(x, x), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), rtol=1e-9, atol=0)
