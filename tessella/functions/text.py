@@ -55,14 +55,13 @@ def band(match: Column) -> Column:
 
 def is_junk(term: Column) -> Column:
     """A URL, no or too many tokens, only digits, no word of two letters, or only common words."""
-    t = tokens(term)
-    return (
-        F.lower(term).rlike("http|www")
-        | ~F.size(t).between(1, 6)
+    odd = lambda t: (
+        ~F.size(t).between(1, 6)
         | F.forall(t, lambda x: x.rlike("^[0-9]+$"))
         | ~F.exists(t, lambda x: x.rlike("^[a-z]{2,}$"))
         | F.forall(t, lambda x: x.isin(*STOPWORDS))
     )
+    return F.lower(term).rlike("http|www") | F.get(F.transform(F.array(tokens(term)), odd), F.lit(0))  # tokens are found once
 
 
 def language(text: Column) -> Column:

@@ -43,9 +43,9 @@ def sample(s, d):
 
 def terms(s, d):
     """Whole documents as query terms of three words each: doc_id, nth (from 0), term."""
-    words = F.split("text", " ")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 3).cast("int")), lambda k: F.array_join(F.slice(words, k * 3 + 1, 3), " "))
-    return table(s, d, "documents").select("doc_id", F.posexplode(cut).alias("nth", "term")).withColumn("nth", F.col("nth").cast("long"))
+    split = table(s, d, "documents").select("doc_id", F.split("text", " ").alias("words"))  # once a text, not once a term of it
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 3).cast("int")), lambda k: F.array_join(F.slice("words", k * 3 + 1, 3), " "))
+    return split.select("doc_id", F.posexplode(cut).alias("nth", "term")).withColumn("nth", F.col("nth").cast("long"))
 
 
 def banded(s, d):
