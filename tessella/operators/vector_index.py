@@ -60,7 +60,8 @@ def fit(vectors: DataFrame, cells: int) -> np.ndarray:
                     np.add.at(total, at, x)
                     count += np.bincount(at, minlength=len(c))
             had = np.flatnonzero(count)
-            yield pd.DataFrame({"cell": had, "n": count[had], "total": [t.tolist() for t in total[had]]})
+            if len(had):  # a task without vectors has no lists, of which Arrow could not tell the type
+                yield pd.DataFrame({"cell": had, "n": count[had], "total": [t.tolist() for t in total[had]]})
 
         found = sample.select("embedding").mapInPandas(sums, "cell long, n long, total array<double>")
         merged = found.select("cell", "n", F.posexplode("total").alias("k", "x")).groupBy("cell", "k").agg(F.sum("x").alias("x")).toPandas()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import search as S
+from tessella.operators import vector_index as V
 
 TIES = [0.001953125, -0.005859375, 0.5000005, 1234567.5, 100000.5, 999999.5, 1e-5, 0.0001, 9.9999995e-05, 1e-40, 3.0, 0.0, -0.0, float("nan"), float("inf"), None]
 
@@ -43,3 +44,9 @@ def test_dense_search_holds_a_few_documents_at_once(spark, monkeypatch, metric):
 def test_distances_of_near_copies_are_exact():
     x = np.array([[0.1, 0.7, -0.3], [0.1, 0.7, -0.3], [0.1 + 3e-9, 0.7, -0.3], [0.2, -0.5, 0.9]])
     assert np.allclose(S.distances(x, x), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), rtol=1e-9, atol=0)
+
+
+def test_cells_of_a_table_with_empty_partitions(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "doc_id long, embedding array<float>").repartition(8)
+    index = V.VectorIndex.create(vectors, f"file://{tmp_path}/cells")
+    assert index.top(vectors.withColumnRenamed("doc_id", "qid"), 2).count() == 6
