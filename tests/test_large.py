@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import bm25 as B
 from tessella.operators import search as S
 from tessella.operators import vector_index as V
 
@@ -50,3 +51,14 @@ def test_cells_of_a_table_with_empty_partitions(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "doc_id long, embedding array<float>").repartition(8)
     index = V.VectorIndex.create(vectors, f"file://{tmp_path}/cells")
     assert index.top(vectors.withColumnRenamed("doc_id", "qid"), 2).count() == 6
+
+
+def test_counts_of_unique_ids_are_not_shuffled(spark):
+    rows = [(1, "b a B c b"), (2, None), (3, ""), (4, "z"), (None, "a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = B.term_counts(docs)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    wanted = [(1, "a", 1, 5), (1, "b", 3, 5), (1, "c", 1, 5), (4, "z", 1, 1), (None, "a", 2, 2)]
+    assert sorted(map(tuple, counts.select("doc_id", "term", "tf", "dl").collect()), key=str) == sorted(wanted, key=str)
+    again = {(r.doc_id, r.term): r.tf for r in B.term_counts(docs.union(docs)).collect()}
+    assert again == {(d, t): 2 * n for d, t, n, _ in wanted}
