@@ -62,13 +62,20 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def document_counts(docs: DataFrame) -> DataFrame:
+    """:func:`document_frequency` of ``docs`` (doc_id, text): tasks count the rows that have a term before terms are shuffled."""
+    if not unique_ids(docs):
+        return document_frequency(term_counts(docs))
+    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """term, term_id (1 for the most frequent, ties by term), df, idf."""
-    df = document_frequency(term_counts(docs))
+    df = document_counts(docs)
     ranked = numbered(df, "df", "term", "term_id")
     return ranked.crossJoin(F.broadcast(statistics(docs).select("n_docs"))).select("term", "term_id", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
 

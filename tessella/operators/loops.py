@@ -14,8 +14,8 @@ from ..functions import text as T
 
 def fresh_terms(terms: DataFrame, done: DataFrame, order: Column, most: int) -> DataFrame:
     """term, slug of ``most`` clean terms in the order of a hash whose slug is not ``done`` (slug); of equal slugs the first."""
-    rows = terms.select("term").where(T.is_clean(F.col("term"))).withColumn("slug", T.slug(F.col("term"))).withColumn("__order", order)
-    first = rows.join(done.select("slug"), "slug", "left_anti").groupBy("slug").agg(F.min(F.struct("__order", "term")).alias("x"))
+    rows = terms.select("term").where(T.is_clean(F.col("term"))).withColumn("slug", T.slug(F.col("term")))
+    first = rows.join(done.select("slug"), "slug", "left_anti").withColumn("__order", order).groupBy("slug").agg(F.min(F.struct("__order", "term")).alias("x"))
     return first.orderBy("x.__order", "x.term").limit(most).select(F.col("x.term").alias("term"), "slug")
 
 

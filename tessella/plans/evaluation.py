@@ -50,7 +50,7 @@ def terms(s, d):
 
 def banded(s, d):
     """Each term's band, by the largest number of documents that one of its tokens has."""
-    found = Q.match(terms(s, d).select(F.struct("doc_id", "nth").alias("key"), "term"), B.document_frequency(B.term_counts(L.docs(s, d))))
+    found = Q.match(terms(s, d).select(F.struct("doc_id", "nth").alias("key"), "term"), B.document_counts(L.docs(s, d)))
     return found.select("key.doc_id", "key.nth", "match", T.band(F.col("match")).alias("band"))
 
 

@@ -89,13 +89,13 @@ def designed(s, d):
 
 def built(s, d):
     terms = E.terms(s, d).select("term")
-    rows = X.query_set(terms, B.document_frequency(B.term_counts(L.docs(s, d))), designed(s, d), F.md5("term"))
+    rows = X.query_set(terms, B.document_counts(L.docs(s, d)), designed(s, d), F.md5("term"))
     return rows.select("text", "source", "category", "lang", "difficulty", "match_docs", "split")
 
 
 def fresh(s, d):
-    terms = E.terms(s, d).select("term").distinct()
-    done = terms.where(F.md5("term") < "8").select(T.slug(F.col("term")).alias("slug")).distinct()
+    terms = E.terms(s, d).select("term")
+    done = terms.where(F.md5("term") < "8").select(T.slug(F.col("term")).alias("slug"))
     return O.fresh_terms(terms, done, F.md5("term"), 40)
 
 

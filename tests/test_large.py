@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import bm25 as B
+from tessella.operators import queryset as Q
 from tessella.operators import search as S
 from tessella.operators import vector_index as V
+from tessella.plans import evaluation as E
 
 TIES = [0.001953125, -0.005859375, 0.5000005, 1234567.5, 100000.5, 999999.5, 1e-5, 0.0001, 9.9999995e-05, 1e-40, 3.0, 0.0, -0.0, float("nan"), float("inf"), None]
 
@@ -62,3 +64,26 @@ def test_counts_of_unique_ids_are_not_shuffled(spark):
     assert sorted(map(tuple, counts.select("doc_id", "term", "tf", "dl").collect()), key=str) == sorted(wanted, key=str)
     again = {(r.doc_id, r.term): r.tf for r in B.term_counts(docs.union(docs)).collect()}
     assert again == {(d, t): 2 * n for d, t, n, _ in wanted}
+
+
+def test_matches_by_the_head_and_by_the_rest(spark, monkeypatch):
+    frequency = spark.createDataFrame([("a", 9), ("b", 7), ("c", 7), ("d", 2)], "term string, df long")
+    terms = spark.createDataFrame([(1, "d A"), (2, "c b"), (3, "d x"), (4, "x"), (5, "-"), (6, None), (7, "b d"), (7, "d")], "key long, term string").coalesce(1)
+    wanted = {1: 9, 2: 7, 3: 2, 4: 0, 5: 0, 6: 0, 7: 7}
+    for most in (0, 2, 10_000):
+        monkeypatch.setattr(Q, "HEAD", most)
+        assert {r.key: r.match for r in Q.match(terms, frequency).collect()} == wanted
+
+
+def test_a_text_is_split_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = E.terms(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1 and "lambdafunction(array_join(slice(split" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "a b c"), (1, 1, "d"), (3, 0, "")]
+
+
+def test_document_counts_merge_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id long, text string")
+    for rows in (docs, docs.union(docs)):
+        assert {r.term: r.df for r in B.document_counts(rows).collect()} == {"a": 1, "b": 2}
