@@ -107,7 +107,7 @@ def top(scored: DataFrame, k: int, *within: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _weights(tf: np.ndarray, dl: np.ndarray, average: float, model: Bm25) -> np.ndarray:
+def weights(tf: np.ndarray, dl: np.ndarray, average: float, model: Bm25) -> np.ndarray:
     length = 1.0 - model.b + model.b * (dl / average if average > 0 else 1.0)
     return tf * (model.k1 + 1.0) / (tf + model.k1 * length)
 
@@ -179,7 +179,7 @@ def _block_hits(spark: SparkSession, block: list, read: DataFrame, ranked: DataF
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             doc, term, tf, dl = _postings(batch, terms)
-            weight = _weights(tf.astype(float), dl[doc].astype(float), average, model)
+            weight = weights(tf.astype(float), dl[doc].astype(float), average, model)
             for at in range(0, len(ids), DOCS_AT_ONCE):
                 lo, hi = np.searchsorted(doc, [at, at + DOCS_AT_ONCE])
                 used, column = np.unique(term[lo:hi], return_inverse=True)

@@ -1,37 +1,168 @@
 """A BM25 index that is kept: posting lists in blocks with bounds, added to and taken from, searched without most of its blocks.
 
-Documents are dealt to ranges of RANGE in the order of their length, equal lengths by a hash of a few of their terms, so that those
-of a range are alike. A *block* is a term's postings in one range, with its peaks: the counts and lengths of those postings that
+What a task reads is dealt to ranges of RANGE documents in the order of their length, equal lengths by a hash of a few of their terms,
+so that those of a range are alike. A *block* is a term's postings in one range, with its peaks: the counts and lengths of those postings that
 none of the block outdoes in both, one of which weighs most whatever the average length. So a query's bounds of a range add up to a
-bound of every document in it, and ranges that cannot reach the k-th score are not read. That score is bounded from below by the
+bound of every document in it, and ranges that cannot reach the k-th score are not scored. That score is bounded from below by the
 rarest terms of the query, whose blocks are read first.
 
+Ranges in a row are a *piece*, whose blocks a task makes at once: a row has a term's blocks of one piece. A search deals out the
+rows of its terms by piece, so that bounds and scores of a piece are products of matrices, and only the best leave the task.
+
 What is added is a segment of its own; documents that go are listed, and their counts taken from the statistics. Counts and lengths
 are kept, not weights, so nothing that was written changes when the corpus does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .bm25 import Bm25, idf, top
+from ..plans.scratch import stored
+from .best import Best
+from .bm25 import DOCS_AT_ONCE, QUERY_BLOCK, Bm25, idf, top, weights
 from .ranks import numbered
 
-#: Documents of a range; folders by which blocks are found by term; postings of a query that are read for its first bound.
-RANGE, BUCKETS, FIRST = 16, 32, 4096
+#: Documents of a range; ranges of a piece at most, and terms with which one ends; folders by which blocks are found by term;
+#: postings of a query that are read for its first bound.
+RANGE, RANGES, PIECE_TERMS, BUCKETS, FIRST = 16, 256, 1 << 20, 32, 4096
 #: Scores that round to the same nine digits may differ by this much.
 SLACK = 1e-8
-PEAKS = "filter(kinds, x -> not exists(kinds, y -> y.tf >= x.tf and y.dl <= x.dl and (y.tf > x.tf or y.dl < x.dl)))"
+#: A term's blocks of a piece: the places of documents in the piece, their counts, and by range the peaks. The row of the piece
+#: itself has no term but its documents and their lengths. ``n``: documents of the row.
+ROW = "term string, piece long, slots array<int>, tfs array<int>, peak_ranges array<int>, peak_tfs array<int>, peak_dls array<int>, docs array<long>, dls array<int>, n int"
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ROW from documents (doc_id, ts) in order."""
+    held, docs, terms, piece = [], 0, 0, TaskContext.get().partitionId() << 33
+    for batch in batches:
+        ends = np.cumsum(batch.column("ts").value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            some = min(RANGE - docs % RANGE, batch.num_rows - at)
+            held.append(batch.slice(at, some))
+            terms += int(ends[at + some - 1] - (ends[at - 1] if at else 0))
+            docs, at = docs + some, at + some
+            if docs == RANGES * RANGE or docs % RANGE == 0 and terms >= PIECE_TERMS:
+                yield _piece(held, piece)
+                held, docs, terms, piece = [], 0, 0, piece + 1
+    if held:
+        yield _piece(held, piece)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The lists that begin at ``starts``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _piece(held: list[pa.RecordBatch], piece: int) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(held).combine_chunks()
+    ids, ts = (whole.column(c).chunk(0) for c in ("doc_id", "ts"))
+    dl = ts.value_lengths().to_numpy(zero_copy_only=False)
+    kinds = ts.flatten().dictionary_encode()
+    pair, tf = np.unique(kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    code, slot = pair // len(dl), pair % len(dl)
+    n = len(kinds.dictionary)
+    block = code * RANGES + slot // RANGE
+    order = np.lexsort((-tf, dl[slot], block))  # the shortest of a block first; a peak has more than all before it
+    outdone = np.maximum.accumulate(block[order] * (1 << 32) + tf[order])
+    peak = order[np.flatnonzero(np.diff(outdone, prepend=-1))]
+    rows, tops = np.searchsorted(code, np.arange(n)), np.searchsorted(code[peak], np.arange(n))
+    ints = {"slots": (slot, rows), "tfs": (tf, rows), "peak_ranges": (slot[peak] // RANGE, tops), "peak_tfs": (tf[peak], tops), "peak_dls": (dl[slot[peak]], tops)}
+    none = lambda kind, k: pa.nulls(k, pa.list_(kind))
+    columns = {"term": pa.concat_arrays([kinds.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), "piece": pa.array(np.full(n + 1, piece), pa.int64())}
+    columns |= {c: pa.concat_arrays([_lists(x, at, pa.int32()), none(pa.int32(), 1)]) for c, (x, at) in ints.items()}
+    columns["docs"] = pa.concat_arrays([none(pa.int64(), n), pa.ListArray.from_arrays([0, len(ids)], ids.cast(pa.int64()))])
+    columns["dls"] = pa.concat_arrays([none(pa.int32(), n), _lists(dl, np.zeros(1, np.int64), pa.int32())])
+    columns["n"] = pa.array(np.append(np.diff(rows, append=len(pair)), len(dl)), pa.int32())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _flat(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    """The row of each element of lists of equal lengths, and the elements."""
+    lists = [rows.column(c).combine_chunks() for c in columns]
+    own = np.repeat(np.arange(len(rows)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+    return [own, *[x.flatten().to_numpy(zero_copy_only=False) for x in lists]]
+
+
+def _asked_blocks(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the queries of a piece's rows (asks: qid, side, least), some at once: their ids, least scores, the rows that have a term of
+    theirs, and each row's factor for each."""
+    asks = rows.column("asks").combine_chunks()
+    own = np.repeat(np.arange(len(rows)), asks.value_lengths().to_numpy(zero_copy_only=False))
+    asks = asks.flatten()
+    side, least = (asks.field(c).to_numpy(zero_copy_only=False) for c in ("side", "least"))
+    qids, first, at = np.unique(asks.field("qid").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    for lo in range(0, len(qids), QUERY_BLOCK):
+        some = qids[lo : lo + QUERY_BLOCK]
+        a, b = np.searchsorted(at[order], [lo, lo + len(some)])
+        used, row = np.unique(own[order[a:b]], return_inverse=True)
+        sides = np.zeros((len(used), len(some)))
+        sides[row, at[order[a:b]] - lo] = side[order[a:b]]
+        yield some, least[first[lo : lo + QUERY_BLOCK]], used, sides
+
+
+def _open(rows: pa.Table, average: float, model: Bm25) -> Iterator[tuple]:
+    """What :func:`_asked_blocks` has, and whether each range (rows of the matrix) may have one of a query's best, by the peaks; how
+    many blocks of each range are of a query's terms."""
+    row, at, tf, dl = _flat(rows, "peak_ranges", "peak_tfs", "peak_dls")
+    block = row * RANGES + at
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    most = np.maximum.reduceat(weights(tf.astype(float), dl.astype(float), average, model), starts)
+    row, at = row[starts], at[starts]
+    for qids, least, used, sides in _asked_blocks(rows):
+        place = np.full(len(rows), -1)
+        place[used] = np.arange(len(used))
+        mine = place[row] >= 0
+        tops = np.zeros((RANGES, len(used)))
+        tops[at[mine], place[row[mine]]] = most[mine]
+        bound = tops @ sides
+        yield qids, used, sides, (bound > 0) & ~(bound < least - SLACK), (tops > 0).astype(float) @ (sides > 0)
+
+
+def _ranked(rows: pa.Table, docs: pa.Table, average: float, k: int, model: Bm25) -> pa.Table:
+    """qid, doc_id, score of the best of a piece, from rows of terms and the documents (slot, doc_id, dl) that are ranked."""
+    found = []
+    if len(rows) and len(docs):
+        slots = docs.column("slot").to_numpy()
+        ids, dls, ranked = np.zeros(RANGES * RANGE, np.int64), np.ones(RANGES * RANGE), np.zeros(RANGES * RANGE, bool)
+        ids[slots], dls[slots], ranked[slots] = docs.column("doc_id").to_numpy(), docs.column("dl").to_numpy(), True
+        row, slot, tf = _flat(rows, "slots", "tfs")
+        order = np.argsort(slot, kind="stable")
+        order = order[ranked[slot[order]]]
+        row, slot = row[order], slot[order]
+        weight = weights(tf[order].astype(float), dls[slot], average, model)
+        for qids, used, sides, open_, _ in _open(rows, average, model):
+            best = Best(len(qids), k)
+            place = np.full(len(rows), -1)
+            place[used] = np.arange(len(used))
+            for at in range(0, RANGES * RANGE, DOCS_AT_ONCE):
+                ranges = np.repeat(open_[at // RANGE : (at + DOCS_AT_ONCE) // RANGE], RANGE, axis=0)
+                if not ranges.any():
+                    continue
+                lo, hi = np.searchsorted(slot, [at, at + DOCS_AT_ONCE])
+                mine = np.flatnonzero(place[row[lo:hi]] >= 0) + lo
+                some = np.zeros((DOCS_AT_ONCE, len(used)))
+                some[slot[mine] - at, place[row[mine]]] = weight[mine]
+                best.add(ids[at : at + DOCS_AT_ONCE], np.where(ranges, np.round(some @ sides, 9), 0.0).T, 0.0)
+            found.append((qids[best.at], best.ids, best.scores))
+    qid, doc, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({"qid": pa.array(qid, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """The index in the folder ``path``: ``blocks``, ``terms`` (changes of document frequencies), ``gone`` and, written last of each
@@ -65,8 +196,18 @@ class TextIndex:
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("segment").isin(self._listed()))
 
+    def _rows(self) -> DataFrame:
+        return self._read("blocks", f"{ROW}, segment int, bucket int")
+
     def blocks(self) -> DataFrame:
-        return self._read("blocks", "term string, range long, docs array<long>, tfs array<int>, dls array<int>, n int, peaks array<struct<tf: int, dl: int>>, segment int, bucket int")
+        """The rows of terms."""
+        return self._rows().where(F.col("bucket") < BUCKETS).drop("docs", "dls")
+
+    def documents(self) -> DataFrame:
+        """segment, piece, slot, doc_id, dl of all documents that are not gone."""
+        each = self._rows().where(F.col("bucket") == BUCKETS).select("segment", "piece", F.posexplode(F.arrays_zip("docs", "dls")).alias("slot", "d"))
+        there = each.select("segment", "piece", "slot", F.col("d.docs").alias("doc_id"), F.col("d.dls").alias("dl")).join(self.gone(), "doc_id", "left")
+        return there.where("until is null or until < segment").drop("until")
 
     def gone(self) -> DataFrame:
         """doc_id and until: documents of segments up to that one are gone."""
@@ -87,13 +228,12 @@ class TextIndex:
         read; repeated ids are documents of their own; null texts count as empty ones."""
         number = max(self._listed(), default=-1) + 1
         ts = docs.select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("size", F.floor(F.log2(1.0 + F.size("ts")) * 4))
-        ts = ts.withColumn("like", F.array_min(F.transform("ts", lambda t: F.xxhash64(t)))).repartitionByRange("size", "like", "doc_id").sortWithinPartitions("size", "like", "doc_id")
-        read = ts.select("doc_id", "ts", F.monotonically_increasing_id().alias("row")).withColumn("range", F.floor(F.col("row") / RANGE))
-        counted = read.select("doc_id", "range", "row", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("row", "term").agg(F.first("doc_id").alias("doc_id"), F.first("range").alias("range"), F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        posts = counted.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("row", "doc_id", "tf", "dl"))).alias("p"), F.collect_set(F.struct("tf", "dl")).alias("kinds"))
-        rows = posts.select("term", "range", *[F.col(f"p.{c}").alias(to) for c, to in (("doc_id", "docs"), ("tf", "tfs"), ("dl", "dls"))], F.size("p").alias("n"), F.expr(PEAKS).alias("peaks"), F.lit(number).alias("segment"), _bucket(F.col("term")).alias("bucket"))
-        rows.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/blocks")
-        new = self.spark.read.schema("term string, n int, segment int, bucket int").parquet(f"{self.path}/blocks").where(f"segment = {number}").groupBy("term").agg(F.sum("n").alias("df"))
+        ts = ts.withColumn("like", F.array_min(F.transform("ts", lambda t: F.xxhash64(t)))).sortWithinPartitions("size", "like", "doc_id")
+        rows = ts.select("doc_id", "ts").mapInArrow(_pieces, ROW).withColumn("segment", F.lit(number))
+        rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), BUCKETS).otherwise(_bucket(F.col("term"))))
+        rows.repartition("bucket", F.shiftright("piece", 33) % 16).sortWithinPartitions("segment", "bucket", "term", "piece").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/blocks")
+        written = self.spark.read.schema(f"{ROW}, segment int, bucket int").parquet(f"{self.path}/blocks").where(f"segment = {number}")
+        new = stored(written.where(F.col("bucket") < BUCKETS).groupBy("term").agg(F.sum("n").alias("df")))
         if number:
             known = self.vocabulary()
             last = known.agg(F.max("term_id")).first()[0] or 0
@@ -103,7 +243,8 @@ class TextIndex:
             terms = numbered(new, "df", "term", "term_id").select("term", "term_id", "df")
         self._write("terms", number, terms)
         self._write("gone", number, self.spark.createDataFrame([], "doc_id long"))
-        lengths = read.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).cast("long").alias("total_len"))
+        own = written.where(F.col("bucket") == BUCKETS).select("n", F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x).alias("len"))
+        lengths = own.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total_len"))
         self._write("segments", number, lengths)
         return number
 
@@ -130,54 +271,54 @@ class TextIndex:
         """qid, term, bucket, df, side (the factor of a posting's weight)."""
         s = self.statistics().first()
         terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        known = self._read("terms", "term string, term_id long, df long, segment int").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
         i = idf(F.lit(float(s.n_docs or 0)), F.col("df"))
         side = i * i if self.model.idf_side == "both" else i
-        return terms.join(self.vocabulary(), "term").where("df > 0").select("qid", "term", _bucket(F.col("term")).alias("bucket"), "df", side.alias("side"))
-
-    def _weight(self, average: float, tf: Column, dl: Column) -> Column:
-        length = 1.0 - self.model.b + self.model.b * (dl / average if average > 0 else F.lit(1.0))
-        return tf * (self.model.k1 + 1.0) / (tf + self.model.k1 * length)
-
-    def _scored(self, blocks: DataFrame, average: float, allowed: DataFrame | None) -> DataFrame:
-        """qid, segment, doc_id, score of ``blocks`` (qid, side and the columns of a block)."""
-        each = blocks.select("qid", "side", "segment", "range", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p")).select("qid", "side", "segment", "range", F.col("p.docs").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
-        each = each.join(self.gone(), "doc_id", "left").where("until is null or until < segment")
+        return stored(terms.join(known, "term").where("df > 0").select("qid", "term", _bucket(F.col("term")).alias("bucket"), "df", side.alias("side")))
+
+    def _found(self, asked: DataFrame) -> DataFrame:
+        """The rows of the terms of ``asked`` (qid, bucket, term, side, least), each with what is asked of it; the queries' terms go to all
+        tasks."""
+        asks = asked.groupBy("bucket", "term").agg(F.collect_list(F.struct("qid", "side", F.coalesce("least", F.lit(float("-inf"))).alias("least"))).alias("asks"))
+        return self.blocks().join(F.broadcast(asks), ["bucket", "term"]).drop("bucket", "term", "n")
+
+    def _best(self, asked: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+        """qid, doc_id, score, rank of the ``k`` best by the terms ``asked``."""
+        average, model = float(self.statistics().first().avg_len), self.model
+        docs = self.documents()
         if allowed is not None:
-            each = each.join(allowed.select("doc_id"), "doc_id", "left_semi")
-        return each.groupBy("qid", "segment", "doc_id").agg(F.sum(F.col("side") * self._weight(average, F.col("tf"), F.col("dl"))).alias("score"))
+            docs = docs.join(allowed.select("doc_id"), "doc_id", "left_semi")
+        rows = self._found(asked).groupBy("segment", "piece")
+        found = rows.cogroup(docs.groupBy("segment", "piece")).applyInArrow(lambda a, b: _ranked(a, b, average, k, model), "qid long, doc_id long, score double")
+        return top(found, k)
 
     def least(self, asked: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """qid and least: a bound below its k-th score, by the blocks of its rarest terms, of FIRST postings at most if the rarest has no
         more; only queries with k such documents."""
-        average = float(self.statistics().first().avg_len)
         order = Window.partitionBy("qid").orderBy("df", "term")
         rare = asked.withColumn("before", F.sum("df").over(order) - F.col("df")).withColumn("nth", F.row_number().over(order)).where(f"nth = 1 or before + df <= {FIRST}")
-        first = self._scored(rare.select("qid", "term", "bucket", "side").join(self.blocks(), ["bucket", "term"]), average, allowed)
-        best = top(first, k)
+        best = self._best(rare.withColumn("least", F.lit(None).cast("double")), k, allowed)
         return best.where(f"rank = {k}").select("qid", F.col("score").alias("least"))
 
-    def reached(self, asked: DataFrame, least: DataFrame) -> DataFrame:
-        """qid, segment, range that may have one of the query's k best documents, by the bounds of its blocks alone."""
-        average = float(self.statistics().first().avg_len)
-        heads = self.blocks().select("bucket", "term", "segment", "range", "peaks")
-        bounds = asked.join(heads, ["bucket", "term"]).groupBy("qid", "segment", "range").agg(F.sum(F.col("side") * F.array_max(F.transform("peaks", lambda p: self._weight(average, p["tf"], p["dl"])))).alias("most"))
-        return bounds.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK)).select("qid", "segment", "range")
-
     def top(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """qid, doc_id, score, rank of the ``k`` best documents of every query (qid, text), as all scores would rank them: ties by doc_id.
         ``allowed`` (doc_id) limits what is ranked, not the statistics. Queries without a known term have no rows.
 
-        Heads of blocks are read for the bounds, whole blocks only of the rarest terms and of ranges that may be among the best.
+        Each piece is bounded by its peaks, and only ranges that may have one of a query's best are scored.
         """
-        asked, average = self._asked(queries), float(self.statistics().first().avg_len)
-        open_ = self.reached(asked, self.least(asked, k, allowed))
-        read = open_.join(asked, "qid").join(self.blocks(), ["bucket", "term", "segment", "range"])
-        scored = self._scored(read, average, allowed)
-        return top(scored.select("qid", "doc_id", F.round("score", 9).alias("score")), k)
+        asked = self._asked(queries)
+        least = stored(self.least(asked, k, allowed))
+        return self._best(asked.join(least, "qid", "left"), k, allowed).select("qid", "doc_id", "score", "rank")
 
     def blocks_read(self, queries: DataFrame, k: int) -> DataFrame:
-        """qid, blocks (of its terms), read (of them, those whose postings :meth:`top` reads beyond the first bound)."""
+        """qid, blocks (of its terms), read (of them, those whose postings :meth:`top` scores beyond the first bound)."""
+        average, model = float(self.statistics().first().avg_len), self.model
         asked = self._asked(queries)
-        heads = asked.join(self.blocks().select("bucket", "term", "segment", "range"), ["bucket", "term"]).select("qid", "segment", "range")
-        open_ = self.reached(asked, self.least(asked, k)).withColumn("open", F.lit(1))
-        return heads.join(open_, ["qid", "segment", "range"], "left").groupBy("qid").agg(F.count("*").alias("blocks"), F.count("open").alias("read"))
+
+        def run(rows: pa.Table) -> pa.Table:
+            parts = [(qids, n.sum(axis=0), (n * open_).sum(axis=0)) for qids, _, _, open_, n in _open(rows, average, model)]
+            qid, blocks, read = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.table({"qid": qid, "blocks": blocks.astype(np.int64), "read": read.astype(np.int64)})
+
+        heads = self._found(asked.join(self.least(asked, k), "qid", "left")).drop("slots", "tfs")
+        return heads.groupBy("segment", "piece").applyInArrow(run, "qid long, blocks long, read long").groupBy("qid").agg(F.sum("blocks").alias("blocks"), F.sum("read").alias("read"))

@@ -86,3 +86,10 @@ def test_ranges_without_a_change_are_not_written(spark, tmp_path):
     whole = table.rows().where("id < 90").select("id")
     table.delete(whole)
     assert table.rows().where("id < 90").count() == 0 and table.merge(new.limit(0), ["v"], now) == []
+
+
+def test_a_term_has_one_row_a_piece_of_documents(spark, tmp_path):
+    docs = L.docs(spark, SF).coalesce(1)
+    index = TextIndex.create(docs, f"{tmp_path}/index")
+    rows = index.blocks()
+    assert rows.count() == rows.select("term").distinct().count() > 0
