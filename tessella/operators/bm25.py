@@ -15,8 +15,9 @@ from ..functions.text import tokens
 from .best import Best
 from .ranks import numbered
 
-#: Queries that are held against the documents in one pass; documents whose scores are there at once.
-QUERY_BLOCK, DOCS_AT_ONCE = 256, 512
+#: Queries that are held against the documents in one pass; documents whose scores are there at once; terms of documents with which
+#: fewer are.
+QUERY_BLOCK, DOCS_AT_ONCE, TERMS_AT_ONCE = 256, 512, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -155,8 +156,9 @@ def _block_hits(spark: SparkSession, block: list, read: DataFrame, ranked: DataF
     def count(batches):
         df = np.zeros(len(terms), np.int64)
         for batch in batches:
-            doc, term, _, _ = _postings(batch, shared.value)
-            df += np.bincount(term, minlength=len(df))
+            for part in _parts(batch):
+                _, term, _, _ = _postings(part, shared.value)
+                df += np.bincount(term, minlength=len(df))
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.flatnonzero(df), pa.int64()), "n": pa.array(df[df > 0], pa.int64())})
 
     df = np.zeros(len(terms))
@@ -177,21 +179,30 @@ def _block_hits(spark: SparkSession, block: list, read: DataFrame, ranked: DataF
         terms, sides = held.value
         best = Best(sides.shape[1], k)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            doc, term, tf, dl = _postings(batch, terms)
-            weight = weights(tf.astype(float), dl[doc].astype(float), average, model)
-            for at in range(0, len(ids), DOCS_AT_ONCE):
-                lo, hi = np.searchsorted(doc, [at, at + DOCS_AT_ONCE])
-                used, column = np.unique(term[lo:hi], return_inverse=True)
-                some = np.zeros((min(DOCS_AT_ONCE, len(ids) - at), len(used)))
-                some[doc[lo:hi] - at, column] = weight[lo:hi]
-                best.add(ids[at : at + DOCS_AT_ONCE], np.round((some @ sides[used]).T, 9), 0.0)
+            for part in _parts(batch):
+                doc, term, tf, dl = _postings(part, terms)
+                weight = weights(tf.astype(float), dl[doc].astype(float), average, model)
+                used, column = np.unique(term, return_inverse=True)
+                some = np.zeros((part.num_rows, len(used)))
+                some[doc, column] = weight
+                best.add(part.column("doc_id").to_numpy(zero_copy_only=False), np.round((some @ sides[used]).T, 9), 0.0)
         if len(best.at):
             yield pa.RecordBatch.from_pydict({"qid": qids[best.at % len(qids)], "doc_id": best.ids, "score": best.scores, "run_id": pa.array([runs[j] for j in best.at // len(qids)], pa.string())})
 
     return ranked.mapInArrow(rank, "qid long, doc_id long, score double, run_id string")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` (ts) in parts of DOCS_AT_ONCE documents and some TERMS_AT_ONCE terms at most, one document at least."""
+    ends = np.cumsum(batch.column("ts").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TERMS_AT_ONCE, "right"))
+        to = min(batch.num_rows, at + DOCS_AT_ONCE, max(at + 1, most))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _postings(batch: pa.RecordBatch, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch (ts): rows and numbers of its terms that are in ``terms``, each pair once and in order, how often each occurs, and
     the number of terms of each row."""

@@ -87,3 +87,15 @@ def test_document_counts_merge_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id long, text string")
     for rows in (docs, docs.union(docs)):
         assert {r.term: r.df for r in B.document_counts(rows).collect()} == {"a": 1, "b": 2}
+
+
+def test_a_scan_takes_few_documents_and_terms_at_once():
+    import pyarrow as pa
+
+    from tessella.operators import bm25
+
+    ts = [["a"] * 3] * 1500 + [["b"] * (bm25.TERMS_AT_ONCE + 1), None, []] + [["c"] * (bm25.TERMS_AT_ONCE // 2)] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(ts))), "ts": pa.array(ts, pa.list_(pa.string()))})
+    parts = list(bm25._parts(batch))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(len(ts)))
+    assert all(p.num_rows <= bm25.DOCS_AT_ONCE and (p.num_rows == 1 or len(p.column("ts").flatten()) <= bm25.TERMS_AT_ONCE) for p in parts)
