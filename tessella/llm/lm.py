@@ -9,7 +9,6 @@ choices, so that a word costs a few hundred products instead of one for each wor
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +34,15 @@ WORDS, SIZE, BEGIN = FREQUENT + 1, 16, -1
 HEAD, WIDTH = 63, 48
 #: Noise choices of each of the three levels, and positions, of a step.
 NOISE, STEP, RATE = 32, 1024, 0.4
+#: Steps whose noise is drawn at once.
+DRAWS = 256
 #: Tokens that a task learns from at least, if there are as many: nets of fewer, averaged, are little better than their start.
 #: Tasks that train at most: each sends a net, and a net does not shrink with its share of the texts.
 TRAINER_TOKENS, TRAINERS = 6_000_000, 4096
 #: Bytes of text that are numbers at once, and contexts whose matrix product is there at once.
 SLICE, BATCH = 2 << 20, 2048
+#: Counts of the words of slices that a task adds up together.
+COUNTS = 1 << 20
 END = b"\n"
 
 
@@ -72,7 +75,7 @@ def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
     kinds = flat.dictionary_encode()
-    return kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), kinds.dictionary.cast(pa.binary()).to_pylist(), lengths
+    return kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), kinds.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), lengths
 
 
 def code_of(word: bytes) -> int:
@@ -83,26 +86,29 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64) >> 2 & (1 << 62) - 1
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """word (its hash) and n over all tokens of ``docs``; tasks add up what they read before it is shuffled."""
+def count(docs: DataFrame, at_once: int = COUNTS) -> DataFrame:
+    """word (its hash) and n over all tokens of ``docs``; tasks add up what they read, some ``at_once`` counts of slices together,
+    before it is shuffled."""
     types = fields(StructType.fromDDL("word long, n long"))
 
     def run(batches):
-        held, ends = Counter(), 0
+        held, size, ends = [], 0, 0
 
         def out():
-            return record_batch({"word": np.fromiter(held, np.int64, len(held)), "n": np.fromiter(held.values(), np.int64, len(held))}, types)
+            n = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+            return record_batch({"word": n["word"].chunk(0), "n": n["n_sum"].chunk(0)}, types)
 
         for batch in batches:
             for part in slices(batch, most_bytes=SLICE):
                 which, own, lengths = split(part.column("text"))
-                held.update(dict(zip(hashes_of(own).tolist(), np.bincount(which, minlength=len(own)).tolist(), strict=True)))
-                ends += len(lengths)
-                if len(held) > 200_000:
+                if own:
+                    held.append(pa.table({"word": hashes_of(own), "n": np.bincount(which, minlength=len(own))}))
+                size, ends = size + len(own), ends + len(lengths)
+                if size > at_once:
                     yield out()
-                    held.clear()
+                    held, size = [], 0
         if ends:
-            held[code_of(END)] += ends
+            held.append(pa.table({"word": [code_of(END)], "n": [ends]}))
             yield out()
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -173,8 +179,9 @@ class Net:
 
     def ahead(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The predicted vector of each context (two numbers) with a 1 for the bias, and the vectors of the two words."""
-        a, b = self.context[before[:, 0]], self.context[before[:, 1]]
-        q = np.ones((len(before), SIZE + 1), np.float32)
+        a, b = self.context.take(before[:, 0], axis=0), self.context.take(before[:, 1], axis=0)
+        a, b = np.asfortranarray(a), np.asfortranarray(b)
+        q = np.ones((len(before), SIZE + 1), np.float32, "F")
         np.multiply(a, self.place[0], out=q[:, :SIZE])
         q[:, :SIZE] += b * self.place[1]
         return q, a, b
@@ -182,41 +189,55 @@ class Net:
     def log_probabilities(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(after | before), normalised over all words: matrix products of batches of contexts with the
         choices of the first level, of each class that they meet and of each group."""
+        order = np.argsort(after)
+        after = after[order]
         first, group, word = levels(after, self.words)
-        q, out = np.empty((len(after), SIZE + 1), np.float32), np.empty(len(after), np.float64)
+        q, out = np.empty((len(after), SIZE + 1), np.float32, "F"), np.empty(len(after), np.float64)
         for k in range(0, len(after), BATCH):
-            q[k : k + BATCH] = self.ahead(before[k : k + BATCH])[0]
+            q[k : k + BATCH] = self.ahead(before.take(order[k : k + BATCH], axis=0))[0]
             out[k : k + BATCH] = _log_share(q[k : k + BATCH], self.choices[0], first[k : k + BATCH])
         tail = in_tail(after, self.words)
-        if not len(tail):
-            return out
-        tail = tail[np.argsort(word[tail])]
-        for to, vectors in ((group[tail], self.choices[1]), (word[tail], self.choices[2])):
-            starts = np.flatnonzero(np.diff(to // WIDTH, prepend=-1))
-            for a, b in zip(starts, [*starts[1:], len(to)], strict=True):
+        for to, vectors in ((group, self.choices[1]), (word, self.choices[2])) if len(tail) else ():
+            starts = tail[0] + np.flatnonzero(np.diff(to[tail] // WIDTH, prepend=-1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), int(tail[-1]) + 1], strict=True):
                 lo = to[a] // WIDTH * WIDTH
                 for k in range(a, b, BATCH):
-                    rows = tail[k : min(b, k + BATCH)]
-                    out[rows] += _log_share(q[rows], vectors[lo : lo + WIDTH], to[k : k + len(rows)] - lo)
-        return out
+                    rows = slice(k, min(b, k + BATCH))
+                    out[rows] += _log_share(q[rows], vectors[lo : lo + WIDTH], to[rows] - lo)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
 
 def _log_share(q: np.ndarray, vectors: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Logarithms of the share of the choice ``to`` among all of ``vectors``."""
-    z = q @ vectors.T
-    own = z[np.arange(len(to)), to]
-    return own - np.log(np.exp(np.minimum(z, 80, out=z), out=z).sum(axis=1))
+    z = vectors @ q.T
+    own = z[to, np.arange(len(to))]
+    with np.errstate(over="ignore", divide="ignore"):
+        log_all = np.log(np.exp(z, out=z).sum(axis=0))
+    if not np.isfinite(log_all).all():  # too large or too small for single precision
+        z = vectors @ q.T
+        most = z.max(axis=0)
+        log_all = most + np.log(np.exp(z - most).sum(axis=0))
+    return own - log_all
 
 
 def _sums_of_runs(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the rows of ``g`` by ``ids``, which are in order."""
-    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    return ids[starts], np.add.reduceat(g, starts, axis=0)
+    """Sums of the rows of ``g`` by ``ids``, which are in order. Rows alone in their run are taken as they are."""
+    edge = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=edge[1:-1])
+    g, starts = np.ascontiguousarray(g), edge[:-1].nonzero()[0]
+    sums = g.take(starts, axis=0)
+    shared = (~edge[starts + 1]).nonzero()[0]
+    if len(shared):
+        rows = (~(edge[:-1] & edge[1:])).nonzero()[0]
+        sums[shared] = np.add.reduceat(g.take(rows, axis=0), edge[rows].nonzero()[0], axis=0)
+    return ids[starts], sums
 
 
 def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids)
-    return _sums_of_runs(ids[order], g[order])
+    keys = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))
+    return _sums_of_runs(keys >> 32, g.take(keys & (1 << 32) - 1, axis=0))
 
 
 class Trainer:
@@ -229,27 +250,44 @@ class Trainer:
         self.touched = [np.zeros(len(a), np.float32) for a in net.arrays()]
         own = [x / max(1e-300, x.sum()) for x in level_shares(shares)]
         self.edges, self.offsets = [np.cumsum(x) for x in own], [np.log(NOISE * x).astype(np.float32) for x in own]
+        self.drawn: list[list[np.ndarray]] = [[] for _ in own]
+
+    def _noise(self, k: int) -> np.ndarray:
+        """Choices of level ``k`` by their shares, in order; those of DRAWS steps are drawn at once."""
+        if not self.drawn[k]:
+            edges = self.edges[k]
+            at = np.sort(self.rng.random((DRAWS, NOISE)) * edges[-1], axis=1)
+            self.drawn[k] = list(np.minimum(np.searchsorted(edges, at), len(edges) - 1))
+        return self.drawn[k].pop()
 
     def _move(self, k: int, rows, g: np.ndarray) -> None:
-        size = self.seen[k][rows] + np.einsum("ij,ij->i", g, g) / g.shape[1]
-        self.seen[k][rows] = size
-        self.net.arrays()[k][rows] += g * (RATE / np.sqrt(size))[:, None]
-        self.touched[k][rows] += 1
+        a, seen, touched = self.net.arrays()[k], self.seen[k], self.touched[k]
+        size = seen.take(rows) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        seen[rows] = size
+        moved = g * (RATE / np.sqrt(size))[:, None]
+        moved += a.take(rows, axis=0)
+        a[rows] = moved
+        touched[rows] = touched.take(rows) + 1
 
     def gradient(self, k: int, q: np.ndarray, to: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the noise-contrastive log likelihood of a level's choices ``to`` against ``noise``, both as numbers: by the
-        predicted vectors, by the vectors of ``to``, and by those of ``noise``."""
+        predicted vectors, by the vectors of ``to``, and by those of ``noise``. The last component of ``q`` is 1, so offsets go
+        with the biases."""
         vectors, offset = self.net.choices[k], self.offsets[k]
-        own, other = vectors[to], vectors[noise]
-        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - offset[to]))
-        bad = q @ other.T
-        bad -= offset[noise]
-        bad = -1 / (1 + np.exp(np.negative(bad, out=bad), out=bad))
-        return good[:, None] * own + bad @ other, good[:, None] * q, bad.T @ q
+        own, other = np.asfortranarray(vectors.take(to, axis=0)), vectors.take(noise, axis=0)
+        good = (1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - offset[to])))[:, None]
+        against = -other
+        against[:, -1] += offset[noise]
+        bad = against @ q.T
+        np.exp(bad, out=bad)
+        bad += 1
+        np.divide(-1, bad, out=bad)
+        own *= good
+        own += (other.T @ bad).T
+        return own, good * q, bad @ q
 
     def _level(self, k: int, q: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-        edges = self.edges[k]
-        noise = np.sort(np.minimum(np.searchsorted(edges, self.rng.random(NOISE) * edges[-1]), len(edges) - 1))
+        noise = self._noise(k)
         dq, d_to, d_noise = self.gradient(k, q, to, noise)
         for ids, g in (_sums_of_runs(to, d_to), _sums_of_runs(noise, d_noise)):
             self._move(2 + k, ids, g / n)
@@ -269,14 +307,15 @@ class Trainer:
         place = np.stack([np.einsum("ij,ij->j", dq, a), np.einsum("ij,ij->j", dq, b)])
         rows, g = _by_row(before.T.ravel() % (net.words + 1), np.concatenate([dq * net.place[0], dq * net.place[1]]))
         self._move(0, rows, g)
-        self._move(1, slice(None), place)
+        self._move(1, np.arange(2), place)
 
     def learn(self, texts: pa.Array, table: Table) -> None:
         """Steps over every position of the texts, dealt to steps at random."""
         _, before, after, _ = _numbered(texts, table)
-        order = self.rng.permutation(len(after))
-        order = order[np.argsort(np.arange(len(order)) // STEP << 32 | after[order])]
-        before, after = before[order].astype(np.int32), after[order].astype(np.int32)
+        order, at = self.rng.permutation(len(after)), np.arange(len(after))
+        keys = np.sort((at // STEP * (WORDS + 1) + after[order]) * STEP + at % STEP)
+        order = order[at // STEP * STEP + keys % STEP]
+        before, after = before.take(order, axis=0).astype(np.int32), after[order].astype(np.int32)
         for k in range(0, len(order), STEP):
             self.step(before[k : k + STEP], after[k : k + STEP])
 

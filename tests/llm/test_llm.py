@@ -469,6 +469,57 @@ def test_gradient_of_noise_contrast():
             assert abs((likelihood(q, vectors + step) - likelihood(q, vectors - step)) / 2e-5 - full[to[i], j]) < 1e-4
 
 
+def test_noise_of_many_steps_is_drawn_at_once():
+    shares = np.random.default_rng(1).random(5000)
+    shares /= shares.sum()
+    trainer, calls = lm.Trainer(lm.Net.start(shares), shares, 0), []
+    rng, draw = np.random.default_rng(3), trainer.rng
+
+    class Counted:
+        def random(self, *size):
+            calls.append(size)
+            return draw.random(*size)
+
+    trainer.rng = Counted()
+    for _ in range(30):
+        after = np.sort(rng.integers(0, 5000, 64))
+        trainer.step(rng.integers(0, 5000, (64, 2)), after)
+    assert len(calls) == 3  # one a level; before, one a level and step
+    for level, own in enumerate(lm.level_shares(shares)):
+        drawn = np.concatenate([trainer._noise(level) for _ in range(2000)])
+        assert len(drawn) == 2000 * lm.NOISE and abs(np.bincount(drawn // 48, minlength=2)[:2] / len(drawn) - [own[:48].sum() / own.sum(), own[48:96].sum() / own.sum()]).max() < 0.02
+
+
+def test_shares_of_large_products_are_normalised():
+    """Products of 200 and -200 are too large, and too small, for single precision."""
+    vectors = np.array([[200, 0], [199, 0], [-1, 0]], np.float32)
+    for q in ([1, 1], [-1, 1], [0.5, 1], [0, 1]):
+        z = vectors @ np.array(q, np.float32)
+        plain = z - z.max() - np.log(np.exp(z - z.max(), dtype=float).sum())
+        assert np.allclose(lm._log_share(np.array([q] * 3, np.float32), vectors, np.arange(3)), plain, atol=1e-4)
+    low = np.array([[-200, 0], [-201, 0]], np.float32)
+    assert abs(np.exp(lm._log_share(np.ones((2, 2), np.float32), low, np.arange(2))).sum() - 1) < 1e-5
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(4)
+    for n, kinds in ((0, 5), (1, 5), (50, 1), (50, 1000), (400, 90)):
+        ids, g = rng.integers(0, kinds, n), rng.normal(size=(n, 3)).astype(np.float32)
+        plain = np.zeros((kinds, 3))
+        np.add.at(plain, ids, g)
+        for order in "CF":
+            rows, sums = lm._by_row(ids, np.asarray(g, order=order))
+            assert rows.tolist() == sorted(set(ids.tolist())) and np.allclose(sums, plain[rows], atol=1e-5)
+
+
+@pytest.mark.parametrize("at_once", [0, 3, 1 << 20])
+def test_counts_that_leave_a_task_in_parts(spark, at_once):
+    texts = [None, "", "a B a", "b", *(f"w{k % 7} x" for k in range(5000))]
+    plain = Counter(w for t in texts for w in [*(t or "").encode().lower().split(), lm.END])
+    found = lm.count(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), at_once).collect()
+    assert {r.word: r.n for r in found} == {lm.code_of(w): n for w, n in plain.items()} and len(found) == len(plain)
+
+
 def test_model_is_normalised():
     shares = np.full(lm.WORDS, 1 / lm.WORDS)
     net = lm.Net.start(shares)
